@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from weftline.llm import quality
+from weftline.llm import decontaminate, licenses, packing, quality
 
 QUERIES = {
+    "op3_packing": packing.query,
+    "op5_license_scans": licenses.query,
     "op8_quality_rules": quality.query,
+    "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {
+    "op5_license_scans": licenses.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
+    "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
