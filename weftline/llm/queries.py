@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, licenses, packing, quality
+from weftline.llm import decontaminate, licenses, linededup, packing, quality, simhash
 
 QUERIES = {
     "op3_packing": packing.query,
+    "op4_line_dedup": linededup.query,
     "op5_license_scans": licenses.query,
     "op8_quality_rules": quality.query,
+    "op9_simhash_near_dedup": simhash.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {
+    "op4_line_dedup": linededup.ORACLE_SQL,
     "op5_license_scans": licenses.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
