@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, licenses, linededup, packing, quality, simhash
+from weftline.llm import decontaminate, licenses, linededup, packing, quality, simhash, toxicity, urlfilter
 
 QUERIES = {
+    "op1_url_filters": urlfilter.query,
     "op3_packing": packing.query,
     "op4_line_dedup": linededup.query,
     "op5_license_scans": licenses.query,
+    "op7_toxicity": toxicity.query,
     "op8_quality_rules": quality.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_benchmark_decontamination": decontaminate.query,
