@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, licenses, linededup, packing, quality, simhash, toxicity, urlfilter
+from weftline.llm import decontaminate, htmltext, licenses, linededup, packing, quality, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filters": urlfilter.query,
+    "op2_html_extraction": htmltext.query,
     "op3_packing": packing.query,
     "op4_line_dedup": linededup.query,
     "op5_license_scans": licenses.query,

@@ -31,6 +31,8 @@ from weftline.llm.common import table, written
 #: Labelled documents that words and models are fitted on, at most.
 SAMPLE = 20_000
 WORDS, FOLDS, LEAST_CHI2, PENALTY = 256, 3, 20.0, 1e-4
+#: A document counts as toxic from this probability on; labelled clean documents stay under 0.1.
+THRESHOLD = 0.3
 CATEGORIES = {
     "toxic": "toxic = 1",
     "low_quality": "quality = 0",
@@ -152,4 +154,4 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATE
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     df = fitted(docs, table(spark, sf_dir, "labels")).scored(docs)
-    return df.withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return df.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
