@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, htmltext, licenses, linededup, packing, quality, simhash, toxicity, urlfilter
+from weftline.llm import decontaminate, htmltext, licenses, linededup, packing, quality, simhash, suffixdedup, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filters": urlfilter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_line_dedup": linededup.query,
     "op5_license_scans": licenses.query,
+    "op6_suffix_array_dedup": suffixdedup.query,
     "op7_toxicity": toxicity.query,
     "op8_quality_rules": quality.query,
     "op9_simhash_near_dedup": simhash.query,
