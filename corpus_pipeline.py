@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, linededup, packing, quality, simhash
-from weftline.llm.common import table, written
+from weftline.llm.common import table, where_computed, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep to the quality rules."""
-    return quality.judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return quality.kept(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line chunks that occur before; one of which no word is left goes. n_chars counts the text left."""
     left = linededup.deduped(docs.select(*COLUMNS))
     some = (F.col("n_removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return left.where(some).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return where_computed(left, some).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
