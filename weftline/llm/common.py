@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators of every contract here: space and \t \n \v \f \r.
 WHITE = " \t\n\x0b\x0c\r"
@@ -36,3 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def tasks(spark: SparkSession) -> int:
     """The number of partitions for explicit repartitions, as configured for the session's data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) on computed columns, without Spark moving the filter below their projection, where each use would
+    compute them anew: a filter doesn't pass a projection that numbers the rows."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
+def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """At most n rows of df by the hash of keys; of large tables only about 4 n rows come to the choice."""
+    total = df.count()
+    if total > 4 * n:
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < (4 * n << 40) // total)
+    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WHITE, table
+from weftline.llm.common import WHITE, table, where_computed
 
 #: Frequent function words of the four languages; a Latin-script text without any is no prose.
 STOP_WORDS = {
@@ -122,6 +122,11 @@ def judged(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, r
     return df.withColumn("kept", F.size("failed_rules") == 0)
 
 
+def kept(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs that keep to the rules, with the columns of docs."""
+    return where_computed(judged(docs, text, **options), F.col("kept")).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
