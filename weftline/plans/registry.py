@@ -1,27 +1,8 @@
-"""Registered queries and their SQL: name -> (spark, sf_dir) -> DataFrame."""
+"""All registered queries and their SQL: name -> (spark, sf_dir) -> DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from weftline.plans import data_queries, log_queries, page_queries
 
-
-def link_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites by number of pages and of distinct links on them."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    links = pages.select(
-        F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("site"),
-        "page_id",
-        F.explode_outer(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("href"),
-    )
-    return links.groupBy("site").agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("href").alias("links"))
-
-
-QUERIES = {"link_facets": link_facets}
-ORACLES = {
-    "link_facets": """
-SELECT site, count(DISTINCT page_id) AS pages, count(DISTINCT href) AS links FROM (
-  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, page_id,
-    unnest(CASE WHEN len(h) = 0 THEN [NULL] ELSE h END) AS href
-  FROM (SELECT url, page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)) GROUP BY site"""
-}
+QUERIES = page_queries.QUERIES | log_queries.QUERIES | data_queries.QUERIES
+ORACLES = page_queries.ORACLES | log_queries.ORACLES | data_queries.ORACLES
