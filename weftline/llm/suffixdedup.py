@@ -402,8 +402,8 @@ def _kept(with_text: bool):
             for body, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, sizes, data = _unpack(body, "<i8", "<i8", "u1")
                 depth = np.zeros(len(data) + 1, np.int64)
-                for x in answers or ():
-                    first, last = _unpack(x, "<i8", "<i8")
+                if answers:
+                    first, last = (np.concatenate(x) for x in zip(*(_unpack(a, "<i8", "<i8") for a in answers), strict=True))
                     depth += np.bincount(first, minlength=len(depth)) - np.bincount(last, minlength=len(depth))
                 gone = np.cumsum(depth)[:-1] > 0
                 ends = np.cumsum(sizes)
