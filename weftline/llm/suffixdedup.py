@@ -46,7 +46,7 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
