@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import bounded_sample, table
 
 #: Pages that the classifier is fitted on, at most.
 SAMPLE = 1000
@@ -321,7 +321,8 @@ def _silver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fitted_weights(pages: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> np.ndarray:
     """Logistic regression with a penalty towards PRIOR, on the counts of the sample's distinct feature rows."""
-    some = pages.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html")
+    # sample ids at most: a proven bound for the broadcast, and no page travels for the choice
+    some = pages.select("page_id", "html").join(F.broadcast(bounded_sample(pages.select("page_id").distinct(), ["page_id"], sample)), "page_id").select("html")
     counts = some.mapInArrow(_silver, "f array<bigint>, label bigint").groupBy("f", "label").count().collect()
     w = PRIOR.copy()
     if not counts:

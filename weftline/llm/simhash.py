@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, written
+from weftline.llm.common import bounded_sample, table, written
 from weftline.llm.components import components
 
 BITS, DISTANCE, WIDTH, SEED = 64, 4, 4, 42
@@ -234,7 +234,7 @@ def _linker(distance: int):
 def links(fps: DataFrame, distance: int = DISTANCE, direct: int = DIRECT, parts: list[tuple[int, int]] | None = None) -> DataFrame:
     """(a, b): forest links that join all fingerprints (distinct, column fp) within the distance, and no others."""
     if parts is None:
-        sample = [r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+        sample = [r["fp"] for r in bounded_sample(fps.select("fp"), ["fp"], SAMPLE).collect()]
         parts = plan(np.array(sample, np.int64).view(np.uint64), fps.count(), distance)
     masks = key_masks(parts)
     keys = fps.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select(F.col("k.kind").alias("kind"), F.col("k.part").alias("part"), "fp")

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, written
+from weftline.llm.common import bounded_sample, table, written
 
 #: Labelled documents that words and models are fitted on, at most.
 SAMPLE = 20_000
@@ -131,7 +131,7 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATE
     names = list(categories)
     judged = labels.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in labels.columns if c != "doc_id"])
     judged = judged.select("doc_id", *[F.expr(x).cast("int").alias(c) for c, x in categories.items()]).dropna()
-    some = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int"))
+    some = bounded_sample(judged, ["doc_id"], sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int"))
     # at most sample rows of a few numbers: a proven bound for the broadcast
     rows = written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "fold", *names, "text"), "labelled")
     if rows.isEmpty():

@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, written
+from weftline.llm.common import bounded_sample, table, written
 
 #: Labelled URLs that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -115,7 +115,7 @@ class UrlFilter:
 
     @staticmethod
     def fit(examples: DataFrame, sample: int = SAMPLE, trees: int = 10, depth: int = 4) -> UrlFilter:
-        rows = written(examples.orderBy(F.xxhash64("url"), "url", "label").limit(sample), "urls")
+        rows = written(bounded_sample(examples, ["url", "label"], sample), "urls")
         kinds = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         if len(kinds) < 2:
             return UrlFilter(None, None, 0.0)
