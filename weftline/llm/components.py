@@ -1,7 +1,7 @@
 """Connected components of a table of links by alternating star steps, with every step in shared storage.
 
-Each round is two groupings with map-side minima and two plain joins, which Spark splits where a node has very
-many links. Labels fall to the smallest reachable node; the rounds grow with the logarithm of a component's size.
+Each round is two groupings with map-side minima and two plain joins. The minima are written first: a join that took
+over the grouping's partitions could not be split where a node has very many links. Labels fall to the smallest reachable node; the rounds grow with the logarithm of a component's size.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from weftline.llm.common import written
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     far = both.where("b > a").join(least.hint("merge"), "a")
     return far.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     near = edges.join(least.hint("merge"), "a")
     return near.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
