@@ -59,7 +59,7 @@ def norm_title(c: Column, nfkd: bool = True) -> Column:
     for entity, char in (("&amp;", "&"), ("&apos;", "'"), ("&quot;", '"')):
         t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.lower(F.regexp_replace(t, r"(?U)&#?\w+;", ""))
-    t = F.regexp_replace(F.regexp_replace(t, r"\(\d{4}\)\s*$", ""), r"(?U)[^\w\s]", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\(\d{4}\)\s*$", ""), r"(?U)[^\p{L}\p{N}_\s]", "")
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
