@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import intents, registry, text, urls
-from weftline.operators import caches, candidates, dom, engines, oplog, pages, robots, unify, vectors
+from weftline.operators import blocks, caches, candidates, dom, engines, oplog, pages, records, robots, unify, vectors
 from weftline.sources import tables
 from weftline.streaming import jobs
 
@@ -207,3 +207,27 @@ def test_plans_have_no_cartesian_product(spark, data):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+
+
+def test_dom_blocks(spark):
+    html = '<main><h2>Facts</h2><p>one two</p><ul><li>three</li></ul><h2>Next</h2><table><tr><th>a</th><td>b</td></tr></table><dl><dt>k</dt><dd>v</dd></dl><div data-testid="box">some text here</div></main>'
+    nodes = dom.dom_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    got = {r.key: r.text for r in blocks.dom_blocks(nodes).collect()}
+    assert got["section:Facts"] == "one two\nthree" and got["table:0"] == "a | b" and got["deflist:0"] == "k: v" and got["testid:box"] == "some text here"
+
+
+def test_selectors(spark):
+    html = '<h1>The Title</h1><span itemprop="director">Ann</span><div class="rating-box x">8.8</div>'
+    nodes = dom.dom_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    got = {(r.field, r.selector): r.score for r in blocks.selector_candidates(nodes).collect()}
+    assert got[("title", "h1")] == 0.75 and got[("director", "span")] == 0.9 and got[("rating", "div.rating-box")] == 0.6
+
+
+def test_record_rules(spark):
+    assert one(spark, records.is_style_key(F.col("k")), k="text:margin-left") and not one(spark, records.is_style_key(F.col("k")), k="text:Budget")
+    assert one(spark, records.failed_stage(F.col("f"), F.lit(False), F.col("m")), f="", m="Policy says no") == "VALIDATED"
+    assert one(spark, F.array_join(records.envelope_errors(F.col("o"), F.lit("m"), F.lit("1")), ";"), o='{"task":"t","domain":"x","schema_version":"1","result":{},"confidence":1}') == "domain mismatch"
+    assert one(spark, records.display_label(F.col("k")), k="meta:release_date") == "Release Date"
+    named = spark.createDataFrame([(1, "Budget"), (1, "none")], "g long, field string")
+    eav = spark.createDataFrame([(1, "text:Budget total", 1), (1, "budget", 2)], "g long, key string, ord int")
+    assert {r.field: r.raw_key for r in records.match_raw_key(named, eav, "g").collect()} == {"Budget": "budget", "none": None}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import intents
 from weftline.functions import text as texts
-from weftline.operators import caches, dom, engines, robots, unify, vectors
+from weftline.operators import blocks, caches, dom, engines, records, robots, unify, vectors
 from weftline.sources.tables import stored
 
 AS_OF = "1996-01-01 00:00:00"
@@ -350,6 +350,43 @@ def validate_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 from weftline.plans.data_sql import ORACLES  # noqa: E402
 
+def dom_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.dom_blocks(stored(dom.dom_nodes(_rendered(spark, d)), "nodes"))
+
+
+def selector_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.selector_candidates(stored(dom.dom_nodes(_rendered(spark, d)), "nodes"))
+
+
+def item_sources_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """Which source gives a rendered page's items."""
+    pages = _rendered(spark, d)
+    nodes = stored(dom.dom_nodes(pages), "nodes")
+    return blocks.extract_items(engines.items_jsonld(pages), engines.items_microdata(nodes), dom.cluster_quality(dom.cluster_items(nodes))).select("page_id", "source", "n")
+
+
+def field_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return records.tier_fields(_eav(spark, d), ["page_id"], ("og:type",)).groupBy("key", "tier").agg(F.count("*").alias("n"))
+
+
+def page_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    score = records.penalized((F.col("value") * 1.5 - 10).cast("int"), F.lit("detail_page"), F.when(F.col("event_id") % 3 == 0, "listing").when(F.col("event_id") % 3 == 1, "detail").otherwise("other"))
+    return e.select(score.alias("score")).groupBy("score", records.recommend(F.col("score")).alias("advice")).agg(F.count("*").alias("n"))
+
+
+def failure_stages(spark: SparkSession, d: str) -> DataFrame:
+    o = _orders(spark, d).where("state = 'FAILED'")
+    failure = F.when(F.col("request_id") % 5 == 0, "INVALID_SITE").when(F.col("request_id") % 5 == 1, "NETWORK_TIMEOUT")
+    message = F.when(F.col("request_id") % 3 == 0, "Intent unclear").when(F.col("request_id") % 3 == 1, "policy denied")
+    stage = records.failed_stage(F.coalesce(failure, F.lit("")), F.col("request_id") % 7 == 0, message)
+    return o.groupBy(stage.alias("stage"), records.state_index(stage).alias("place")).agg(F.count("*").alias("n"))
+
+
+def item_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return records.item_summaries(_items(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -357,5 +394,6 @@ QUERIES = {
         cache_two_tier, idempotent_action, fuzzy_keys, top_similar, robots_rules, robots_sitemaps, robots_check, fully_blocked, newly_disallowed, invalidate_patterns, intent_validate, actionable,
         capability_strategy, semantic_key, intent_hash, idempotency_key, vector_match, missing_fields_kw, jsonld_roundtrip, microdata_roundtrip, opengraph_roundtrip, twitter_roundtrip, meta_roundtrip,
         label_value_roundtrip, deflist_roundtrip, sections_roundtrip, itemlist_roundtrip, items_microdata, merge_engines, engine_confidence, page_result, discover_fields, validate_extraction,
+        dom_blocks, selector_candidates, item_sources_chosen, field_tiers, page_recommendations, failure_stages, item_summaries,
     )
 }

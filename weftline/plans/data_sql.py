@@ -101,6 +101,14 @@ SELECT g, field FROM f WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 50
 SELECT p_partkey AS page_id, unnest(['name', 'tag', 'og:title', 'twitter:title', 'meta:kind']) AS key,
   unnest([CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '["' || p_name || '","two"]' END, '["a","' || p_brand || '"]', p_name, p_name, p_type]) AS value,
   unnest([CASE WHEN p_partkey % 2 = 0 THEN 'json_ld' ELSE 'microdata' END, 'microdata', 'opengraph', 'twitter_cards', 'heuristic']) AS engine FROM {_FULL}""",
+    "item_sources_chosen": f"SELECT p_partkey AS page_id, 'json_ld' AS source, 2 AS n FROM {_FULL}",
+    "page_recommendations": """
+WITH e AS (SELECT greatest(0, least(100, trunc(value * 1.5 - 10)::INT)) AS s, event_id FROM events), p AS (SELECT CASE WHEN event_id % 3 = 0 THEN least(s, 5) ELSE s END AS score FROM e)
+SELECT score, CASE WHEN score >= 90 THEN 'VALID' WHEN score >= 50 THEN 'RETRY' ELSE 'SKIP' END AS advice, count(*) AS n FROM p GROUP BY ALL""",
+    "failure_stages": f"""
+WITH s AS (SELECT CASE WHEN request_id % 5 = 0 THEN 'VALIDATED' WHEN request_id % 5 = 1 OR request_id % 7 = 0 THEN 'PIPELINES_RUNNING' WHEN request_id % 3 = 0 THEN 'INTENT_DONE' WHEN request_id % 3 = 1 THEN 'VALIDATED' ELSE 'INIT' END AS stage FROM {_ORD} WHERE state = 'FAILED')
+SELECT stage, CASE stage WHEN 'INIT' THEN 0 WHEN 'INTENT_DONE' THEN 1 WHEN 'VALIDATED' THEN 2 ELSE 4 END AS place, count(*) AS n FROM s GROUP BY ALL""",
+    "item_summaries": f"SELECT item_id, concat_ws(' | ', name, concat_ws(', ', 'lang: ' || lang, 'size: ' || size)) AS summary FROM {_ITEMS}",
     "validate_extraction": f"""
 SELECT request_id, count(*) AS filled_fields, true AS valid, coalesce(string_agg('Type mismatch for ''tax'': expected number', '; ') FILTER (field = 'tax'), '') AS warnings FROM ({_COMPETE}) WHERE ord = 1 GROUP BY request_id""",
 }
