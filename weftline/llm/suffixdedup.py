@@ -40,7 +40,8 @@ LENGTH, GRAM = 50, 16
 CHUNK, SHARD = 1 << 20, 16 << 20
 #: Segment bytes that a shard orders at once; parts are merged by binary search.
 PART = 8 << 20
-_BLOCK = 1 << 22
+#: Window starts and ranges that are worked on at once.
+_BLOCK, _ROWS = 1 << 22, 1 << 14
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -176,43 +177,45 @@ def _repeated(group: pa.Table) -> pa.Table:
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of ranges, one after another."""
-    ends = np.cumsum(size)
-    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
-
-
-def _same_as(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether range i has the bytes of range other[i] (both of one length)."""
-    out = np.ones(len(start), bool)
-    i = np.flatnonzero(other != np.arange(len(start)))
-    if len(i):
-        a = _gathered(data, start[i], size[i])
-        b = _gathered(data, start[other[i]], size[i])
-        edge = np.cumsum(size[i]) - size[i]
-        out[i] = np.logical_and.reduceat(a == b, edge)
+    """The bytes of ranges, one after another; places are made for a block of ranges at a time."""
+    out = np.empty(int(size.sum()), np.uint8)
+    done = 0
+    for i in range(0, len(start), _ROWS):
+        n = size[i : i + _ROWS]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        out[done : done + total] = data[np.arange(total) + np.repeat(start[i : i + _ROWS] - (ends - n), n)]
+        done += total
     return out
 
 
+def _lanes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ranges as rows of 64-bit numbers, filled up with zeros."""
+    column = np.arange(2 * LENGTH - GRAM + 12)  # a range has at most 2 * LENGTH - GRAM bytes; a multiple of 8
+    rows = data[np.minimum(start[:, None] + column, len(data) - 1)]
+    rows[column >= size[:, None]] = 0
+    return rows.view(np.uint64)
+
+
 def distinct_ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """For each range the place of an earlier-sorted equal range with the same mark (itself if none): equal by bytes."""
+    """For each range the place of a range with the same mark and the same bytes that stands for it (or itself)."""
     n = len(start)
-    if not n:
-        return np.zeros(0, np.int64)
-    padded = np.zeros((n, 2 * LENGTH - GRAM + 12), np.uint8)  # at most 2 * LENGTH - GRAM bytes; a multiple of 8
-    flat = _gathered(data, start, size)
-    ends = np.cumsum(size)
-    column = np.arange(len(flat)) - np.repeat(ends - size, size)
-    padded[np.repeat(np.arange(n), size), column] = flat
-    lanes = padded.view(np.uint64)
     h = mixed(mark.astype(np.uint64) * np.uint64(256) + size.astype(np.uint64))
-    for i in range(lanes.shape[1]):
-        h = (h ^ lanes[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    for i in range(0, n, _ROWS):
+        part = h[i : i + _ROWS]
+        lanes = _lanes(data, start[i : i + _ROWS], size[i : i + _ROWS])
+        for j in range(lanes.shape[1]):
+            part = (part ^ lanes[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            part ^= part >> np.uint64(29)
+        h[i : i + _ROWS] = part
     order = np.argsort(h, kind="stable")
-    head = np.r_[True, h[order][1:] != h[order][:-1]]
+    head = np.r_[True, h[order][1:] != h[order][:-1]][:n]
     of = np.empty(n, np.int64)
     of[order] = order[np.maximum.accumulate(np.where(head, np.arange(n), 0))]
-    same = (lanes == lanes[of]).all(axis=1) & (size == size[of]) & (mark == mark[of])
+    same = (size == size[of]) & (mark == mark[of])
+    for i in range(0, n, _ROWS):
+        o = of[i : i + _ROWS]
+        same[i : i + _ROWS] &= (_lanes(data, start[i : i + _ROWS], size[i : i + _ROWS]) == _lanes(data, start[o], size[o])).all(axis=1)
     return np.where(same, of, np.arange(n))
 
 
@@ -256,33 +259,36 @@ def refined(data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Larsson-Sadakane refinement: the places with LENGTH bytes before their limit, in order of those bytes, and a label
     of each place (equal for equal bytes, rising in order). limit: where each place's segment ends."""
     n = len(data)
+    left = (limit - np.arange(n)).astype(np.int32)
     wide = np.concatenate([data, np.zeros(8, np.uint8)])
-    left = limit - np.arange(n)
-    live = np.flatnonzero(left >= 8)
-    key = np.zeros(len(live), np.uint64)
+    key = np.zeros(n, np.uint64)
     for i in range(8):
-        key = key << np.uint64(8) | wide[live + i]
-    label = np.zeros(n, np.int64)
+        key <<= np.uint64(8)
+        key |= wide[i : n + i]
+    live = np.flatnonzero(left >= 8).astype(np.int32)
+    key = key[live]
     order = np.argsort(key)
     live, key = live[order], key[order]
     head = np.r_[True, key[1:] != key[:-1]]
-    label[live] = np.maximum.accumulate(np.where(head, np.arange(len(live)), 0))
-    alone = head & np.r_[head[1:], True]
+    label = np.zeros(n, np.int32)
+    label[live] = np.maximum.accumulate(np.where(head, np.arange(len(live), dtype=np.int32), 0))
     single = np.zeros(n, bool)
-    single[live[alone]] = True
+    single[live[head & np.r_[head[1:], True]]] = True
+    del key, order, head
     depth = 8
     while depth < LENGTH:
         step = min(depth, LENGTH - depth)
         depth += step
-        live = np.flatnonzero((left >= depth) & ~single)
-        old, nxt = label[live], label[live + step]
-        order = np.argsort(old.astype(np.uint64) * np.uint64(n + 1) + nxt.astype(np.uint64))
-        live, old, nxt = live[order], old[order], nxt[order]
+        live = np.flatnonzero((left >= depth) & ~single).astype(np.int32)
         if not len(live):
             continue
+        pair = label[live].astype(np.uint64) << np.uint64(32) | label[live + step].astype(np.uint64)
+        order = np.argsort(pair)
+        live, pair = live[order], pair[order]
+        old = (pair >> np.uint64(32)).astype(np.int32)
         group = np.r_[True, old[1:] != old[:-1]]
-        head = group | np.r_[True, nxt[1:] != nxt[:-1]]
-        at = np.arange(len(live))
+        head = np.r_[True, pair[1:] != pair[:-1]]
+        at = np.arange(len(live), dtype=np.int32)
         label = label.copy()
         label[live] = old + np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
         single[live[head & np.r_[head[1:], True]]] = True
@@ -304,8 +310,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     follows = np.r_[False, (place[1:] == place[:-1] + 1) & (prior[1:] == prior[:-1] + 1)] & (prior >= 0)
     found = np.zeros(n, np.int64)
     fresh = np.flatnonzero(~follows & (prior >= 0))
-    for i in range(0, len(fresh), 1 << 18):
-        f = fresh[i : i + (1 << 18)]
+    for i in range(0, len(fresh), 1 << 15):
+        f = fresh[i : i + (1 << 15)]
         same = data[place[f][:, None] + np.arange(LENGTH)] == data[prior[f][:, None] + np.arange(LENGTH)]
         found[f] = np.where(same.all(axis=1), LENGTH, np.argmin(same, axis=1))
     run = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
