@@ -73,7 +73,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 def site_memory(spark: SparkSession, d: str) -> DataFrame:
     df = oplog.site_memory(_scores(spark, d), ["domain", "site"])
-    return df.select("domain", "site", F.round("avg_score", 4).alias("avg_score"), "query_count", "success_count", F.round("last_score", 6).alias("last_score"))
+    return df.select("domain", "site", F.round(F.col("avg_score") * F.col("query_count"), 4).alias("total_score"), "query_count", "success_count", F.round("last_score", 6).alias("last_score"))
 
 
 def site_memory_incremental(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def site_memory_incremental(spark: SparkSession, d: str) -> DataFrame:
     half = F.lit(AS_OF).cast("timestamp")
     memory = oplog.site_memory(s.where(F.col("created_at") < half), ["domain", "site"])
     df = oplog.site_memory_update(memory, s.where(F.col("created_at") >= half), ["domain", "site"])
-    return df.select("domain", "site", F.round("avg_score", 4).alias("avg_score"), "query_count", "success_count", F.round("last_score", 6).alias("last_score"))
+    return df.select("domain", "site", F.round(F.col("avg_score") * F.col("query_count"), 4).alias("total_score"), "query_count", "success_count", F.round("last_score", 6).alias("last_score"))
 
 
 def relevance_split(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +228,7 @@ _RUN = "(SELECT l_orderkey AS request_id, l_orderkey || '-' || l_linenumber AS r
 _TRY = "(SELECT user_id AS request_id, event_id AS ord, value % 100 AS score, 'https://a.example/' || event_type || '/' || event_id % 20 AS url FROM events)"
 _FMT = "'%Y-%m-%d %H:%M:%S'"
 _MEMORY = """
-SELECT event_type AS domain, user_id AS site, round(avg(value / 100), 4) AS avg_score, count(*) AS query_count, count(*) FILTER (value / 100 >= 0.3) AS success_count,
+SELECT event_type AS domain, user_id AS site, round(sum(value / 100), 4) AS total_score, count(*) AS query_count, count(*) FILTER (value / 100 >= 0.3) AS success_count,
   round(arg_max(value / 100, (ts, event_id)), 6) AS last_score FROM events GROUP BY ALL"""
 _LIST = "[" + ", ".join(f"'{s}'" for s in STATES) + "]"
 _EDGES = ", ".join(f"'{a}>{b}'" for a, to in oplog.TRANSITIONS.items() for b in to)
