@@ -61,9 +61,9 @@ def repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     many = many.select("doc_id", "_lines", F.explode(F.filter("_chunks", lambda c: c["end"] - c["start"] > 1)).alias("c"))
     chunks = many.select("doc_id", F.col("c.start").alias("start"), F.col("c.end").alias("end"), _text(F.col("c")).alias("chunk"))
     chunks = chunks.withColumn("h", F.xxhash64("chunk"))
-    twice = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = written(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     found = written(chunks.join(twice.hint("merge"), "h"), "chunks")
-    first = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     back = found.join(first.hint("merge"), ["h", "chunk"])
     return back.where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "end")
 
