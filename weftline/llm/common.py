@@ -42,7 +42,7 @@ def tasks(spark: SparkSession) -> int:
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition) on computed columns, without Spark moving the filter below their projection, where each use would
     compute them anew: a filter doesn't pass a projection that numbers the rows."""
-    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+    return df.withColumn("_numbered", F.monotonically_increasing_id()).where(condition & (F.col("_numbered") >= 0)).drop("_numbered")
 
 
 def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:

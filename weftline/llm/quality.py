@@ -124,7 +124,8 @@ def judged(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, r
 
 def kept(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs that keep to the rules, with the columns of docs."""
-    return where_computed(judged(docs, text, **options), F.col("kept")).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_own"), F.col(text).alias("text"))  # its columns may have the metrics' names
+    return where_computed(judged(own, **options), F.col("kept")).select("_own.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
