@@ -144,7 +144,8 @@ def key_masks(parts: list[tuple[int, int]]) -> list[int]:
 
 def _keys(fp: Column, masks: list[int]) -> Column:
     """(kind, part) for each mask; the masks are one folded array, so hundreds of them don't grow the plan."""
-    return F.transform(F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks]), lambda m, i: F.struct(i.alias("kind"), fp.bitwiseAND(m).alias("part")))
+    folded = F.expr("array(" + ", ".join(f"bigint('{_signed(m)}')" for m in masks) + ")")
+    return F.transform(folded, lambda m, i: F.struct(i.alias("kind"), fp.bitwiseAND(m).alias("part")))
 
 
 class _Forest:
