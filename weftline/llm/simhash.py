@@ -104,6 +104,7 @@ def correlated_parts(sample: np.ndarray, m: int) -> list[int]:
 
 def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """(mask, threshold) of each probed partition, at the least estimated cost over the numbers of partitions."""
+    total = max(total, 100_000)  # few fingerprints must not make many keys look free
     best: tuple[float, list[tuple[int, int]]] = (float("inf"), [])
     pairs = np.triu_indices(len(sample), 1)
     apart = sample[pairs[0]] ^ sample[pairs[1]]
