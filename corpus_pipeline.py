@@ -17,9 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the line chunks that occur before; one of which no word is left goes. n_chars counts the text left."""
-    left = linededup.deduped(docs.select(*COLUMNS))
-    some = (F.col("n_removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    """Documents without the passages of lines that occur before; one of which no word is left goes. n_chars counts the text left."""
+    left = linededup.without_passages(docs.select(*COLUMNS))
+    some = (F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return where_computed(left, some).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -61,6 +61,54 @@ def test_line_dedup_keeps_first_and_other_columns(spark, odd, empty):
     assert left[1] == text and left[2] == "" and len(left[3]) < len(text) / 2
 
 
+def without_pairs(rows):
+    """{doc_id: text} without the repeated pairs of lines, by a dictionary of all pairs."""
+    first, out = {}, {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        lines, gone = (t or "").split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            e, j = first.setdefault(pair, (d, i))
+            if e != d or i > j + 1:
+                gone |= {i, i + 1}
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_planted_passages_go_wherever_they_begin(spark):
+    passages = [[f"passage {n}.{k} line {i} of it" for i in range(n)] for n in range(2, 9) for k in range(8)]
+    rows = []
+    for c in range(3):
+        for p, lines in enumerate(passages):
+            around = [f"own line {c} {p} {i}" for i in range(2 + (p + c) % 5)]
+            at = (p * (c + 1)) % (len(around) + 1)
+            rows.append((len(rows), "\n".join(around[:at] + lines + around[at:])))
+    df = linededup.without_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {r.doc_id: r.text for r in df.collect()}
+    for doc, text in rows:
+        kept = [x for x in text.split("\n") if doc < len(passages) or not x.startswith("passage")]
+        assert left[doc] == "\n".join(kept)
+
+
+def test_passages_of_odd_rows(spark, data, odd, odd_rows, empty):
+    df = linededup.without_passages(odd)
+    assert set(odd.columns) <= set(df.columns) and linededup.without_passages(empty).count() == 0
+    assert {r.doc_id: r.text for r in df.collect()} == without_pairs(odd_rows)
+    runs = [(1, "a\na"), (2, "b\nb\nb"), (3, "c\nc\nc\nc\nc"), (4, None), (5, "x\na\na\ny")]
+    assert without_pairs(runs) == {1: "a\na", 2: "b\nb\nb", 3: "c\nc", 4: "", 5: "x\ny"}
+    assert {r.doc_id: r.text for r in linededup.without_passages(spark.createDataFrame(runs, "doc_id long, text string")).collect()} == without_pairs(runs)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert {r.doc_id: r.text for r in linededup.without_passages(docs).collect()} == without_pairs([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_pipeline_removes_short_passages(spark, data):
+    """Two lines between others: chunk boundaries seldom fall on both of their ends."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, f"first {i}\nshared line\nand its next\nlast {i}", "en", "s", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, data).collect()}
+    assert left == {0: rows[0][1]} | {i: f"first {i}\nlast {i}" for i in (1, 2, 3)}
+
+
 def test_licenses(spark, odd, empty):
     texts = ["Text. Licensed under the Apache License, Version 2.0.", "MIT\nReleased under the MIT License. This work is licensed under the GNU General Public License, version 3.", "no license here", None]
     df = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))

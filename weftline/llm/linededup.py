@@ -1,7 +1,12 @@
-"""Line dedup by content-defined chunks, with DataFrame operations only.
+"""Line dedup, with DataFrame operations only: by content-defined chunks (the query) or by passages (the pipeline).
 
-A rolling hash over the hashes of the last lines sets the chunk boundaries, so they shift with the text and
-an insertion moves only the chunks beside it. Chunks of two or more lines that occur more than once in the
+without_passages removes each two neighbouring lines that occur before, so every repeated passage of two or more lines
+goes wherever it begins. Pairs meet by hash and are then grouped by hash and bytes, as chunks are; a repeat that
+overlaps its own first occurrence stays. A line that is repeated alone, between others, stays in both.
+
+The query's chunks are those of its SQL. Their boundaries depend on the text, so they shift with it and an insertion
+moves only the chunks beside it; with DIVISOR 2 a mark is the parity of one line's hash, whatever ROLL is. Boundaries
+inside a repeated passage are needed to find it, so chunks miss most short passages. Chunks of two or more lines that occur more than once in the
 corpus are removed but for their first occurrence (smallest doc_id, then place). Chunks meet by hash first,
 which lets a hash that occurs once go without its text; the rest is grouped by hash and bytes, so equal hashes
 of different texts never count as a repeat. Both groupings combine before the shuffle, and the way back to the
@@ -90,6 +95,40 @@ def deduped(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     )
 
 
+def _pairs(pair) -> Column:
+    """pair(line, next line) of each two neighbouring lines of _lines, by the place of the first."""
+    return F.transform(F.slice("_lines", 1, F.size("_lines") - 1), lambda line, i: pair(line, F.get("_lines", i + 1)))
+
+
+def repeated_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, start) of each two neighbouring lines that occur before, apart from that first occurrence's own lines."""
+    lines = docs.select("doc_id", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("_lines"))
+    hashed = lines.select("doc_id", F.posexplode(_pairs(lambda a, b: F.xxhash64(a, b))).alias("start", "h"))
+    twice = written(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    places = written(hashed.join(twice.hint("merge"), "h").select("doc_id", "start"), "places").groupBy("doc_id").agg(F.collect_set("start").alias("_starts"))
+    texts = lines.join(places.hint("merge"), "doc_id").select("doc_id", "_lines", F.explode("_starts").alias("start"))
+    texts = texts.select("doc_id", "start", F.array_join(F.slice("_lines", F.col("start") + 1, 2), "\n").alias("pair"))
+    found = written(texts.withColumn("h", F.xxhash64("pair")), "pairs")
+    first = written(found.groupBy("h", "pair").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") - F.col("first.start")).between(0, 1)
+    return found.join(first.hint("merge"), ["h", "pair"]).where(~own).select("doc_id", "start")
+
+
+def without_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the passages of two or more lines that occur before, wherever they begin; n_lines and n_removed_lines are added."""
+    gone = repeated_pairs(docs, text).groupBy("doc_id").agg(F.collect_set("start").alias("_gone"))
+    df = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.concat("_gone", F.transform("_gone", lambda i: i + 1)))
+    df = df.withColumn("_left", left)
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", text)]
+    return df.select(
+        *columns,
+        F.when(F.col("_left").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n")).alias(text),
+        F.size("_lines").cast("bigint").alias("n_lines"),
+        F.when(F.col("_left").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("bigint").alias("n_removed_lines"),
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("text", 256).alias("text_sha256"))
