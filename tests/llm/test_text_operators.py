@@ -154,6 +154,16 @@ def test_ids_are_those_of_the_tokenizers_file(spark, data):
     assert [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_added_tokens_inside_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one  <|endoftext|>  two\n\n<|endoftext|><|endoftext|>\n it's", "<|endoftext|", "<|ENDOFTEXT|> x", "word <|endoftext|>" * 700]
+    rows = list(enumerate(texts))
+    check_packing(packing.packed(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, lambda t: tok.encode(t, add_special_tokens=False).ids)
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(2)
     for n in (1, 3, 50, 512):

@@ -6,7 +6,8 @@ number: the Karmarkar-Karp heap merges the two partial partitions of largest imb
 order, and the number of windows rises while the fullest exceeds the capacity.
 
 Ids come from the byte-level BPE vocabulary. tiktoken reads the same ranks and gives the same ids as the
-tokenizers file at about six times its speed; the tests hold one against the other.
+tokenizers file at about six times its speed; the tests hold one against the other. That file's added tokens
+(<|endoftext|>) are matched inside a text, as the tokenizers library does.
 
 Defined cases: a null or empty text gives the closing id only; very long texts give many whole windows;
 repeated rows are packed one by one; no rows give no rows. Sequence ids hold the task's number in the high
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -35,13 +37,22 @@ LOT = 512
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def encoder(ranks_path: str, pattern: str):
-    """The vocabulary's encoder; special-token strings in a text are ordinary text."""
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The ids of a tokenizers file's added tokens. Only tokens taken as they are spelled are known here."""
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t[flag] for t in found for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("an added token takes white space or whole words only")
+    return {t["content"]: t["id"] for t in found}
+
+
+def encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None):
+    """The vocabulary's encoder; encode with allowed_special="all" gives the added tokens in a text their ids."""
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
 
 
 def differenced(sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[int], dict[int, tuple[int, int]]]:
@@ -108,9 +119,9 @@ def _pieces(n: int) -> Iterator[tuple[int, int]]:
         yield s, min(PIECE, n - s)
 
 
-def _task(ranks_path: str, pattern: str, end_id: int):
+def _task(ranks_path: str, pattern: str, end_id: int, added: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path, pattern)
+        enc = encoder(ranks_path, pattern, added)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         sequence = TaskContext.get().partitionId() << 36
         lot: list[tuple[int, int, int, int, int]] = []
@@ -133,7 +144,7 @@ def _task(ranks_path: str, pattern: str, end_id: int):
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(enc.encode_to_numpy(text, disallowed_special=()), np.uint32(end_id)).astype("<u4") if text else np.array([end_id], "<u4")
+                ids = np.append(enc.encode_to_numpy(text, allowed_special="all"), np.uint32(end_id)).astype("<u4") if text else np.array([end_id], "<u4")
                 n = len(ids)
                 for start, length in _pieces(n):
                     row = (doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), n)
@@ -153,14 +164,16 @@ def _task(ranks_path: str, pattern: str, end_id: int):
     return run
 
 
-def packed(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 0) -> DataFrame:
-    """A row per piece of docs (doc_id, text), with its sequence and its place there."""
+def packed(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
+    """A row per piece of docs (doc_id, text), with its sequence and its place there. Ranks of one's own come with their added tokens."""
     if ranks_path is None or pattern is None:
         import public_tokenizers
 
+        if ranks_path is None and added is None:
+            added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
         ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
-    return docs.select("doc_id", "text").mapInArrow(_task(ranks_path, pattern, end_id), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_task(ranks_path, pattern, end_id, added or {}), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
