@@ -120,6 +120,71 @@ def test_licenses(spark, odd, empty):
     assert licenses.scanned(odd).count() == odd.count() and licenses.scanned(empty).count() == 0
 
 
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This {} is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {} as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This {} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the"""
+
+
+def test_licenses_wrapped_over_lines(spark):
+    gpl = lambda what, name, version, mark: GPL.format(what, mark, name, "," if mark == ":" else ";", version, what)
+    texts = [
+        (APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD.replace("1. ", "* ").replace("2. ", "* "), "BSD-2-Clause"),
+        (gpl("program", "General Public License", "3", ":"), "GPL-3.0-or-later"), (gpl("program", "General Public License", "2", ";"), "GPL-2.0-or-later"),
+        (gpl("library", "Lesser General Public\nLicense", "2.1", ";"), "LGPL-2.1-or-later"), (gpl("program", "Affero General Public License", "3", ":"), "AGPL-3.0-or-later"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL-2.0"), ("This is free and unencumbered software released into the\npublic domain.", "Unlicense"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ]
+    rows = [(lead + t.replace("\n", end + lead), want) for t, want in texts for lead, end in (("", "\n"), ("", "\r\n"), (" * ", "\n"), ("// ", "\n"), ("# ", "\n"))]
+    got = licenses.scanned(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"))
+    assert {r.doc_id: r.licenses for r in got.collect()} == {i: [want] for i, (_, want) in enumerate(rows)}
+    cut = [APACHE.replace("Licensed under", "Not licensed under").replace("AS IS", "AS WAS"), MIT.replace("without restriction", "with restrictions"), "x|licensed under|the MIT license"]
+    assert [r.licenses for r in licenses.scanned(spark.createDataFrame(list(enumerate(cut)), "doc_id long, text string")).orderBy("doc_id").collect()] == [[], [], []]
+
+
 def check_packing(pieces, rows, tokens):
     by_doc, by_seq = {}, {}
     for p in pieces:

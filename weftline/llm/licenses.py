@@ -1,9 +1,13 @@
 """License scans by sentence rules: normalised sentences become identifiers, identifier sequences match ordered rules.
 
 Everything happens inside a row with built-in functions; there is no shuffle and no user function. A
-sentence ends at a line end or at . ! ? followed by white space. It is normalised to lower-case letters
-and digits parted by one space. Unknown sentences between known ones are ignored; a rule fits where its
-identifiers stand next to each other, in order, in what is left.
+text falls into pieces at line ends and at . ! ? ; : followed by white space, and is normalised to lower-case
+letters and digits parted by one space, so comment leaders go. A known sentence is found where it begins and
+ends with a piece; between its words pieces may end, so it may be wrapped over lines, blank ones included. Where
+several known sentences begin, the longest counts. Unknown sentences between known ones are ignored; a rule
+fits where its identifiers stand next to each other, in order, in what is left.
+
+The SQL knows unwrapped sentences and SENTENCES and RULES only; it agrees where texts hold no others.
 
 Defined cases: null and empty texts give no sentences and an empty licence list; a repeated sentence gives
 its identifier again; several licences are listed in alphabetic order; input columns keep their values, but
@@ -58,22 +62,58 @@ RULES = (
     ("MIT", ("mit_grant", "mit_notice", "mit_asis")),
     ("MIT", ("mit_title", "mit_grant", "mit_notice")),
 )
-#: Each known sentence has one of these; texts and sentences without any need no further look.
-ANCHOR = "licen[cs]e|permi(ssion|tted)|copyright|warrant|redistribut|contributors|free software"
-SENTENCE_END = r"[.!?]\s+|\n+"
-NOT_WORD = "[^a-z0-9]+"
+_GPL = "redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+_FREE = "this {} is free software you can " + _GPL
+#: More sentences and rules, which the SQL doesn't have.
+MORE_SENTENCES = {
+    "apache_ref_quoted": "licensed under the apache license version 2 0 the license",
+    "apache_copy_https": "you may obtain a copy of the license at https www apache org licenses license 2 0",
+    "gpl2_free": _FREE.format("program", "general public license", "2"),
+    "lgpl2_free": _FREE.format("library", "library general public license", "2"),
+    "lgpl21_free": _FREE.format("library", "lesser general public license", "2 1"),
+    "lgpl3_free": _FREE.format("library", "lesser general public license", "3"),
+    "lgpl3_free_program": _FREE.format("program", "lesser general public license", "3"),
+    "agpl3_free": _FREE.format("program", "affero general public license", "3"),
+    "mpl2_subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc_grant_and": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "boost_ref": "distributed under the boost software license version 1 0",
+}
+MORE_RULES = (
+    ("AGPL-3.0-or-later", ("agpl3_free",)),
+    ("Apache-2.0", ("apache_ref_quoted",)),
+    ("Apache-2.0", ("apache_may_not", "apache_copy_https", "apache_asis")),
+    ("BSL-1.0", ("boost_ref",)),
+    ("GPL-2.0-or-later", ("gpl2_free",)),
+    ("ISC", ("isc_grant",)),
+    ("ISC", ("isc_grant_and",)),
+    ("LGPL-2.0-or-later", ("lgpl2_free",)),
+    ("LGPL-2.1-or-later", ("lgpl21_free",)),
+    ("LGPL-3.0-or-later", ("lgpl3_free",)),
+    ("LGPL-3.0-or-later", ("lgpl3_free_program",)),
+    ("MPL-2.0", ("mpl2_subject",)),
+    ("Unlicense", ("unlicense_free",)),
+)
+#: Each known sentence has one of these; texts without any need no further look. A word may be wrapped from the next one.
+ANCHOR = r"licen[cs]e|permi(ssion|tted)|copyright|warrant|redistribut|contributors|free[^a-z0-9]+software|unencumbered"
+PIECE_END = r"[.!?;:]\s+|\n"
+NOT_WORD = "[^a-z0-9|]+"
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
+def _pieces(text: Column) -> Column:
+    """The normalised words of a text, with | before, between and after its pieces."""
+    marked = F.regexp_replace(F.lower(F.translate(text, "|", ",")), PIECE_END, "|")
+    return F.regexp_replace(F.regexp_replace(F.concat(F.lit("|"), marked, F.lit("|")), NOT_WORD, " "), r" ?\|[ |]*", " | ")
 
 
-def scanned(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
+def scanned(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES | MORE_SENTENCES, rules: tuple = RULES + MORE_RULES) -> DataFrame:
     """docs with sentence_ids (array, in text order) and licenses (array, sorted)."""
     known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
-    has = lambda c: F.lower(c).rlike(ANCHOR)
-    candidates = F.when(has(F.col(text)), F.filter(F.split(F.col(text), SENTENCE_END), has))
-    df = docs.withColumn("sentence_ids", F.coalesce(F.array_compact(F.transform(candidates, lambda s: known[_normal(s)])), F.array().cast("array<string>")))
+    wrapped = "|".join(v.replace(" ", r"(?: \|)? ") for v in sorted(sentences.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(_pieces(F.col(text)), F.lit(rf"(?<=\| )(?:{wrapped})(?= \|)"), F.lit(0))
+    hits = F.when(F.lower(text).rlike(ANCHOR), F.transform(found, lambda s: known[F.replace(s, F.lit(" |"), F.lit(""))]))
+    df = docs.withColumn("sentence_ids", F.coalesce(hits, F.array().cast("array<string>")))
     spelled = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
     found = [F.when(spelled.contains(f" {' '.join(ids)} "), F.lit(name)) for name, ids in rules]
     return df.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))))
