@@ -1,150 +1,118 @@
-"""Line dedup, with DataFrame operations only: by content-defined chunks (the query) or by passages (the pipeline).
-
-without_passages removes each two neighbouring lines that occur before, so every repeated passage of two or more lines
-goes wherever it begins. Pairs meet by hash and are then grouped by hash and bytes, as chunks are; a repeat that
-overlaps its own first occurrence stays. A line that is repeated alone, between others, stays in both.
-
-The query's chunks are those of its SQL. Their boundaries depend on the text, so they shift with it and an insertion
-moves only the chunks beside it; with DIVISOR 2 a mark is the parity of one line's hash, whatever ROLL is. Boundaries
-inside a repeated passage are needed to find it, so chunks miss most short passages. Chunks of two or more lines that occur more than once in the
-corpus are removed but for their first occurrence (smallest doc_id, then place). Chunks meet by hash first,
-which lets a hash that occurs once go without its text; the rest is grouped by hash and bytes, so equal hashes
-of different texts never count as a repeat. Both groupings combine before the shuffle, and the way back to the
-occurrences is a plain join that Spark splits where one chunk holds many rows.
-
-Defined cases: a null text is an empty one with one empty line and is returned as ''; a single-line chunk is never
-removed; rows of one doc_id count as one document; ties go to the smaller doc_id; empty tables give no rows.
-Input columns other than the text stay as they are; n_lines, n_removed_lines and n_removed_chunks are replaced.
+"""Line dedup by content-defined chunks of lines, with DataFrame operations only.
+
+A rolling hash runs over the hashes of ROLL successive lines that hold a word. Boundaries lie where it changes between
+hashes that the corpus repeats and hashes that occur once, so a chunk is a maximal run of lines under repeated hashes; it
+depends on the text alone and shifts with it. A hash modulo a divisor as the mark would need two marks inside a repeated
+passage, which short ones lack (README has figures); here every repeated passage of ROLL lines or more is a chunk,
+wherever it begins.
+
+Hashes only find candidates. Windows of ROLL lines meet by hash and bytes, the first one (smallest doc_id, then text hash,
+then place) stays with its own lines, and the lines of all others go. Counts combine before the shuffle, repeated hashes
+and first windows are written before they are joined, so those are plain joins that Spark splits where one passage stands
+in very many rows. Rows are told apart by doc_id and a hash of the text, so rows that share an id lose only their own lines.
+
+Defined cases: a null text is an empty one with one empty line and is returned as ''; lines without a word don't count as
+lines of a window, and one that follows a removed line goes with it; a line that repeats alone, between others, stays; a
+repeat that overlaps the first window's own lines stays; rows of equal doc_id and text count as one document; rows with a
+null doc_id lose no line and count for nothing; empty tables give no rows. Input columns other than the text stay as they
+are; n_lines, n_removed_lines and n_removed_chunks are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import table, written
 
-#: Lines in the rolling hash, and one in so many lines is a mark; a mark after an unmarked line ends a chunk, so chunks
-#: have two lines or more but in texts of one line.
+#: Lines with words in the rolling hash, and so the least length of a chunk.
 ROLL = 2
-DIVISOR = 2
-
-
-def line_hash(line: Column) -> Column:
-    """48 bits of a digest, so that sums of shifted hashes stay within a long."""
-    return F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("bigint")
-
-
-def with_chunks(docs: DataFrame, text: str = "text", roll: int = ROLL, divisor: int = DIVISOR) -> DataFrame:
-    """docs with _lines and _chunks: an array of (start, end) line places, end excluded."""
-    df = docs.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    df = df.withColumn("_hashes", F.transform("_lines", line_hash))
-
-    def rolled(h: Column, i: Column) -> Column:
-        for k in range(1, roll):
-            h = h.bitwiseXOR(F.shiftleft(F.coalesce(F.get("_hashes", i - k), F.lit(0).cast("bigint")), k))
-        return F.pmod(h, F.lit(divisor)) == 0
-
-    df = df.withColumn("_marks", F.transform("_hashes", rolled))
-
-    def ends(mark: Column, i: Column) -> Column:
-        inside = mark & ~F.get("_marks", i - 1) & (i < F.size("_lines") - 2)
-        return F.when(inside | (i == F.size("_lines") - 1), i + 1)
+COUNTS = ("n_lines", "n_removed_lines", "n_removed_chunks")
+_BASE = -7046029254386353131
 
-    df = df.withColumn("_ends", F.array_compact(F.transform("_marks", ends)))
-    chunks = F.transform("_ends", lambda e, j: F.struct(F.coalesce(F.get("_ends", j - 1), F.lit(0)).alias("start"), e.alias("end")))
-    return df.withColumn("_chunks", chunks).drop("_hashes", "_marks", "_ends")
 
+def _lines(text: str) -> Column:
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
-def _text(c: Column) -> Column:
-    return F.array_join(F.slice("_lines", c["start"] + 1, c["end"] - c["start"]), "\n")
 
-
-def repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """(doc_id, start, end) of the chunks to remove."""
-    many = with_chunks(docs.select("doc_id", F.col(text).alias("text")), "text", **options)
-    many = many.select("doc_id", "_lines", F.explode(F.filter("_chunks", lambda c: c["end"] - c["start"] > 1)).alias("c"))
-    chunks = many.select("doc_id", F.col("c.start").alias("start"), F.col("c.end").alias("end"), _text(F.col("c")).alias("chunk"))
-    chunks = chunks.withColumn("h", F.xxhash64("chunk"))
-    twice = written(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    found = written(chunks.join(twice.hint("merge"), "h"), "chunks")
-    first = written(found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    back = found.join(first.hint("merge"), ["h", "chunk"])
-    return back.where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "end")
-
-
-def deduped(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with the repeated chunks gone from the text, and n_lines, n_removed_lines, n_removed_chunks."""
-    gone = repeats(docs, text, **options).groupBy("doc_id").agg(F.collect_set("start").alias("_gone"))
-    df = with_chunks(docs.join(gone.hint("merge"), "doc_id", "left"), text, **options)
-    removed = F.filter("_chunks", lambda c: F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), c["start"]))
-    left = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["start"]))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks", text)]
-    df = df.withColumns(
-        {
-            "_removed": removed,
-            "_text": F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(left, _text), "\n")),
-        }
-    )
-    return df.select(
-        *columns,
-        F.col("_text").alias(text),
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        F.aggregate("_removed", F.lit(0), lambda s, c: s + c["end"] - c["start"]).cast("bigint").alias("n_removed_lines"),
-        F.size("_removed").cast("bigint").alias("n_removed_chunks"),
-    )
+def _with_lines(docs: DataFrame, text: str) -> DataFrame:
+    """docs with _text_hash, _lines and _held: the places (from 0) of lines that hold a word."""
+    df = docs.withColumns({"_text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_lines": _lines(text)})
+    return df.withColumn("_held", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()))
 
 
-def _pairs(pair) -> Column:
-    """pair(line, next line) of each two neighbouring lines of _lines, by the place of the first."""
-    return F.transform(F.slice("_lines", 1, F.size("_lines") - 1), lambda line, i: pair(line, F.get("_lines", i + 1)))
+def rolling_hashes(lines: Column, held: Column, roll: int = ROLL) -> Column:
+    """Per window of roll lines a polynomial of the lines' hashes; fewer lines have no window."""
+    hashes = F.transform(held, lambda i: F.xxhash64(F.get(lines, i)))
+    mixed = lambda at, k: F.xxhash64(F.get(hashes, at + k), F.lit(_BASE + k))
+    windows = F.sequence(F.lit(0), F.greatest(F.size(held) - roll, F.lit(0)))
+    return F.when(F.size(held) >= roll, F.transform(windows, lambda at: reduce(Column.bitwiseXOR, [mixed(at, k) for k in range(roll)])))
 
 
-def repeated_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, start) of each two neighbouring lines that occur before, apart from that first occurrence's own lines."""
-    lines = docs.select("doc_id", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("_lines"))
-    hashed = lines.select("doc_id", F.posexplode(_pairs(lambda a, b: F.xxhash64(a, b))).alias("start", "h"))
+def repeated_windows(docs: DataFrame, text: str = "text", roll: int = ROLL) -> DataFrame:
+    """(doc_id, _text_hash, at): windows, by their place among the lines that hold a word, that occur before."""
+    lines = _with_lines(docs.select("doc_id", text), text)
+    keys = ["doc_id", "_text_hash"]
+    hashed = lines.select(*keys, F.posexplode(rolling_hashes(F.col("_lines"), F.col("_held"), roll)).alias("at", "h"))
     twice = written(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    places = written(hashed.join(twice.hint("merge"), "h").select("doc_id", "start"), "places").groupBy("doc_id").agg(F.collect_set("start").alias("_starts"))
-    texts = lines.join(places.hint("merge"), "doc_id").select("doc_id", "_lines", F.explode("_starts").alias("start"))
-    texts = texts.select("doc_id", "start", F.array_join(F.slice("_lines", F.col("start") + 1, 2), "\n").alias("pair"))
-    found = written(texts.withColumn("h", F.xxhash64("pair")), "pairs")
-    first = written(found.groupBy("h", "pair").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") - F.col("first.start")).between(0, 1)
-    return found.join(first.hint("merge"), ["h", "pair"]).where(~own).select("doc_id", "start")
-
-
-def without_passages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the passages of two or more lines that occur before, wherever they begin; n_lines and n_removed_lines are added."""
-    gone = repeated_pairs(docs, text).groupBy("doc_id").agg(F.collect_set("start").alias("_gone"))
-    df = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.concat("_gone", F.transform("_gone", lambda i: i + 1)))
-    df = df.withColumn("_left", left)
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", text)]
+    places = written(hashed.join(twice.hint("merge"), "h").select(*keys, "at"), "places").groupBy(*keys).agg(F.collect_set("at").alias("_at"))
+    texts = lines.join(places.hint("merge"), keys).select(*keys, "_lines", "_held", F.explode("_at").alias("at"))
+    window = F.array_join(F.transform(F.slice("_held", F.col("at") + 1, roll), lambda i: F.get("_lines", i)), "\n")
+    found = written(texts.select(*keys, "at", window.alias("window")).withColumn("h", F.xxhash64("window")), "windows")
+    first = found.groupBy("h", "window").agg(F.min(F.struct(*keys, "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "first")
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("_text_hash") == F.col("first._text_hash")) & (F.col("at") - F.col("first.at")).between(0, roll - 1)
+    return found.join(first.hint("merge"), ["h", "window"]).where(~own).select(*keys, "at")
+
+
+def deduped(docs: DataFrame, text: str = "text", roll: int = ROLL) -> DataFrame:
+    """docs with the repeated chunks gone from the text, and n_lines, n_removed_lines, n_removed_chunks (removed runs of lines)."""
+    gone = repeated_windows(docs, text, roll).groupBy("doc_id", "_text_hash").agg(F.array_sort(F.collect_set("at")).alias("_at"))
+    df = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(gone.hint("merge"), ["doc_id", "_text_hash"], "left")
+    # most rows lose nothing; their lines are only counted
+    some = F.col("_at").isNotNull()
+    df = df.withColumn("_lines", F.when(some, _lines(text)))
+    df = df.withColumn("_held", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()))
+    # the lines from a window's first one to the next one with a word that follows its last one
+    lines_of = lambda a: F.sequence(F.get("_held", a), F.coalesce(F.get("_held", a + roll), F.size("_lines")) - 1)
+    df = df.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_at", lines_of))))  # in rising order, as _at is
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
+    runs = F.size(F.filter("_gone", lambda g, i: F.coalesce(F.get("_gone", i - 1) != g - 1, F.lit(True))))
+    body = F.coalesce(F.col(text), F.lit(""))
+    newlines = F.length(body) - F.length(F.translate(body, "\n", "")) + 1
+    columns = [c for c in docs.columns if c not in (*COUNTS, text)]
     return df.select(
         *columns,
-        F.when(F.col("_left").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n")).alias(text),
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        F.when(F.col("_left").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("bigint").alias("n_removed_lines"),
+        F.when(some, F.array_join(kept, "\n")).otherwise(body).alias(text),
+        newlines.cast("bigint").alias("n_lines"),
+        F.when(some, F.size("_gone")).otherwise(0).cast("bigint").alias("n_removed_lines"),
+        F.when(some, runs).otherwise(0).cast("bigint").alias("n_removed_chunks"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return df.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("text", 256).alias("text_sha256"))
-
-
-ORACLE_SQL = rf"""
-WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM docs),
-hashed AS (SELECT *, ('0x' || substr(md5(l), 1, 12))::BIGINT AS h FROM lines),
-rolled AS (SELECT *, xor(h, coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) << 1) AS r FROM hashed),
-marked AS (SELECT *, r % {DIVISOR} = 0 AS mark FROM rolled),
-ends AS (SELECT *, (mark AND NOT lag(mark) OVER (PARTITION BY doc_id ORDER BY i) AND i < n - 1) IS TRUE OR i = n AS e FROM marked),
-numbered AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ends),
-chunks AS (SELECT doc_id, k, min(i) AS s, count(*) AS m, string_agg(l, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, k),
-ranked AS (SELECT *, m > 1 AND row_number() OVER (PARTITION BY chunk, m > 1 ORDER BY doc_id, s) > 1 AS gone FROM chunks)
-SELECT doc_id, sum(m)::BIGINT AS n_lines, coalesce(sum(m) FILTER (gone), 0)::BIGINT AS n_removed_lines, count(*) FILTER (gone) AS n_removed_chunks,
-  sha256(coalesce(string_agg(chunk, chr(10) ORDER BY s) FILTER (NOT gone), '')) AS text_sha256
-FROM ranked GROUP BY doc_id
+    return df.select("doc_id", *COUNTS, F.sha2("text", 256).alias("text_sha256"))
+
+
+#: By whole texts of windows, without hashes.
+ORACLE_SQL = r"""
+WITH docs AS (SELECT doc_id, md5(coalesce(text, '')) AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, t, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM docs),
+held AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS p FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+windows AS (
+  SELECT doc_id, t, p, l || chr(10) || next_l AS win FROM (SELECT *, lead(l) OVER (PARTITION BY doc_id, t ORDER BY p) AS next_l FROM held) WHERE next_l IS NOT NULL),
+firsts AS (SELECT *, first_value({'d': doc_id, 't': t, 'p': p}) OVER (PARTITION BY win ORDER BY doc_id, t, p) AS f FROM windows),
+again AS (SELECT doc_id, t, p FROM firsts WHERE NOT (doc_id = f.d AND t = f.t AND p - f.p <= 1)),
+gone AS (SELECT DISTINCT h.doc_id, h.t, h.i FROM held h JOIN again a ON h.doc_id = a.doc_id AND h.t = a.t AND h.p - a.p IN (0, 1)),
+marked AS (
+  SELECT lines.*, last_value(h.i IGNORE NULLS) OVER (PARTITION BY lines.doc_id, lines.t ORDER BY lines.i) AS owner
+  FROM lines LEFT JOIN held h ON lines.doc_id = h.doc_id AND lines.t = h.t AND lines.i = h.i),
+judged AS (SELECT m.*, g.i IS NOT NULL AS gone FROM marked m LEFT JOIN gone g ON m.doc_id = g.doc_id AND m.t = g.t AND m.owner = g.i),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id, t ORDER BY i), false) AS fresh FROM judged)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed_lines, count(*) FILTER (fresh) AS n_removed_chunks,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
+FROM runs GROUP BY doc_id, t
 """
