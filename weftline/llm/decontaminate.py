@@ -7,13 +7,16 @@ may be missing of the partition's largest item). Documents of any length are pro
 against the signatures, so a short item in a very long text is found with certainty, and every candidate
 is verified by the exact shingles of both texts.
 
-A benchmark up to max_bytes of text (measured first) is sent to every task, and documents are read once
-without a shuffle. A larger one is joined: signatures with document shingles on the hash, then the distinct
-candidates with both texts.
+A benchmark of up to MAX_SHINGLES words (counted first, so an upper bound of its shingles) is sent to every task as packed
+arrays, and documents are read once without a shuffle; a task spells out an item's shingles when a document meets its
+signature. A larger one is joined: signatures with document shingles on the hash, the candidates' shared hashes are
+counted, and pairs that have enough of them meet both texts. Both ways give the same rows.
 
 Defined cases: null or empty texts and items have no shingles and match nothing; a text of fewer than five
-words has one shingle, all its words; repeated documents and items give a row for each pair of ids; empty
-tables give no rows; other input columns are ignored.
+words has one shingle, all its words; items are judged row by row, so rows of equal item_id but other texts, and repeated
+documents and items, give a row for each pair of rows that match; rows with a null id are judged like others; empty tables
+give no rows; other input columns are ignored. In cleaned a row goes if its own text holds an item, whatever other rows
+have its doc_id.
 """
 
 from __future__ import annotations
@@ -23,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import WHITE, table, written
 from weftline.llm.words import shingle_set, shingles_of
 
 WIDTH = 5
 SHARE = 0.8
-#: Text of a benchmark that may be sent to every task; beyond it the search is a shuffled join.
-MAX_BYTES = 32 << 20
+#: Words of a benchmark that may be sent to every task; beyond it the search is a shuffled join.
+MAX_SHINGLES = 2_000_000
 PAIRS = "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double"
+#: Pairs with the hash of the document's text.
+_FOUND = "doc_id bigint, _text_hash bigint, item_id bigint, n_shingles bigint, n_shared bigint"
 
 
 def _hashes(width: int):
@@ -47,11 +52,11 @@ def _hashes(width: int):
 
 
 def signatures(items: DataFrame, width: int, share: float) -> DataFrame:
-    """(h, item_id): the bottom-k hashes of each item, k by its size partition."""
-    hashes = items.select("item_id", "text").mapInArrow(_hashes(width), "id bigint, h bigint").distinct()
-    sized = hashes.withColumn("n", F.count("*").over(Window.partitionBy("id"))).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("h")))
-    largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
-    return sized.where(F.col("place") <= F.floor((1 - share) * largest + 1e-9) + 1).select("h", F.col("id").alias("item_id"))
+    """(h, n): the bottom-k hashes of each item (columns _n and text), k by its size partition."""
+    hashes = items.select("_n", "text").mapInArrow(_hashes(width), "id bigint, h bigint").distinct()
+    sized = hashes.withColumn("size", F.count("*").over(Window.partitionBy("id"))).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("h")))
+    largest = F.pow(F.lit(2.0), F.floor(F.log2("size")) + 1) - 1
+    return sized.where(F.col("place") <= F.floor((1 - share) * largest + 1e-9) + 1).select("h", F.col("id").alias("_n"))
 
 
 def _shared(item: set[bytes], doc: set[bytes], share: float) -> tuple[int, int] | None:
@@ -61,22 +66,19 @@ def _shared(item: set[bytes], doc: set[bytes], share: float) -> tuple[int, int]
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.float64())], names=[x.split()[0] for x in PAIRS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _search(sent, width: int, share: float):
     """Probes the documents of a task with the signatures sent to it, and verifies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, texts = sent.value
-        keys = np.asarray(keys, np.int64).view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], np.asarray(owners, np.int64)[order]
-        items = {i: shingle_set(t, width) for i, t in texts}
+        keys, owners, names, texts = sent.value  # hashes in order, the item's place of each, and the items' ids and texts
+        items: dict[int, set[bytes]] = {}
         some = np.zeros(1 << 20, bool)
         some[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
-            ids, out = batch.column(0), []
+            ids, marks, out = batch.column(0), batch.column(2), []
             for h, r in shingles_of(batch.column(1), width):
                 near = np.flatnonzero(some[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 h, r = h[near], r[near]
@@ -87,9 +89,11 @@ def _search(sent, width: int, share: float):
                         wanted[row].update(owners[a:b].tolist())
                 for row, found in wanted.items():
                     doc = shingle_set(batch.column(1)[row].as_py(), width)
-                    for item in sorted(found):
-                        if got := _shared(items[item], doc, share):
-                            out.append((ids[row].as_py(), item, *got, got[1] / got[0]))
+                    for n in sorted(found):
+                        if n not in items:
+                            items[n] = shingle_set(texts[n].as_py(), width)
+                        if got := _shared(items[n], doc, share):
+                            out.append((ids[row].as_py(), marks[row].as_py(), names[n].as_py(), *got))
             if out:
                 yield _batch(out)
 
@@ -100,35 +104,60 @@ def _verify(width: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, item, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, mark, item, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if got := _shared(shingle_set(wanted, width), shingle_set(text, width), share):
-                    out.append((doc, item, *got, got[1] / got[0]))
+                    out.append((doc, mark, item, *got))
             if out:
                 yield _batch(out)
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Pairs (doc_id, item_id) where the document holds at least share of the item's shingles."""
-    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
-    size = items.select(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
+def n_words(text: str) -> Column:
+    return F.size(F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), WHITE, " " * len(WHITE)), " "), lambda w: w != ""))
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """The items with a number each, written so that it never changes."""
+    return written(items.select("item_id", "text").withColumn("_n", F.monotonically_increasing_id()), "items")
+
+
+def _matches(docs: DataFrame, items: DataFrame, width: int, share: float, max_shingles: int) -> DataFrame:
+    """Rows of _FOUND; items: item_id, text and the number _n."""
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"))
+    size = items.agg(F.coalesce(F.sum(n_words("text")), F.lit(0)).alias("n")).first()["n"]
     keys = signatures(items, width, share)
-    if size <= max_bytes:
-        found = keys.collect()  # no more than the benchmark's words, bounded by max_bytes
-        texts = [(r["item_id"], r["text"]) for r in items.collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(([r["h"] for r in found], [r["item_id"] for r in found], texts))
-        return docs.mapInArrow(_search(sent, width, share), PAIRS)
-    hashes = docs.mapInArrow(_hashes(width), "id bigint, h bigint")
-    pairs = hashes.join(keys.hint("merge"), "h").select(F.col("id").alias("doc_id"), "item_id").distinct()
-    both = pairs.join(docs.hint("merge"), "doc_id").join(items.withColumnRenamed("text", "wanted").hint("merge"), "item_id")
-    return both.select("doc_id", "item_id", "text", "wanted").mapInArrow(_verify(width, share), PAIRS)
-
-
-def cleaned(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item."""
-    found = leaks(docs, items, **options).select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    if size <= max_shingles:
+        # no more hashes than the benchmark has words, and its texts: bounded by max_shingles
+        found = keys.toArrow().combine_chunks()
+        h, own = found["h"].to_numpy().view(np.uint64), items.toArrow().sort_by("_n").combine_chunks()
+        order = np.argsort(h, kind="stable")
+        owners = np.searchsorted(own["_n"].to_numpy(), found["_n"].to_numpy()[order])
+        sent = docs.sparkSession.sparkContext.broadcast((h[order], owners, own["item_id"].combine_chunks(), own["text"].combine_chunks()))
+        return docs.mapInArrow(_search(sent, width, share), _FOUND)
+    # a row's own number ties its shingles to it; the table is written so that the number stays
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    hashes = rows.select("_row", "text").mapInArrow(_hashes(width), "id bigint, h bigint").distinct()
+    pairs = hashes.join(keys.hint("merge"), "h").select("id", "_n").distinct()
+    all_hashes = written(items.select("_n", "text").mapInArrow(_hashes(width), "id bigint, h bigint").distinct().select(F.col("id").alias("_n"), "h"), "item_hashes")
+    sizes = all_hashes.groupBy("_n").agg(F.count("*").alias("size"))
+    wanted = pairs.join(all_hashes.hint("merge"), "_n").join(hashes.hint("merge"), ["id", "h"]).groupBy("id", "_n").agg(F.count("*").alias("shared"))
+    near = wanted.join(sizes.hint("merge"), "_n").where(F.col("shared") >= share * F.col("size") - 1e-9).select(F.col("id").alias("_row"), "_n")
+    both = near.join(rows.hint("merge"), "_row").join(items.select("_n", "item_id", F.col("text").alias("wanted")).hint("merge"), "_n")
+    return both.select("doc_id", "_text_hash", "item_id", "text", "wanted").mapInArrow(_verify(width, share), _FOUND)
+
+
+def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """Pairs (doc_id, item_id) where the document holds at least share of the item's shingles."""
+    found = _matches(docs, _numbered(items), width, share, max_shingles)
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+
+
+def cleaned(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item."""
+    found = _matches(docs, _numbered(items), width, share, max_shingles).select(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_mark")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mark"))
+    return docs.join(found.hint("merge"), same, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
