@@ -12,13 +12,14 @@ components of the links are the groups. The search runs over distinct fingerprin
 3. Probing: a partition of b bits and threshold t has a key for each choice of t masked bits; fingerprints that
    differ in at most t bits there share one of them. Keys are shuffled, and tasks compare what shares a key.
 4. A key with very many fingerprints is dealt again by parts of all 64 bits, of which two within the distance
-   share at least one.
+   share at least one, and what is still large again by other parts.
 
 Tasks verify the distances and give links of a spanning forest, never all pairs of a group.
 
 Defined cases: null, empty and blank texts have fingerprint zero, which links like any other; texts under four words
 have one shingle, all their words; equal texts share a fingerprint and so a group; rows of one doc_id are one document
-if they have the same text; empty tables give no rows; other input columns are ignored.
+if they have the same text, and several if not, so representatives keeps one text of a group whatever ids its rows share; null
+ids come before others; empty tables give no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ SAMPLE = 2000
 ROW_COST, PAIR_COST = 1e-6, 4e-9
 #: Fingerprints of one key that are compared directly; beyond, the key is dealt again.
 DIRECT = 2048
+#: How often a key is dealt again at most; what is larger then is compared all the same.
+LEVELS = 6
 
 
 def fingerprint_of(words: list[bytes], width: int = WIDTH) -> int:
@@ -68,12 +71,16 @@ def fingerprint_of(words: list[bytes], width: int = WIDTH) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.fromiter((fingerprint_of((t.as_py() or "").encode().lower().split()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """(doc_id, text_hash, fp): fp holds the 64 bits as a signed long; text_hash tells rows of one doc_id apart."""
+    return docs.select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(_fingerprints, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _signed(x: int) -> int:
@@ -234,6 +241,27 @@ def _linker(distance: int):
     return run
 
 
+def _finer(level: int, distance: int) -> list[int]:
+    """Masks that part all bits, in another way for each level."""
+    order = np.random.default_rng(level).permutation(BITS) if level else np.arange(BITS)
+    return [sum(1 << int(b) for b in x) for x in np.array_split(order, distance + 1)]
+
+
+def _dealt(keys: DataFrame, distance: int, direct: int) -> DataFrame:
+    """keys (kind, part, fp) with the rows of keys of more than direct rows dealt again, until there are none or LEVELS is reached."""
+    for level in range(LEVELS):
+        hot = written(keys.groupBy("kind", "part").count().where(F.col("count") > direct).select("kind", "part"), "hot")
+        if hot.isEmpty():
+            break
+        marked = keys.join(hot.withColumn("hot", F.lit(True)).hint("merge"), ["kind", "part"], "left")
+        plain = F.array(F.struct("kind", "part"))
+        # the parts of all bits are exact pigeonholes on their own; the first key stays in the hash of the second
+        split = F.array(*[F.struct(F.xxhash64("kind", "part", F.lit(i)).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("part")) for i, m in enumerate(_finer(level, distance))])
+        dealt = marked.select("fp", F.explode(F.when(F.col("hot"), split).otherwise(plain)).alias("k")).select(F.col("k.kind").alias("kind"), F.col("k.part").alias("part"), "fp")
+        keys = written(dealt, "keys")
+    return keys
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, direct: int = DIRECT, parts: list[tuple[int, int]] | None = None) -> DataFrame:
     """(a, b): forest links that join all fingerprints (distinct, column fp) within the distance, and no others."""
     if parts is None:
@@ -241,36 +269,27 @@ def links(fps: DataFrame, distance: int = DISTANCE, direct: int = DIRECT, parts:
         parts = plan(np.array(sample, np.int64).view(np.uint64), fps.count(), distance)
     masks = key_masks(parts)
     keys = fps.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select(F.col("k.kind").alias("kind"), F.col("k.part").alias("part"), "fp")
-    hot = written(keys.groupBy("kind", "part").count().where(F.col("count") > direct).select("kind", "part"), "hot")
-    if not hot.isEmpty():
-        again = np.array_split(np.arange(BITS), distance + 1)
-        finer = [sum(1 << int(b) for b in x) for x in again]
-        marked = keys.join(hot.withColumn("hot", F.lit(True)).hint("merge"), ["kind", "part"], "left")
-        plain = F.array(F.struct(F.col("kind").cast("bigint").alias("kind"), "part"))
-        # the parts of all bits are exact pigeonholes on their own; the first key stays in the hash of the second
-        split = F.array(*[F.struct(F.xxhash64("kind", "part", F.lit(i)).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("part")) for i, m in enumerate(finer)])
-        keys = marked.select("fp", F.explode(F.when(F.col("hot"), split).otherwise(plain)).alias("k")).select(F.col("k.kind").alias("kind"), F.col("k.part").alias("part"), "fp")
-    else:
-        keys = keys.withColumn("kind", F.col("kind").cast("bigint"))
+    keys = _dealt(keys.withColumn("kind", F.col("kind").cast("bigint")), distance, direct)
     return keys.repartition("kind", "part").sortWithinPartitions("kind", "part", "fp").mapInArrow(_linker(distance), "a bigint, b bigint")
 
 
 def grouped(docs: DataFrame, distance: int = DISTANCE, **options) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
+    """(doc_id, text_hash, fp, root, component_id): root is a fingerprint per group, component_id the smallest doc_id that links reach."""
     own = written(fingerprints(docs), "fingerprints")
     fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(fps, distance, **options))
     rooted = fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(least.hint("merge"), "root").select("fp", "component_id"), "named")
-    return own.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    named = written(rooted.join(least.hint("merge"), "root").select("fp", "root", "component_id"), "named")
+    return own.join(named.hint("merge"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group: the one of the smallest doc_id."""
-    kept = grouped(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """docs with one document of each group: the one of the smallest doc_id, then text hash."""
+    first = grouped(docs, **options).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    kept = first.select(F.col("r.doc_id").alias("_doc"), F.col("r.text_hash").alias("_mark"))
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (_text_hash() == F.col("_mark")), "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
