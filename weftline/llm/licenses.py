@@ -4,18 +4,19 @@ Everything happens inside a row with built-in functions; there is no shuffle and
 text falls into pieces at line ends and at . ! ? ; : followed by white space, and is normalised to lower-case
 letters and digits parted by one space, so comment leaders go. A known sentence is found where it begins and
 ends with a piece; between its words pieces may end, so it may be wrapped over lines, blank ones included. Where
-several known sentences begin, the longest counts. Unknown sentences between known ones are ignored; a rule
-fits where its identifiers stand next to each other, in order, in what is left.
-
-The SQL knows unwrapped sentences and SENTENCES and RULES only; it agrees where texts hold no others.
+several known sentences begin, the longest counts. Unknown sentences between known ones are ignored. Rules are tried
+along the sequence of identifiers, longest first, and one that fits uses its identifiers up, so a text of three
+BSD clauses is not one of two clauses as well.
 
 Defined cases: null and empty texts give no sentences and an empty licence list; a repeated sentence gives
-its identifier again; several licences are listed in alphabetic order; input columns keep their values, but
-the operator's own output columns replace input columns of the same names.
+its identifier again; several licences are listed once each in alphabetic order; identifiers must not be empty or hold
+white space; input columns keep their values, but the operator's own output columns replace input columns of the same names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ RULES = (
 )
 _GPL = "redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
 _FREE = "this {} is free software you can " + _GPL
-#: More sentences and rules, which the SQL doesn't have.
+#: Sentences of further licences, notices and of the headings of whole licence texts.
 MORE_SENTENCES = {
     "apache_ref_quoted": "licensed under the apache license version 2 0 the license",
     "apache_copy_https": "you may obtain a copy of the license at https www apache org licenses license 2 0",
@@ -79,6 +80,36 @@ MORE_SENTENCES = {
     "isc_grant_and": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense_free": "this is free and unencumbered software released into the public domain",
     "boost_ref": "distributed under the boost software license version 1 0",
+    "boost_title": "boost software license version 1 0 august 17th 2003",
+    "apache_title": "apache license version 2 0 january 2004",
+    "mit_word": "mit license",
+    "gpl2_title": "gnu general public license version 2 june 1991",
+    "gpl3_title": "gnu general public license version 3 29 june 2007",
+    "lgpl21_title": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl3_title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3_title": "gnu affero general public license version 3 19 november 2007",
+    "mpl2_title": "mozilla public license version 2 0",
+    "epl2_title": "eclipse public license v 2 0",
+    "epl2_ref": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "cc0_title": "cc0 1 0 universal",
+    "cc0_ref": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "cc_by_4_title": "attribution 4 0 international",
+    "cc_by_sa_4_title": "attribution sharealike 4 0 international",
+    "cc_by_nc_4_title": "attribution noncommercial 4 0 international",
+    "cc_by_nd_4_title": "attribution noderivatives 4 0 international",
+    "cc_by_4_ref": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc_by_sa_4_ref": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc_by_nc_4_ref": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "zlib_asis": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsd_endorse_the": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "spdx_mit": "spdx license identifier mit",
+    "spdx_apache": "spdx license identifier apache 2 0",
+    "spdx_bsd2": "spdx license identifier bsd 2 clause",
+    "spdx_bsd3": "spdx license identifier bsd 3 clause",
+    "spdx_gpl2": "spdx license identifier gpl 2 0 only",
+    "spdx_gpl3": "spdx license identifier gpl 3 0 only",
+    "spdx_mpl2": "spdx license identifier mpl 2 0",
 }
 MORE_RULES = (
     ("AGPL-3.0-or-later", ("agpl3_free",)),
@@ -94,13 +125,46 @@ MORE_RULES = (
     ("LGPL-3.0-or-later", ("lgpl3_free_program",)),
     ("MPL-2.0", ("mpl2_subject",)),
     ("Unlicense", ("unlicense_free",)),
+    ("MIT", ("mit_word", "mit_grant", "mit_notice")),
+    ("MIT", ("mit_word", "mit_grant", "mit_notice", "mit_asis")),
+    ("Apache-2.0", ("apache_title",)),
+    ("BSL-1.0", ("boost_title",)),
+    ("GPL-2.0-only", ("gpl2_title",)),
+    ("GPL-3.0-only", ("gpl3_title",)),
+    ("LGPL-2.1-only", ("lgpl21_title",)),
+    ("LGPL-3.0-only", ("lgpl3_title",)),
+    ("AGPL-3.0-only", ("agpl3_title",)),
+    ("MPL-2.0", ("mpl2_title",)),
+    ("EPL-2.0", ("epl2_title",)),
+    ("EPL-2.0", ("epl2_ref",)),
+    ("CC0-1.0", ("cc0_title",)),
+    ("CC0-1.0", ("cc0_ref",)),
+    ("CC-BY-4.0", ("cc_by_4_title",)),
+    ("CC-BY-4.0", ("cc_by_4_ref",)),
+    ("CC-BY-SA-4.0", ("cc_by_sa_4_title",)),
+    ("CC-BY-SA-4.0", ("cc_by_sa_4_ref",)),
+    ("CC-BY-NC-4.0", ("cc_by_nc_4_title",)),
+    ("CC-BY-NC-4.0", ("cc_by_nc_4_ref",)),
+    ("CC-BY-ND-4.0", ("cc_by_nd_4_title",)),
+    ("Zlib", ("zlib_asis", "zlib_grant")),
+    ("BSD-3-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_endorse_the")),
+    ("MIT", ("spdx_mit",)),
+    ("Apache-2.0", ("spdx_apache",)),
+    ("BSD-2-Clause", ("spdx_bsd2",)),
+    ("BSD-3-Clause", ("spdx_bsd3",)),
+    ("GPL-2.0-only", ("spdx_gpl2",)),
+    ("GPL-3.0-only", ("spdx_gpl3",)),
+    ("MPL-2.0", ("spdx_mpl2",)),
 )
-#: Each known sentence has one of these; texts without any need no further look. A word may be wrapped from the next one.
-ANCHOR = r"licen[cs]e|permi(ssion|tted)|copyright|warrant|redistribut|contributors|free[^a-z0-9]+software|unencumbered"
 PIECE_END = r"[.!?;:]\s+|\n"
 NOT_WORD = "[^a-z0-9|]+"
 
 
+def anchors(sentences: dict[str, str]) -> list[str]:
+    """The longest word of each sentence. A text that holds a sentence holds its word, so texts without any need no further look."""
+    return sorted({max(s.split(), key=len) for s in sentences.values()})
+
+
 def _pieces(text: Column) -> Column:
     """The normalised words of a text, with | before, between and after its pieces."""
     marked = F.regexp_replace(F.lower(F.translate(text, "|", ",")), PIECE_END, "|")
@@ -112,11 +176,14 @@ def scanned(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SEN
     known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
     wrapped = "|".join(v.replace(" ", r"(?: \|)? ") for v in sorted(sentences.values(), key=len, reverse=True))
     found = F.regexp_extract_all(_pieces(F.col(text)), F.lit(rf"(?<=\| )(?:{wrapped})(?= \|)"), F.lit(0))
-    hits = F.when(F.lower(text).rlike(ANCHOR), F.transform(found, lambda s: known[F.replace(s, F.lit(" |"), F.lit(""))]))
+    hits = F.when(F.lower(text).rlike("|".join(anchors(sentences))), F.transform(found, lambda s: known[F.replace(s, F.lit(" |"), F.lit(""))]))
     df = docs.withColumn("sentence_ids", F.coalesce(hits, F.array().cast("array<string>")))
-    spelled = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
-    found = [F.when(spelled.contains(f" {' '.join(ids)} "), F.lit(name)) for name, ids in rules]
-    return df.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))))
+    spelled = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit(" "), i, F.lit(" "))), "")  # each identifier between blanks of its own
+    sequences = {"".join(f" {i} " for i in ids): name for name, ids in rules}
+    longest = "|".join(re.escape(x) for x in sorted(sequences, key=lambda x: (-x.count("  "), x)))
+    name_of = F.create_map(*[F.lit(x) for pair in sequences.items() for x in pair])
+    fits = F.transform(F.regexp_extract_all(spelled, F.lit(longest), F.lit(0)), lambda x: name_of[x])
+    return df.withColumn("licenses", F.array_sort(F.array_distinct(fits)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,20 +191,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.size("sentence_ids").cast("bigint").alias("n_sentences"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
-_KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
-_RULES = ", ".join(f"('{name}', ' {' '.join(ids)} ')" for name, ids in RULES)
+_KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in (SENTENCES | MORE_SENTENCES).items())
+_RULES = ", ".join(f"('{name}', [{', '.join(repr(i) for i in ids)}])" for name, ids in RULES + MORE_RULES)
+#: By places of words instead of a pattern: words with the number of their piece, known sentences by their first word and
+#: their joined words, and both greedy choices as folds over lists.
 ORACLE_SQL = rf"""
-WITH known(id, sentence) AS (VALUES {_KNOWN}), rules(license, ids) AS (VALUES {_RULES}),
-sentences AS (
-  SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS sentence
-  FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]\s+|\n+') AS s FROM documents)),
+WITH known AS (SELECT id, string_split(s, ' ') AS ws, len(string_split(s, ' ')) AS n FROM (VALUES {_KNOWN}) v(id, s)),
+rules AS (SELECT *, len(ids) AS n FROM (VALUES {_RULES}) v(license, ids)),
+pieces AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pi FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[.!?;:]\s+|\n') AS ps FROM documents)),
+bare AS (SELECT doc_id, pi, list_filter(regexp_split_to_array(p, '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM pieces),
+words AS (
+  SELECT doc_id, pi, w, k = 1 AS opens, k = n AS shuts, row_number() OVER (PARTITION BY doc_id ORDER BY pi, k) AS i
+  FROM (SELECT doc_id, pi, unnest(ws) AS w, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM bare)),
 hits AS (
-  SELECT s.doc_id, s.i, k.id FROM sentences s JOIN known k
-    ON trim(regexp_replace(lower(s.sentence), '[^a-z0-9]+', ' ', 'g')) = k.sentence),
-spelled AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS ids FROM hits GROUP BY doc_id),
-found AS (
-  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
-  FROM spelled JOIN rules ON contains(' ' || spelled.ids || ' ', rules.ids) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_sentences, coalesce(s.ids, '') AS sentence_ids, coalesce(f.licenses, '') AS licenses
-FROM documents d LEFT JOIN spelled s ON d.doc_id = s.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+  SELECT a.doc_id, a.i AS first, a.i + known.n - 1 AS last, known.id
+  FROM words a JOIN known ON a.w = known.ws[1]
+  JOIN words b ON a.doc_id = b.doc_id AND b.i = a.i + known.n - 1 AND b.w = known.ws[-1]
+  WHERE a.opens AND b.shuts AND known.ws = (SELECT list(c.w ORDER BY c.i) FROM words c WHERE c.doc_id = a.doc_id AND c.i BETWEEN a.i AND a.i + known.n - 1)),
+listed AS (SELECT doc_id, list({{'first': first, 'last': last, 'id': id}} ORDER BY first, last DESC) AS hs FROM hits GROUP BY doc_id),
+chosen AS (
+  SELECT doc_id, list_reduce(hs, lambda done, h: CASE WHEN h[1].first > done[-1].last THEN list_concat(done, h) ELSE done END) AS hs
+  FROM (SELECT doc_id, list_transform(hs, lambda h: [h]) AS hs FROM listed)),
+spelled AS (SELECT doc_id, list_transform(hs, lambda h: h.id) AS ids FROM chosen),
+fits AS (
+  SELECT s.doc_id, i AS first, i + r.n - 1 AS last, r.license
+  FROM (SELECT doc_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM spelled) s JOIN rules r ON s.ids[s.i:s.i + r.n - 1] = r.ids),
+ranked AS (SELECT doc_id, list({{'first': first, 'last': last, 'license': license}} ORDER BY first, last DESC) AS fs FROM fits GROUP BY doc_id),
+used AS (
+  SELECT doc_id, list_reduce(fs, lambda done, f: CASE WHEN f[1].first > done[-1].last THEN list_concat(done, f) ELSE done END) AS fs
+  FROM (SELECT doc_id, list_transform(fs, lambda f: [f]) AS fs FROM ranked)),
+named AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(fs, lambda f: f.license))), ',') AS licenses FROM used)
+SELECT d.doc_id, coalesce(len(s.ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(s.ids, ' '), '') AS sentence_ids, coalesce(n.licenses, '') AS licenses
+FROM documents d LEFT JOIN spelled s ON d.doc_id = s.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
 """
