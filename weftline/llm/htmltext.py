@@ -1,14 +1,16 @@
 """HTML main-text extraction by minimum-cut labelling of text blocks.
 
-A page becomes text blocks in page order (text between block-level tags; inline tags stay inside). A linear
-classifier of markup and text features gives each block a log-odds score, which becomes its terminal capacity:
-towards the source if it speaks for content, towards the sink if for boilerplate. Neighbouring blocks and blocks
+A page becomes text blocks in page order (text between block-level tags; inline tags stay inside). Each block has two
+kinds of evidence, both of the size of the edges so that neighbours can overrule it: the log-odds of a linear classifier of
+text and DOM features (length, links, sentences, place), within CLIP, and a term for the markup around it (sectioning tags,
+roles, words of class and id), of which the innermost that says something counts. Their sum is the block's terminal
+capacity: towards the source if it speaks for content, towards the sink if for boilerplate. Neighbouring blocks and blocks
 that are near in the DOM are joined by smoothness edges. The maximum flow separates content from boilerplate; blocks
 whose own score outweighs all their edges are settled before, which never changes the minimum cut.
 
-The classifier is logistic regression fitted here on at most SAMPLE pages (by hash of page_id), whose sectioning tags
-give silver labels; its penalty pulls towards documented prior weights, so features that the sample lacks keep them.
-Pages are extracted in one pass without a shuffle.
+The classifier is logistic regression fitted here on at most SAMPLE pages (by hash of page_id). Sectioning tags give silver
+labels, taken as wrong at a rate of NOISE, and are no features themselves; a penalty pulls towards documented prior weights,
+so features that the sample lacks keep them. Pages are extracted in one pass without a shuffle.
 
 Defined cases: null and empty pages give ''; a page without markup is one block of text; unclosed elements end with the
 page, an unfinished tag at the end is dropped, a < that starts no tag is text; long pages are whole; repeated rows are
@@ -33,26 +35,34 @@ from weftline.llm.common import bounded_sample, table
 #: Pages that the classifier is fitted on, at most.
 SAMPLE = 1000
 PENALTY = 50.0
+#: Share of silver labels that is taken as wrong.
+NOISE = 0.1
 
 #: Element classes of HTML, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
 CONTENT_TAGS = frozenset("article main".split())
-PLAIN_TAGS = frozenset("nav aside footer form menu dialog button fieldset".split())
+PLAIN_TAGS = frozenset("nav aside footer menu dialog button fieldset".split())
 CONTENT_WORDS = frozenset("article content post entry main story body text".split())
-PLAIN_WORDS = frozenset(
+COMMENT_WORDS = frozenset("comment comments commentlist respond responses replies reply discussion disqus".split())
+PLAIN_WORDS = COMMENT_WORDS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menus "
-    "breadcrumb breadcrumbs footer header masthead sidebar aside rail widget widgets comment comments commentlist respond responses replies reply discussion "
-    "disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations "
+    "breadcrumb breadcrumbs footer header masthead sidebar aside rail widget widgets "
+    "cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations "
     "subscribe subscription newsletter signup login search pagination pager toolbar topbar copyright legal disclaimer toc form".split()
 )
 PLAIN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 UNLESS = frozenset("has with without no not".split())
 
-FEATURES = ("bias", "content_tag", "plain_tag", "plain_words", "plain_role", "content_words", "hidden", "page_header", "heading", "list_item", "link_share", "length", "sentence")
-#: Log-odds for content before any data is seen.
-PRIOR = np.array([-0.5, 5.0, -14.0, -14.0, -14.0, 2.0, -20.0, -14.0, 0.3, -0.5, -3.0, 0.5, 0.5])
+FEATURES = ("bias", "heading", "list_item", "link_share", "length", "sentence")
+#: Log-odds for content before any data is seen, and the most that they count for.
+PRIOR = np.array([-1.1, 0.3, -0.7, -3.0, 0.6, 0.5])
+CLIP = 1.5
+#: What the markup around a block says: nothing, content tag, plain tag, plain words, comments, hidden; and content words.
+NEUTRAL, CONTENT, PLAIN, WORDED, COMMENTS, HIDDEN = range(6)
+MARKUP = (0.0, 1.0, -2.5, -3.0, -4.0, -8.0)
+GOOD_WORDS = 1.0
 #: Smoothness of neighbours in one container, of other neighbours, and of the next blocks in a container or its parent.
 NEXT_SAME, NEXT_OTHER, SAME_PARENT, NEAR_PARENT = 1.0, 0.3, 0.5, 0.25
 
@@ -63,52 +73,66 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "flags", "number", "parent")
+    __slots__ = ("tag", "says", "number", "parent")
 
-    def __init__(self, tag: str, flags: tuple, number: int, parent: int):
-        self.tag, self.flags, self.number, self.parent = tag, flags, number, parent
+    def __init__(self, tag: str, says: tuple[int, bool], number: int, parent: int):
+        self.tag, self.says, self.number, self.parent = tag, says, number, parent
 
 
-_NONE = (0, 0, 0, 0, 0, 0, 0)
+def _tokens(value: str) -> Iterator[set[str]]:
+    """The words of each name in a class or id attribute."""
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words and not words & UNLESS:
+            yield words
 
 
-def _flags(tag: str, attributes: str, above: tuple) -> tuple:
-    """content tag, plain tag, plain words, plain role, content words, hidden, page header: of the element or above it."""
-    content, plain, words, role, good, hidden, header = above
-    if tag in CONTENT_TAGS:
-        content = 1
-    elif tag in PLAIN_TAGS:
-        plain = 1
-    elif tag == "header" and not content:
-        header = 1
-    if attributes and tag not in ("html", "body") and len(attributes) > 3:
+def _says(tag: str, attributes: str, above: tuple[int, bool]) -> tuple[int, bool]:
+    """What an element's markup says of the blocks in it, and whether content words do, given what the one above it says.
+
+    Comments and what is hidden stay so all the way down. An article inside a navigation or a footer is part of that; inside
+    an element that only its names call boilerplate, it is content. A name that mixes words (search-engines) counts against an
+    element only where no name of the element is all content words.
+    """
+    kind, good = above
+    if kind in (COMMENTS, HIDDEN):
+        return above
+    names: list[set[str]] = []
+    role, hidden = "", False
+    if len(attributes) > 3 and tag not in ("html", "body"):
         for m in _ATTR.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                seen = {w.lower() for w in _WORDS.findall(value)}
-                if not seen & UNLESS:
-                    bad = seen & PLAIN_WORDS
-                    if bad == {"header"} and (content or seen & CONTENT_WORDS):
-                        bad = set()  # an article's own header holds its title
-                    if bad:
-                        words = 1
-                    elif seen & CONTENT_WORDS:
-                        good = 1
+                names += _tokens(value)
             elif name == "role":
-                if value.lower() in PLAIN_ROLES:
-                    role = 1
-                elif value.lower() in ("main", "article"):
-                    content = 1
+                role = value.lower()
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-                hidden = 1
-    return (content, plain, words, role, good, hidden, header)
+                hidden = True
+    if hidden:
+        return HIDDEN, False
+    content_name = any(w <= CONTENT_WORDS for w in names)
+    article = tag in CONTENT_TAGS or role in ("main", "article")
+    plain = [w for w in names if w & PLAIN_WORDS and (w <= PLAIN_WORDS or not content_name)]
+    if tag in ("h1", "h2", "header") or kind == CONTENT or content_name:
+        plain = [w for w in plain if w & PLAIN_WORDS != {"header"}]  # an article's own header holds its title
+    if any(w & COMMENT_WORDS for w in plain) and not (article and content_name):
+        return COMMENTS, False
+    if article:
+        return (kind, good) if kind == PLAIN else (CONTENT, good or content_name)
+    if tag in PLAIN_TAGS or role in PLAIN_ROLES or (tag == "header" and kind != CONTENT):
+        return PLAIN, False
+    if plain:
+        return (WORDED, False) if kind != PLAIN else above
+    if tag == "form" and kind in (NEUTRAL, CONTENT):
+        return WORDED, False
+    return kind, good or (content_name and kind in (NEUTRAL, CONTENT))
 
 
 class Block:
-    __slots__ = ("text", "features", "container", "parent")
+    __slots__ = ("text", "features", "says", "container", "parent")
 
-    def __init__(self, text: str, features: list[float], container: int, parent: int):
-        self.text, self.features, self.container, self.parent = text, features, container, parent
+    def __init__(self, text: str, features: list[float], says: tuple[int, bool], container: int, parent: int):
+        self.text, self.features, self.says, self.container, self.parent = text, features, says, container, parent
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -116,7 +140,7 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack = [_Element("", _NONE, 0, 0)]
+    stack = [_Element("", (NEUTRAL, False), 0, 0)]
     parts: list[tuple[str, bool]] = []
     numbers = links = 0
 
@@ -128,13 +152,14 @@ def blocks_of(page: str | None) -> list[Block]:
                 linked = sum(len(p) for p, a in parts if a)
                 top = stack[-1]
                 words = text.count(" ") + 1
-                f = [1.0, *map(float, top.flags), float(top.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(top.tag in ("li", "dt", "dd")), linked / max(1, sum(len(p) for p, _ in parts)), math.log1p(words), float(text[-1] in ".!?:;\"'”»…")]
+                share = linked / max(1, sum(len(p) for p, _ in parts))
+                f = [1.0, float(top.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(top.tag in ("li", "dt", "dd")), share, math.log1p(words), float(text[-1] in ".!?:;\"'”»…")]
                 box = top
                 at = len(stack) - 1
                 while at > 0 and box.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr"):
                     at -= 1
                     box = stack[at]
-                out.append(Block(text, f, box.number, box.parent))
+                out.append(Block(text, f, top.says, box.number, box.parent))
             parts = []
 
     at, end = 0, len(page)
@@ -155,7 +180,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 links = max(0, links - 1) if m[1] else links + 1
             elif tag == "br":
                 parts.append((" ", False))
-            if not m[1] and m[3] and tag not in VOID and _flags(tag, m[3], _NONE)[5]:  # hidden inline text goes up to its end tag
+            if not m[1] and m[3] and tag not in VOID and _says(tag, m[3], (NEUTRAL, False))[0] == HIDDEN:  # hidden inline text goes up to its end tag
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
@@ -181,7 +206,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
             del stack[-1]
         numbers += 1
-        stack.append(_Element(tag, _flags(tag, m[3], stack[-1].flags), numbers, stack[-1].number))
+        stack.append(_Element(tag, _says(tag, m[3], stack[-1].says), numbers, stack[-1].number))
     close_block()
     return out
 
@@ -296,26 +321,36 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
             a = to[e]
 
 
+def scores_of(blocks: list[Block], weights: np.ndarray = PRIOR) -> list[float]:
+    """The terminal capacity of each block: towards content if positive."""
+    own = np.clip(np.array([b.features for b in blocks]) @ weights, -CLIP, CLIP)
+    return (own + np.array([MARKUP[b.says[0]] + GOOD_WORDS * b.says[1] for b in blocks])).tolist()
+
+
 def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    scores = (np.array([b.features for b in blocks]) @ weights).tolist()
-    kept = minimum_cut(scores, edges_of(blocks))
+    kept = minimum_cut(scores_of(blocks, weights), edges_of(blocks))
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
+def n_decided(page: str | None, weights: np.ndarray = PRIOR) -> int:
+    """How many blocks of a page the cut labels other than their own scores would."""
+    blocks = blocks_of(page)
+    scores = scores_of(blocks, weights) if blocks else []
+    return sum(k != (s > 0) for k, s in zip(minimum_cut(scores, edges_of(blocks)), scores, strict=True)) if blocks else 0
+
+
 def _silver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features (length and link share in tenths) and labels of blocks that a sectioning tag decides."""
+    """Features (in tenths) and labels of blocks that a sectioning tag decides."""
     for batch in batches:
         rows, labels = [], []
         for page in batch.column(0).to_pylist():
             for b in blocks_of(page):
-                f = b.features
-                plain = any(f[2:5]) or f[6] or f[7]
-                if f[1] or plain:
-                    rows.append([round(10 * x) for x in f])
-                    labels.append(int(not plain))
+                if b.says[0] in (CONTENT, PLAIN):
+                    rows.append([round(10 * x) for x in b.features])
+                    labels.append(int(b.says[0] == CONTENT))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), pa.array(labels, pa.int64())], names=["f", "label"])
 
 
@@ -328,7 +363,7 @@ def fitted_weights(pages: DataFrame, sample: int = SAMPLE, penalty: float = PENA
     if not counts:
         return w
     x = np.array([r["f"] for r in counts], float) / 10
-    y = np.array([r["label"] for r in counts], float)
+    y = np.array([r["label"] for r in counts], float) * (1 - 2 * NOISE) + NOISE
     n = np.array([r["count"] for r in counts], float)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
