@@ -2,13 +2,14 @@
 
 A labelled URL is one whose document is labelled: the number in its path is the document's id, and low quality
 or toxicity make it a URL to block. The trees are fitted on at most SAMPLE labelled URLs (taken by hash, so alike
-at every size); suffix statistics are smoothed block rates of the sample's host suffixes, no more than SAMPLE rows.
-Every URL is judged in one pass.
+at every size). Suffix statistics are smoothed block rates of a host's last label and of its last two, no more than SAMPLE
+rows each; the trees are fitted on out-of-fold rates (a row's come from URLs of other folds), so they don't take a rate
+for better than it is. Every URL is judged in one pass.
 
 Defined cases: a null URL or one without :// has an empty host and path and is judged by the trees like any other;
 rules apply only where the path starts with theirs, so not to an empty path; of the rules that fit the longest wins;
 without labels of both kinds there is no model and what no rule decides is allowed; repeated rows are judged alike;
-other input columns are ignored.
+other input columns stay as they are, whatever their names, but host, path, rule, verdict and score are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from weftline.llm.common import bounded_sample, table, written
 #: Labelled URLs that the trees are fitted on, at most.
 SAMPLE = 20_000
 SEED = 17
+#: Folds of the suffix rates, and rows that the overall rate counts for in them.
+FOLDS, SMOOTH = 4, 10
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,9 @@ RULES = (
     Rule("block", "net/es/"),
     Rule("block", "net/fr/"),
 )
-FEATURES = ("url_length", "host_length", "host_labels", "hyphens", "depth", "path_length", "digit_ratio", "entropy", "parameters", "query_length", "fragment", "suffix_rate")
+FEATURES = ("url_length", "host_length", "host_labels", "hyphens", "depth", "path_length", "digit_ratio", "entropy", "parameters", "query_length", "fragment", "suffix_rate", "domain_rate")
+#: Suffix columns and the rate of each.
+SUFFIXES = {"suffix": "suffix_rate", "domain": "domain_rate"}
 
 
 def host(url: Column) -> Column:
@@ -76,7 +81,7 @@ def _count(c: Column, chars: str) -> Column:
 
 
 def features(urls: DataFrame) -> DataFrame:
-    """The lexical features of column url, and the host's suffix."""
+    """The lexical features of column url, and the host's suffixes."""
     u = F.coalesce(F.col("url"), F.lit(""))
     df = urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "_query": F.regexp_extract(u, r"(?s)\?([^#]*)", 1), "_chars": F.array_distinct(F.split(u, ""))})
     n = F.greatest(F.length(u), F.lit(1))
@@ -96,6 +101,7 @@ def features(urls: DataFrame) -> DataFrame:
             "query_length": F.length("_query").cast("double"),
             "fragment": F.contains(u, F.lit("#")).cast("double"),
             "suffix": F.substring_index("host", ".", -1),
+            "domain": F.substring_index("host", ".", -2),
         }
     ).drop("_query", "_chars")
 
@@ -110,38 +116,46 @@ def labelled(urls: DataFrame, labels: DataFrame) -> DataFrame:
 class UrlFilter:
     """Fitted trees with their suffix statistics; without trees all URLs get the verdict allow."""
 
-    def __init__(self, model: PipelineModel | None, suffixes: DataFrame | None, rate: float):
-        self.model, self.suffixes, self.rate = model, suffixes, rate
+    def __init__(self, model: PipelineModel | None, rates: dict[str, DataFrame], rate: float):
+        self.model, self.rates, self.rate = model, rates, rate
 
     @staticmethod
     def fit(examples: DataFrame, sample: int = SAMPLE, trees: int = 10, depth: int = 4) -> UrlFilter:
-        rows = written(bounded_sample(examples, ["url", "label"], sample), "urls")
+        rows = written(bounded_sample(examples.select("url", "label"), ["url", "label"], sample), "urls")
         kinds = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         if len(kinds) < 2:
-            return UrlFilter(None, None, 0.0)
+            return UrlFilter(None, {}, 0.0)
         rate = kinds[1.0] / sum(kinds.values())
-        seen = features(rows)
-        suffixes = written(seen.groupBy("suffix").agg(((F.sum("label") + 10 * rate) / (F.count("*") + 10)).alias("suffix_rate")), "suffixes")
-        it = UrlFilter(None, suffixes, rate)
+        seen = features(rows).withColumn("_fold", F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(FOLDS)))
+        it = UrlFilter(None, {}, rate)
+        smooth = lambda bad, n: (bad + SMOOTH * rate) / (n + SMOOTH)
+        train = seen
+        for suffix, name in SUFFIXES.items():
+            # a row per suffix (and fold) of the sampled URLs: a proven bound for the broadcasts
+            per = written(seen.groupBy(suffix, "_fold").agg(F.sum("label").alias("_bad"), F.count("*").alias("_n")), "folds")
+            all_ = written(per.groupBy(suffix).agg(F.sum("_bad").alias("_all_bad"), F.sum("_n").alias("_all_n")), "suffixes")
+            it.rates[suffix] = all_.select(suffix, smooth(F.col("_all_bad"), F.col("_all_n")).alias(name))
+            others = per.join(F.broadcast(all_), suffix).select(suffix, "_fold", smooth(F.col("_all_bad") - F.col("_bad"), F.col("_all_n") - F.col("_n")).alias(name))
+            train = train.join(F.broadcast(others), [suffix, "_fold"])
         gbt = GBTClassifier(featuresCol="_features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=SEED, minInstancesPerNode=5)
-        it.model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), gbt]).fit(it._ready(seen).coalesce(4))
+        it.model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), gbt]).fit(train.coalesce(4))
         return it
 
-    def _ready(self, seen: DataFrame) -> DataFrame:
-        # as many suffixes as sampled URLs at most: a proven bound for the broadcast
-        return seen.join(F.broadcast(self.suffixes), "suffix", "left").fillna({"suffix_rate": self.rate})
-
     def judge(self, urls: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """urls with host, path, rule, verdict and score (the trees' probability of block; null without trees)."""
-        seen = features(urls)
+        # the input's columns wait in a struct, so that none is taken for a feature
+        seen = features(urls.select(F.struct(*urls.columns).alias("_own"), "url"))
         if self.model is None:
             own, score = F.lit("allow"), F.lit(None).cast("double")
         else:
-            seen = self.model.transform(self._ready(seen))
+            for suffix, name in SUFFIXES.items():
+                # as many suffixes as sampled URLs at most: a proven bound for the broadcast
+                seen = seen.join(F.broadcast(self.rates[suffix]), suffix, "left").fillna({name: self.rate})
+            seen = self.model.transform(seen)
             own = F.when(F.col("prediction") == 1, F.lit("block")).otherwise("allow")
             score = F.get(vector_to_array("probability"), F.lit(1))
         return seen.select(
-            *[c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score")],
+            *[F.col("_own")[c].alias(c) for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score")],
             "host",
             "path",
             rule_of(rules, "text").alias("rule"),
