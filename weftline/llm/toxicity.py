@@ -1,16 +1,19 @@
 """Toxicity by a classifier chain of linear models over words.
 
 The categories are predicted one after another: each model sees the words of a text and the probabilities of
-the categories before it. In training those are out-of-fold predictions (each row's from models that did not see
-it), so later models meet probabilities as uncertain as they will be in use. The label table has two judgements,
-toxicity and quality; the chain's categories are toxic, low_quality and both at once.
+the categories before it. In training those are out-of-fold predictions (each row's from words and models that did not see
+it), so later models meet probabilities as uncertain as they will be in use. The label table has two judgements, so the
+chain's categories are low_quality and, given that, toxic. A category's threshold is the one of the best F1 of its
+out-of-fold probabilities.
 
-Words are chosen by their chi-square with any category. Words and models are fitted on at most SAMPLE labelled
-documents, taken by a hash of doc_id; every document is then scored in one pass without a shuffle.
+Words are chosen by their chi-square with any category, counted in Spark for each fold. Words and models are fitted on at
+most SAMPLE labelled documents, taken by a hash of doc_id: their word bits, at most SAMPLE times a few times WORDS, come to
+the driver, where the logistic regressions are solved. Every document is then scored in one pass without a shuffle.
 
 Defined cases: null and empty texts have no words and get the models' intercepts; labels that are null or whose
-document is missing are not used; a category with one kind of label only has that label as its probability; without
-any labelled document all probabilities are 0; repeated rows are scored one by one; other input columns are ignored.
+document is missing are not used; of rows that share a labelled doc_id the text of the smallest hash is the example; a
+category with one kind of label only has that label as its probability; without any labelled document all probabilities
+are 0; repeated rows are scored one by one; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_sample, table, written
@@ -31,13 +32,7 @@ from weftline.llm.common import bounded_sample, table, written
 #: Labelled documents that words and models are fitted on, at most.
 SAMPLE = 20_000
 WORDS, FOLDS, LEAST_CHI2, PENALTY = 256, 3, 20.0, 1e-4
-#: A document counts as toxic from this probability on; labelled clean documents stay under 0.1.
-THRESHOLD = 0.3
-CATEGORIES = {
-    "toxic": "toxic = 1",
-    "low_quality": "quality = 0",
-    "toxic_low_quality": "toxic = 1 and quality = 0",
-}
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 _WORD = re.compile(r"\w+")
 
 
@@ -47,11 +42,12 @@ def words_of(text: str | None) -> set[str]:
 
 @dataclass
 class Chain:
-    """words -> place, and per category its weights: intercept, words, earlier probabilities."""
+    """words -> place, and per category its weights (intercept, words, earlier probabilities) and threshold."""
 
     names: list[str]
     words: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
+    thresholds: list[float] = field(default_factory=list)
 
     def probabilities(self, found: set[str]) -> list[float]:
         at = [self.words[w] for w in self.words.keys() & found]
@@ -75,13 +71,12 @@ class Chain:
 def _presence(words: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            bits = []
             for t in batch.column("text"):
-                row = np.zeros(len(words))
-                row[[words[w] for w in words.keys() & words_of(t.as_py())]] = 1
-                rows.append(row)
-            kept = batch.drop_columns(["text"])
-            yield kept.append_column("x", pa.array(rows, pa.list_(pa.float64())))
+                row = np.zeros(len(words), bool)
+                row[[words[w] for w in words.keys() & words_of(t.as_py())]] = True
+                bits.append(np.packbits(row).tobytes())
+            yield batch.drop_columns(["text"]).append_column("bits", pa.array(bits, pa.binary()))
 
     return run
 
@@ -91,39 +86,88 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.drop_columns(["text"]).append_column("words", pa.array([sorted(words_of(t.as_py())) for t in batch.column("text")], pa.list_(pa.string())))
 
 
-def chosen_words(rows: DataFrame, names: list[str], most: int = WORDS) -> list[str]:
-    """The words of the largest chi-square with any category, at most most."""
-    totals = rows.agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names]).first()
-    n = totals["n"]
-    schema = "doc_id bigint, fold int, " + ", ".join(f"{c} int" for c in names) + ", words array<string>"
-    seen = rows.select("doc_id", "fold", *names, "text").mapInArrow(_distinct_words, schema).select(*names, F.explode("words").alias("word"))
-    counts = seen.groupBy("word").agg(F.count("*").cast("double").alias("d"), *[F.sum(c).cast("double").alias(c) for c in names])
-    chi = []
-    for c in names:
-        k = float(totals[c])
-        if 0 < k < n:
-            chi.append(n * F.pow(F.col(c) * n - F.col("d") * k, 2) / F.greatest(F.col("d") * (n - F.col("d")) * k * (n - k), F.lit(1.0)))
-    if not chi:
-        return []
-    best = counts.where("d >= 3").withColumn("chi", F.greatest(F.lit(0.0), *chi)).where(F.col("chi") >= LEAST_CHI2)
-    return [r["word"] for r in best.orderBy(F.desc("chi"), "word").limit(most).collect()]
-
-
-def _fit(rows: DataFrame, name: str, before: list[str], width: int) -> np.ndarray:
-    """Weights of one category's model: intercept, words, earlier probabilities."""
-    kinds = [r[0] for r in rows.select(name).distinct().collect()]
-    if len(kinds) < 2:
-        return np.r_[50.0 if kinds == [1] else -50.0, np.zeros(width + len(before))]
-    x = array_to_vector(F.concat("x", F.array(*[F.col(f"p_{b}") for b in before]).cast("array<double>")))
-    data = rows.select(x.alias("features"), F.col(name).cast("double").alias("label"))
-    model = LogisticRegression(regParam=PENALTY, maxIter=40, standardization=False).fit(data)
-    return np.r_[model.intercept, model.coefficients.toArray()]
-
-
-def _predicted(weights: np.ndarray, before: list[str]) -> Column:
-    terms = F.concat("x", F.array(*[F.col(f"p_{b}") for b in before]).cast("array<double>"))
-    z = F.aggregate(F.zip_with(terms, F.array(*[F.lit(float(w)) for w in weights[1:]]), lambda a, b: a * b), F.lit(float(weights[0])), lambda s, v: s + v)
-    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))
+def chosen_words(rows: DataFrame, names: list[str], folds: int = FOLDS, most: int = WORDS) -> list[list[str]]:
+    """For each fold the words of the largest chi-square with any category in the other folds, and last those of all rows."""
+    per_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()}
+    schema = "fold int, " + ", ".join(f"{c} int" for c in names) + ", words array<string>"
+    seen = rows.select("fold", *names, "text").mapInArrow(_distinct_words, schema).select("fold", *names, F.explode("words").alias("word"))
+    sums = [F.count_if(F.col("fold") == f).cast("double").alias(f"d_{f}") for f in range(folds)]
+    sums += [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).cast("double").alias(f"{c}_{f}") for f in range(folds) for c in names]
+    counts = written(seen.groupBy("word").agg(*sums, F.count("*").alias("d")).where("d >= 3"), "word_counts")
+    chosen = []
+    for held in (*range(folds), None):
+        used = [f for f in range(folds) if f != held]
+        n = sum(per_fold[f]["n"] for f in used if f in per_fold)
+        d = sum((F.col(f"d_{f}") for f in used), F.lit(0.0))
+        chi = []
+        for c in names:
+            k = float(sum(per_fold[f][c] for f in used if f in per_fold))
+            if 0 < k < n:
+                both = sum((F.col(f"{c}_{f}") for f in used), F.lit(0.0))
+                chi.append(n * F.pow(both * n - d * k, 2) / F.greatest(d * (n - d) * k * (n - k), F.lit(1.0)))
+        if not chi:
+            chosen.append([])
+            continue
+        best = counts.where(d >= 3).select("word", F.greatest(F.lit(0.0), *chi).alias("chi")).where(F.col("chi") >= LEAST_CHI2)
+        chosen.append([r["word"] for r in best.orderBy(F.desc("chi"), "word").limit(most).collect()])
+    return chosen
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 50) -> np.ndarray:
+    """Intercept and weights of the least mean log-loss plus half the penalty times the weights' squares, by damped Newton steps."""
+    if y.min() == y.max():
+        return np.r_[50.0 if y[0] else -50.0, np.zeros(x.shape[1])]
+    x = np.c_[np.ones(len(x)), x]
+    ridge = np.full(x.shape[1], penalty)
+    ridge[0] = 1e-9
+    loss = lambda w: np.logaddexp(0, x @ w).mean() - (y * (x @ w)).mean() + (ridge * w * w).sum() / 2
+    w, now = np.zeros(x.shape[1]), np.log(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge), x.T @ (p - y) / len(y) + ridge * w)
+        size = 1.0
+        while size > 1e-6 and (new := loss(w - size * step)) > now:
+            size /= 2
+        if size <= 1e-6 or now - new < 1e-10:
+            break
+        w, now = w - size * step, new
+    return w
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which on the F1 of y is greatest: half way to the next smaller probability; 0.5 without labels of both kinds."""
+    if y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    last = np.r_[p[1:] != p[:-1], True]  # rows of one probability fall together
+    f1 = np.where(last, 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum()), -1)
+    i = int(np.argmax(f1))
+    return float((p[i] + (p[i + 1] if i + 1 < len(p) else 0.0)) / 2)
+
+
+def chained(x: np.ndarray, y: np.ndarray, fold: np.ndarray, own: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Weights per category over all columns of x and the earlier probabilities, and the out-of-fold probabilities.
+
+    own: for each fold, and last for the final models, the columns of x that its models may use.
+    """
+
+    def fit(rows: np.ndarray, columns: np.ndarray, before: np.ndarray, i: int) -> np.ndarray:
+        got = logistic(np.c_[x[rows][:, columns], before[rows]], y[rows, i])
+        full = np.zeros(1 + x.shape[1] + before.shape[1])
+        full[0], full[1 + columns], full[1 + x.shape[1] :] = got[0], got[1 : 1 + len(columns)], got[1 + len(columns) :]
+        return full
+
+    out, weights = np.zeros(y.shape), []
+    for i in range(y.shape[1]):
+        before = out[:, :i]
+        for f in np.unique(fold):
+            rest = fold != f
+            w = fit(rest, own[f], before, i) if rest.any() else np.zeros(1 + x.shape[1] + i)
+            held = ~rest
+            out[held, i] = 1 / (1 + np.exp(-np.clip(w[0] + np.c_[x[held], before[held]] @ w[1:], -500, 500)))
+        weights.append(fit(np.ones(len(y), bool), own[-1], before, i))
+    return weights, out
 
 
 def fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = SAMPLE, folds: int = FOLDS) -> Chain:
@@ -133,25 +177,26 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATE
     judged = judged.select("doc_id", *[F.expr(x).cast("int").alias(c) for c, x in categories.items()]).dropna()
     some = bounded_sample(judged, ["doc_id"], sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int"))
     # at most sample rows of a few numbers: a proven bound for the broadcast
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "fold", *names, "text"), "labelled")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    one = texts.groupBy("doc_id", "fold", *names).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = written(one, "labelled")
     if rows.isEmpty():
-        return Chain(names, {}, [np.r_[-50.0, np.zeros(i)] for i in range(len(names))])
-    words = {w: i for i, w in enumerate(chosen_words(rows, names))}
-    schema = "doc_id bigint, fold int, " + ", ".join(f"{c} int" for c in names) + ", x array<double>"
-    train = written(rows.mapInArrow(_presence(words), schema).coalesce(4), "train")
-    chain = Chain(names, words)
-    for i, name in enumerate(names):
-        before = names[:i]
-        chain.weights.append(_fit(train, name, before, len(words)))
-        if i + 1 < len(names):
-            out = F.lit(None).cast("double")
-            for f in range(folds):
-                out = F.when(F.col("fold") == f, _predicted(_fit(train.where(F.col("fold") != f), name, before, len(words)), before)).otherwise(out)
-            train = written(train.withColumn(f"p_{name}", out), "train")
-    return chain
+        return Chain(names, {}, [np.r_[-50.0, np.zeros(i)] for i in range(len(names))], [0.5] * len(names))
+    chosen = chosen_words(rows, names, folds)
+    words = {w: i for i, w in enumerate(sorted(set().union(*chosen)))}
+    schema = "doc_id bigint, fold int, " + ", ".join(f"{c} int" for c in names) + ", bits binary"
+    got = rows.mapInArrow(_presence(words), schema).toArrow().sort_by("doc_id")  # sample rows of a bit per word at most
+    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in got["bits"].to_pylist()]).reshape(got.num_rows, -1), axis=1, count=len(words)).astype(float) if words else np.zeros((got.num_rows, 0))
+    y = np.array([got[c].to_numpy() for c in names], float).T
+    weights, out = chained(x, y, got["fold"].to_numpy(), [np.array(sorted(words[w] for w in c), int) for c in chosen])
+    kept = np.array(sorted(words[w] for w in chosen[-1]), int)  # the final models use the words of all rows only
+    ordered = sorted(words)
+    columns = np.r_[0, 1 + kept]
+    final = [np.r_[w[columns], w[1 + len(words) :]] for w in weights]
+    return Chain(names, {ordered[j]: i for i, j in enumerate(kept.tolist())}, final, [best_threshold(out[:, i], y[:, i]) for i in range(len(names))])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    df = fitted(docs, table(spark, sf_dir, "labels")).scored(docs)
-    return df.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
+    chain = fitted(docs, table(spark, sf_dir, "labels"))
+    return chain.scored(docs).withColumn("toxic", F.col("p_toxic") >= chain.thresholds[chain.names.index("toxic")])
