@@ -12,7 +12,7 @@ its 16-byte grams), which depends on the window's content only, so all copies of
    parts of bounded size; the parts' sorted windows are merged by binary search.
 4. The byte ranges go back to the chunks, which drop what is covered.
 
-Shards are as many as the text needs, equal segments and hashes of a chunk travel once, and rows are packed arrays,
+Shards are as many as the text needs, each is a task of its own, equal segments and hashes of a chunk travel once, and rows are packed arrays,
 so a string in a third of all documents costs its shard a few bytes for each place.
 
 Defined cases: null and empty texts have 0 bytes and the hash of nothing; texts under 50 bytes are kept; strings are
@@ -140,6 +140,12 @@ def _keys(h: np.ndarray, shards: int) -> np.ndarray:
     return shard << np.uint64(31) | x & np.uint64((1 << 31) - 1)
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a rising array and where each one's run begins; the array's length ends the last one."""
+    begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[begin].astype(np.int64), np.r_[begin, len(x)]
+
+
 def _sent_hashes(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +160,9 @@ def _sent_hashes(shards: int):
                 many = row[first] != row[last] if len(keys) else np.zeros(0, bool)
                 own = keys[first]
                 values = ((own << np.uint64(1)) | many.astype(np.uint64)).astype("<u4")  # the shard's bits fall off
-                cuts = np.searchsorted(own >> np.uint64(31), np.arange(shards + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(cuts))
+                full, cuts = _runs(own >> np.uint64(31))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(full), number), pa.int64()), pa.array(full, pa.int64()), pa.array([values[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())],
+                    [pa.array(np.full(len(full), number), pa.int64()), pa.array(full, pa.int64()), pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
                     names=["chunk_id", "shard", "keys"],
                 )
 
@@ -228,12 +233,12 @@ def _sent_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if not len(a) or not answers:
                 continue
             kinds, inverse = np.unique(_keys(h, shards), return_inverse=True)
-            counts = np.bincount((kinds >> np.uint64(31)).astype(np.int64), minlength=shards)
-            starts = np.cumsum(counts) - counts
+            full, cuts = _runs(kinds >> np.uint64(31))
+            asked = dict(zip(full.tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
             some = np.zeros(len(kinds), bool)
             for x in answers:
-                s = x["shard"]
-                some[starts[s] : starts[s] + counts[s]] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=counts[s]).astype(bool)
+                i, j = asked[x["shard"]]
+                some[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i).astype(bool)
             pick = np.flatnonzero(some[inverse])
             if not len(pick):
                 continue
@@ -246,9 +251,8 @@ def _sent_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             place = np.cumsum(own) - 1
             names, docs = [], ids[row]
             bodies = []
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                i, j = cuts[s], cuts[s + 1]
+            full, cuts = _runs(shard)
+            for s, i, j in zip(full.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 mine = np.flatnonzero(own[i:j]) + i
                 bodies.append(_pack(size[mine].astype("u1"), _gathered(data, a[mine], size[mine]), (place[of[i:j]] - place[i]).astype("<u4"), a[i:j].astype("<i8"), docs[i:j].astype("<i8")))
                 names.append(s)
@@ -430,6 +434,17 @@ def _kept(with_text: bool):
     return run
 
 
+def _of_shard(work):
+    """work on all rows of a task, which are those of one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            yield from work(pa.Table.from_batches(rows)).to_batches()
+
+    return run
+
+
 def deduped(docs: DataFrame, with_text: bool = False, shards: int | None = None) -> DataFrame:
     """Per document its bytes, removed bytes, maximal removed runs and the hash of what is kept (and with_text, the bytes kept)."""
     spark = docs.sparkSession
@@ -437,11 +452,11 @@ def deduped(docs: DataFrame, with_text: bool = False, shards: int | None = None)
     total = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     shards = shards or max(2 * tasks(spark), -(-total // SHARD))
     hashes = chunks.select("chunk_id", "body").mapInArrow(_sent_hashes(shards), "chunk_id bigint, shard bigint, keys binary")
-    bits = hashes.groupBy("shard").applyInArrow(_repeated, "chunk_id bigint, shard bigint, bits binary")
+    bits = hashes.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_of_shard(_repeated), "chunk_id bigint, shard bigint, bits binary")
     answers = bits.groupBy("chunk_id").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
     asked = chunks.select("chunk_id", "body").join(answers.hint("merge"), "chunk_id").select("body", "chunk_id", "answers", F.lit(shards).alias("shards"))
     parts = asked.mapInArrow(_sent_segments, "chunk_id bigint, shard bigint, body binary")
-    ranges = parts.groupBy("shard").applyInArrow(_ranges, "chunk_id bigint, ranges binary")
+    ranges = parts.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_of_shard(_ranges), "chunk_id bigint, ranges binary")
     gone = ranges.groupBy("chunk_id").agg(F.collect_list("ranges").alias("ranges"))
     back = chunks.select("chunk_id", "body").join(gone.hint("merge"), "chunk_id", "left").select("body", "ranges")
     return back.mapInArrow(_kept(with_text), RESULT + (", kept binary" if with_text else ""))
