@@ -60,3 +60,33 @@ def leaks(docs, items, width=5, share=0.8):
 
     held = [(i, s) for i, t in items if (s := shingles(t))]
     return {(d, i) for d, t in docs for ds in [shingles(t)] for i, s in held if len(s & ds) >= share * len(s) - 1e-9}
+
+
+def without_passages(rows, roll=2):
+    """{doc_id: text} without the repeated windows of lines that hold a word, by a dictionary of all windows."""
+    first, out = {}, {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        lines = (t or "").split("\n")
+        held = [i for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for at in range(len(held) - roll + 1):
+            e, j = first.setdefault(tuple(lines[i] for i in held[at : at + roll]), (d, at))
+            if e != d or at > j + roll - 1:
+                gone |= set(range(held[at], held[at + roll] if at + roll < len(held) else len(lines)))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def host_and_path(url):
+    rest = (url or "").split("://", 1)
+    if len(rest) < 2:
+        return "", ""
+    host = re.split("[/?#]", rest[1], maxsplit=1)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.split("[?#]", rest[1][len(host) :], maxsplit=1)[0]
+
+
+def url_rule(url, rules):
+    """The longest of the rules ("host/path": verdict) that fits a URL, or null."""
+    host, path = host_and_path(url)
+    fits = [r for r in rules if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    return max(fits, key=len, default=None)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import rows_of
+from tests.llm import brute
 
 from weftline.llm import licenses, linededup, packing, quality, toxicity
 from weftline.llm.queries import ORACLES, QUERIES
@@ -41,6 +42,14 @@ def test_quality_keeps_other_columns(odd, empty):
     assert quality.kept(empty).count() == 0
 
 
+def test_stop_words_count_for_latin_letters_only(spark):
+    russian = " ".join("текст" + "абвгдежзик"[i // 10] + "лмнопрстуф"[i % 10] for i in range(80))
+    shouted = " ".join(f"{w} word{chr(97 + i % 26)}{i}" for i, w in enumerate(["The,", "OF.", "«And»", "(to)"] * 20))
+    none = " ".join(f"zorp{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    df = quality.judged(spark.createDataFrame([(1, russian), (2, shouted), (3, none)], "doc_id long, text string"))
+    assert {r.doc_id: (r.kept, r.failed_rules) for r in df.collect()} == {1: (True, []), 2: (True, []), 3: (False, ["stop_word_ratio"])}
+
+
 def test_repeated_windows(spark):
     text = "a b c d e a b c d e x"  # the window a-e twice: ten words in it
     assert quality.counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["n_repeat_words"] == 10
@@ -57,21 +66,11 @@ def test_line_dedup_keeps_first_and_other_columns(spark, odd, empty):
     assert linededup.deduped(empty).count() == 0
     text = "\n".join(f"line number {i}" for i in range(40))
     two = linededup.deduped(spark.createDataFrame([(2, text), (1, text), (3, "x\n" + text)], "doc_id long, text string"))
-    left = {r.doc_id: r.text for r in two.collect()}
-    assert left[1] == text and left[2] == "" and len(left[3]) < len(text) / 2
+    assert {r.doc_id: (r.text, r.n_removed_chunks) for r in two.collect()} == {1: (text, 0), 2: ("", 1), 3: ("x", 1)}
 
 
-def without_pairs(rows):
-    """{doc_id: text} without the repeated pairs of lines, by a dictionary of all pairs."""
-    first, out = {}, {}
-    for d, t in sorted(rows, key=lambda r: r[0]):
-        lines, gone = (t or "").split("\n"), set()
-        for i, pair in enumerate(zip(lines, lines[1:])):
-            e, j = first.setdefault(pair, (d, i))
-            if e != d or i > j + 1:
-                gone |= {i, i + 1}
-        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    return out
+def deduped_texts(docs, **options):
+    return {r.doc_id: r.text for r in linededup.deduped(docs, **options).collect()}
 
 
 def test_planted_passages_go_wherever_they_begin(spark):
@@ -82,26 +81,39 @@ def test_planted_passages_go_wherever_they_begin(spark):
             around = [f"own line {c} {p} {i}" for i in range(2 + (p + c) % 5)]
             at = (p * (c + 1)) % (len(around) + 1)
             rows.append((len(rows), "\n".join(around[:at] + lines + around[at:])))
-    df = linededup.without_passages(spark.createDataFrame(rows, "doc_id long, text string"))
-    left = {r.doc_id: r.text for r in df.collect()}
+    left = deduped_texts(spark.createDataFrame(rows, "doc_id long, text string"))
     for doc, text in rows:
         kept = [x for x in text.split("\n") if doc < len(passages) or not x.startswith("passage")]
         assert left[doc] == "\n".join(kept)
 
 
-def test_passages_of_odd_rows(spark, data, odd, odd_rows, empty):
-    df = linededup.without_passages(odd)
-    assert set(odd.columns) <= set(df.columns) and linededup.without_passages(empty).count() == 0
-    assert {r.doc_id: r.text for r in df.collect()} == without_pairs(odd_rows)
-    runs = [(1, "a\na"), (2, "b\nb\nb"), (3, "c\nc\nc\nc\nc"), (4, None), (5, "x\na\na\ny")]
-    assert without_pairs(runs) == {1: "a\na", 2: "b\nb\nb", 3: "c\nc", 4: "", 5: "x\ny"}
-    assert {r.doc_id: r.text for r in linededup.without_passages(spark.createDataFrame(runs, "doc_id long, text string")).collect()} == without_pairs(runs)
+def test_passages_of_odd_rows(spark, data, odd, odd_rows):
+    assert deduped_texts(odd) == brute.without_passages(odd_rows)
+    runs = [(1, "a\na"), (2, "b\nb\nb"), (3, "c\nc\nc\nc\nc"), (4, None), (5, "x\n\na\n \na\n\ny"), (6, "\n\n\n"), (7, "\n\n"), (8, "q\n\na")]
+    want = {1: "a\na", 2: "b\nb\nb", 3: "c\nc", 4: "", 5: "x\n\ny", 6: "\n\n\n", 7: "\n\n", 8: "q\n\na"}
+    assert brute.without_passages(runs) == want and deduped_texts(spark.createDataFrame(runs, "doc_id long, text string")) == want
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    assert {r.doc_id: r.text for r in linededup.without_passages(docs).collect()} == without_pairs([(r.doc_id, r.text) for r in docs.collect()])
+    assert deduped_texts(docs) == brute.without_passages([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_the_rolling_hash_sets_the_boundaries(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\nb\nc\ny\na\nb\nc\nd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert deduped_texts(docs, roll=2)[2] == "x\ny" and deduped_texts(docs, roll=3)[2] == "x\nb\nc\ny" and deduped_texts(docs, roll=5)[2] == rows[1][1]
+    hashes = docs.select(linededup.rolling_hashes(F.split("text", "\n"), F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1)).alias("h")).collect()
+    one, two = hashes[0].h, hashes[1].h
+    assert len(one) == 3 and two[1] == one[1] and two[4:] == one and len(set(one)) == 3
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    shared, own = "\n".join(f"shared line {i}" for i in range(6)), "\n".join(f"line of its own {i}" for i in range(12))
+    docs = spark.createDataFrame([(1, shared), (2, shared), (2, own), (None, shared), (3, "x\n" + own)], "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in linededup.deduped(docs).collect()]
+    assert sorted(left, key=repr) == sorted([(1, shared), (2, ""), (2, own), (None, shared), (3, "x")], key=repr)
 
 
 def test_pipeline_removes_short_passages(spark, data):
-    """Two lines between others: chunk boundaries seldom fall on both of their ends."""
+    """Two lines between others."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, f"first {i}\nshared line\nand its next\nlast {i}", "en", "s", 0) for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -185,6 +197,41 @@ def test_licenses_wrapped_over_lines(spark):
     assert [r.licenses for r in licenses.scanned(spark.createDataFrame(list(enumerate(cut)), "doc_id long, text string")).orderBy("doc_id").collect()] == [[], [], []]
 
 
+BSD3 = BSD + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+HEADS = (
+    ("                                 Apache License\n                           Version 2.0, January 2004\n", "Apache-2.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL-3.0-only"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", "GPL-2.0-only"),
+    ("                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "LGPL-3.0-only"),
+    ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n", "LGPL-2.1-only"),
+    ("Mozilla Public License Version 2.0\n==================================\n", "MPL-2.0"),
+    ("Attribution-ShareAlike 4.0 International\n", "CC-BY-SA-4.0"),
+    ("# SPDX-License-Identifier: MIT\n", "MIT"),
+)
+
+
+def test_rules_use_up_their_identifiers_longest_first(spark):
+    other = BSD3.replace("Neither the name of the copyright holder nor the names of its\n   contributors", "The name of the author").replace("may be used", "may not be used")
+    texts = [BSD3, BSD3 + "\n" + BSD, BSD, other, *[h for h, _ in HEADS]]
+    got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [["BSD-3-Clause"], ["BSD-2-Clause", "BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-3-Clause"], *[[x] for _, x in HEADS]]
+
+
+def test_own_sentences_and_rules(spark):
+    docs = spark.createDataFrame([(1, "Hello. You owe me\na beer. And a coke."), (2, "You owe me a beer")], "doc_id long, text string")
+    got = licenses.scanned(docs, sentences={"beer": "you owe me a beer", "coke": "and a coke"}, rules=(("Beerware", ("beer",)), ("Drinks", ("beer", "coke"))))
+    assert {r.doc_id: r.licenses for r in got.collect()} == {1: ["Drinks"], 2: ["Beerware"]}
+
+
+def test_license_texts_and_their_sql(spark, tmp_path):
+    texts = [APACHE, MIT, BSD, BSD3, BSD3 + BSD, "x. " + MIT + "\nThis work is licensed under the GNU General Public License, version 3.", None, "", *[h for h, _ in HEADS]]
+    got, want = on_odd(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path, licenses, ["doc_id", "n_sentences", "sentence_ids", "licenses"])
+    assert rows_of(got) == rows_of(want) and (got["licenses"] != "").sum() == len(texts) - 2
+
+
 def check_packing(pieces, rows, tokens):
     by_doc, by_seq = {}, {}
     for p in pieces:
@@ -229,15 +276,31 @@ def test_added_tokens_inside_texts(spark):
     check_packing(packing.packed(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, lambda t: tok.encode(t, add_special_tokens=False).ids)
 
 
+def test_packing_query_has_the_ids_of_the_tokenizers_file(spark, data):
+    """Every piece of the whole table, through the registered query."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    check_packing(QUERIES["op3_packing"](spark, data).collect(), rows, lambda t: tok.encode(t, add_special_tokens=False).ids)
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(2)
-    for n in (1, 3, 50, 512):
-        sizes = rng.integers(1, 257, n).tolist()
+    for low, high, n in ((1, 257, 1), (1, 257, 3), (1, 257, 512), (1, 1025, 50), (500, 1025, 512), (1024, 1025, 7)):
+        sizes = rng.integers(low, high, n).tolist()
         w = packing.windows(sizes)
-        loads = [sum(sizes[i] for i in x) for x in w]
-        assert sorted(i for x in w for i in x) == list(range(n)) and max(loads) <= packing.CAPACITY
+        loads = [sum(length for _, _, length in x) for x in w]
+        at = [0] * n
+        for item, start, length in sorted(p for x in w for p in x):
+            assert start == at[item] and length > 0
+            at[item] += length
+        assert at == sizes and max(loads) <= packing.CAPACITY
+        pieces = sum(len(x) for x in w)
         if n == 512:
-            assert max(loads) - min(loads) < 40 and len(w) <= -(-sum(sizes) // packing.CAPACITY) + 2
+            assert len(w) <= (1 + 2 / packing.SLACK) * -(-sum(sizes) // packing.CAPACITY) + 1 and pieces < 2 * n
+            assert high > 257 or (max(loads) - min(loads) < 40 and pieces == n)  # nothing is cut without need
     assert packing.windows([]) == []
     with pytest.raises(ValueError):
         packing.windows([2000])
@@ -246,7 +309,7 @@ def test_differencing_is_near_equal():
 def test_padding_is_little(spark, data):
     p = packing.packed(spark.read.parquet(f"{data}/documents.parquet").coalesce(1))
     n, s = p.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
-    assert n / (s * packing.CAPACITY) > 0.98
+    assert n / (s * packing.CAPACITY) > 0.99
 
 
 def test_toxicity_held_out(spark):
@@ -263,14 +326,74 @@ def test_toxicity_held_out(spark):
         labels.append((i, 1 - low, toxic))
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     chain = toxicity.fitted(docs, known.where("doc_id < 600"))
-    assert chain.names == ["toxic", "low_quality", "toxic_low_quality"] and len(chain.weights[2]) == 1 + len(chain.words) + 2
+    assert chain.names == ["low_quality", "toxic"] and [len(w) for w in chain.weights] == [1 + len(chain.words), 2 + len(chain.words)]
     got = chain.scored(docs.where("doc_id >= 600")).join(known, "doc_id").collect()
-    assert all((r.p_toxic >= toxicity.THRESHOLD) == bool(r.toxic) for r in got)
-    assert all((r.p_low_quality >= 0.5) == (r.quality == 0) for r in got)
+    low, high = chain.thresholds
+    assert all((r.p_toxic >= high) == bool(r.toxic) for r in got)
+    assert all((r.p_low_quality >= low) == (r.quality == 0) for r in got)
+
+
+def test_logistic_is_the_least_loss():
+    """Against long plain gradient descent on the same loss."""
+    rng = np.random.default_rng(0)
+    x = (rng.random((300, 4)) < 0.4).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [2, -1, 0, 1] - 0.5)))).astype(float)
+    got, w, b = toxicity.logistic(x, y, 0.01), np.zeros(4), 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        w, b = w - 0.5 * (x.T @ (p - y) / 300 + 0.01 * w), b - 0.5 * (p - y).mean()
+    assert np.allclose(got, [b, *w], atol=1e-4)
+    assert toxicity.logistic(x, np.ones(300))[0] > 20 and toxicity.logistic(x, np.zeros(300))[0] < -20
+
+
+def test_chain_feeds_out_of_fold_probabilities():
+    rng = np.random.default_rng(1)
+    x = (rng.random((240, 5)) < 0.5).astype(float)
+    y = np.c_[x[:, 0] * (rng.random(240) < 0.8), x[:, 1] * (rng.random(240) < 0.8)].astype(float)
+    fold, own = np.arange(240) % 3, [np.array([0, 1, 2]), np.array([0, 1, 3]), np.array([1, 4]), np.arange(5)]
+    weights, out = toxicity.chained(x, y, fold, own)
+    sure = lambda z: 1 / (1 + np.exp(-z))
+    for f in range(3):
+        rest = fold != f
+        w = toxicity.logistic(x[rest][:, own[f]], y[rest, 0])
+        assert np.allclose(out[~rest, 0], sure(w[0] + x[~rest][:, own[f]] @ w[1:]))
+        w = toxicity.logistic(np.c_[x[rest][:, own[f]], out[rest, 0]], y[rest, 1])
+        assert np.allclose(out[~rest, 1], sure(w[0] + np.c_[x[~rest][:, own[f]], out[~rest, 0]] @ w[1:]))
+    last = toxicity.logistic(np.c_[x, out[:, 0]], y[:, 1])
+    assert np.allclose(weights[1], last) and len(weights[0]) == 6
+    chain = toxicity.Chain(["a", "b"], {c: i for i, c in enumerate("vwxyz")}, weights)
+    first = sure(weights[0][0] + weights[0][1] + weights[0][3])
+    assert np.allclose(chain.probabilities({"v", "x", "other"}), [first, sure(last[0] + last[1] + last[3] + last[6] * first)])
+
+
+def test_threshold_of_best_f1():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        y = (rng.random(30) < 0.3).astype(float)
+        p = np.round(np.clip(0.4 * y + 0.6 * rng.random(30), 0, 1), 1)
+        f1 = lambda t: 2 * (y * (p >= t)).sum() / ((p >= t).sum() + y.sum())
+        if 0 < y.sum() < 30:
+            assert f1(toxicity.best_threshold(p, y)) == pytest.approx(max(f1(t) for t in np.arange(0.0, 1.01, 0.05) + 1e-9))
+
+
+def test_toxicity_query_is_its_chain_and_holds_out(spark, data):
+    """Every score of the registered query is the fitted chain's; labels that the fit didn't see are mostly met."""
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    chain = toxicity.fitted(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, data).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        assert np.allclose([got[d].p_low_quality, got[d].p_toxic], chain.probabilities(toxicity.words_of(t))) and got[d].toxic == (got[d].p_toxic >= chain.thresholds[1])
+    part = toxicity.fitted(docs, labels.where("doc_id % 4 <> 0"))
+    seen = part.scored(docs).join(labels.where("doc_id % 4 = 0 and toxic is not null"), "doc_id").collect()
+    assert len(seen) > 10 and sum((r.p_toxic >= part.thresholds[1]) == (r.toxic == 1) for r in seen) / len(seen) > 0.9
 
 
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(100, 1, 0), (101, None, 1), (999, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.fitted(odd, labels).scored(odd).count() == odd.count()
+    shared = spark.createDataFrame([(1, "a b c"), (1, "d e f"), (2, "g")], "doc_id long, text string")
+    assert toxicity.fitted(shared, spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")).scored(shared).count() == 3
     none = toxicity.fitted(odd, labels.limit(0))
     assert none.scored(odd).where("p_toxic > 0.01").count() == 0 and none.scored(empty).count() == 0

@@ -18,22 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset and gets a fresh folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def _intermediates(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to shared storage and read back: cuts the lineage and survives lost executors."""
+    """df written to shared storage and read back: cuts the lineage and survives lost executors. See clear."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_intermediates(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes what this application's operators have written; for when their results are stored, as results read it."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_intermediates(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of partitions for explicit repartitions, as configured for the session's data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
