@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators, each on all that the one before kept, with its decisions in effect."""
+"""A corpus pipeline of five operators, each on all that the one before kept, with its decisions in effect.
+
+Defined cases: a null or empty text has too few words and goes in the first stage; other columns may be null; a document of
+which line dedup leaves no word goes; rows that share a doc_id but not the text are judged each by its own text; repeated rows
+stay or go together; columns beyond those of documents are dropped; an empty table gives an empty one in every stage.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of lines that occur before; one of which no word is left goes. n_chars counts the text left."""
-    left = linededup.without_passages(docs.select(*COLUMNS))
+    """Documents without the chunks of lines that occur before; one of which no word is left goes. n_chars counts the text left."""
+    left = linededup.deduped(docs.select(*COLUMNS))
     some = (F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return where_computed(left, some).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
