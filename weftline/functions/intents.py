@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.text import norm_title_ascii
+
 #: Keys that vary for one and the same intent, query kinds, and flat filter fields.
 VOLATILE = ("raw_query", "_is_single_entity", "_expanded_queries", "query_type")
 QUERY_TYPES = ("details", "list", "search", "compare", "collection", "comparison", "discovery")
 FLAT_FILTERS = ("year", "language", "genre", "director", "actor", "min_rating", "country")
+#: Languages and their codes in URLs.
+URL_LANGUAGES = {
+    "hindi": "hi", "english": "en", "tamil": "ta", "telugu": "te", "malayalam": "ml", "kannada": "kn", "bengali": "bn", "marathi": "mr", "french": "fr", "spanish": "es", "german": "de", "japanese": "ja", "korean": "ko", "chinese": "zh",
+}
 CONSTRAINTS = ("title", "titles", "year", "year_range", "language", "genre", "genres", "director", "actor", "sort_by")
 
 
@@ -149,6 +155,17 @@ def is_multi_item(cap: Column, plan: Column, query_type: Column) -> Column:
     return many & ~plan["strategy"].isin("entity_detail_lookup")
 
 
+def url_matches_intent(url: Column, intent: Column, entity_title: Column) -> Column:
+    """Whether a cached URL serves an intent: equal titles where both are known, and year and language (name or code) in the URL."""
+    low = F.lower(url)
+    year, language = F.nullif(get(intent, "year"), F.lit("")), _low(get(intent, "language"), get(intent, "filters.language"))
+    codes = F.create_map(*[F.lit(x) for pair in URL_LANGUAGES.items() for x in pair])
+    title = F.nullif(get(intent, "title"), F.lit(""))
+    same = F.nullif(entity_title, F.lit("")).isNull() | title.isNull() | (norm_title_ascii(title) == norm_title_ascii(entity_title))
+    spoken = language.isNull() | F.contains(low, language) | F.contains(low, F.coalesce(codes[language], language))
+    return same & (year.isNull() | F.contains(low, F.lower(year))) & spoken
+
+
 def cache_row_ok(request: Column, cached: Column, wanted_sites: Column, source_sites: Column) -> Column:
     """Whether a cached row serves a request: same year or none on both sides, no other language, a site in common."""
     ly, lc = intent_language(request), intent_language(cached)

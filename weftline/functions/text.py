@@ -80,6 +80,11 @@ def norm_rating(c: Column) -> Column:
     return F.when(of_ten != "", of_ten.try_cast("double").cast("string")).when(bare <= 10, bare.cast("string")).otherwise(c)
 
 
+def trim_fields(fields: Column, keys: tuple[str, ...] = ("title", "director")) -> Column:
+    """A map<string,string> with the values of the keys trimmed."""
+    return F.transform_values(fields, lambda k, v: F.when(k.isin(*keys), F.trim(v)).otherwise(v))
+
+
 def preview(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
 

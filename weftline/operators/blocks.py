@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.dom import subtree_text
+from weftline.operators.dom import subtree_text, within
 from weftline.sources.tables import stored
 
 #: Words that attributes of a field's element may hold.
@@ -25,68 +25,74 @@ SYNONYMS = {
 HEADINGS, SEMANTIC = ("h1", "h2", "h3", "h4"), ("section", "article", "aside", "main", "nav", "footer")
 
 
-def _lines(df: DataFrame, keys: list[str], order: str, value: str, most: int) -> DataFrame:
-    """One text per key: the first values in order, a line each."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    kept = df.withColumn("_n", place).where(F.col("_n") <= most)
+def _lines(df: DataFrame, keys: list[str], order: str, value: str, most: int | None) -> DataFrame:
+    """One text per key: the first values in order (most, or all), a line each."""
+    kept = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    kept = kept if most is None else kept.where(F.col("_n") <= most)
     return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v")))), lambda x: x["v"]), "\n").alias("text"), F.min(order).alias("ord"))
 
 
-def _first(df: DataFrame, most: int) -> DataFrame:
-    """The first nodes of each page."""
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")) - 1).where(F.col("_i") < most)
+def _numbered(df: DataFrame, most: int | None) -> DataFrame:
+    """The first nodes of each page (most, or all), numbered from 0."""
+    df = df.withColumn("_i", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")) - 1)
+    return df if most is None else df.where(F.col("_i") < most)
 
 
-def heading_blocks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """section:<heading> with the texts of the siblings up to the next heading (15 lines)."""
+def heading_blocks(nodes: DataFrame, texts: DataFrame, lines: int | None = None) -> DataFrame:
+    """section:<heading> with the texts of the siblings up to the next heading."""
     w = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
     is_head = F.col("tag").isin(*HEADINGS)
     under = nodes.withColumn("head", F.last(F.when(is_head, F.col("node_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     named = texts.select("page_id", F.col("node_id").alias("head"), F.col("text").alias("title")).where("length(title) <= 120")
     content = under.where(~is_head & F.col("head").isNotNull()).join(texts.hint("merge"), ["page_id", "node_id"]).where("length(text) > 2").select("page_id", "head", "node_id", "text")
     joined = content.join(named.hint("merge"), ["page_id", "head"])
-    return _lines(joined, ["page_id", "head", "title"], "node_id", "text", 15).select("page_id", F.concat(F.lit("section:"), "title").alias("key"), "ord", "text")
+    return _lines(joined, ["page_id", "head", "title"], "node_id", "text", lines).select("page_id", F.concat(F.lit("section:"), "title").alias("key"), "ord", "text")
 
 
-def table_blocks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """table:<i> with a line per row, cells parted by bars (10 tables, 50 rows)."""
-    tables = _first(nodes.where("tag = 'table'"), 10).select("page_id", F.col("node_id").alias("t"), F.col("subtree_end").alias("t_end"), "_i")
-    rows = nodes.where("tag = 'tr'").select("page_id", F.col("node_id").alias("r"), F.col("subtree_end").alias("r_end"))
-    cells = nodes.where("tag in ('td', 'th')").join(texts.hint("merge"), ["page_id", "node_id"], "left").select("page_id", "node_id", F.coalesce("text", F.lit("")).alias("cell"))
-    inside = tables.join(rows.hint("merge"), "page_id").where("r > t and r <= t_end").join(cells.hint("merge"), "page_id").where("node_id > r and node_id <= r_end")
+def table_blocks(nodes: DataFrame, texts: DataFrame, most: int | None = None, rows_of_each: int | None = None) -> DataFrame:
+    """table:<i> with a line per row, cells parted by bars."""
+    tables = _numbered(nodes.where("tag = 'table'"), most).select("page_id", F.col("node_id").alias("head"), "_i")
+    rows = within(nodes.where("tag = 'tr'"), F.col("node_id").alias("r")).join(tables.hint("merge"), ["page_id", "head"]).select("page_id", "_i", "r")
+    cells = nodes.where("tag in ('td', 'th')").join(texts.hint("merge"), ["page_id", "node_id"], "left").withColumn("cell", F.coalesce("text", F.lit("")))
+    inside = rows.join(within(cells, "node_id", "cell").withColumnRenamed("head", "r").hint("merge"), ["page_id", "r"])
     lines = inside.groupBy("page_id", "_i", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "cell"))), lambda x: x["cell"]), " | ").alias("line"))
-    return _lines(lines, ["page_id", "_i"], "r", "line", 50).select("page_id", F.concat(F.lit("table:"), F.col("_i").cast("string")).alias("key"), "ord", "text")
+    return _lines(lines, ["page_id", "_i"], "r", "line", rows_of_each).select("page_id", F.concat(F.lit("table:"), F.col("_i").cast("string")).alias("key"), "ord", "text")
 
 
-def deflist_blocks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """deflist:<i> with label: value lines (10 lists)."""
-    lists = _first(nodes.where("tag = 'dl'"), 10).select("page_id", F.col("node_id").alias("parent_id"), "_i")
+def deflist_blocks(nodes: DataFrame, texts: DataFrame, most: int | None = None) -> DataFrame:
+    """deflist:<i> with label: value lines."""
+    lists = _numbered(nodes.where("tag = 'dl'"), most).select("page_id", F.col("node_id").alias("parent_id"), "_i")
     items = nodes.where("tag in ('dt', 'dd')").join(lists.hint("merge"), ["page_id", "parent_id"]).join(texts.hint("merge"), ["page_id", "node_id"], "left")
     w = Window.partitionBy("page_id", "parent_id").orderBy("node_id").rowsBetween(1, Window.unboundedFollowing)
     pairs = items.withColumn("value", F.first(F.when(F.col("tag") == "dd", F.col("text")), ignorenulls=True).over(w)).where("tag = 'dt' and text <> '' and value <> ''")
-    return _lines(pairs.withColumn("line", F.concat_ws(": ", "text", "value")), ["page_id", "_i"], "node_id", "line", 1000).select("page_id", F.concat(F.lit("deflist:"), F.col("_i").cast("string")).alias("key"), "ord", "text")
+    return _lines(pairs.withColumn("line", F.concat_ws(": ", "text", "value")), ["page_id", "_i"], "node_id", "line", None).select("page_id", F.concat(F.lit("deflist:"), F.col("_i").cast("string")).alias("key"), "ord", "text")
 
 
-def attribute_blocks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """testid:<id> (30) and containers that are semantic or named by id, role or label (10 to 2000 characters, cut at 500)."""
+def attribute_blocks(nodes: DataFrame, texts: DataFrame, ids_of_each: int | None = None, longest: int | None = None) -> DataFrame:
+    """testid:<id> and containers that are semantic or named by id, role or label (10 to 2000 characters)."""
     a = lambda n: F.nullif(F.coalesce(F.col("attrs")[n], F.lit("")), F.lit(""))
     full = nodes.join(texts.hint("merge"), ["page_id", "node_id"]).withColumn("n", F.length("text"))
-    ids = _first(full.where(a("data-testid").isNotNull()), 30).where("n > 5 and n < 500").select("page_id", F.concat(F.lit("testid:"), a("data-testid")).alias("key"), F.col("node_id").alias("ord"), "text")
+    ids = _numbered(full.where(a("data-testid").isNotNull()), ids_of_each).where("n > 5 and n < 500").select("page_id", F.concat(F.lit("testid:"), a("data-testid")).alias("key"), F.col("node_id").alias("ord"), "text")
     named = F.when(a("aria-label").isNotNull(), F.concat("tag", F.lit(":"), a("aria-label"))).when(a("id").isNotNull(), F.concat("tag", F.lit(":"), a("id"))).when(a("role").isNotNull(), F.concat("tag", F.lit("[role="), a("role"), F.lit("]"))).when(F.col("tag").isin(*SEMANTIC), F.col("tag"))
     boxes = full.withColumn("key", F.substring(named, 1, 80)).where("key is not null and n between 10 and 2000").select("page_id", "key", F.col("node_id").alias("ord"), "text")
-    once = boxes.groupBy("page_id", "text").agg(F.min(F.struct("ord", "key")).alias("r")).select("page_id", "r.key", "r.ord", F.substring("text", 1, 500).alias("text"))
+    once = boxes.groupBy("page_id", "text").agg(F.min(F.struct("ord", "key")).alias("r")).select("page_id", "r.key", "r.ord", F.col("text") if longest is None else F.substring("text", 1, longest).alias("text"))
     return ids.withColumn("rank", F.lit(3)).union(once.withColumn("rank", F.lit(4)))
 
 
-def dom_blocks(nodes: DataFrame, most: int = 200) -> DataFrame:
-    """(page_id, key, text): sections, tables, definition lists, then identified containers of a text that is new; the first of a key."""
+def dom_blocks(nodes: DataFrame, most: int | None = None, lines: int | None = None, tables: int | None = None, rows: int | None = None, ids: int | None = None, longest: int | None = None) -> DataFrame:
+    """(page_id, key, text): sections, tables, definition lists, then identified containers of a text that is new; the first of a key.
+
+    Up to most blocks a page, lines a section, tables and lists, rows a table, test ids, and characters of a container; all without.
+    """
     texts = stored(subtree_text(nodes, F.col("depth") >= 0), "texts")
-    kinds = [heading_blocks(nodes, texts), table_blocks(nodes, texts), deflist_blocks(nodes, texts)]
-    ranked = reduce(DataFrame.union, [*(k.select("page_id", "key", "ord", "text").withColumn("rank", F.lit(i)) for i, k in enumerate(kinds)), attribute_blocks(nodes, texts)])
+    kinds = [heading_blocks(nodes, texts, lines), table_blocks(nodes, texts, tables, rows), deflist_blocks(nodes, texts, tables)]
+    ranked = reduce(DataFrame.union, [*(k.select("page_id", "key", "ord", "text").withColumn("rank", F.lit(i)) for i, k in enumerate(kinds)), attribute_blocks(nodes, texts, ids, longest)])
     keyed = ranked.groupBy("page_id", "key").agg(F.min(F.struct("rank", "ord", "text")).alias("r")).select("page_id", "key", "r.*")
     same = F.row_number().over(Window.partitionBy("page_id", "text").orderBy("rank", "ord", "key"))
     once = keyed.withColumn("_same", same).where("rank < 4 or _same = 1")
-    return once.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("rank", "ord", "key"))).where(F.col("_n") <= most).select("page_id", "key", "text")
+    if most is not None:
+        once = once.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("rank", "ord", "key"))).where(F.col("_n") <= most)
+    return once.select("page_id", "key", "text")
 
 
 def selector(tag: Column, attrs: Column) -> Column:

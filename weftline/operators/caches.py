@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.intents import url_matches_intent
+from weftline.sources.tables import stored
+
 
 def fresh(df: DataFrame, as_of: str) -> DataFrame:
     """Rows that are valid and not expired at as_of."""
@@ -35,6 +40,7 @@ def cache_semantic(requests: DataFrame, results: DataFrame) -> DataFrame:
     requests: request_id, filters (canonical text), goal; results: result_id, filters, goal, confidence, created_at.
     """
     best = results.groupBy("filters", "goal").agg(F.max_by(F.struct("result_id", "confidence"), F.struct("confidence", "created_at", "result_id")).alias("r"))
+    best = stored(best, "best_results")  # a plain join, split where many requests ask the same
     return requests.join(best.hint("merge"), ["filters", "goal"], "left").select("request_id", "r.result_id", "r.confidence")
 
 
@@ -54,7 +60,8 @@ def fuzzy_join(left: DataFrame, right: DataFrame, least: float = 0.65, strict: b
     """
     lk, rk = left.select("key").distinct(), right.select("key").distinct()
     all_keys = lk.union(rk).distinct().withColumn("grams", trigrams(F.col("key"))).where(F.size("grams") > 0)
-    freq = all_keys.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    # written first, so that the join is a plain one, which Spark splits where a trigram is frequent
+    freq = stored(all_keys.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")), "trigrams")
     ranked = all_keys.select("key", F.explode("grams").alias("gram")).join(freq.hint("merge"), "gram").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
     ranked = ranked.select("key", F.transform("g", lambda x: x["gram"]).alias("grams"), F.size("g").alias("n"))
     first = ranked.withColumn("prefix", F.slice("grams", 1, F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1))
@@ -95,8 +102,21 @@ def idempotent_action(requests: DataFrame, existing: DataFrame, key: str = "idem
 
 
 def url_cache(requests: DataFrame, patterns: DataFrame, least: float = 0.5, top: int = 5) -> DataFrame:
-    """The first of the top patterns per request by confidence: same domain, site, version and entity title, not blocked."""
+    """The first of the top patterns per request by confidence that passes: same domain, site, version and entity title, not
+    blocked, and a URL that matches the request's intent (JSON text).
+    """
     keys = ["domain", "site", "version", "entity_title"]
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("confidence"), "pattern"))
     hits = requests.join(patterns.where(F.col("confidence") > least).hint("merge"), keys).withColumn("rank", rank).where(F.col("rank") <= top)
-    return hits.where(~F.coalesce("blocked", F.lit(False))).groupBy("request_id").agg(F.min_by(F.struct("pattern", "confidence"), "rank").alias("r")).select("request_id", "r.pattern", "r.confidence")
+    passes = ~F.coalesce("blocked", F.lit(False)) & url_matches_intent(F.col("pattern"), F.col("intent"), F.col("entity_title"))
+    return hits.where(passes).groupBy("request_id").agg(F.min_by(F.struct("pattern", "confidence"), "rank").alias("r")).select("request_id", "r.pattern", "r.confidence")
+
+
+def union_hits(*tiers: DataFrame) -> DataFrame:
+    """The hits of all cache tiers (request_id, site, score), with the number of the tier from 1."""
+    return reduce(DataFrame.unionByName, [t.select("request_id", "site", "score").withColumn("tier", F.lit(i)) for i, t in enumerate(tiers, 1)])
+
+
+def same_version(df: DataFrame, version: str) -> DataFrame:
+    """The rows of a schema version."""
+    return df.where(F.col("schema_version") == version)

@@ -71,3 +71,20 @@ def apply_filters(items: DataFrame, filters: DataFrame) -> DataFrame:
         .when(F.col("op") == ">", x > y).when(F.col("op") == "<", x < y).when(F.col("op") == ">=", x >= y).when(F.col("op") == "<=", x <= y).when(F.col("op") == "between", x.between(y, z))
     )
     return df.groupBy(*[c for c in items.columns if c != "fields"]).agg(F.min(F.coalesce(ok, F.lit(False)).cast("int")).alias("ok"), F.first("fields").alias("fields")).where("ok = 1").drop("ok")
+
+
+def attach_selected(candidates: DataFrame, least: float = 50) -> DataFrame:
+    """The whole candidate row of each request that is selected: the best score of at least least; the earlier ord wins a tie."""
+    cols = [c for c in candidates.columns if c != "request_id"]
+    best = candidates.where(F.col("score") >= least).groupBy("request_id").agg(F.max_by(F.struct(*cols), F.struct("score", -F.col("ord"))).alias("r"))
+    return best.select("request_id", "r.*")
+
+
+def order_by_conf_created(df: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """df with place: per key by falling confidence, then the newest first."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("confidence").desc_nulls_last(), F.col("created_at").desc_nulls_last(), tie)))
+
+
+def order_nulls_last(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """df in rising order of a column, rows without a value last."""
+    return df.orderBy(F.col(column).asc_nulls_last(), *ties)

@@ -1,4 +1,5 @@
-"""Pages as a table of DOM nodes, parsed once; everything after is joins and aggregates on (page_id, node interval)."""
+"""Pages as a table of DOM nodes, parsed once. What lies inside an element is found by equality: nodes carry their ancestors,
+which are exploded and joined on (page_id, node_id), so work is linear in the nodes for a given depth."""
 
 from __future__ import annotations
 
@@ -9,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import stored
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Characters of a page that are parsed.
-PARSE_CAP = 1_000_000
-SCHEMA = "page_id bigint, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, own_text string, subtree_end int"
+SCHEMA = "page_id bigint, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, own_text string, subtree_end int, ancestors array<int>"
 
 
 class _Nodes(HTMLParser):
@@ -25,7 +26,7 @@ class _Nodes(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         n = len(self.nodes)
-        self.nodes.append([n, self.open[-1] if self.open else -1, len(self.open), tag, {k: v or "" for k, v in attrs}, [], n])
+        self.nodes.append([n, self.open[-1] if self.open else -1, len(self.open), tag, {k: v or "" for k, v in attrs}, [], n, list(self.open)])
         if tag not in VOID:
             self.open.append(n)
 
@@ -50,37 +51,47 @@ class _Nodes(HTMLParser):
             self.nodes[self.open[-1]][5].append(data)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
+def _parse(cap: int | None):
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32())]
     names = [x.split()[0] for x in SCHEMA.replace("map<string,string>", "map").split(", ")]
-    for batch in batches:
-        rows = []
-        for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            p = _Nodes()
-            p.feed((html or "")[:PARSE_CAP])
-            p.close()
-            p._close(0)
-            rows += [(page, n, parent, depth, tag, list(attrs.items()), "".join(text), end) for n, parent, depth, tag, attrs, text, end in p.nodes]
-            if len(rows) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                rows = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p = _Nodes()
+                p.feed((html or "")[:cap])
+                p.close()
+                p._close(0)
+                rows += [(page, n, parent, depth, tag, list(attrs.items()), "".join(text), end, above) for n, parent, depth, tag, attrs, text, end, above in p.nodes]
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+    return run
+
+
+def dom_nodes(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """A row per element in document order: node_id, parent_id (-1: none), depth, tag, attrs, own text, the last node of its
+    subtree and its ancestors from the root. cap: characters of a page that are parsed (none: all)."""
+    return pages.select("page_id", "html").mapInArrow(_parse(cap), SCHEMA)
 
-def dom_nodes(pages: DataFrame) -> DataFrame:
-    """A row per element in document order: node_id, parent_id (-1: none), depth, tag, attrs, own text, and the last node of its subtree."""
-    return pages.select("page_id", "html").mapInArrow(_parse, SCHEMA)
+
+def within(nodes: DataFrame, *columns: str | Column) -> DataFrame:
+    """(page_id, head, columns): a row for each node and each element that it lies in, itself included."""
+    return nodes.select("page_id", *columns, F.explode(F.concat("ancestors", F.array("node_id"))).alias("head"))
 
 
 def subtree_text(nodes: DataFrame, heads: Column) -> DataFrame:
     """page_id, node_id and the stripped text parts of each head's subtree, in order, joined without a separator.
 
-    An interval join within a page; the order is document order of the elements that hold the text.
+    The order is document order of the elements that hold the text.
     """
-    h = nodes.where(heads).select("page_id", F.col("node_id").alias("head"), "subtree_end")
-    parts = nodes.where(F.trim("own_text") != "").select("page_id", F.col("node_id").alias("part"), F.trim("own_text").alias("t"))
-    inside = h.join(parts.hint("merge"), "page_id").where("part between head and subtree_end")
+    h = nodes.where(heads).select("page_id", F.col("node_id").alias("head"))
+    parts = within(nodes.where(F.trim("own_text") != ""), F.col("node_id").alias("part"), F.trim("own_text").alias("t"))
+    inside = parts.join(h.hint("merge"), ["page_id", "head"], "left_semi")
     texts = inside.groupBy("page_id", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), "").alias("text"))
     return texts.withColumnRenamed("head", "node_id")
 
@@ -116,19 +127,26 @@ def cluster_members(nodes: DataFrame, least: int = 3) -> DataFrame:
 
 def rank_clusters(nodes: DataFrame, top: int = 5) -> DataFrame:
     """The clusters of each page by depth times size times mean text length; short-text ones (under 10 on average) are out."""
-    members = cluster_members(nodes)
-    texts = subtree_text(nodes, F.col("depth") > 0)
-    sized = members.join(texts.hint("merge"), ["page_id", "node_id"], "left").withColumn("len", F.coalesce(F.length("text"), F.lit(0)))
+    members = stored(cluster_members(nodes), "members")
+    heads = members.select("page_id", F.col("node_id").alias("head"))
+    # only the length of a member's text is asked for, so it is summed before the shuffle
+    parts = within(nodes.where(F.trim("own_text") != ""), F.length(F.trim("own_text")).alias("n_chars")).join(heads.hint("merge"), ["page_id", "head"], "left_semi")
+    lengths = parts.groupBy("page_id", F.col("head").alias("node_id")).agg(F.sum("n_chars").alias("len"))
+    sized = members.join(lengths.hint("merge"), ["page_id", "node_id"], "left").withColumn("len", F.coalesce("len", F.lit(0)))
     scored = sized.groupBy("page_id", "cluster").agg(F.avg("len").alias("avg_text"), F.avg("depth").alias("avg_depth"), F.count("*").alias("n")).where("avg_text >= 10")
     scored = scored.withColumn("quality", F.col("avg_depth") * F.col("n") * F.col("avg_text"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("quality"), "cluster"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def cluster_items(nodes: DataFrame) -> DataFrame:
-    """An item per cluster member: heading, first link, first image, up to 20 text snippets, up to 15 distinct numbers, labelled pairs."""
-    members = cluster_members(nodes).select("page_id", "cluster", "position", F.col("node_id").alias("head"), F.col("subtree_end").alias("last"), "n")
-    inside = nodes.join(members.hint("merge"), "page_id").where("node_id between head and last")
+def _first_of(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
+def cluster_items(nodes: DataFrame, snippets: int | None = None, most_numbers: int | None = None) -> DataFrame:
+    """An item per cluster member: heading, first link, first image, text snippets, distinct numbers, labelled pairs; up to so many, or all."""
+    members = cluster_members(nodes).select("page_id", "cluster", "position", F.col("node_id").alias("head"), "n")
+    inside = within(nodes, "node_id", "tag", "attrs", "own_text").join(members.hint("merge"), ["page_id", "head"])
     t, low = F.trim("own_text"), F.col("tag")
     heading, link, image = low.isin("h1", "h2", "h3", "h4", "h5", "h6") & (t != ""), low == "a", low == "img"
     first = lambda value, when: F.min_by(F.when(when, value), F.when(when, F.col("node_id")))
@@ -140,11 +158,11 @@ def cluster_items(nodes: DataFrame) -> DataFrame:
         first(t, link & (t != "")).alias("link_text"),
         first(F.col("attrs")["href"], link & F.col("attrs")["href"].isNotNull()).alias("link_href"),
         first(src, image & src.isNotNull()).alias("image_src"),
-        F.slice(ordered(t, t != ""), 1, 20).alias("snippets"),
+        _first_of(ordered(t, t != ""), snippets).alias("snippets"),
         F.to_json(ordered(t, pair)).alias("pairs"),
         F.count_if(F.col("attrs")["itemprop"].isNotNull()).alias("n_itemprops"),
     )
-    numbers = F.slice(F.array_distinct(F.regexp_extract_all(F.array_join("snippets", " "), F.lit(r"\b(\d+(?:\.\d+)?)\b"), F.lit(1))), 1, 15)
+    numbers = _first_of(F.array_distinct(F.regexp_extract_all(F.array_join("snippets", " "), F.lit(r"\b(\d+(?:\.\d+)?)\b"), F.lit(1))), most_numbers)
     return items.withColumn("numbers", numbers).where("heading is not null or link_text is not null")
 
 

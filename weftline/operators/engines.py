@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.dom import subtree_text
+from weftline.operators.dom import subtree_text, within
 
 #: Engines by priority, and the confidence of each.
 ENGINES = (("json_ld", 0.95), ("microdata", 0.85), ("opengraph", 0.75), ("twitter_cards", 0.70), ("heuristic", 0.50))
@@ -96,9 +96,14 @@ def engine_twitter(nodes: DataFrame) -> DataFrame:
     return _eav(cards, "twitter_cards").union(_eav(pairs.select("page_id", F.lit("_labeled_pairs").alias("key"), F.lit(1 << 30).alias("ord"), "value"), "twitter_cards"))
 
 
-def engine_meta(pages: DataFrame, cap: int = 30_000) -> DataFrame:
-    """_page_title and meta:<name> pairs in either order of attributes (name first wins over content first; later over earlier)."""
-    head = F.substring("html", 1, cap)
+def _head(cap: int | None) -> Column:
+    return F.col("html") if cap is None else F.substring("html", 1, cap)
+
+
+def engine_meta(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """_page_title and meta:<name> pairs in either order of attributes (name first wins over content first; later over earlier),
+    of a page's first cap characters or all."""
+    head = _head(cap)
     title = pages.select("page_id", F.lit("_page_title").alias("key"), F.lit(0).alias("ord"), F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("value")).where("value <> ''")
 
     def found(pattern: str, name: int, content: int, rank: int) -> DataFrame:
@@ -113,12 +118,12 @@ def engine_meta(pages: DataFrame, cap: int = 30_000) -> DataFrame:
     return _eav(title.union(metas), "heuristic")
 
 
-def engine_label_value(pages: DataFrame, cap: int = 200_000) -> DataFrame:
-    """text:<label> lines of label: value; the first of a label (in any case) wins, values are cut at 500 characters."""
-    text = F.regexp_replace(F.substring("html", 1, cap), "<[^>]+>", "\n")
+def engine_label_value(pages: DataFrame, cap: int | None = None, longest: int | None = None) -> DataFrame:
+    """text:<label> lines of label: value; the first of a label (in any case) wins. cap, longest: characters of a page and of a value, or all."""
+    text = F.regexp_replace(_head(cap), "<[^>]+>", "\n")
     pattern = r"(?md)^\s*([A-Za-z0-9 _-]{2,40})\s*:\s*(.+)$"
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
-    rows = pages.select("page_id", F.posexplode(both).alias("ord", "m")).select("page_id", "ord", F.trim("m.k").alias("label"), F.substring(F.trim("m.v"), 1, 500).alias("value")).where("length(value) >= 2")
+    rows = pages.select("page_id", F.posexplode(both).alias("ord", "m")).select("page_id", "ord", F.trim("m.k").alias("label"), (F.trim("m.v") if longest is None else F.substring(F.trim("m.v"), 1, longest)).alias("value")).where("length(value) >= 2")
     first = rows.groupBy("page_id", F.lower("label").alias("l")).agg(F.min_by(F.struct("label", "value", "ord"), "ord").alias("r"))
     return _eav(first.select("page_id", F.concat(F.lit("text:"), "r.label").alias("key"), F.col("r.ord").alias("ord"), F.col("r.value").alias("value")), "heuristic")
 
@@ -134,24 +139,27 @@ def engine_deflist(nodes: DataFrame) -> DataFrame:
     return _eav(first.withColumn("key", F.concat(F.lit("text:"), "label")), "heuristic")
 
 
-def engine_sections(nodes: DataFrame, most: int = 20) -> DataFrame:
-    """text:<heading> - <label> pairs of list items under h2-h4 headings (50 characters at most), up to most a section."""
+def engine_sections(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """text:<heading> - <label> pairs of list items under h2-h4 headings (50 characters at most), up to most a section, or all."""
     heads = nodes.where(F.col("tag").isin("h1", "h2", "h3", "h4"))
     following = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
     bounds = heads.withColumn("next_head", F.lead("node_id").over(following))
     names = subtree_text(nodes, F.col("tag").isin("h2", "h3", "h4"))
     sections = bounds.where(F.col("tag").isin("h2", "h3", "h4")).join(names.hint("merge"), ["page_id", "node_id"]).where("text <> '' and length(text) <= 50")
     sections = sections.select("page_id", "parent_id", F.col("node_id").alias("head"), "next_head", F.col("text").alias("section"))
-    boxes = nodes.where(F.col("tag").isin("ul", "ol", "div", "dl")).select("page_id", "parent_id", F.col("node_id").alias("box"), F.col("subtree_end").alias("box_end"))
+    boxes = nodes.where(F.col("tag").isin("ul", "ol", "div", "dl")).select("page_id", "parent_id", F.col("node_id").alias("box"))
     inside = sections.join(boxes.hint("merge"), ["page_id", "parent_id"]).where("box > head and (next_head is null or box < next_head)")
     items = nodes.where(F.col("tag").isin("li", "div", "span", "dd"))
     texts = subtree_text(nodes, F.col("tag").isin("li", "div", "span", "dd"))
-    lines = items.select("page_id", "node_id").join(texts.hint("merge"), ["page_id", "node_id"]).where("length(text) > 3 and text like '%:%'")
-    split = inside.join(lines.hint("merge"), "page_id").where("node_id > box and node_id <= box_end")
+    lines = items.select("page_id", "node_id", "ancestors").join(texts.hint("merge"), ["page_id", "node_id"]).where("length(text) > 3 and text like '%:%'")
+    lines = within(lines, "node_id", "text").where("head <> node_id").withColumnRenamed("head", "box")
+    split = inside.select("page_id", "head", "section", "box").join(lines.hint("merge"), ["page_id", "box"])
     pairs = split.select("page_id", "head", "section", "node_id", F.trim(F.substring_index("text", ":", 1)).alias("label"), F.trim(F.regexp_replace("text", "(?s)^[^:]*:", "")).alias("value")).where("label <> '' and value <> ''")
     keyed = pairs.withColumn("key", F.concat(F.lit("text:"), "section", F.lit(" - "), "label")).groupBy("page_id", "key").agg(F.min_by(F.struct("head", "value", "node_id"), "node_id").alias("r"))
-    place = F.row_number().over(Window.partitionBy("page_id", "r.head").orderBy("r.node_id"))
-    kept = keyed.withColumn("place", place).where(F.col("place") <= most)
+    kept = keyed
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("page_id", "r.head").orderBy("r.node_id"))
+        kept = keyed.withColumn("place", place).where(F.col("place") <= most)
     return _eav(kept.select("page_id", "key", F.col("r.node_id").alias("ord"), F.col("r.value").alias("value")), "heuristic")
 
 
@@ -218,12 +226,31 @@ def items_microdata(nodes: DataFrame) -> DataFrame:
     """(page_id, position, key, value): properties of the itemscopes of the page's largest itemtype, two or more scopes."""
     scopes = nodes.where(_attr("itemscope").isNotNull() & _attr("itemtype").isNotNull()).withColumn("type", _attr("itemtype"))
     top = scopes.groupBy("page_id", "type").agg(F.count("*").alias("n"), F.min("node_id").alias("first")).where("n >= 2").groupBy("page_id").agg(F.min_by("type", F.struct(-F.col("n"), "first")).alias("type"))
-    kept = scopes.join(top.hint("merge"), ["page_id", "type"]).select("page_id", F.col("node_id").alias("head"), F.col("subtree_end").alias("last"), F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")).alias("position"))
-    props = element_values(nodes, F.coalesce(_attr("itemprop") != "", F.lit(False))).where("value is not null").select("page_id", "node_id", _attr("itemprop").alias("key"), "value")
-    inside = props.join(kept.hint("merge"), "page_id").where("node_id > head and node_id <= last")
+    kept = scopes.join(top.hint("merge"), ["page_id", "type"]).select("page_id", F.col("node_id").alias("head"), F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")).alias("position"))
+    props = element_values(nodes, F.coalesce(_attr("itemprop") != "", F.lit(False))).where("value is not null").withColumn("key", _attr("itemprop"))
+    inside = within(props, "node_id", "key", "value").where("head <> node_id").join(kept.hint("merge"), ["page_id", "head"])
     return inside.groupBy("page_id", "position", "key").agg(F.min_by("value", "node_id").alias("value"))
 
 
+def fragment_fields(fragments: DataFrame, nodes: DataFrame, heading: int = 200) -> DataFrame:
+    """(page_id, key, value): the fields of page fragments (page_id numbers a fragment) by the generic engines: heuristic, microdata,
+    opengraph, then every JSON-LD object's keys; the first that has a key wins. A fragment without _page_title and name gets
+    _fragment_title: the text of its first h2, else h3, h1, h4 or a, of 3 to heading - 1 characters.
+    """
+    pairs = jsonld_blocks(fragments).select("page_id", "ord", F.posexplode(_pairs("block")).alias("i", "p")).where("not startswith(p.key, '@') and p.value is not null")
+    objects = pairs.groupBy("page_id", F.col("p.key").alias("key")).agg(F.min_by(F.struct("i", "p.value"), F.struct("ord", "i")).alias("r")).select("page_id", F.lit("json_ld").alias("engine"), "key", F.col("r.i").alias("ord"), "r.value")
+    parts = [engine_heuristic(fragments, nodes), engine_microdata(nodes), engine_opengraph(nodes), objects]
+    both = reduce(DataFrame.union, [p.where("value is not null").withColumn("rank", F.lit(i)) for i, p in enumerate(parts)])
+    first = both.groupBy("page_id", "key").agg(F.min_by("value", F.struct("rank", "ord")).alias("value"))
+    order = F.array_position(F.array(*[F.lit(t) for t in ("h2", "h3", "h1", "h4", "a")]), F.col("tag"))
+    heads = nodes.where(F.col("tag").isin("h2", "h3", "h1", "h4", "a")).groupBy("page_id", "tag").agg(F.min("node_id").alias("node_id"))
+    texts = subtree_text(nodes, F.col("tag").isin("h2", "h3", "h1", "h4", "a"))
+    titles = heads.join(texts.hint("merge"), ["page_id", "node_id"]).where((F.length("text") > 2) & (F.length("text") < heading))
+    titles = titles.groupBy("page_id").agg(F.min_by("text", order).alias("value"))
+    named = first.where(F.col("key").isin("_page_title", "name") & (F.col("value") != "")).select("page_id").distinct()
+    return first.union(titles.join(named.hint("merge"), "page_id", "left_anti").select("page_id", F.lit("_fragment_title").alias("key"), "value"))
+
+
 def discover_fields(eav: DataFrame) -> DataFrame:
     """(page_id, keys): the sorted key inventory of a page over all engines."""
     return eav.groupBy("page_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))

@@ -114,6 +114,13 @@ def cascade(stale_requests: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.where(~F.col("run_state").isin("COMPLETED", "FAILED")).join(stale_requests.select("request_id").hint("merge"), "request_id", "left_semi")
 
 
+def sweep_stale(requests: DataFrame, runs: DataFrame, as_of: str, minutes: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a sweep changes: the requests and site runs to be FAILED, and a checkpoint row of each such request."""
+    gone = stale(requests, as_of, minutes)
+    checkpoints = gone.select("request_id", "state", "previous_state", F.lit(as_of).cast("timestamp").alias("checkpoint_at"), F.to_json(F.struct(F.lit("stale").alias("reason"), F.lit(minutes).alias("minutes"))).alias("data"))
+    return gone, cascade(gone, runs).withColumn("run_state", F.lit("FAILED")), checkpoints
+
+
 def stuck_with_checkpoint(requests: DataFrame, checkpoints: DataFrame, minutes: int = 5, top: int = 10) -> DataFrame:
     """Requests with a checkpoint within minutes of their last change; the top newest."""
     near = F.abs(F.unix_seconds("updated_at") - F.unix_seconds("checkpoint_at")) <= minutes * 60

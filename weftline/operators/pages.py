@@ -11,9 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import visible_text
-from weftline.functions.urls import abs_url, netloc, registrable_domain
-
-HTML = F.col
+from weftline.functions.urls import abs_url, netloc, path, registrable_domain
+from weftline.operators.dom import within
+
+#: Link labels and path segments of site-wide navigation, attributes that cleaned HTML keeps, what Markdown leaves out.
+STOP_LABELS = ("home", "menu", "search", "login", "sign in", "register", "about", "contact", "privacy", "terms", "help", "faq", "settings", "close", "back", "next", "more")
+SITE_SEGMENTS = (
+    "/chart/", "/calendar/", "/news/", "/showtimes/", "/interest/", "/trailers/", "/originals/", "/whats-on-tv/", "/what-to-watch/", "/awards/", "/event/", "/poll/", "/registration/", "/ap/", "/preferences/", "/search/",
+)
+KEPT_ATTRIBUTES = ("href", "src", "data-src", "class", "data-testid", "aria-label", "alt", "title", "datetime", "type", "itemprop", "itemscope", "itemtype", "property", "content")
+JUNK_TAGS = ("script", "style", "head", "title", "noscript", "svg", "iframe", "form", "button", "nav", "footer", "aside")
+JUNK_CLASSES = (
+    "navbox", "sidebar", "reflist", "references", "catlinks", "printfooter", "mw-footer", "mw-editsection", "noprint", "mw-empty-elt", "sistersitebox", "vector-header-container", "vector-sticky-header",
+    "ad-slot", "ad-container", "ad-wrapper", "ad_", "sponsor", "promoted", "cookie-banner", "cookie-consent", "gdpr", "social-share", "share-bar", "share-buttons", "newsletter-signup", "subscribe-banner", "breadcrumb",
+)
+JUNK_IDS = ("toc", "catlinks", "References", "toc-References", "External_links", "toc-External_links", "See_also", "toc-See_also", "mw-navigation", "footer")
 
 
 def tag_text(html: Column, tag: str, n: int = 200) -> Column:
@@ -63,10 +75,11 @@ def is_search_page(url: Column, html: Column) -> Column:
     return F.lower(url).rlike(r"[/\?](search|find|query|results)[/\?=&]") & (F.lower(tag_text(html, "title")).rlike(words) | F.lower(visible_text(h1, "")).rlike(words) | dense)
 
 
-def site_signals(pages: DataFrame, cap: int = 50_000) -> DataFrame:
-    """Headings (20), schema types, search capability and first path segments of links, from the head of the page."""
-    head = F.substring("html", 1, cap)
-    heads = F.slice(F.transform(F.regexp_extract_all(head, F.lit("(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1)), lambda x: F.trim(visible_text(x, ""))), 1, 20)
+def site_signals(pages: DataFrame, cap: int | None = None, most: int | None = None) -> DataFrame:
+    """Headings, schema types, search capability and first path segments of links; cap, most: characters of a page that are read and headings, or all."""
+    head = F.col("html") if cap is None else F.substring("html", 1, cap)
+    heads = F.transform(F.regexp_extract_all(head, F.lit("(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1)), lambda x: F.trim(visible_text(x, "")))
+    heads = heads if most is None else F.slice(heads, 1, most)
     types = F.array_distinct(F.regexp_extract_all(head, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1)))
     first = F.array_sort(F.array_distinct(F.regexp_extract_all(head, F.lit(r'href="(/[^"/?#]+)/'), F.lit(1))))
     return pages.select("page_id", heads.alias("headings"), types.alias("schema_types"), head.rlike(r'(?i)type="search"|name="q"|role="search"').alias("has_search"), first.alias("link_patterns"))
@@ -90,95 +103,255 @@ def resolve_entity(pages: DataFrame) -> DataFrame:
     return df.withColumn("score", score).where("score > 0").groupBy("page_id").agg(F.max_by(F.struct(abs_url(F.col("url"), F.col("href")).alias("entity_url"), "score"), F.struct("score", -F.col("ord"))).alias("r")).select("page_id", "r.*")
 
 
-def discover_navigation(pages: DataFrame, nodes: DataFrame, most: int = 25) -> DataFrame:
-    """Links of the same registrable domain, once per URL, those under the page's own path first, up to most a page."""
-    links = nodes.where("tag = 'a'").select("page_id", "node_id", F.col("attrs")["href"].alias("href"), F.trim("own_text").alias("label")).where("href <> '' and href not like '#%' and lower(href) not like 'javascript:%'")
-    df = links.join(pages.select("page_id", "url").hint("merge"), "page_id").withColumn("target", abs_url(F.col("url"), F.col("href")))
-    same = df.where((registrable_domain(netloc(F.col("target"))) == registrable_domain(netloc(F.col("url")))) & (F.col("target") != F.col("url")))
-    once = same.groupBy("page_id", "target").agg(F.min(F.struct((~F.col("target").startswith(F.col("url"))).alias("away"), "node_id", "label")).alias("r"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("r.away", "r.node_id"))
-    return once.select("page_id", rank.alias("rank"), "target", "r.label").where(F.col("rank") <= most)
+def content_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, url, target, label): links to other pages of the same registrable domain that are content.
+
+    Out are links without a label or target, stop labels, links inside nav, header, footer or role=navigation (by their
+    ancestors), targets with a site-wide path segment and links to the page itself.
+    """
+    href = F.col("attrs")["href"]
+    a = nodes.where("tag = 'a'").withColumn("href", href).where("href <> '' and href not like '#%' and lower(href) not like 'javascript:%'")
+    inside = within(a, "node_id")
+    menus = nodes.where(F.col("tag").isin("nav", "header", "footer") | F.coalesce(F.col("attrs")["role"] == "navigation", F.lit(False))).select("page_id", F.col("node_id").alias("head"))
+    menu_links = inside.join(menus.hint("merge"), ["page_id", "head"], "left_semi").select("page_id", "node_id").distinct()
+    texts = within(nodes.where(F.trim("own_text") != ""), F.col("node_id").alias("part"), F.trim("own_text").alias("t")).withColumnRenamed("head", "node_id")
+    labels = texts.join(a.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_semi").groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), "").alias("label"))
+    shown = a.select("page_id", "node_id", "href").join(menu_links.hint("merge"), ["page_id", "node_id"], "left_anti").join(labels.hint("merge"), ["page_id", "node_id"])
+    df = shown.where(~F.lower("label").isin(*STOP_LABELS)).join(pages.select("page_id", "url").hint("merge"), "page_id").withColumn("target", abs_url(F.col("url"), F.col("href")))
+    wide = F.exists(F.array(*[F.lit(x) for x in SITE_SEGMENTS]), lambda x: F.contains(path(F.col("target")), x))
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    same = registrable_domain(netloc(F.col("target"))) == registrable_domain(netloc(F.col("url")))
+    return df.where(same & ~wide & (bare("target") != bare("url"))).select("page_id", "node_id", "url", "target", "label")
+
+
+def discover_navigation(pages: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Content links once per URL (with or without a slash at its end), those under the page's own path first; up to most a page, or all."""
+    links = content_links(pages, nodes)
+    under = F.startswith(path(F.col("target")), F.regexp_replace(path(F.col("url")), "/+$", ""))
+    once = links.groupBy("page_id", F.regexp_replace("target", "/+$", "").alias("bare")).agg(F.min(F.struct((~under).alias("away"), "node_id", "target", "label")).alias("r"))
+    df = once.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("r.away", "r.node_id"))).select("page_id", "rank", "r.target", "r.label")
+    return df if most is None else df.where(F.col("rank") <= most)
+
 
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-def clean_html(html: Column, cap: int = 150_000) -> Column:
-    """HTML without comments, styles, SVG, noscript and scripts other than JSON-LD; white space collapsed, cut with a marker."""
-    bare = html
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<(style|svg|noscript)\b.*?</\1\s*>", r"(?is)<script\b(?![^>]*ld\+json).*?</script\s*>", r"(?i)<link\b[^>]*>"):
-        bare = F.regexp_replace(bare, pattern, "")
-    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    return F.when(F.length(bare) > cap, F.concat(F.substring(bare, 1, cap), F.lit(" [TRUNCATED]"))).otherwise(bare)
 
+class _Cleaner(HTMLParser):
+    """A page's markup without styles, SVG, noscript, links, scripts other than JSON-LD and metas of the head; only kept attributes."""
 
-_JUNK = frozenset("script style noscript svg nav footer iframe form button template head".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=False)
+        self.out: list[str] = []
+        self.front: dict[str, list[str]] = {"ld": [], "og": []}
+        self.title: list[str] = []
+        self.skip: str | None = None
+        self.depth = 0
+        self.in_head = self.in_title = False
+        self.block: list[str] | None = None
+
+    def _put(self, text: str) -> None:
+        if self.block is not None:
+            self.block.append(text)
+        if not self.skip:
+            self.out.append(text)
+
+    def handle_starttag(self, tag: str, attrs: list, closed: bool = False) -> None:
+        if self.skip:
+            self.depth += tag == self.skip and not closed
+            return
+        found = dict(attrs)
+        kept = "".join(f' {k}="{(v or "").replace(chr(34), "&quot;")}"' for k, v in attrs if k in KEPT_ATTRIBUTES)
+        text = f"<{tag}{kept}>"
+        ld = tag == "script" and (found.get("type") or "") == "application/ld+json"
+        if tag == "meta" and (found.get("property") or "").startswith("og:"):
+            self.front["og"].append(text)
+        self.in_head = (self.in_head or tag == "head") and tag != "body"
+        if tag in ("style", "svg", "noscript") or (tag == "script" and not ld):
+            if not closed:
+                self.skip, self.depth = tag, 1
+            return
+        if tag == "link" or (tag == "meta" and self.in_head):
+            return
+        if ld:
+            self.block = []
+        self.in_title = self.in_title or (tag == "title" and not self.title)
+        self._put(text)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs, True)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.skip:
+            self.depth -= tag == self.skip
+            if not self.depth:
+                self.skip = None
+            return
+        if tag == "title":
+            self.in_title = False
+        if tag == "head":
+            self.in_head = False
+        if tag not in _VOID:
+            self._put(f"</{tag}>")
+        if tag == "script" and self.block is not None:
+            self.front["ld"].append("".join(self.block))
+            self.block = None
+
+    def handle_data(self, data: str) -> None:
+        if self.in_title and not self.skip:
+            self.title.append(data)
+        self._put(data)
+
+    def handle_entityref(self, name: str) -> None:
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name: str) -> None:
+        self.handle_data(f"&#{name};")
+
+    def handle_comment(self, data: str) -> None:
+        self._put(f"<!--{data}-->")
+
+    def handle_decl(self, decl: str) -> None:
+        self._put(f"<!{decl}>")
+
+    def text(self) -> str:
+        title = "".join(self.title).strip()
+        parts = [*self.front["ld"], *self.front["og"], *([f"<title>{title}</title>"] if title else []), "".join(self.out)]
+        return re.sub(r"\s+", " ", "\n".join(parts))
+
+
+def _per_page(name: str, convert):
+    """An Arrow pass that gives each page's html a text column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([convert(h or "") for h in batch.column(1).to_pylist()], pa.string())], names=["page_id", name])
+
+    return run
+
+
+def clean_html(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """(page_id, html): HTML for reading by a model, with JSON-LD, og metas and title in front, white space collapsed; beyond cap
+    characters it is cut, with a marker. In one Arrow pass without a shuffle."""
+
+    def convert(html: str) -> str:
+        p = _Cleaner()
+        p.feed(html)
+        p.close()
+        text = p.text()
+        return text if cap is None or len(text) <= cap else text[:cap] + "\n<!-- TRUNCATED -->"
+
+    return pages.select("page_id", "html").mapInArrow(_per_page("html", convert), "page_id bigint, html string")
+
+
+_PARAGRAPHS = frozenset("p div section article header main table ul ol h1 h2 h3 h4 h5 h6 blockquote pre dl form nav footer aside".split())
+
+
+class _Open:
+    """An open element of a page that becomes Markdown: its parts so far, and the items or rows that it collects."""
+
+    __slots__ = ("tag", "junk", "parts", "items")
+
+    def __init__(self, tag: str, junk: bool):
+        self.tag, self.junk, self.parts, self.items = tag, junk, [], []
 
 
 class _Markdown(HTMLParser):
-    """Markdown of a page: headings, lists, links, emphasis, tables and image texts; junk elements are skipped."""
+    """Markdown of a page: headings, lists, tables, link labels and image texts. Elements are turned into text as they close; an end tag
+    closes its nearest open element and what is open in it, so an unclosed junk element ends with its parent."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skip = 0
-        self.href: list[str] = []
+        self.open = [_Open("", False)]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _JUNK:
-            self.skip += tag not in _VOID
-        if self.skip:
-            return
         a = dict(attrs)
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in ("p", "div", "section", "article", "table", "ul", "ol", "blockquote"):
-            self.out.append("\n\n")
+        if tag in _PARAGRAPHS:
+            self._end("p", _PARAGRAPHS - {"p"})
         elif tag == "li":
-            self.out.append("\n- ")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag == "tr":
-            self.out.append("\n| ")
-        elif tag == "a":
-            self.href.append(a.get("href") or "")
-            self.out.append("[")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "img" and a.get("alt"):
-            self.out.append(f"![{a['alt']}]")
+            self._end("li", {"ul", "ol"})
+        elif tag in ("td", "th", "tr"):
+            for t in ("td", "th", *(["tr"] if tag == "tr" else [])):
+                self._end(t, {"table"})
+        top = self.open[-1]
+        names = (a.get("class") or "").lower()
+        junk = top.junk or tag in JUNK_TAGS or any(x in names for x in JUNK_CLASSES) or (a.get("id") or "") in JUNK_IDS or (tag == "sup" and "reference" in names.split())
+        if tag in _VOID:
+            if not junk and tag == "br":
+                top.parts.append("\n")
+            elif not junk and tag == "img" and (a.get("alt") or "").strip():
+                top.parts.append(f" {a['alt'].strip()} ")
+            return
+        self.open.append(_Open(tag, junk))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def _end(self, tag: str, within: set[str] | frozenset[str]) -> None:
+        """Closes an open element of the tag that stands above any of within."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                self._close(i)
+                return
+            if self.open[i].tag in within:
+                return
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _JUNK:
-            self.skip = max(0, self.skip - 1)
-            return
-        if self.skip:
-            return
-        if tag == "a" and self.href:
-            self.out.append(f"]({self.href.pop()})")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag in ("td", "th"):
-            self.out.append(" | ")
+        self._end(tag, frozenset())
+
+    def _close(self, at: int) -> None:
+        while len(self.open) > at:
+            e = self.open.pop()
+            if not e.junk:
+                self._turn(e, self.open[-1])
+
+    def _turn(self, e: _Open, above: _Open) -> None:
+        text = "".join(e.parts)
+        bare = text.strip()
+        tag = e.tag
+        if tag in ("td", "th"):
+            next(x for x in reversed(self.open) if x.tag in ("tr", "table", "")).items.append(bare.replace("|", "\\|"))
+        elif tag == "tr":
+            if e.items:
+                next(x for x in reversed(self.open) if x.tag in ("table", "")).items.append(e.items)
+        elif tag == "table":
+            lines = [f"| {' | '.join(row)} |" for row in e.items if isinstance(row, list)]
+            if lines:
+                lines.insert(1, "| " + " | ".join("---" for _ in e.items[0]) + " |")
+            above.parts.append("\n\n" + "".join(x + "\n" for x in lines) + "\n")
+        elif tag == "li" and above.tag in ("ul", "ol"):
+            above.items.append(("- " if above.tag == "ul" else "1. ") + bare)
+        elif tag in ("ul", "ol"):
+            above.parts.append("\n" + "".join(x + "\n" for x in e.items) + "\n")
+        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            above.parts.append(f"\n{'#' * int(tag[1])} {' '.join(bare.split())}\n\n")
+        elif tag in ("p", "div", "section", "article", "header", "main"):
+            if bare:
+                above.parts.append(f"\n{bare}\n")
+        elif tag == "a":
+            if bare:
+                above.parts.append(f" [{bare}] ")
+        else:
+            above.parts.append(text)
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(re.sub(r"\s+", " ", data))
+        text = data.replace("\n", " ").strip()
+        if text and not self.open[-1].junk:
+            self.open[-1].parts.append(text + " ")
+
+    def text(self) -> str:
+        self._close(1)
+        return re.sub(r"\n{3,}", "\n\n", "".join(self.open[0].parts)).strip()
 
 
-def _markdown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for html in batch.column(1).to_pylist():
-            p = _Markdown()
-            p.feed(html or "")
-            p.close()
-            texts.append(re.sub(r"\n{3,}", "\n\n", "".join(p.out)).strip())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["page_id", "markdown"])
+def _markdown(html: str) -> str:
+    p = _Markdown()
+    p.feed(html)
+    p.close()
+    return p.text()
 
 
 def to_markdown(pages: DataFrame) -> DataFrame:
     """(page_id, markdown), in one Arrow pass without a shuffle."""
-    return pages.select("page_id", "html").mapInArrow(_markdown, "page_id bigint, markdown string")
+    return pages.select("page_id", "html").mapInArrow(_per_page("markdown", _markdown), "page_id bigint, markdown string")

@@ -28,14 +28,17 @@ def is_style_key(key: Column) -> Column:
     return low.startswith("text:") & low.rlike(f"^text:({words})")
 
 
-def tier_fields(eav: DataFrame, keys: list[str], requested: tuple[str, ...] = (), most: int = 30) -> DataFrame:
-    """eav with tier 1 (structured or requested, cut at 3000), 2 (text, 1500) or 3 (others, 300, the first most); noise is out."""
+def tier_fields(eav: DataFrame, keys: list[str], requested: tuple[str, ...] = (), most: int | None = None, longest: tuple[int, int, int] | None = None) -> DataFrame:
+    """eav with tier 1 (structured or requested), 2 (text) or 3 (others); noise is out. most: others per group, longest: characters of a value by tier; all without."""
     low = F.lower("key")
     rows = eav.where((F.trim("value") != "") & ~F.col("key").startswith("_") & ~F.col("key").isin("source_url", "source_site") & ~is_style_key(F.col("key")) & ~low.rlike("^(og|twitter|meta):"))
     tier = F.when(F.col("key").isin(*STRUCTURED) | low.isin(*[r.lower() for r in requested]), 1).when(low.isin(*TEXT_KEYS), 2).otherwise(3)
-    placed = rows.withColumn("tier", tier).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "tier").orderBy("ord", "key")))
-    cut = F.when(F.col("tier") == 1, F.substring("value", 1, 3000)).when(F.col("tier") == 2, F.substring("value", 1, 1500)).otherwise(F.substring("value", 1, 300))
-    return placed.where((F.col("tier") < 3) | (F.col("_n") <= most)).withColumn("value", cut).drop("_n")
+    df = rows.withColumn("tier", tier)
+    if most is not None:
+        df = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "tier").orderBy("ord", "key"))).where((F.col("tier") < 3) | (F.col("_n") <= most)).drop("_n")
+    if longest is not None:
+        df = df.withColumn("value", F.substring("value", F.lit(1), F.get(F.array(*[F.lit(n) for n in longest]), F.col("tier") - 1)))
+    return df
 
 
 def envelope_errors(output: Column, domain: Column, version: Column, result_key: str | None = None) -> Column:

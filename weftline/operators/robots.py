@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import path
+from weftline.sources.tables import stored
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
@@ -27,10 +28,12 @@ def sitemaps(files: DataFrame) -> DataFrame:
 
 def robots_check(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (site, url) with the first blocking disallow path and blocked. A rule blocks by plain prefix, so the URL's path
-    prefixes meet the rules by equality; Spark splits a site that many URLs share."""
+    prefixes of the lengths that its site's rules have meet the rules by equality; Spark splits a site that many URLs share."""
     p = path(F.col("url"))
-    prefixes = urls.select("site", "url", F.explode(F.when(F.length(p) > 0, F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.substring(p, F.lit(1), i)))).alias("path"))
-    deny = rules.where("kind = 'disallow'").groupBy("site", "path").agg(F.min("ord").alias("ord"))
+    deny = stored(rules.where("kind = 'disallow'").groupBy("site", "path").agg(F.min("ord").alias("ord")), "deny")
+    lengths = stored(deny.groupBy("site").agg(F.collect_set(F.length("path")).alias("lengths")), "lengths")
+    long_enough = F.filter("lengths", lambda n: n <= F.length(p))
+    prefixes = urls.join(lengths.hint("merge"), "site").select("site", "url", F.explode(F.transform(long_enough, lambda n: F.substring(p, F.lit(1), n))).alias("path"))
     hits = prefixes.join(deny.hint("merge"), ["site", "path"]).groupBy("site", "url").agg(F.min_by("path", "ord").alias("blocking_path"))
     return urls.join(hits.hint("merge"), ["site", "url"], "left").withColumn("blocked", F.col("blocking_path").isNotNull())
 
@@ -53,7 +56,7 @@ def newly_disallowed(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def invalidate_patterns(patterns: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Valid patterns that contain a blocked path of their site: to be set invalid."""
+    """Valid patterns that contain a blocked path of their site: to be set invalid. A site's patterns meet its rules, of which there are few."""
     b = blocked.select("site", F.col("path").alias("_path")).distinct()
     return patterns.where("status = 'valid'").join(b.hint("merge"), (patterns["site"] == b["site"]) & F.contains(patterns["pattern"], b["_path"]), "left_semi")
 

@@ -22,7 +22,7 @@ def clean_site(site: Column) -> Column:
 def with_trust_weight(df: DataFrame, weights: DataFrame, site: str = "site") -> DataFrame:
     """df with weight from weights (site, weight), 0.50 where unknown."""
     known = weights.select(F.col("site").alias("_site"), "weight")
-    return df.withColumn("_site", clean_site(F.col(site))).join(known, "_site", "left").withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).drop("_site")
+    return df.withColumn("_site", clean_site(F.col(site))).join(known.hint("merge"), "_site", "left").withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).drop("_site")
 
 
 def unify_fields(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,7 +96,7 @@ def source_facets(items: DataFrame) -> DataFrame:
 def map_aliases(eav: DataFrame, field_map: DataFrame) -> DataFrame:
     """eav with schema_field: the alias of the key, or of its part before the first dot."""
     exact = field_map.select(F.col("alias").alias("base"), "schema_field")
-    return eav.withColumn("base", F.substring_index(F.regexp_replace("key", "^(meta|text):", ""), ".", 1)).join(exact, "base", "left").drop("base")
+    return eav.withColumn("base", F.substring_index(F.regexp_replace("key", "^(meta|text):", ""), ".", 1)).join(exact.hint("merge"), "base", "left").drop("base")
 
 
 def semantic_completeness(eav: DataFrame, field_map: DataFrame, n_schema: int, keys: list[str]) -> DataFrame:
@@ -139,6 +139,28 @@ def completeness(found: Column, schema: Column) -> Column:
     return F.round(F.size(F.array_intersect(found, schema)) / F.greatest(F.size(F.array_distinct(schema)), F.lit(1)), 4)
 
 
+def simple_confidence(fields: Column) -> Column:
+    """Confidence of a record (map<string,string>) by its filled fields, five or more being certain."""
+    filled = F.size(F.map_filter(fields, lambda k, v: v.isNotNull() & ~v.isin("", "0", "false", "[]", "{}") & ~k.isin("source_url", "source_site")))
+    return F.least(filled / 5, F.lit(1.0))
+
+
+def list_confidence(n_items: Column) -> Column:
+    """Confidence of a list of items: 0.7 if there is any."""
+    return F.when(n_items > 0, 0.7).otherwise(0.0)
+
+
+def fields_found(missing: Column, still_missing: Column) -> Column:
+    """The fields that a further look has found: those missing before and not after."""
+    return F.array_except(missing, still_missing)
+
+
+def type_ok(vtype: Column, wanted: Column) -> Column:
+    """Whether a value's type is one of wanted (types parted by |); an integer is a number, null fits any, and so does an unknown field."""
+    types = F.split(wanted, r"\|")
+    return F.coalesce(wanted.isNull() | vtype.isNull() | (vtype == "null") | F.array_contains(types, vtype) | (F.array_contains(types, F.lit("number")) & (vtype == "integer")), F.lit(True))
+
+
 def key_union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [f.select("key") for f in frames]).distinct()
 
@@ -156,8 +178,8 @@ def validate_extraction(eav: DataFrame, spec: DataFrame, keys: list[str]) -> Dat
 
     eav: keys, key, value, vtype; spec: field, type.
     """
-    known = eav.join(spec.select(F.col("field").alias("key"), "type"), "key", "left")
-    fits = F.col("type").isNull() | (F.col("type") == F.col("vtype")) | ((F.col("type") == "number") & (F.col("vtype") == "integer"))
+    known = eav.join(spec.select(F.col("field").alias("key"), "type").hint("merge"), "key", "left")
+    fits = type_ok(F.col("vtype"), F.col("type"))
     wrong = F.when(F.col("value").isNotNull() & ~fits, F.concat(F.lit("Type mismatch for '"), "key", F.lit("': expected "), "type"))
     long_ = F.when((F.length("value") > 10_000) & ~F.col("key").isin("source_url", "source_site"), F.concat(F.lit("Field '"), "key", F.lit("' value unusually long ("), F.length("value").cast("string"), F.lit(" chars)")))
     per = known.groupBy(*keys).agg(F.count_if(F.col("value").isNotNull() & ~F.col("key").isin("source_url", "source_site")).alias("filled_fields"), F.array_sort(F.concat(F.collect_list(wrong), F.collect_list(long_))).alias("warnings"))

@@ -39,11 +39,12 @@ def norm(a: Column) -> Column:
 def best_matches(fields: DataFrame, keys: DataFrame, group: str, least: float = 0.65) -> DataFrame:
     """(group, field, key, score, missing): the most similar key of the field's group; missing under the threshold.
 
-    fields: group, field, vec; keys: group, key, vec. Both sides meet on the group only, and the best key is an aggregate.
+    fields: group, field, vec; keys: group, key, vec. Fields are a query set that meets all keys of its group; the best key is an
+    aggregate that combines before the shuffle. A key equal to the field itself doesn't count.
     """
     f = fields.withColumn("fn", norm(F.col("vec"))).select(group, "field", F.col("vec").alias("fv"), "fn")
     k = keys.withColumn("kn", norm(F.col("vec"))).select(group, "key", F.col("vec").alias("kv"), "kn")
-    both = f.join(k.hint("merge"), group).withColumn("score", dot(F.col("fv"), F.col("kv")) / (F.col("fn") * F.col("kn")))
+    both = f.join(k.hint("merge"), group).where("not (key <=> field)").withColumn("score", dot(F.col("fv"), F.col("kv")) / (F.col("fn") * F.col("kn")))
     best = both.groupBy(group, "field").agg(F.max_by(F.struct("key", "score"), F.struct("score", "key")).alias("r"))
     return best.select(group, "field", "r.key", F.round("r.score", 6).alias("score"), (F.col("r.score") < least).alias("missing"))
 
@@ -54,3 +55,15 @@ def missing_fields_kw(fields: DataFrame, keys: DataFrame, group: str) -> DataFra
     k = keys.select(F.col(group).alias("_g"), F.lower("key").alias("_k")).distinct()
     found = (F.col(group) == F.col("_g")) & (F.contains("_k", F.col("_a")) | F.contains("_k", F.col("_b")))
     return a.join(k.hint("merge"), found, "left_anti").drop("_a", "_b")
+
+
+def drop_noise(eav: DataFrame) -> DataFrame:
+    """Rows (key, value) whose key may name a field and whose value holds data."""
+    return eav.where(~is_noise(F.col("key")) & is_meaningful(F.col("value")))
+
+
+def missing_fields(fields: DataFrame, keys: DataFrame, group: str, least: float = 0.65) -> DataFrame:
+    """(group, field): fields that no key of their group stands for, by vectors where both sides have a column vec, else by keywords."""
+    if "vec" in fields.columns and "vec" in keys.columns:
+        return best_matches(fields, keys, group, least).where("missing").select(group, "field")
+    return missing_fields_kw(fields, keys, group).select(group, "field")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import intents
+from weftline.functions import intents, urls
 from weftline.functions import text as texts
 from weftline.operators import blocks, caches, dom, engines, records, robots, unify, vectors
 from weftline.sources.tables import stored
@@ -85,7 +85,7 @@ def keep_better(spark: SparkSession, d: str) -> DataFrame:
 
 def request_confidence(spark: SparkSession, d: str) -> DataFrame:
     sites = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), (F.col("l_discount") * 10).alias("confidence"))
-    answers = _t(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("request_id"), F.lit(0.9).alias("answer_confidence"))
+    answers = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("request_id"), F.lit(0.9).alias("answer_confidence"))
     return unify.request_confidence(sites, answers).select("request_id", F.round("confidence", 4).alias("confidence"))
 
 
@@ -102,7 +102,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
-    o = _orders(spark, d).where("request_id % 7 = 0")
+    o = _orders(spark, d).where("state = 'COMPLETED'")
     return o.withColumns({"status": F.when(F.col("request_id") % 3 == 0, "invalidated").otherwise("valid"), "expires_at": F.col("created_at") + F.expr("interval 30 days")})
 
 
@@ -120,7 +120,7 @@ def cache_semantic(spark: SparkSession, d: str) -> DataFrame:
     o = _orders(spark, d)
     ask = F.to_json(F.try_parse_json(F.format_string('{"b": %d, "a": "%s"}', "intent_hash", "domain")))
     have = F.to_json(F.try_parse_json(F.format_string('{"a":"%s","b":%d}', "domain", "intent_hash")))
-    results = o.where("request_id % 5 = 0").select(F.col("request_id").alias("result_id"), have.alias("filters"), (F.col("user_id") % 2).alias("goal"), (F.col("request_id") % 10 / 10).alias("confidence"), "created_at")
+    results = o.where("state = 'COMPLETED'").select(F.col("request_id").alias("result_id"), have.alias("filters"), (F.col("user_id") % 2).alias("goal"), (F.col("request_id") % 10 / 10).alias("confidence"), "created_at")
     return caches.cache_semantic(o.select("request_id", ask.alias("filters"), (F.col("user_id") % 2).alias("goal")), results).select("request_id", F.coalesce("result_id", F.lit(-1)).alias("result_id"))
 
 
@@ -133,7 +133,8 @@ def cache_two_tier(spark: SparkSession, d: str) -> DataFrame:
 
 def idempotent_action(spark: SparkSession, d: str) -> DataFrame:
     o = _orders(spark, d).withColumn("idempotency_key", F.concat_ws("|", "domain", "intent_hash"))
-    return caches.idempotent_action(o.where("request_id % 2 = 0").select("request_id", "idempotency_key"), o.where("request_id % 2 = 1")).select("request_id", "action")
+    new = F.col("created_at") >= F.lit(AS_OF).cast("timestamp")
+    return caches.idempotent_action(o.where(new).select("request_id", "idempotency_key"), o.where(~new)).select("request_id", "action")
 
 
 def fuzzy_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -150,13 +151,22 @@ def top_similar(spark: SparkSession, d: str) -> DataFrame:
 # ---- robots
 
 
+def _site_urls(spark: SparkSession, d: str) -> DataFrame:
+    """pages with their site and, as a rule's path, the language and first digit of the URL's path."""
+    u = F.col("url")
+    return _t(spark, d, "pages").select("page_id", urls.netloc(u).alias("site"), "url", F.regexp_extract(urls.path(u), "^(/[^/]*/.)", 1).alias("start"))
+
+
 def _files(spark: SparkSession, d: str, version: int) -> DataFrame:
-    """nation as robots files: a disallowed language and id prefix by key, an allowed path that version 1 drops for every third."""
-    n = F.col("n_nationkey")
-    lang = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), (n % 4 + 1).cast("int"))
-    allow = F.when((n % 3 == 0) & F.lit(version == 1), "").otherwise(F.concat(F.lit("Allow: /"), lang, F.lit("/9\n")))
-    raw = F.concat(F.lit("# rules\nUser-agent: a\nUser-agent: *\nDisallow: /"), lang, F.lit("/"), n.cast("string"), F.lit("\nDisallow:\n"), allow, F.when(F.lit(version == 1) & (n % 5 == 0), "Disallow: /\n").otherwise(""), F.lit("Sitemap: https://x/"), F.col("n_name"), F.lit(".xml"))
-    return _t(spark, d, "nation").select(F.col("n_name").alias("site"), raw.alias("raw"))
+    """A robots file for each site of pages: a third of its pages disallow their start, a third allow a path under it; version 1
+    drops half of those and disallows all on some sites."""
+    p = _site_urls(spark, d)
+    allowed = (F.col("page_id") % 3 == 1) & ((F.col("page_id") % 2 == 1) | F.lit(version == 0))
+    lines = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Disallow: "), "start")).when(allowed, F.concat(F.lit("Allow: "), "start", F.lit("/x")))
+    per = p.groupBy("site").agg(F.array_sort(F.collect_set(lines)).alias("lines"), (F.min("page_id") % 5 == 0).alias("odd"))
+    root = F.when(F.col("odd") & F.lit(version == 1), "\nDisallow: /").otherwise("")
+    raw = F.concat(F.lit("# rules\nUser-agent: a\nUser-agent: *\nDisallow:\n"), F.array_join("lines", "\n"), root, F.lit("\nSitemap: https://"), "site", F.lit("/map.xml"))
+    return stored(per.select("site", raw.alias("raw")), "robots")
 
 
 def robots_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -167,15 +177,10 @@ def robots_sitemaps(spark: SparkSession, d: str) -> DataFrame:
     return robots.sitemaps(_files(spark, d, 0))
 
 
-def _site_urls(spark: SparkSession, d: str) -> DataFrame:
-    names = _t(spark, d, "nation").select((F.col("n_nationkey")).cast("bigint").alias("k"), F.col("n_name").alias("site"))
-    return _t(spark, d, "pages").withColumn("k", F.col("page_id") % 25).join(names.hint("merge"), "k").select("page_id", "site", "url")
-
-
 def robots_check(spark: SparkSession, d: str) -> DataFrame:
-    urls = _site_urls(spark, d)
-    checked = robots.robots_check(urls.select("site", "url").distinct(), robots.robots_rules(_files(spark, d, 0)))
-    return urls.join(checked.hint("merge"), ["site", "url"]).select("page_id", "blocked", F.coalesce("blocking_path", F.lit("")).alias("blocking_path"))
+    pages = _site_urls(spark, d)
+    checked = robots.robots_check(pages.select("site", "url").distinct(), robots.robots_rules(_files(spark, d, 0)))
+    return pages.join(checked.hint("merge"), ["site", "url"]).select("page_id", "blocked", F.coalesce("blocking_path", F.lit("")).alias("blocking_path"))
 
 
 def fully_blocked(spark: SparkSession, d: str) -> DataFrame:
@@ -188,9 +193,7 @@ def newly_disallowed(spark: SparkSession, d: str) -> DataFrame:
 
 def invalidate_patterns(spark: SparkSession, d: str) -> DataFrame:
     patterns = _site_urls(spark, d).select("page_id", "site", F.col("url").alias("pattern"), F.when(F.col("page_id") % 4 == 0, "failed").otherwise("valid").alias("status"))
-    blocked = robots.robots_rules(_files(spark, d, 0)).where("kind = 'disallow'")
-    blocked = blocked.withColumn("path", F.substring("path", 1, 5))
-    return robots.invalidate_patterns(patterns, blocked).select("page_id")
+    return robots.invalidate_patterns(patterns, robots.robots_rules(_files(spark, d, 0)).where("kind = 'disallow'")).select("page_id")
 
 
 # ---- intents
@@ -246,9 +249,10 @@ def idempotency_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_match(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest other vector of the same label for each vector of an id divisible by 100, among all."""
     e = _t(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("vec"))
-    fields = e.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("field"), "vec")
-    keys = e.where("vec_id % 50 <> 0").select("label", F.col("vec_id").alias("key"), "vec")
+    fields = e.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("field"), "vec")
+    keys = e.select("label", F.col("vec_id").alias("key"), "vec")
     df = vectors.best_matches(fields, keys, "label")
     return df.select("field", "key", F.round("score", 3).alias("score"), "missing")
 
@@ -281,6 +285,10 @@ def _rendered(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select(k.alias("page_id"), F.when(k % 7 == 0, bare).otherwise(full).alias("html"))
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return stored(dom.dom_nodes(_rendered(spark, d)), "nodes")
+
+
 def _eav(spark: SparkSession, d: str) -> DataFrame:
     pages = stored(_rendered(spark, d), "rendered")
     return stored(engines.extract(pages, stored(dom.dom_nodes(pages), "nodes")), "eav")
@@ -291,15 +299,15 @@ def jsonld_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def microdata_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return engines.engine_microdata(dom.dom_nodes(_rendered(spark, d))).select("page_id", "key", "value")
+    return engines.engine_microdata(_nodes(spark, d)).select("page_id", "key", "value")
 
 
 def opengraph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return engines.engine_opengraph(dom.dom_nodes(_rendered(spark, d))).select("page_id", "key", "value")
+    return engines.engine_opengraph(_nodes(spark, d)).select("page_id", "key", "value")
 
 
 def twitter_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return engines.engine_twitter(dom.dom_nodes(_rendered(spark, d))).select("page_id", "key", "value")
+    return engines.engine_twitter(_nodes(spark, d)).select("page_id", "key", "value")
 
 
 def meta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -311,11 +319,11 @@ def label_value_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deflist_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return engines.engine_deflist(dom.dom_nodes(_rendered(spark, d))).select("page_id", "key", "value")
+    return engines.engine_deflist(_nodes(spark, d)).select("page_id", "key", "value")
 
 
 def sections_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return engines.engine_sections(dom.dom_nodes(_rendered(spark, d))).select("page_id", "key", "value")
+    return engines.engine_sections(_nodes(spark, d)).select("page_id", "key", "value")
 
 
 def itemlist_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +331,7 @@ def itemlist_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def items_microdata(spark: SparkSession, d: str) -> DataFrame:
-    return engines.items_microdata(dom.dom_nodes(_rendered(spark, d))).select("page_id", "position", "key", "value")
+    return engines.items_microdata(_nodes(spark, d)).select("page_id", "position", "key", "value")
 
 
 def merge_engines(spark: SparkSession, d: str) -> DataFrame:
@@ -351,11 +359,11 @@ def validate_extraction(spark: SparkSession, d: str) -> DataFrame:
 from weftline.plans.data_sql import ORACLES  # noqa: E402
 
 def dom_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.dom_blocks(stored(dom.dom_nodes(_rendered(spark, d)), "nodes"))
+    return blocks.dom_blocks(_nodes(spark, d))
 
 
 def selector_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.selector_candidates(stored(dom.dom_nodes(_rendered(spark, d)), "nodes"))
+    return blocks.selector_candidates(_nodes(spark, d))
 
 
 def item_sources_chosen(spark: SparkSession, d: str) -> DataFrame:

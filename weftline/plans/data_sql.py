@@ -15,9 +15,10 @@ a AS (SELECT request_id, field, count(*) AS n, count(DISTINCT value) AS nv, coun
   round(max(weight) FILTER (rn = 1) - max(weight) FILTER (rn = 2), 9) AS gap FROM r GROUP BY ALL),
 u AS (SELECT *, CASE WHEN n = 1 THEN 'single' WHEN nv = 1 THEN 'agree' WHEN np = 1 THEN 'agree_normalized' WHEN gap >= 0.1 THEN 'by_weight' ELSE 'conflict' END AS status FROM a)"""
 _ORD = "(SELECT o_orderkey AS request_id, o_custkey AS user_id, o_orderpriority AS domain, o_custkey % 100 AS intent_hash, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'FAILED' ELSE 'INIT' END AS state, o_orderdate AS created_at, o_totalprice AS price FROM orders)"
-_LIVE = f"(SELECT * FROM {_ORD} WHERE request_id % 7 = 0 AND request_id % 3 <> 0 AND created_at + INTERVAL 30 DAY > TIMESTAMP '1996-01-01')"
-_LANG = "['en', 'de', 'fr', 'es'][n_nationkey % 4 + 1]"
-_SITE_URLS = f"(SELECT page_id, n_name AS site, n_nationkey, url, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, '/' || {_LANG} || '/' || n_nationkey AS rule FROM pages JOIN nation ON page_id % 25 = n_nationkey)"
+_LIVE = f"(SELECT * FROM {_ORD} WHERE state = 'COMPLETED' AND request_id % 3 <> 0 AND created_at + INTERVAL 30 DAY > TIMESTAMP '1996-01-01')"
+_SITE_URLS = "(SELECT page_id, url, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS site, regexp_extract(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '^(/[^/]*/.)', 1) AS start FROM pages)"
+_DENY, _ALLOW = f"(SELECT DISTINCT site, start FROM {_SITE_URLS} WHERE page_id % 3 = 0)", f"(SELECT DISTINCT site, start FROM {_SITE_URLS} WHERE page_id % 3 = 1)"
+_ODD_SITES = f"(SELECT site FROM {_SITE_URLS} GROUP BY site HAVING min(page_id) % 5 = 0)"
 _INT = """(SELECT o_orderkey AS k, ['details','list','search','compare','unknown'][k % 5 + 1] AS kind, CASE WHEN k % 3 <> 0 THEN 'Part ' || k % 50 END AS title, CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END AS n_titles,
   CASE WHEN k % 7 = 1 THEN 'abc' WHEN k % 7 <> 0 THEN (1880 + k % 160)::VARCHAR END AS year, k % 6 = 0 AS english, CASE WHEN k % 5 <> 1 THEN k % 300 END AS lim, k % 8 = 0 AS compare, k % 2 = 0 AS drama,
   CASE WHEN k % 11 = 0 THEN (2000 + k % 20)::VARCHAR END AS release, 0.5 + (k % 50) / 100 AS confidence, k % 3 + 1 AS sites FROM orders)"""
@@ -42,11 +43,11 @@ SELECT norm, key, value FROM (SELECT *, row_number() OVER (PARTITION BY norm, ke
     "value_forms": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_size / 5)::DOUBLE::VARCHAR WHEN 1 THEN p_size || '%' ELSE CASE WHEN p_size <= 10 THEN p_size::DOUBLE::VARCHAR ELSE p_size::VARCHAR END END AS rating, p_size::VARCHAR AS year FROM part",
     "fill_gaps": f"SELECT request_id, field, value FROM ({_COMPETE}) WHERE ord = 1",
     "keep_better": f"SELECT request_id, ord AS attempt, round(weight, 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, ord) AS rn FROM ({_COMPETE}) WHERE field = 'flag') WHERE rn = 1",
-    "request_confidence": "SELECT l_orderkey AS request_id, round(CASE WHEN l_orderkey % 10 = 0 AND max(o_orderkey) IS NOT NULL THEN 0.9::DOUBLE ELSE avg(l_discount * 10) END, 4) AS confidence FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey",
+    "request_confidence": "SELECT l_orderkey AS request_id, round(CASE WHEN max(o_orderkey) IS NOT NULL THEN 0.9::DOUBLE ELSE avg(l_discount * 10) END, 4) AS confidence FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' GROUP BY l_orderkey",
     "cache_exact": f"SELECT request_id, EXISTS (SELECT 1 FROM {_LIVE} c WHERE c.domain = o.domain AND c.intent_hash = o.intent_hash) AS hit FROM {_ORD} o",
     "cache_latest_completed": f"SELECT domain, intent_hash, request_id, price FROM (SELECT *, row_number() OVER (PARTITION BY domain, intent_hash ORDER BY created_at DESC, request_id DESC) AS rn FROM {_ORD} WHERE state = 'COMPLETED') WHERE rn = 1",
     "cache_semantic": f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY domain, intent_hash, user_id % 2 ORDER BY request_id % 10 DESC, created_at DESC, request_id DESC) AS rn FROM {_ORD} WHERE request_id % 5 = 0)
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY domain, intent_hash, user_id % 2 ORDER BY request_id % 10 DESC, created_at DESC, request_id DESC) AS rn FROM {_ORD} WHERE state = 'COMPLETED')
 SELECT o.request_id, coalesce(r.request_id, -1) AS result_id FROM {_ORD} o LEFT JOIN r ON r.rn = 1 AND r.domain = o.domain AND r.intent_hash = o.intent_hash AND r.user_id % 2 = o.user_id % 2""",
     "cache_two_tier": f"""
 WITH t1 AS (SELECT domain, intent_hash, user_id % 50 AS site, max(request_id % 10 / 10) AS score FROM {_LIVE} WHERE request_id % 10 / 10 >= 0.3 GROUP BY ALL),
@@ -54,17 +55,21 @@ t2 AS (SELECT domain, user_id % 50 AS site, count(*) % 10 / 10 AS score FROM {_O
 SELECT request_id, CASE WHEN t1.score IS NOT NULL THEN 'tier1' WHEN t2.score IS NOT NULL THEN 'tier2' ELSE 'uncached' END AS tier, coalesce(t1.score, t2.score, -1.0)::DOUBLE AS score
 FROM {_ORD} o LEFT JOIN t1 ON t1.domain = o.domain AND t1.intent_hash = o.intent_hash AND t1.site = o.user_id % 50 LEFT JOIN t2 ON t2.domain = o.domain AND t2.site = o.user_id % 50""",
     "idempotent_action": f"""
-WITH e AS (SELECT domain, intent_hash, arg_max(state, (created_at, request_id)) AS state FROM {_ORD} WHERE request_id % 2 = 1 GROUP BY ALL)
+WITH e AS (SELECT domain, intent_hash, arg_max(state, (created_at, request_id)) AS state FROM {_ORD} WHERE created_at < TIMESTAMP '1996-01-01' GROUP BY ALL)
 SELECT request_id, CASE WHEN e.state IS NULL THEN 'none' WHEN e.state = 'COMPLETED' THEN 'return' WHEN e.state = 'FAILED' THEN 'retry' ELSE 'attach' END AS action
-FROM {_ORD} o LEFT JOIN e ON e.domain = o.domain AND e.intent_hash = o.intent_hash WHERE request_id % 2 = 0""",
+FROM {_ORD} o LEFT JOIN e ON e.domain = o.domain AND e.intent_hash = o.intent_hash WHERE o.created_at >= TIMESTAMP '1996-01-01'""",
     "fuzzy_keys": f"{_FUZZY} SELECT * FROM f",
     "top_similar": f"{_FUZZY} SELECT left_id, right_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id % 10 DESC, right_id)::INT AS rank FROM f) WHERE rank <= 5",
-    "robots_rules": f"SELECT n_name AS site, '*' AS ua, unnest(['disallow', 'allow']) AS kind, unnest(['/' || {_LANG} || '/' || n_nationkey, '/' || {_LANG} || '/9']) AS path FROM nation",
-    "robots_sitemaps": "SELECT n_name AS site, 'https://x/' || n_name || '.xml' AS sitemap FROM nation",
-    "robots_check": f"SELECT page_id, starts_with(path, rule) AS blocked, CASE WHEN starts_with(path, rule) THEN rule ELSE '' END AS blocking_path FROM {_SITE_URLS}",
-    "fully_blocked": "SELECT n_name AS site, n_nationkey % 5 = 0 AND n_nationkey % 3 = 0 AS fully_blocked FROM nation",
-    "newly_disallowed": f"SELECT n_name AS site, '/' || {_LANG} || '/9' AS path FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 5 = 0 OR n_nationkey = 9",
-    "invalidate_patterns": f"SELECT page_id FROM {_SITE_URLS} WHERE page_id % 4 <> 0 AND contains(url, substr(rule, 1, 5))",
+    "robots_rules": f"SELECT site, '*' AS ua, 'disallow' AS kind, start AS path FROM {_DENY} UNION ALL SELECT site, '*', 'allow', start || '/x' FROM {_ALLOW}",
+    "robots_sitemaps": f"SELECT DISTINCT site, 'https://' || site || '/map.xml' AS sitemap FROM {_SITE_URLS}",
+    "robots_check": f"SELECT page_id, r.start IS NOT NULL AS blocked, coalesce(r.start, '') AS blocking_path FROM {_SITE_URLS} p LEFT JOIN {_DENY} r ON p.site = r.site AND p.start = r.start",
+    "fully_blocked": f"""
+SELECT site, site IN {_ODD_SITES} AND count(*) FILTER (page_id % 6 = 1) = 0 AS fully_blocked FROM {_SITE_URLS}
+GROUP BY site HAVING site IN {_ODD_SITES} OR count(*) FILTER (page_id % 3 = 0 OR page_id % 6 = 1) > 0""",
+    "newly_disallowed": f"""
+SELECT site, start || '/x' AS path FROM {_ALLOW} a WHERE site IN {_ODD_SITES} OR EXISTS (SELECT 1 FROM {_DENY} d WHERE d.site = a.site AND d.start = a.start)
+  OR (NOT EXISTS (SELECT 1 FROM {_SITE_URLS} u WHERE u.site = a.site AND u.start = a.start AND u.page_id % 6 = 1) AND EXISTS (SELECT 1 FROM {_DENY} d WHERE d.site = a.site))""",
+    "invalidate_patterns": f"SELECT page_id FROM {_SITE_URLS} p WHERE page_id % 4 <> 0 AND EXISTS (SELECT 1 FROM {_DENY} d WHERE d.site = p.site AND contains(p.url, d.start))",
     "intent_validate": f"""
 SELECT k AS request_id, concat_ws('; ', CASE WHEN kind = 'unknown' THEN 'Schema validation: ''unknown'' is not a known query_type' END, CASE WHEN year = 'abc' THEN 'Invalid year value: abc' END,
   CASE WHEN try_cast(year AS INT) < 1888 OR try_cast(year AS INT) > 2030 THEN 'Year ' || year || ' out of valid range (1888-2030)' END, CASE WHEN lim < 1 OR lim > 250 THEN 'Limit ' || lim || ' out of valid range (1-250)' END) AS errors FROM {_INT}""",
@@ -82,7 +87,7 @@ SELECT k AS request_id, CASE WHEN one THEN 'single' ELSE 'multiple' END AS cardi
     "intent_hash": f"SELECT min(k) AS first, count(*) AS n FROM {_INT} GROUP BY title, n_titles, year, english, lim, compare, drama, release",
     "idempotency_key": "SELECT o_orderkey, sha256(o_custkey || '|' || lower(o_orderpriority) || '|movie|1.0|a.com,b.com') AS key FROM orders",
     "vector_match": """
-WITH s AS (SELECT f.vec_id AS field, k.vec_id AS key, list_cosine_similarity(f.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings f JOIN embeddings k ON f.label = k.label WHERE f.vec_id % 50 = 0 AND k.vec_id % 50 <> 0)
+WITH s AS (SELECT f.vec_id AS field, k.vec_id AS key, list_cosine_similarity(f.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings f JOIN embeddings k ON f.label = k.label WHERE f.vec_id % 100 = 0 AND k.vec_id <> f.vec_id)
 SELECT field, arg_max(key, (score, key)) AS key, round(max(score), 3) AS score, max(score) < 0.65 AS missing FROM s GROUP BY field""",
     "missing_fields_kw": """
 WITH f AS (SELECT DISTINCT p_partkey % 50 AS g, lower(list_last(string_split(p_type, ' '))) AS field FROM part)

@@ -168,20 +168,20 @@ def limit_per_request(spark: SparkSession, d: str) -> DataFrame:
 
 def request_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Requests with changed state after a keyed update by newer runs, and new ones inserted."""
-    base = _requests(spark, d).select("request_id", "state").where("request_id % 2 = 0")
-    delta = _requests(spark, d).where("request_id % 3 = 0").select("request_id", F.lit("DONE").alias("state"))
+    base = _requests(spark, d).select("request_id", "state").where("state <> 'INIT'")
+    delta = _requests(spark, d).where("updated_at >= '1998-01-01'").select("request_id", F.lit("DONE").alias("state"))
     return tables.upsert(base, delta, ["request_id"], {"state": F.concat_ws(">", "old_state", "new_state")})
 
 
 def request_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
-    base = _requests(spark, d).select("request_id", "state").where("request_id % 2 = 0")
-    delta = _requests(spark, d).where("request_id % 3 = 0").select("request_id", F.lit("NEW").alias("state"))
+    base = _requests(spark, d).select("request_id", "state").where("state <> 'INIT'")
+    delta = _requests(spark, d).where("updated_at >= '1998-01-01'").select("request_id", F.lit("NEW").alias("state"))
     return tables.insert_ignore(base, delta, ["request_id"])
 
 
 def request_updates(spark: SparkSession, d: str) -> DataFrame:
     base = _requests(spark, d).select("request_id", "state")
-    changes = base.where("request_id % 5 = 0").select("request_id", F.when(F.col("request_id") % 10 == 0, "CLOSED").alias("state"))
+    changes = base.where("state = 'FAILED'").select("request_id", F.when(F.col("request_id") % 10 == 0, "CLOSED").alias("state"))
     return tables.update_rows(base, changes, ["request_id"])
 
 
@@ -279,9 +279,9 @@ SELECT request_id, ord, attempt::INT AS attempt FROM t WHERE attempt <= 5 AND co
 WITH t AS (SELECT *, max(score) OVER (PARTITION BY request_id) AS best FROM {_TRY})
 SELECT request_id, 'failed' AS status, count(*) AS n, round(min(greatest(-1.0::DOUBLE, -score / 100)), 6) AS lowest FROM t WHERE (ord % 4 = 0 AND score < 50) OR best < 50 GROUP BY request_id""",
     "limit_per_request": f"SELECT request_id, position FROM (SELECT request_id, ord AS position, row_number() OVER (PARTITION BY request_id ORDER BY ord) AS n FROM {_TRY}) WHERE request_id % 3 = 0 OR n <= request_id % 5",
-    "request_upsert": f"SELECT request_id, CASE WHEN request_id % 6 = 0 THEN state || '>DONE' WHEN request_id % 2 = 0 THEN state ELSE 'DONE' END AS state FROM {_REQ} WHERE request_id % 2 = 0 OR request_id % 3 = 0",
-    "request_insert_ignore": f"SELECT request_id, CASE WHEN request_id % 2 = 0 THEN state ELSE 'NEW' END AS state FROM {_REQ} WHERE request_id % 2 = 0 OR request_id % 3 = 0",
-    "request_updates": f"SELECT request_id, CASE WHEN request_id % 10 = 0 THEN 'CLOSED' ELSE state END AS state FROM {_REQ}",
+    "request_upsert": f"SELECT request_id, CASE WHEN state <> 'INIT' AND updated_at >= '1998-01-01' THEN state || '>DONE' WHEN state <> 'INIT' THEN state ELSE 'DONE' END AS state FROM {_REQ} WHERE state <> 'INIT' OR updated_at >= '1998-01-01'",
+    "request_insert_ignore": f"SELECT request_id, CASE WHEN state <> 'INIT' THEN state ELSE 'NEW' END AS state FROM {_REQ} WHERE state <> 'INIT' OR updated_at >= '1998-01-01'",
+    "request_updates": f"SELECT request_id, CASE WHEN state = 'FAILED' AND request_id % 10 = 0 THEN 'CLOSED' ELSE state END AS state FROM {_REQ}",
     "windowed_metrics_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "dedup_stream": "SELECT DISTINCT user_id || ':' || event_type AS key FROM events",
 }

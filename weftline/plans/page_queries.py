@@ -62,7 +62,7 @@ def resolve_entity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_html(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", pages.clean_html(F.col("html")).alias("html"))
+    return pages.clean_html(_pages(spark, d))
 
 
 def to_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -99,9 +99,20 @@ def best_cluster(spark: SparkSession, d: str) -> DataFrame:
     return dom.best_cluster(stored(dom.dom_nodes(_pages(spark, d)), "nodes")).select("page_id", "cluster", "position", "heading", "link_text", "link_href")
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """pages with links after their article: under the own path, elsewhere on the site, of other sites, of menus and of no use."""
+    site, own = F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*)", 1), F.regexp_extract("url", r"^([^?#]*)", 1)
+    links = F.concat(
+        F.lit('</article><div><a href="/other/'), F.col("page_id").cast("string"), F.lit('">Other <b>one</b></a><a href="'), own, F.lit('/part/1">First part</a><a href="'), own, F.lit('/part/1/">Again</a><a href="https://elsewhere.org/x">Away</a>'),
+        F.lit('<a href="/news/today">News</a><a href="/about">About</a><a href="#top">Top</a><a href="javascript:go()">Go</a><a href="'), F.col("url"), F.lit('">Self</a><a href="/empty"></a><div role="navigation"><a href="/menu">Menu item</a></div><a href="'),
+        site, F.lit('/wide">Whole site</a></div>'),
+    )
+    return _pages(spark, d).withColumn("html", F.replace("html", F.lit("</article>"), links))
+
+
 def navigation(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d)
-    return pages.discover_navigation(p, dom.dom_nodes(p))
+    p = stored(_linked(spark, d), "linked")
+    return pages.discover_navigation(p, stored(dom.dom_nodes(p), "nodes")).select("page_id", "rank", "target", "label")
 
 
 def query_cleaning(spark: SparkSession, d: str) -> DataFrame:
@@ -156,11 +167,11 @@ SELECT page_id, page_id % 2 = 0 AND (regexp_matches(lower(regexp_extract(html, '
   OR regexp_matches(lower(array_to_string(list_slice(regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1, 'si'), 1, 3), ' ')), 'search|find|results')
   OR (NOT contains(html, '<script type="application/ld+json">') AND len(regexp_extract_all(lower(html), '<a ')) > 15)) AS is_search FROM pages""",
     "site_signals": r"""
-WITH h AS (SELECT page_id, substr(html, 1, 50000) AS s FROM pages)
-SELECT page_id, array_to_string(list_transform(list_slice(regexp_extract_all(s, '<h[1-3][^>]*>(.*?)</h[1-3]>', 1, 'si'), 1, 20), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), ' | ') AS headings,
+WITH h AS (SELECT page_id, html AS s FROM pages)
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(s, '<h[1-3][^>]*>(.*?)</h[1-3]>', 1, 'si'), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), ' | ') AS headings,
   array_to_string(list_sort(list_distinct(regexp_extract_all(s, 'href="(/[^"/?#]+)/', 1))), ',') AS link_patterns, regexp_matches(s, 'type="search"|name="q"|role="search"', 'i') AS has_search FROM h""",
     "relevance_hint": r"""
-WITH h AS (SELECT page_id, lower(array_to_string(list_slice(regexp_extract_all(substr(html, 1, 50000), '<h[1-3][^>]*>(.*?)</h[1-3]>', 1, 'si'), 1, 20), ' ')) AS t FROM pages)
+WITH h AS (SELECT page_id, lower(array_to_string(regexp_extract_all(html, '<h[1-3][^>]*>(.*?)</h[1-3]>', 1, 'si'), ' ')) AS t FROM pages)
 SELECT page_id, round(least(1.0, (contains(t, 'the')::INT + contains(t, 'que')::INT + contains(t, 'der')::INT + contains(t, 'zzz')::INT) / 4 * 0.8::DOUBLE), 3) AS hint FROM h""",
     "dom_tag_census": r"""
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages),

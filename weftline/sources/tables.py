@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE_CAP = 500_000
-
-
 def read_state(spark: SparkSession, path: str, name: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
     """A state table with projection and filter, both of which reach the parquet scan."""
     df = spark.read.parquet(f"{path}/{name}.parquet")
@@ -18,9 +15,10 @@ def read_state(spark: SparkSession, path: str, name: str, columns: list[str] | N
     return df.select(*columns) if columns else df
 
 
-def read_pages(spark: SparkSession, path: str, cap: int = PAGE_CAP) -> DataFrame:
-    """Pages with their HTML capped, as the services that fetch them cap it."""
-    return read_state(spark, path, "pages").withColumn("html", F.substring("html", 1, cap))
+def read_pages(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """Pages with their HTML whole, or its first cap characters, as services that fetch pages cap it."""
+    pages = read_state(spark, path, "pages")
+    return pages if cap is None else pages.withColumn("html", F.substring("html", 1, cap))
 
 
 def domain_config(domains: DataFrame, section: str = "field_map") -> DataFrame:
@@ -49,9 +47,21 @@ def read_log_stream(spark: SparkSession, path: str, name: str = "events", files_
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir), or in a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir). Only a local session (tests) may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/weftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has stored on the way; for when its results are written, as they read it."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
