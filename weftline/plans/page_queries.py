@@ -83,7 +83,8 @@ def repeated_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return dom.rank_clusters(stored(dom.dom_nodes(_pages(spark, d)), "nodes"))
+    df = dom.rank_clusters(stored(dom.dom_nodes(_pages(spark, d)), "nodes"))
+    return df.select("page_id", "cluster", "n", "rank", F.round("avg_text", 4).alias("avg_text"), F.round("quality", 2).alias("quality"))
 
 
 def cluster_items(spark: SparkSession, d: str) -> DataFrame:
@@ -132,9 +133,11 @@ def title_keys(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (link_facets, url_profile, page_links, page_profile, render_triggers, search_page, site_signals, relevance_hint, resolve_entity, clean_html, to_markdown, dom_tag_census, dom_depth, repeated_groups, rank_clusters, cluster_items, cluster_quality, best_cluster, navigation, query_cleaning, title_keys)}
 
+from weftline.plans.page_sql import ORACLES as DOM_ORACLES  # noqa: E402
+
 _NETLOC = "regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
-ORACLES = {
+ORACLES = DOM_ORACLES | {
     "link_facets": f"""
 SELECT site, count(DISTINCT page_id) AS pages, count(DISTINCT href) AS links FROM (
   SELECT replace({_NETLOC}, 'www.', '') AS site, page_id, unnest(CASE WHEN len(h) = 0 THEN [NULL] ELSE h END) AS href
