@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.dom import subtree_text, within
+from weftline.sources.tables import stored
 
 #: Engines by priority, and the confidence of each.
 ENGINES = (("json_ld", 0.95), ("microdata", 0.85), ("opengraph", 0.75), ("twitter_cards", 0.70), ("heuristic", 0.50))
@@ -52,9 +53,14 @@ def engine_jsonld(pages: DataFrame) -> DataFrame:
     return _eav(pairs.select("page_id", "ord", F.col("p.key").alias("key"), F.col("p.value").alias("value")), "json_ld")
 
 
-def element_values(nodes: DataFrame, heads: Column) -> DataFrame:
+def _texts(nodes: DataFrame, heads: Column, texts: DataFrame | None) -> DataFrame:
+    """The texts of the heads' subtrees: those given, which may hold others too, or computed here."""
+    return subtree_text(nodes, heads) if texts is None else texts
+
+
+def element_values(nodes: DataFrame, heads: Column, texts: DataFrame | None = None) -> DataFrame:
     """Nodes with value: content, src, datetime, href or value attribute by tag, else the text of the subtree; '' is null."""
-    texts = subtree_text(nodes, heads).withColumnRenamed("text", "_text")
+    texts = _texts(nodes, heads, texts).withColumnRenamed("text", "_text")
     text = F.coalesce("_text", F.lit(""))
     value = (
         F.when(F.col("tag") == "meta", F.trim(_attr("content")))
@@ -67,9 +73,13 @@ def element_values(nodes: DataFrame, heads: Column) -> DataFrame:
     return nodes.where(heads).join(texts.hint("merge"), ["page_id", "node_id"], "left").withColumn("value", F.nullif(value, F.lit(""))).drop("_text")
 
 
-def engine_microdata(nodes: DataFrame) -> DataFrame:
+def _has_itemprop() -> Column:
+    return F.coalesce(_attr("itemprop") != "", F.lit(False))
+
+
+def engine_microdata(nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """itemprop pairs; values of a repeated property become a JSON list in document order."""
-    found = element_values(nodes, F.coalesce(_attr("itemprop") != "", F.lit(False))).where("value is not null")
+    found = element_values(nodes, _has_itemprop(), texts).where("value is not null")
     per = found.groupBy("page_id", _attr("itemprop").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "value"))), lambda x: x["value"]).alias("v"), F.min("node_id").alias("ord"))
     return _eav(per.withColumn("value", F.when(F.size("v") == 1, F.get("v", F.lit(0))).otherwise(F.to_json("v"))), "microdata")
 
@@ -128,9 +138,9 @@ def engine_label_value(pages: DataFrame, cap: int | None = None, longest: int |
     return _eav(first.select("page_id", F.concat(F.lit("text:"), "r.label").alias("key"), F.col("r.ord").alias("ord"), F.col("r.value").alias("value")), "heuristic")
 
 
-def engine_deflist(nodes: DataFrame) -> DataFrame:
+def engine_deflist(nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """text:<dt> pairs of definition lists: a dd belongs to the dt just before it."""
-    texts = subtree_text(nodes, F.col("tag").isin("dt", "dd"))
+    texts = _texts(nodes, F.col("tag").isin("dt", "dd"), texts)
     lists = nodes.where("tag = 'dl'").select("page_id", F.col("node_id").alias("parent_id"))
     items = nodes.where(F.col("tag").isin("dt", "dd")).join(lists.hint("merge"), ["page_id", "parent_id"], "left_semi").join(texts.hint("merge"), ["page_id", "node_id"], "left")
     before = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
@@ -139,18 +149,18 @@ def engine_deflist(nodes: DataFrame) -> DataFrame:
     return _eav(first.withColumn("key", F.concat(F.lit("text:"), "label")), "heuristic")
 
 
-def engine_sections(nodes: DataFrame, most: int | None = None) -> DataFrame:
+def engine_sections(nodes: DataFrame, most: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """text:<heading> - <label> pairs of list items under h2-h4 headings (50 characters at most), up to most a section, or all."""
     heads = nodes.where(F.col("tag").isin("h1", "h2", "h3", "h4"))
     following = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
     bounds = heads.withColumn("next_head", F.lead("node_id").over(following))
-    names = subtree_text(nodes, F.col("tag").isin("h2", "h3", "h4"))
+    names = _texts(nodes, F.col("tag").isin("h2", "h3", "h4"), texts)
     sections = bounds.where(F.col("tag").isin("h2", "h3", "h4")).join(names.hint("merge"), ["page_id", "node_id"]).where("text <> '' and length(text) <= 50")
     sections = sections.select("page_id", "parent_id", F.col("node_id").alias("head"), "next_head", F.col("text").alias("section"))
     boxes = nodes.where(F.col("tag").isin("ul", "ol", "div", "dl")).select("page_id", "parent_id", F.col("node_id").alias("box"))
     inside = sections.join(boxes.hint("merge"), ["page_id", "parent_id"]).where("box > head and (next_head is null or box < next_head)")
     items = nodes.where(F.col("tag").isin("li", "div", "span", "dd"))
-    texts = subtree_text(nodes, F.col("tag").isin("li", "div", "span", "dd"))
+    texts = _texts(nodes, F.col("tag").isin("li", "div", "span", "dd"), texts)
     lines = items.select("page_id", "node_id", "ancestors").join(texts.hint("merge"), ["page_id", "node_id"]).where("length(text) > 3 and text like '%:%'")
     lines = within(lines, "node_id", "text").where("head <> node_id").withColumnRenamed("head", "box")
     split = inside.select("page_id", "head", "section", "box").join(lines.hint("merge"), ["page_id", "box"])
@@ -163,17 +173,18 @@ def engine_sections(nodes: DataFrame, most: int | None = None) -> DataFrame:
     return _eav(kept.select("page_id", "key", F.col("r.node_id").alias("ord"), F.col("r.value").alias("value")), "heuristic")
 
 
-def engine_heuristic(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+def engine_heuristic(pages: DataFrame, nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """All heuristic pairs; of equal keys the earlier source wins: meta, label lines, definition lists, sections."""
-    parts = [engine_meta(pages), engine_label_value(pages), engine_deflist(nodes), engine_sections(nodes)]
+    parts = [engine_meta(pages), engine_label_value(pages), engine_deflist(nodes, texts), engine_sections(nodes, texts=texts)]
     ranked = reduce(DataFrame.union, [p.withColumn("rank", F.lit(i)) for i, p in enumerate(parts)])
     first = ranked.groupBy("page_id", "engine", "key").agg(F.min_by(F.struct("ord", "value"), F.struct("rank", "ord")).alias("r"))
     return first.select("page_id", "engine", "key", "r.ord", "r.value")
 
 
 def extract(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All engines' pairs, with the registered extra ones."""
-    parts = [engine_jsonld(pages), engine_microdata(nodes), engine_opengraph(nodes), engine_twitter(nodes), engine_heuristic(pages, nodes)]
+    """All engines' pairs, with the registered extra ones. The texts that several engines read are computed and stored once."""
+    texts = stored(subtree_text(nodes, _has_itemprop() | F.col("tag").isin("dt", "dd", "h2", "h3", "h4", "li", "div", "span")), "texts")
+    parts = [engine_jsonld(pages), engine_microdata(nodes, texts), engine_opengraph(nodes), engine_twitter(nodes), engine_heuristic(pages, nodes, texts)]
     parts += [_eav(fn(pages, nodes), name) for name, (_, fn) in EXTRA.items()]
     return reduce(DataFrame.union, parts)
 

@@ -106,6 +106,20 @@ SELECT g, field FROM f WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 50
 SELECT p_partkey AS page_id, unnest(['name', 'tag', 'og:title', 'twitter:title', 'meta:kind']) AS key,
   unnest([CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '["' || p_name || '","two"]' END, '["a","' || p_brand || '"]', p_name, p_name, p_type]) AS value,
   unnest([CASE WHEN p_partkey % 2 = 0 THEN 'json_ld' ELSE 'microdata' END, 'microdata', 'opengraph', 'twitter_cards', 'heuristic']) AS engine FROM {_FULL}""",
+    "engine_confidence": f"""
+WITH e AS (SELECT p_partkey AS page_id, unnest(['json_ld', 'microdata', 'opengraph', 'twitter_cards', 'heuristic']) AS engine, unnest([0.95, 0.85, 0.75, 0.70, 0.50])::DOUBLE AS base, unnest([CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END, 2, 2, 4, 7]) AS n_fields FROM {_FULL})
+SELECT page_id, engine, n_fields::BIGINT AS n_fields, round(base * n_fields / 17, 4) AS confidence FROM e""",
+    "page_result": f"""
+SELECT p_partkey AS page_id, 'json_ld+microdata+opengraph+twitter_cards+heuristic' AS methods, round(0.95::DOUBLE * CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END / 17, 4) AS confidence, true AS low_confidence, 17::BIGINT AS n_fields FROM {_FULL}""",
+    "discover_fields": f"""
+SELECT p_partkey AS page_id, array_to_string(list_sort(['@type', '_labeled_pairs', '_page_title', CASE WHEN p_partkey % 2 = 0 THEN 'size' ELSE 'itemListElement' END, 'meta:brand', 'meta:kind', 'name', 'og:title', 'og:type', 'tag', 'text:Brand name', 'text:Facts - Kind', 'text:Kind',
+  CASE WHEN p_size < 10 THEN 'text:size' ELSE 'text:Size' END, 'twitter:data1', 'twitter:label1', 'twitter:title']), ',') AS keys FROM {_FULL}""",
+    "dom_blocks": f"SELECT p_partkey AS page_id, unnest(['section:Facts', 'deflist:0']) AS key, unnest(['Kind: ' || p_type || 'plain', 'Brand name: ' || p_brand]) AS text FROM {_FULL}",
+    "selector_candidates": f"SELECT p_partkey AS page_id, 'title' AS field, 1 AS rank, 'span' AS selector, p_name AS sample, 0.9::DOUBLE AS score FROM {_FULL}",
+    "field_tiers": f"""
+WITH k AS (
+  SELECT unnest(['text:Brand name', 'text:Facts - Kind', 'text:Kind', CASE WHEN p_size < 10 THEN 'text:size' ELSE 'text:Size' END, 'tag', 'name', '@type', CASE WHEN p_partkey % 2 = 0 THEN 'size' ELSE 'itemListElement' END, CASE WHEN p_partkey % 2 = 0 THEN 'name' END]) AS key FROM {_FULL})
+SELECT key, CASE WHEN key IN ('name', '@type') THEN 1 ELSE 3 END AS tier, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL""",
     "item_sources_chosen": f"SELECT p_partkey AS page_id, 'json_ld' AS source, 2 AS n FROM {_FULL}",
     "page_recommendations": """
 WITH e AS (SELECT greatest(0, least(100, trunc(value * 1.5 - 10)::INT)) AS s, event_id FROM events), p AS (SELECT CASE WHEN event_id % 3 = 0 THEN least(s, 5) ELSE s END AS score FROM e)

@@ -194,12 +194,14 @@ def windowed_metrics_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def rate_limiter_stream(spark: SparkSession, d: str) -> DataFrame:
     df = jobs.rate_limit(tables.read_log_stream(spark, d), 2, 3600)
-    return jobs.run_all(df, tables.scratch(spark, "limited"), tables.scratch(spark, "state"))
+    out = jobs.run_all(df, tables.scratch(spark, "limited"), tables.scratch(spark, "state"))
+    return out.select("user_id", "event_id", "accepted", F.round("retry_after", 3).alias("retry_after"))
 
 
 def circuit_breaker_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = tables.read_log_stream(spark, d).where("event_type = 'error'").withColumn("site", F.col("user_id").cast("string"))
-    return jobs.run_all(jobs.circuit_breaker(stream), tables.scratch(spark, "broken"), tables.scratch(spark, "state"))
+    out = jobs.run_all(jobs.circuit_breaker(stream), tables.scratch(spark, "broken"), tables.scratch(spark, "state"))
+    return out.select("site", "event_id", "failures", "status")
 
 
 def transitions_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -283,5 +285,28 @@ SELECT request_id, 'failed' AS status, count(*) AS n, round(min(greatest(-1.0::D
     "request_insert_ignore": f"SELECT request_id, CASE WHEN state <> 'INIT' THEN state ELSE 'NEW' END AS state FROM {_REQ} WHERE state <> 'INIT' OR updated_at >= '1998-01-01'",
     "request_updates": f"SELECT request_id, CASE WHEN state = 'FAILED' AND request_id % 10 = 0 THEN 'CLOSED' ELSE state END AS state FROM {_REQ}",
     "windowed_metrics_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "rate_limiter_stream": """
+WITH RECURSIVE e AS (SELECT *, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (
+  SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, NULL::TIMESTAMP AS ts, []::DOUBLE[] AS held, true AS accepted, 0.0::DOUBLE AS retry_after FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT w.user_id, e.i, e.event_id, e.ts, CASE WHEN len(h) < 2 THEN list_append(h, e.s) ELSE h END, len(h) < 2, CASE WHEN len(h) < 2 THEN 0.0 ELSE h[1] + 3600 - e.s END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1, LATERAL (SELECT list_filter(w.held, lambda x: x > e.s - 3600) AS h))
+SELECT user_id, event_id, accepted, round(retry_after, 3) AS retry_after FROM w WHERE i > 0""",
+    "circuit_breaker_stream": """
+WITH RECURSIVE e AS (SELECT *, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
+w AS (
+  SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, 0::BIGINT AS n, 0.0::DOUBLE AS last FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT w.user_id, e.i, e.event_id, CASE WHEN w.n >= 10 AND e.s - w.last >= 1800 THEN 1 ELSE w.n + 1 END, e.s FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT user_id::VARCHAR AS site, event_id, n AS failures, CASE WHEN n >= 10 THEN 'disabled' WHEN n >= 5 THEN 'degraded' ELSE 'healthy' END AS status FROM w WHERE i > 0""",
+    "transitions_stream": f"""
+WITH RECURSIVE m AS (SELECT user_id AS request_id, event_id, {_LIST}[event_id % 10 + 1] AS from_state, {_LIST}[(event_id + 1) % 10 + 1] AS to_state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (
+  SELECT request_id, 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS from_state, '' AS to_state, '' AS verdict, 'INIT' AS now FROM (SELECT DISTINCT request_id FROM m)
+  UNION ALL
+  SELECT request_id, i, event_id, from_state, to_state, v, CASE WHEN v = 'applied' THEN to_state ELSE now END
+  FROM (SELECT m.*, w.now, CASE WHEN m.from_state <> w.now THEN 'STALE' WHEN m.from_state || '>' || m.to_state NOT IN ({_EDGES}) THEN 'INVALID_TRANSITION' ELSE 'applied' END AS v FROM w JOIN m ON m.request_id = w.request_id AND m.i = w.i + 1))
+SELECT request_id, event_id, from_state, to_state, verdict FROM w WHERE i > 0""",
     "dedup_stream": "SELECT DISTINCT user_id || ':' || event_type AS key FROM events",
 }

@@ -36,7 +36,18 @@ def page_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def render_triggers(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", pages.escalation(F.col("html")).alias("trigger"))
+    """pages, and four times as many made of them: shells with much markup and little text, hydrated ones, ones of many scripts, and whole ones."""
+    n, p = F.col("page_id"), _pages(spark, d)
+    pad = lambda m: F.repeat(F.lit("<i></i>"), m)
+    ld, script = F.lit('<script type="application/ld+json">{}</script>'), F.repeat(F.lit("<script></script>"), 6)
+    made = F.array(
+        F.col("html"),
+        F.concat(ld, F.lit('<body><div id="root">'), F.col("url"), pad(1000), F.lit("</div></body>")),
+        F.concat(ld, F.lit("<body data-reactroot>"), F.repeat(F.lit("word "), 150), pad(1000), F.lit("</body>")),
+        F.concat(ld, F.lit("<head>"), F.repeat(F.lit("head "), 300), F.lit("</head><body>few"), script, pad(1000), F.lit("</body>")),
+        F.concat(ld, F.lit("<body>"), F.repeat(F.lit("word "), F.lit(1000) + (n % 7).cast("int")), F.lit("</body>")),
+    )
+    return p.select("page_id", F.posexplode(made).alias("kind", "html")).select("page_id", "kind", pages.escalation(F.col("html")).alias("trigger"))
 
 
 def search_page(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +175,9 @@ SELECT page_id, substr(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1,
   array_to_string(list_transform(list_slice(regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1, 'si'), 1, 5), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), ' | ') AS h1s,
   len(regexp_extract_all(html, '<a\s', 0, 'i')) AS n_links, len(regexp_extract_all(html, '<img\b', 0, 'i')) AS n_images, contains(html, 'application/ld+json') AS has_jsonld
 FROM pages""",
-    "render_triggers": "SELECT page_id, CASE WHEN length(html) < 5000 THEN 'small' WHEN NOT contains(html, 'application/ld+json') AND length(html) < 50000 THEN 'no_jsonld' WHEN false THEN '' END AS trigger FROM pages",
+    "render_triggers": """
+SELECT page_id, 0 AS kind, CASE WHEN length(html) < 5000 THEN 'small' WHEN length(html) < 50000 THEN 'no_jsonld' END AS trigger FROM pages
+UNION ALL SELECT page_id, unnest([1, 2, 3, 4]), unnest(['spa_shell', 'hydration', 'empty_body', NULL]) FROM pages""",
     "search_page": r"""
 SELECT page_id, page_id % 2 = 0 AND (regexp_matches(lower(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')), 'search|find|results')
   OR regexp_matches(lower(array_to_string(list_slice(regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1, 'si'), 1, 3), ' ')), 'search|find|results')
