@@ -1,5 +1,7 @@
 """Quirks of the operators on small frames."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from weftline.functions import intents, registry, text, urls
@@ -149,12 +151,26 @@ def test_streams_match_batch(spark, data):
 
 def test_state_machine_stream(spark, tmp_path):
     rows = [(1, 1, "INIT", "INTENT_DONE"), (1, 2, "INIT", "FAILED"), (1, 3, "INTENT_DONE", "UNIFIED"), (1, 4, "INTENT_DONE", "VALIDATED"), (2, 5, "INIT", "COMPLETED")]
-    spark.createDataFrame(rows, "request_id long, event_id long, from_state string, to_state string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("request_id long, event_id long, from_state string, to_state string").parquet(str(tmp_path / "in"))
+    schema = "request_id long, event_id long, from_state string, to_state string, ts timestamp"
+    at = lambda i: dt.datetime(2024, 1, 1, 0, i)
+    spark.createDataFrame([(*r, at(r[1])) for r in rows], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     out = jobs.run_all(jobs.apply_transitions(stream), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
     assert {r.event_id: r.verdict for r in out} == {1: "applied", 2: "STALE", 3: "INVALID_TRANSITION", 4: "applied", 5: "INVALID_TRANSITION"}
 
 
+def test_stream_state_expires(spark, tmp_path):
+    """A site's failures are forgotten after it was silent for keep: later batches start anew, and no state stays."""
+    schema, source, state = "site string, event_id long, ts timestamp", str(tmp_path / "in"), str(tmp_path / "cp")
+    got = {}
+    for i, (hour, site) in enumerate([(0, "a"), (0, "a"), (1, "a"), (30, "b"), (31, "b"), (60, "a")]):
+        spark.createDataFrame([(site, i, dt.datetime(2024, 1, 1 + hour // 24, hour % 24))], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        out = jobs.run_all(jobs.circuit_breaker(stream, keep=3600.0 * 10, delay="1 minute"), str(tmp_path / "out"), state)
+        got = {r.event_id: r.failures for r in out.collect()}
+    assert got == {0: 1, 1: 2, 2: 3, 3: 1, 4: 2, 5: 1}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, v string")
     for _ in range(2):
@@ -186,8 +202,53 @@ def test_markdown_and_cleaning(spark):
     html = '<nav>x</nav><h2>T</h2><p>a <b>b</b> <a href="/l">c</a></p><ul><li>1</li></ul><script>z</script>'
     df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     got = {r.page_id: r.markdown for r in pages.to_markdown(df).collect()}
-    assert got == {1: "## T\n\na **b** [c](/l)\n\n- 1", 2: ""}
-    assert one(spark, pages.clean_html(F.col("h")), h="<!-- c --><style>x</style><p>a\n b</p><script>1</script>") == "<p>a b</p>"
+    assert got == {1: "## T\n\na b  [c]\n\n- 1", 2: ""}
+
+
+def markdown(html):
+    return pages._markdown(html)
+
+
+def test_markdown_leaves_out_junk_only():
+    assert markdown("<div><form>junk<p>more</div><p>kept</p>") == "kept"  # an unclosed element ends with its parent
+    assert markdown('<p>a</p><aside>x</aside><div class="big Ad_box">y</div><div id="toc">z</div><sup class="reference">1</sup><p>b<p>c') == "a\n\nb\n\nc"
+    assert markdown("<table><tr><th>k<th>v|w<tr><td>1<td>2</table>") == "| k | v\\|w |\n| --- | --- |\n| 1 | 2 |"
+    assert markdown('<ol><li>one<li>two <b>x</b></ol><img alt="pic"><a href="/q">go</a><h3>a\n b</h3>') == "1. one\n1. two x\n\n pic  [go] \n### a b"
+    assert markdown("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def cleaned(html):
+    p = pages._Cleaner()
+    p.feed(html)
+    p.close()
+    return p.text()
+
+
+def test_cleaned_html():
+    html = (
+        '<head><meta charset=x><meta property="og:title" content="O"><title> T &amp; u </title><link rel=x><script type="application/ld+json">{"a": 1}</script></head>'
+        '<body onload="x()" class="c"><!-- n --><style>s</style><svg><g></g></svg><noscript>n</noscript><p id="i" title=\'q"q\'>a\n  b<br/></p><script>z</script>'
+    )
+    assert cleaned(html) == (
+        '<script type="application/ld+json">{"a": 1}</script> <meta property="og:title" content="O"> <title>T &amp; u</title> <head><title> T &amp; u </title><script type="application/ld+json">{"a": 1}</script></head>'
+        '<body class="c"><!-- n --><p title="q&quot;q">a b<br></p>'
+    )
+
+
+def test_urls_that_match_an_intent(spark):
+    for url, intent, title, want in (
+        ("https://x.com/en/2010/a", '{"title": "The Film!", "year": "2010", "language": "English"}', "the film", True), ("https://x.com/a", '{"title": "The Film"}', "other", False), ("https://x.com/a", '{"title": "The Film"}', "", True),
+        ("https://x.com/2011", '{"year": 2010}', "t", False), ("https://x.com/hindi/a", '{"filters": {"language": "Hindi"}}', "t", True), ("https://x.com/qq", '{"language": "Korean"}', "t", False), ("https://x.com/qq", "{}", "t", True),
+    ):
+        got = spark.createDataFrame([(url, intent, title)], "u string, i string, t string").select(intents.url_matches_intent(F.col("u"), F.col("i"), F.col("t"))).first()[0]
+        assert got is want, (url, intent)
+
+
+def test_pages_are_read_whole(spark):
+    html = "<html><body>" + "<p>x</p>" * 200_000 + '<h2>Late</h2><meta name="late" content="v"></body></html>'
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert dom.dom_nodes(df).where("tag = 'h2'").count() == 1 and dom.dom_nodes(df, cap=1000).where("tag = 'h2'").count() == 0
+    assert pages.site_signals(df).first().headings == ["Late"] and engines.engine_meta(df).where("key = 'meta:late'").count() == 1
 
 
 def test_escalation(spark):

@@ -115,7 +115,7 @@ def api_states(spark: SparkSession, d: str) -> DataFrame:
 def _moves(events: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(s) for s in STATES])
     at = lambda c: F.get(names, (c % 10).cast("int"))
-    return events.select(F.col("user_id").alias("request_id"), "event_id", at(F.col("event_id")).alias("from_state"), at(F.col("event_id") + 1).alias("to_state"))
+    return events.select(F.col("user_id").alias("request_id"), "event_id", "ts", at(F.col("event_id")).alias("from_state"), at(F.col("event_id") + 1).alias("to_state"))
 
 
 def transition_legality(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Structured Streaming over the operational log: rate limits, breakers, deduplication, state machines, windowed metrics."""
+"""Structured Streaming over the operational log: rate limits, breakers, deduplication, state machines, windowed metrics.
+
+Keyed state ends by event time: a key that is silent for the job's keep (or window) beyond the watermark's delay is
+forgotten, so state grows with the active keys and not with the stream. Events of a key are taken in the order of time within
+a micro-batch, and micro-batches in the order of arrival.
+"""
 
 from __future__ import annotations
 
@@ -29,24 +34,41 @@ def admitted(times: list[float], held: list[float], seconds: float, limit: int)
     return out, held
 
 
-def rate_limit(stream: DataFrame, limit: int = 30, seconds: float = 60) -> DataFrame:
+def _expired(state: GroupState) -> bool:
+    """Whether the key has been silent for long: its state is removed."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    return False
+
+
+def _keep_until(state: GroupState, last: pd.Timestamp, seconds: float) -> None:
+    state.setTimeoutTimestamp(max(int((last.timestamp() + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def rate_limit(stream: DataFrame, limit: int = 30, seconds: float = 60, delay: str = "10 minutes") -> DataFrame:
     """Per user and event: accepted, or how long to wait; rejected events don't count. State: the window's admitted times, limit at most."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _expired(state):
+            return
         rows = pd.concat(frames).sort_values(["ts", "event_id"])
         held = list(state.get[0]) if state.exists else []
         times = [t.timestamp() for t in rows["ts"]]
         verdicts, held = admitted(times, held, seconds, limit)
         state.update((held,))
+        _keep_until(state, rows["ts"].max(), seconds)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "accepted": [a for a, _ in verdicts], "retry_after": [r for _, r in verdicts]})
 
-    return stream.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, LIMITED, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("user_id", "event_id", "ts").withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(step, LIMITED, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def circuit_breaker(stream: DataFrame, degraded: int = 5, disabled: int = 10, cooldown: float = 1800) -> DataFrame:
+def circuit_breaker(stream: DataFrame, degraded: int = 5, disabled: int = 10, cooldown: float = 1800, keep: float = 30 * 86_400, delay: str = "10 minutes") -> DataFrame:
     """Per site and failure (columns site, event_id, ts): the running count and status; after a cooldown the count starts anew."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _expired(state):
+            return
         rows = pd.concat(frames).sort_values(["ts", "event_id"])
         n, last = state.get if state.exists else (0, 0.0)
         counts = []
@@ -56,15 +78,18 @@ def circuit_breaker(stream: DataFrame, degraded: int = 5, disabled: int = 10, co
             n, last = n + 1, t.timestamp()
             counts.append(n)
         state.update((n, last))
+        _keep_until(state, rows["ts"].max(), max(keep, cooldown))
         yield pd.DataFrame({"site": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "failures": counts, "status": ["disabled" if c >= disabled else "degraded" if c >= degraded else "healthy" for c in counts]})
 
-    return stream.select("site", "event_id", "ts").groupBy("site").applyInPandasWithState(step, BROKEN, "n long, last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("site", "event_id", "ts").withWatermark("ts", delay).groupBy("site").applyInPandasWithState(step, BROKEN, "n long, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def apply_transitions(stream: DataFrame) -> DataFrame:
-    """Folds ordered transitions (request_id, event_id, from_state, to_state): applied, STALE if the request is elsewhere, INVALID_TRANSITION."""
+def apply_transitions(stream: DataFrame, keep: float = 30 * 86_400, delay: str = "10 minutes") -> DataFrame:
+    """Folds ordered transitions (request_id, event_id, ts, from_state, to_state): applied, STALE if the request is elsewhere, INVALID_TRANSITION."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _expired(state):
+            return
         rows = pd.concat(frames).sort_values("event_id")
         now = state.get[0] if state.exists else "INIT"
         verdicts = []
@@ -77,9 +102,10 @@ def apply_transitions(stream: DataFrame) -> DataFrame:
                 now = b
                 verdicts.append("applied")
         state.update((now,))
+        _keep_until(state, rows["ts"].max(), keep)
         yield rows.assign(verdict=verdicts)[["request_id", "event_id", "from_state", "to_state", "verdict"]]
 
-    return stream.groupBy("request_id").applyInPandasWithState(step, MOVED, "now string", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(step, MOVED, "now string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_requests(stream: DataFrame, key: str, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
