@@ -32,6 +32,14 @@ def test_suffix_dedup_odd_rows(odd, odd_rows, empty, monkeypatch):
     assert kept[106] == odd_rows[6][1].encode()
 
 
+def test_chunks_and_shards_grow_together():
+    """Until a megabyte a chunk gives every shard many keys; at 100 TB neither is too large for a task."""
+    assert suffixdedup.sizes_for(0) == suffixdedup.sizes_for(1 << 30) == (suffixdedup.CHUNK, suffixdedup.SHARD)
+    for total in (1 << 40, 100 << 40):
+        chunk, shard = suffixdedup.sizes_for(total)
+        assert chunk / suffixdedup.KEY_BYTES / (total / shard) >= suffixdedup.KEYS * 0.99 and chunk <= 64 << 20 and shard <= 512 << 20
+
+
 def test_suffix_order_of_random_bytes():
     rng = np.random.default_rng(0)
     for part in (1 << 30, 200):

@@ -1,6 +1,6 @@
 """Suffix-array dedup: removes every byte covered by a 50-byte string that also starts in an earlier document.
 
-Documents are written in chunks of about a megabyte. Each 50-byte window has a minimiser (the leftmost least hash of
+Documents are written in chunks of a megabyte or more. Each 50-byte window has a minimiser (the leftmost least hash of
 its 16-byte grams), which depends on the window's content only, so all copies of a string meet at one minimiser:
 
 1. Every chunk sends its distinct minimiser hashes, packed, to the shard of their hash; a shard answers which of
@@ -23,6 +23,7 @@ the other's bytes; empty tables give no rows; other input columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,11 @@ from weftline.llm.common import table, tasks, written
 from weftline.llm.words import mixed, text_bytes
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text in a chunk (a longer document is one chunk), and for each of which there is a shard.
+#: Bytes of text in a chunk (a longer document is one chunk), and for each of which there is a shard, at least.
 CHUNK, SHARD = 1 << 20, 16 << 20
+#: The most bytes of a chunk, and the keys that a chunk should have for each shard: both grow with the text so that rows of
+#: a chunk and a shard, of which there are chunks times shards, hold many keys (a key stands for about 17 bytes of text).
+LARGEST_CHUNK, KEYS, KEY_BYTES = 64 << 20, 16, 17
 #: Segment bytes that a shard orders at once; parts are merged by binary search.
 PART = 8 << 20
 #: Window starts and ranges that are worked on at once.
@@ -60,30 +64,41 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sizes_for(total: int) -> tuple[int, int]:
+    """Bytes of a chunk and of a shard for so many bytes of text: the least ones, until chunks times shards get too many."""
+    both = KEYS * KEY_BYTES * total  # chunk times shard
+    chunk = max(CHUNK, min(LARGEST_CHUNK, math.isqrt(both)))
+    return chunk, max(SHARD, both // chunk)
+
+
+def _chunks(chunk: int):
     """Rows (chunk_id, size, body): body has doc ids, byte lengths and bytes of whole documents."""
-    number, ids, sizes, parts, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
-    def row() -> pa.RecordBatch:
-        nonlocal number, held
-        body = _pack(np.array(ids, "<i8"), np.array(sizes, "<i8"), np.concatenate(parts))
-        out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([body], pa.binary())], names=["chunk_id", "size", "body"])
-        number, held = number + 1, 0
-        ids.clear(), sizes.clear(), parts.clear()
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, sizes, parts, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
-    for batch in batches:
-        data, at = text_bytes(batch.column(1))
-        names = batch.column(0).to_pylist()
-        for doc, s, e in zip(names, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            ids.append(doc)
-            sizes.append(e - s)
-            parts.append(data[s:e].copy())
-            held += e - s
-            if held >= CHUNK or len(ids) >= 1 << 16:
-                yield row()
-    if ids:
-        yield row()
+        def row() -> pa.RecordBatch:
+            nonlocal number, held
+            body = _pack(np.array(ids, "<i8"), np.array(sizes, "<i8"), np.concatenate(parts))
+            out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([body], pa.binary())], names=["chunk_id", "size", "body"])
+            number, held = number + 1, 0
+            ids.clear(), sizes.clear(), parts.clear()
+            return out
+
+        for batch in batches:
+            data, at = text_bytes(batch.column(1))
+            names = batch.column(0).to_pylist()
+            for doc, s, e in zip(names, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids.append(doc)
+                sizes.append(e - s)
+                parts.append(data[s:e].copy())
+                held += e - s
+                if held >= chunk or len(ids) >= 1 << 16:
+                    yield row()
+        if ids:
+            yield row()
+
+    return run
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -448,9 +463,10 @@ def _of_shard(work):
 def deduped(docs: DataFrame, with_text: bool = False, shards: int | None = None) -> DataFrame:
     """Per document its bytes, removed bytes, maximal removed runs and the hash of what is kept (and with_text, the bytes kept)."""
     spark = docs.sparkSession
-    chunks = written(docs.select("doc_id", "text").mapInArrow(_chunks, "chunk_id bigint, size bigint, body binary"), "chunks")
-    total = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    shards = shards or max(2 * tasks(spark), -(-total // SHARD))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    chunk, shard = sizes_for(total)
+    chunks = written(docs.select("doc_id", "text").mapInArrow(_chunks(chunk), "chunk_id bigint, size bigint, body binary"), "chunks")
+    shards = shards or max(2 * tasks(spark), -(-total // shard))
     hashes = chunks.select("chunk_id", "body").mapInArrow(_sent_hashes(shards), "chunk_id bigint, shard bigint, keys binary")
     bits = hashes.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_of_shard(_repeated), "chunk_id bigint, shard bigint, bits binary")
     answers = bits.groupBy("chunk_id").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
