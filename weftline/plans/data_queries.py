@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import intents, urls
 from weftline.functions import text as texts
 from weftline.operators import blocks, caches, dom, engines, records, robots, unify, vectors
-from weftline.sources.tables import stored
+from weftline.sources.tables import spread, stored
 
 AS_OF = "1996-01-01 00:00:00"
 
@@ -282,7 +282,7 @@ def _rendered(spark: SparkSession, d: str) -> DataFrame:
         F.format_string("<h3>Facts</h3><ul><li>Kind: %s</li><li>plain</li></ul></body></html>", "p_type"),
     )
     bare = F.concat(F.lit("<html><body>"), name, F.lit("</body></html>"))
-    return _t(spark, d, "part").select(k.alias("page_id"), F.when(k % 7 == 0, bare).otherwise(full).alias("html"))
+    return spread(_t(spark, d, "part")).select(k.alias("page_id"), F.when(k % 7 == 0, bare).otherwise(full).alias("html"))
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text, urls
 from weftline.operators import dom, pages
-from weftline.sources.tables import stored
+from weftline.sources.tables import spread, stored
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet")
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The DOM nodes of pages, parsed once by all cores."""
+    return stored(dom.dom_nodes(spread(_pages(spark, d))), "nodes")
+
+
 def link_facets(spark: SparkSession, d: str) -> DataFrame:
     """Sites by number of pages and of distinct links on them."""
     links = _pages(spark, d).select(urls.site_domain(F.col("url")).alias("site"), "page_id", F.explode_outer(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("href"))
@@ -73,42 +78,42 @@ def resolve_entity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_html(spark: SparkSession, d: str) -> DataFrame:
-    return pages.clean_html(_pages(spark, d))
+    return pages.clean_html(spread(_pages(spark, d)))
 
 
 def to_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return pages.to_markdown(_pages(spark, d))
+    return pages.to_markdown(spread(_pages(spark, d)))
 
 
 def dom_tag_census(spark: SparkSession, d: str) -> DataFrame:
-    return dom.tag_census(dom.dom_nodes(_pages(spark, d)))
+    return dom.tag_census(dom.dom_nodes(spread(_pages(spark, d))))
 
 
 def dom_depth(spark: SparkSession, d: str) -> DataFrame:
-    nodes = dom.dom_nodes(_pages(spark, d))
+    nodes = dom.dom_nodes(spread(_pages(spark, d)))
     return nodes.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.max("depth").cast("bigint").alias("max_depth"), F.count_if(F.col("tag") == "li").alias("n_items"))
 
 
 def repeated_groups(spark: SparkSession, d: str) -> DataFrame:
-    return dom.repeating_groups(stored(dom.dom_nodes(_pages(spark, d)), "nodes")).select("page_id", "parent_id", "sig", "n")
+    return dom.repeating_groups(_nodes(spark, d)).select("page_id", "parent_id", "sig", "n")
 
 
 def rank_clusters(spark: SparkSession, d: str) -> DataFrame:
-    df = dom.rank_clusters(stored(dom.dom_nodes(_pages(spark, d)), "nodes"))
+    df = dom.rank_clusters(_nodes(spark, d))
     return df.select("page_id", "cluster", "n", "rank", F.round("avg_text", 4).alias("avg_text"), F.round("quality", 2).alias("quality"))
 
 
 def cluster_items(spark: SparkSession, d: str) -> DataFrame:
-    items = dom.cluster_items(stored(dom.dom_nodes(_pages(spark, d)), "nodes"))
+    items = dom.cluster_items(_nodes(spark, d))
     return items.select("page_id", "cluster", "position", "heading", "link_text", "link_href", F.array_join("snippets", " | ").alias("snippets"), F.array_join("numbers", ",").alias("numbers"))
 
 
 def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
-    return dom.cluster_quality(dom.cluster_items(stored(dom.dom_nodes(_pages(spark, d)), "nodes")))
+    return dom.cluster_quality(dom.cluster_items(_nodes(spark, d)))
 
 
 def best_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return dom.best_cluster(stored(dom.dom_nodes(_pages(spark, d)), "nodes")).select("page_id", "cluster", "position", "heading", "link_text", "link_href")
+    return dom.best_cluster(_nodes(spark, d)).select("page_id", "cluster", "position", "heading", "link_text", "link_href")
 
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:

@@ -21,6 +21,15 @@ def read_pages(spark: SparkSession, path: str, cap: int | None = None) -> DataFr
     return pages if cap is None else pages.withColumn("html", F.substring("html", 1, cap))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where its files fill fewer: a small file of one row group is one task
+    otherwise, however much work its rows are. Large tables, which fill more, are left as they are. df: a scan or little more.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    filled = df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()  # reads the row counts in the files' footers
+    return df if filled >= cores else df.repartition(cores)
+
+
 def domain_config(domains: DataFrame, section: str = "field_map") -> DataFrame:
     """(name, alias, schema_field) of a section of each domain's JSON config; malformed JSON gives no rows."""
     entries = F.map_entries(F.from_json(F.get_json_object("config", f"$.{section}"), "map<string,string>"))
