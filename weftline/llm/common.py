@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import spread
+
 #: Word separators of every contract here: space and \t \n \v \f \r.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A whole table of texts, for which rows are much work, over all cores even if it is a small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset and gets a fresh folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)

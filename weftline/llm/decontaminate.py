@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WHITE, table, written
+from weftline.llm.common import WHITE, table, text_table, written
 from weftline.llm.words import shingle_set, shingles_of
 
 WIDTH = 5
@@ -161,7 +161,7 @@ def cleaned(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(text_table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE_SQL = r"""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, table
+from weftline.llm.common import bounded_sample, text_table
 
 #: Pages that the classifier is fitted on, at most.
 SAMPLE = 1000
@@ -388,5 +388,5 @@ def extracted(pages: DataFrame, weights: np.ndarray = PRIOR) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = text_table(spark, sf_dir, "pages")
     return extracted(pages, fitted_weights(pages)).withColumn("n_chars", F.length("text").cast("bigint"))

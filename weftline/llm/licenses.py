@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import text_table
 
 #: Known sentences (normalised) by identifier.
 SENTENCES = {
@@ -187,7 +187,7 @@ def scanned(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SEN
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = scanned(text_table(spark, sf_dir).select("doc_id", "text"))
     return df.select("doc_id", F.size("sentence_ids").cast("bigint").alias("n_sentences"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, written
+from weftline.llm.common import text_table, written
 
 #: Lines with words in the rolling hash, and so the least length of a chunk.
 ROLL = 2
@@ -93,7 +93,7 @@ def deduped(docs: DataFrame, text: str = "text", roll: int = ROLL) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = deduped(text_table(spark, sf_dir).select("doc_id", "text"))
     return df.select("doc_id", *COUNTS, F.sha2("text", 256).alias("text_sha256"))
 
 

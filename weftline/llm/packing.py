@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import table
+from weftline.llm.common import text_table
 
 CAPACITY = 1024
 #: Remainders that are differenced together.
@@ -203,4 +203,4 @@ def packed(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(text_table(spark, sf_dir))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WHITE, table, where_computed
+from weftline.llm.common import WHITE, text_table, where_computed
 
 #: Frequent function words by language; a text in Latin letters without any is no prose.
 STOP_WORDS = {
@@ -150,7 +150,7 @@ def kept(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = judged(text_table(spark, sf_dir).select("doc_id", "text"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, table, written
+from weftline.llm.common import bounded_sample, text_table, written
 from weftline.llm.components import components
 
 BITS, DISTANCE, WIDTH, SEED = 64, 4, 4, 42
@@ -293,5 +293,5 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = grouped(table(spark, sf_dir, "documents"))
+    df = grouped(text_table(spark, sf_dir))
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, tasks, written
+from weftline.llm.common import tasks, text_table, written
 from weftline.llm.words import mixed, text_bytes
 
 LENGTH, GRAM = 50, 16
@@ -479,4 +479,4 @@ def deduped(docs: DataFrame, with_text: bool = False, shards: int | None = None)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduped(table(spark, sf_dir, "documents"))
+    return deduped(text_table(spark, sf_dir))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, table, written
+from weftline.llm.common import bounded_sample, table, text_table, written
 
 #: Labelled documents that words and models are fitted on, at most.
 SAMPLE = 20_000
@@ -197,6 +197,6 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATE
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir)
     chain = fitted(docs, table(spark, sf_dir, "labels"))
     return chain.scored(docs).withColumn("toxic", F.col("p_toxic") >= chain.thresholds[chain.names.index("toxic")])
