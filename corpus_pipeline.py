@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, linededup, packing, quality, simhash
-from weftline.llm.common import table, where_computed, written
+from weftline.llm.common import table, text_table, where_computed, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage before it is written to shared storage and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
