@@ -292,3 +292,23 @@ def test_record_rules(spark):
     named = spark.createDataFrame([(1, "Budget"), (1, "none")], "g long, field string")
     eav = spark.createDataFrame([(1, "text:Budget total", 1), (1, "budget", 2)], "g long, key string, ord int")
     assert {r.field: r.raw_key for r in records.match_raw_key(named, eav, "g").collect()} == {"Budget": "budget", "none": None}
+
+
+def test_small_files_are_spread(spark, data, tmp_path):
+    """One row group fills one task; many files are left as they are, row for row the same in both."""
+    one = spark.read.parquet(f"{data}/documents.parquet")
+    wide = tables.spread(one)
+    filled = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert filled(one) < 4 and filled(wide) == 4 and wide.count() == one.count()
+    one.repartition(6).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert "RoundRobin" not in tables.spread(many)._jdf.queryExecution().toString()
+
+
+def test_equal_keys_of_nested_elements(spark):
+    """Texts and card items of nested elements: each element has the text of all that lies in it, in document order."""
+    html = "<div id=a>x<div id=b>y<p>z</p></div><div id=c>w</div></div><div id=d>v</div>"
+    nodes = dom.dom_nodes(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string"))
+    got = {r.node_id: r.text for r in dom.subtree_text(nodes, F.col("tag") == "div").collect()}
+    assert got == {0: "xyzw", 1: "yz", 3: "w", 4: "v"}
+    assert {(r.node_id, tuple(r.ancestors)) for r in nodes.collect()} == {(0, ()), (1, (0,)), (2, (0, 1)), (3, (0,)), (4, ())}

@@ -21,10 +21,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """documents as items: the first six words are the title, the source is the site."""
-    head = F.concat_ws(" ", F.slice(F.split("text", " "), 1, 6))
-    odd = F.when(F.col("n_chars") % 2 == 1, F.col("n_chars").cast("string"))
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("site"), head.alias("title"), F.create_map(F.lit("name"), head, F.lit("lang"), F.col("lang"), F.lit("size"), odd).alias("fields"))
+    """part as items of sites (brands): name and type are the title, every other size is known."""
+    title = F.concat_ws(" ", "p_name", "p_type")
+    odd = F.when(F.col("p_size") % 2 == 1, F.col("p_size").cast("string"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("site"), title.alias("title"), F.create_map(F.lit("name"), title, F.lit("kind"), F.col("p_type"), F.lit("size"), odd).alias("fields"))
 
 
 def unify_items(spark: SparkSession, d: str) -> DataFrame:

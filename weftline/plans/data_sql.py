@@ -1,6 +1,6 @@
 """SQL for data_queries, written from the tables that the rendered pages and frames come from."""
 
-_ITEMS = r"""(SELECT doc_id AS item_id, source AS site, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS name, lang, CASE WHEN n_chars % 2 = 1 THEN n_chars::VARCHAR END AS size FROM documents)"""
+_ITEMS = "(SELECT p_partkey AS item_id, p_brand AS site, p_name || ' ' || p_type AS name, p_type AS kind, CASE WHEN p_size % 2 = 1 THEN p_size::VARCHAR END AS size FROM part)"
 _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(replace(name, '&amp;', '&'), '&apos;', ''''), '&quot;', '"'), '&#?[\p{L}\p{N}_]+;', '', 'g')), '\(\d{4}\)\s*$', ''), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"""
 _TITLED = f"(SELECT *, CASE WHEN {_NORM} = '' THEN '__notitle_' || item_id ELSE {_NORM} END AS norm, (name <> '')::INT + 1 + (size IS NOT NULL)::INT AS rich FROM {_ITEMS})"
 _COMPETE = """
@@ -32,11 +32,11 @@ _FULL = "(SELECT * FROM part WHERE p_partkey % 7 <> 0)"
 
 ORACLES = {
     "unify_items": f"""
-WITH e AS (SELECT norm, item_id, rich, key, value FROM {_TITLED} UNPIVOT (value FOR key IN (name, lang, size)))
+WITH e AS (SELECT norm, item_id, rich, key, value FROM {_TITLED} UNPIVOT (value FOR key IN (name, kind, size)))
 SELECT norm, key, value FROM (SELECT *, row_number() OVER (PARTITION BY norm, key ORDER BY rich DESC, item_id) AS rn FROM e WHERE value <> '') WHERE rn = 1""",
     "unify_sources": f"SELECT norm, count(*) AS n_items, string_agg(DISTINCT site, ',' ORDER BY site) AS sources FROM {_TITLED} GROUP BY norm",
     "unify_stats": f"SELECT count(*) AS total, count(DISTINCT norm) AS unique_items, count(*) - count(DISTINCT norm) AS removed FROM {_TITLED}",
-    "source_facets": "SELECT source AS site, count(*) AS n_items FROM documents GROUP BY source",
+    "source_facets": "SELECT p_brand AS site, count(*) AS n_items FROM part GROUP BY p_brand",
     "unify_fields": f"{_UNIFIED} SELECT request_id, field, CASE WHEN status IN ('by_weight', 'conflict') THEN top ELSE first END AS value, status, n FROM u",
     "conflict_report": f"{_UNIFIED} SELECT field, status, count(*) AS n FROM u GROUP BY ALL",
     "weight_gap": f"SELECT field, coalesce(gap, -1.0)::DOUBLE AS gap, count(*) AS n FROM (SELECT field, round(weight - lead(weight) OVER (PARTITION BY request_id, field ORDER BY weight DESC, ord), 9) AS gap FROM ({_COMPETE})) GROUP BY ALL",
@@ -127,7 +127,7 @@ SELECT score, CASE WHEN score >= 90 THEN 'VALID' WHEN score >= 50 THEN 'RETRY' E
     "failure_stages": f"""
 WITH s AS (SELECT CASE WHEN request_id % 5 = 0 THEN 'VALIDATED' WHEN request_id % 5 = 1 OR request_id % 7 = 0 THEN 'PIPELINES_RUNNING' WHEN request_id % 3 = 0 THEN 'INTENT_DONE' WHEN request_id % 3 = 1 THEN 'VALIDATED' ELSE 'INIT' END AS stage FROM {_ORD} WHERE state = 'FAILED')
 SELECT stage, CASE stage WHEN 'INIT' THEN 0 WHEN 'INTENT_DONE' THEN 1 WHEN 'VALIDATED' THEN 2 ELSE 4 END AS place, count(*) AS n FROM s GROUP BY ALL""",
-    "item_summaries": f"SELECT item_id, concat_ws(' | ', name, concat_ws(', ', 'lang: ' || lang, 'size: ' || size)) AS summary FROM {_ITEMS}",
+    "item_summaries": f"SELECT item_id, concat_ws(' | ', name, concat_ws(', ', 'kind: ' || kind, 'size: ' || size)) AS summary FROM {_ITEMS}",
     "validate_extraction": f"""
 SELECT request_id, count(*) AS filled_fields, true AS valid, coalesce(string_agg('Type mismatch for ''tax'': expected number', '; ') FILTER (field = 'tax'), '') AS warnings FROM ({_COMPETE}) WHERE ord = 1 GROUP BY request_id""",
 }

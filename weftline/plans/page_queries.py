@@ -142,9 +142,9 @@ def query_cleaning(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_keys(spark: SparkSession, d: str) -> DataFrame:
-    head = F.concat_ws(" ", F.slice(F.split("text", " "), 1, 6), F.lit("(2010)"))
-    df = spark.read.parquet(f"{d}/documents.parquet").withColumn("head", head)
-    return df.select("doc_id", text.norm_title(F.col("head"), nfkd=False).alias("title"), text.norm_title_ascii(F.col("head")).alias("ascii_title"))
+    """Whole texts of conversations, with a year at the end, in the forms that titles are compared in."""
+    df = spark.read.parquet(f"{d}/conversations.parquet").withColumn("head", F.concat("text", F.lit(" (2010)")))
+    return df.select("conv_id", "turn", text.norm_title(F.col("head"), nfkd=False).alias("title"), text.norm_title_ascii(F.col("head")).alias("ascii_title"))
 
 
 QUERIES = {f.__name__: f for f in (link_facets, url_profile, page_links, page_profile, render_triggers, search_page, site_signals, relevance_hint, resolve_entity, clean_html, to_markdown, dom_tag_census, dom_depth, repeated_groups, rank_clusters, cluster_items, cluster_quality, best_cluster, navigation, query_cleaning, title_keys)}
@@ -199,8 +199,8 @@ WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script>.*?</scr
 t AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)[^>]*>', 1)) AS tag FROM b)
 SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM t GROUP BY tag""",
     "title_keys": r"""
-WITH h AS (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') || ' (2010)' AS head FROM documents)
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(replace(head, '&amp;', '&'), '&apos;', ''''), '&quot;', '"'), '&#?[\p{L}\p{N}_]+;', '', 'g')), '\(\d{4}\)\s*$', ''), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS title,
+WITH h AS (SELECT conv_id, turn, text || ' (2010)' AS head FROM conversations)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(replace(head, '&amp;', '&'), '&apos;', ''''), '&quot;', '"'), '&#?[\p{L}\p{N}_]+;', '', 'g')), '\(\d{4}\)\s*$', ''), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS title,
   trim(regexp_replace(lower(trim(head)), '[^a-z0-9 ]', '', 'g')) AS ascii_title FROM h""",
 }
 _HINTS = " || ".join(f"CASE WHEN contains(lower(text), '{n}') THEN '{c},' ELSE '' END" for n, c in text.LANGUAGES.items())
