@@ -37,10 +37,13 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def _with_lines(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _text_hash, _lines and _held: the places (from 0) of lines that hold a word."""
-    df = docs.withColumns({"_text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_lines": _lines(text)})
-    return df.withColumn("_held", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()))
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _held() -> Column:
+    """The places (from 0) in _lines of lines that hold a word."""
+    return F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
 
 
 def rolling_hashes(lines: Column, held: Column, roll: int = ROLL) -> Column:
@@ -53,14 +56,17 @@ def rolling_hashes(lines: Column, held: Column, roll: int = ROLL) -> Column:
 
 def repeated_windows(docs: DataFrame, text: str = "text", roll: int = ROLL) -> DataFrame:
     """(doc_id, _text_hash, at): windows, by their place among the lines that hold a word, that occur before."""
-    lines = _with_lines(docs.select("doc_id", text), text)
     keys = ["doc_id", "_text_hash"]
+    keyed = docs.select("doc_id", _text_hash(text).alias("_text_hash"), F.col(text).alias("_text"))
+    lines = keyed.withColumn("_lines", _lines("_text")).withColumn("_held", _held())
     hashed = lines.select(*keys, F.posexplode(rolling_hashes(F.col("_lines"), F.col("_held"), roll)).alias("at", "h"))
     twice = written(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     places = written(hashed.join(twice.hint("merge"), "h").select(*keys, "at"), "places").groupBy(*keys).agg(F.collect_set("at").alias("_at"))
-    texts = lines.join(places.hint("merge"), keys).select(*keys, "_lines", "_held", F.explode("_at").alias("at"))
-    window = F.array_join(F.transform(F.slice("_held", F.col("at") + 1, roll), lambda i: F.get("_lines", i)), "\n")
-    found = written(texts.select(*keys, "at", window.alias("window")).withColumn("h", F.xxhash64("window")), "windows")
+    # texts travel as they are and are split after the join; the windows leave their text before they become rows
+    texts = keyed.join(places.hint("merge"), keys).withColumn("_lines", _lines("_text")).withColumn("_held", _held())
+    window = lambda a: F.array_join(F.transform(F.slice("_held", a + 1, roll), lambda i: F.get("_lines", i)), "\n")
+    windows = texts.select(*keys, F.explode(F.transform("_at", lambda a: F.struct(a.alias("at"), window(a).alias("window")))).alias("w"))
+    found = written(windows.select(*keys, "w.at", "w.window", F.xxhash64("w.window").alias("h")), "windows")
     first = found.groupBy("h", "window").agg(F.min(F.struct(*keys, "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = written(first, "first")
     own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("_text_hash") == F.col("first._text_hash")) & (F.col("at") - F.col("first.at")).between(0, roll - 1)
@@ -70,11 +76,11 @@ def repeated_windows(docs: DataFrame, text: str = "text", roll: int = ROLL) -> D
 def deduped(docs: DataFrame, text: str = "text", roll: int = ROLL) -> DataFrame:
     """docs with the repeated chunks gone from the text, and n_lines, n_removed_lines, n_removed_chunks (removed runs of lines)."""
     gone = repeated_windows(docs, text, roll).groupBy("doc_id", "_text_hash").agg(F.array_sort(F.collect_set("at")).alias("_at"))
-    df = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(gone.hint("merge"), ["doc_id", "_text_hash"], "left")
+    df = docs.withColumn("_text_hash", _text_hash(text)).join(gone.hint("merge"), ["doc_id", "_text_hash"], "left")
     # most rows lose nothing; their lines are only counted
     some = F.col("_at").isNotNull()
     df = df.withColumn("_lines", F.when(some, _lines(text)))
-    df = df.withColumn("_held", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()))
+    df = df.withColumn("_held", _held())
     # the lines from a window's first one to the next one with a word that follows its last one
     lines_of = lambda a: F.sequence(F.get("_held", a), F.coalesce(F.get("_held", a + roll), F.size("_lines")) - 1)
     df = df.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_at", lines_of))))  # in rising order, as _at is
