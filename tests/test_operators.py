@@ -294,15 +294,13 @@ def test_record_rules(spark):
     assert {r.field: r.raw_key for r in records.match_raw_key(named, eav, "g").collect()} == {"Budget": "budget", "none": None}
 
 
-def test_small_files_are_spread(spark, data, tmp_path):
-    """One row group fills one task; many files are left as they are, row for row the same in both."""
+def test_small_files_are_spread(spark, data):
+    """One row group fills one task; what fills as many tasks as there are cores is left as it is."""
     one = spark.read.parquet(f"{data}/documents.parquet")
     wide = tables.spread(one)
     filled = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
     assert filled(one) < 4 and filled(wide) == 4 and wide.count() == one.count()
-    one.repartition(6).write.parquet(str(tmp_path / "many"))
-    many = spark.read.parquet(str(tmp_path / "many"))
-    assert "RoundRobin" not in tables.spread(many)._jdf.queryExecution().toString()
+    assert "RoundRobin" not in tables.spread(spark.range(0, 1000, 1, 8))._jdf.queryExecution().toString()
 
 
 def test_equal_keys_of_nested_elements(spark):

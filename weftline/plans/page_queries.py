@@ -147,7 +147,13 @@ def title_keys(spark: SparkSession, d: str) -> DataFrame:
     return df.select("conv_id", "turn", text.norm_title(F.col("head"), nfkd=False).alias("title"), text.norm_title_ascii(F.col("head")).alias("ascii_title"))
 
 
-QUERIES = {f.__name__: f for f in (link_facets, url_profile, page_links, page_profile, render_triggers, search_page, site_signals, relevance_hint, resolve_entity, clean_html, to_markdown, dom_tag_census, dom_depth, repeated_groups, rank_clusters, cluster_items, cluster_quality, best_cluster, navigation, query_cleaning, title_keys)}
+def folded_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts of conversations as titles without accents: compatibility forms are parted, marks dropped."""
+    df = spark.read.parquet(f"{d}/conversations.parquet")
+    return df.select("conv_id", "turn", text.norm_title(F.col("text")).alias("title"))
+
+
+QUERIES = {f.__name__: f for f in (link_facets, url_profile, page_links, page_profile, render_triggers, search_page, site_signals, relevance_hint, resolve_entity, clean_html, to_markdown, dom_tag_census, dom_depth, repeated_groups, rank_clusters, cluster_items, cluster_quality, best_cluster, navigation, query_cleaning, title_keys, folded_titles)}
 
 from weftline.plans.page_sql import ORACLES as DOM_ORACLES  # noqa: E402
 
@@ -203,6 +209,8 @@ WITH h AS (SELECT conv_id, turn, text || ' (2010)' AS head FROM conversations)
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(replace(head, '&amp;', '&'), '&apos;', ''''), '&quot;', '"'), '&#?[\p{L}\p{N}_]+;', '', 'g')), '\(\d{4}\)\s*$', ''), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS title,
   trim(regexp_replace(lower(trim(head)), '[^a-z0-9 ]', '', 'g')) AS ascii_title FROM h""",
 }
+ORACLES["folded_titles"] = r"""
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(replace(strip_accents(text), '&amp;', '&'), '&apos;', ''''), '&quot;', '"'), '&#?[\p{L}\p{N}_]+;', '', 'g')), '\(\d{4}\)\s*$', ''), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS title FROM conversations"""
 _HINTS = " || ".join(f"CASE WHEN contains(lower(text), '{n}') THEN '{c},' ELSE '' END" for n, c in text.LANGUAGES.items())
 ORACLES["query_cleaning"] = rf"""
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[^\x20-\x7E\x{{00A0}}-\x{{FFFF}}]', '', 'g'), '[\s\x{{00A0}}]+', ' ', 'g')) AS cleaned,
