@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import small
+
 DEFAULT_WEIGHT, WEIGHT_GAP = 0.50, 0.1
 #: Keys that don't count for an item's richness.
 SKIP_KEYS = ("source_url", "source_site", "_source_sites", "_position")
@@ -22,7 +24,7 @@ def clean_site(site: Column) -> Column:
 def with_trust_weight(df: DataFrame, weights: DataFrame, site: str = "site") -> DataFrame:
     """df with weight from weights (site, weight), 0.50 where unknown."""
     known = weights.select(F.col("site").alias("_site"), "weight")
-    return df.withColumn("_site", clean_site(F.col(site))).join(known.hint("merge"), "_site", "left").withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).drop("_site")
+    return df.withColumn("_site", clean_site(F.col(site))).join(small(known), "_site", "left").withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).drop("_site")
 
 
 def unify_fields(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,7 +98,7 @@ def source_facets(items: DataFrame) -> DataFrame:
 def map_aliases(eav: DataFrame, field_map: DataFrame) -> DataFrame:
     """eav with schema_field: the alias of the key, or of its part before the first dot."""
     exact = field_map.select(F.col("alias").alias("base"), "schema_field")
-    return eav.withColumn("base", F.substring_index(F.regexp_replace("key", "^(meta|text):", ""), ".", 1)).join(exact.hint("merge"), "base", "left").drop("base")
+    return eav.withColumn("base", F.substring_index(F.regexp_replace("key", "^(meta|text):", ""), ".", 1)).join(small(exact), "base", "left").drop("base")
 
 
 def semantic_completeness(eav: DataFrame, field_map: DataFrame, n_schema: int, keys: list[str]) -> DataFrame:
@@ -178,7 +180,7 @@ def validate_extraction(eav: DataFrame, spec: DataFrame, keys: list[str]) -> Dat
 
     eav: keys, key, value, vtype; spec: field, type.
     """
-    known = eav.join(spec.select(F.col("field").alias("key"), "type").hint("merge"), "key", "left")
+    known = eav.join(small(spec.select(F.col("field").alias("key"), "type")), "key", "left")
     fits = type_ok(F.col("vtype"), F.col("type"))
     wrong = F.when(F.col("value").isNotNull() & ~fits, F.concat(F.lit("Type mismatch for '"), "key", F.lit("': expected "), "type"))
     long_ = F.when((F.length("value") > 10_000) & ~F.col("key").isin("source_url", "source_site"), F.concat(F.lit("Field '"), "key", F.lit("' value unusually long ("), F.length("value").cast("string"), F.lit(" chars)")))

@@ -30,6 +30,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if filled >= cores else df.repartition(cores)
 
 
+#: Bytes of a table, as JSON, up to which it may be sent to every task.
+SMALL_BYTES = 4 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A lookup table for a join: marked for broadcast if its measured size is within SMALL_BYTES, else for a merge join."""
+    size = df.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= SMALL_BYTES else df.hint("merge")
+
+
 def domain_config(domains: DataFrame, section: str = "field_map") -> DataFrame:
     """(name, alias, schema_field) of a section of each domain's JSON config; malformed JSON gives no rows."""
     entries = F.map_entries(F.from_json(F.get_json_object("config", f"$.{section}"), "map<string,string>"))
