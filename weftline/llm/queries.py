@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, htmltext, licenses, linededup, packing, quality, simhash, suffixdedup, toxicity, urlfilter
+from weftline.llm import decontaminate, fillmiddle, htmltext, licenses, linededup, packing, quality, simhash, suffixdedup, toxicity, urlfilter, whitening
 
 QUERIES = {
     "op1_url_filters": urlfilter.query,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_benchmark_decontamination": decontaminate.query,
+    "op12_embedding_whitening": whitening.query,
+    "op13_fill_in_middle": fillmiddle.query,
 }
 ORACLES = {
     "op4_line_dedup": linededup.ORACLE_SQL,
     "op5_license_scans": licenses.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op13_fill_in_middle": fillmiddle.ORACLE_SQL,
 }
