@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, fillmiddle, htmltext, licenses, linededup, packing, quality, simhash, suffixdedup, toxicity, urlfilter, whitening
+from weftline.llm import decontaminate, fillmiddle, htmltext, licenses, linededup, ngramjoin, packing, quality, simhash, suffixdedup, toxicity, urlfilter, whitening
 
 QUERIES = {
     "op1_url_filters": urlfilter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_benchmark_decontamination": decontaminate.query,
+    "op11_ngram_jaccard_join": ngramjoin.query,
     "op12_embedding_whitening": whitening.query,
     "op13_fill_in_middle": fillmiddle.query,
 }
