@@ -1,16 +1,15 @@
 """Packing: documents cut into token pieces, pieces packed into near-equal windows by multiway differencing.
 
-One pass over the documents without a shuffle. Each task tokenises its rows, cuts every document into
-whole windows and one remainder, and packs the remainders in lots of a bounded number: the Karmarkar-Karp heap merges the
-two partial partitions of largest imbalance with opposing order. While the fullest window exceeds the capacity the number
-of windows rises, by one in SLACK and one more at most; where that doesn't help, the windows of the fewest that are too
-full give what is over to those with room. Those are the only cuts of remainders.
+One pass over the documents without a shuffle. Each task tokenises its rows, cuts every document into whole windows and a
+remainder, the remainder into pieces of at most PIECE ids, and packs the pieces in lots of a bounded number: the
+Karmarkar-Karp heap merges the two partial partitions of largest imbalance with opposing order. It begins with the fewest
+windows that could hold a lot, and the number of windows rises by one while the fullest exceeds the capacity.
 
 Ids come from the byte-level BPE vocabulary. tiktoken reads the same ranks and gives the same ids as the
 tokenizers file at about six times its speed; the tests hold one against the other. That file's added tokens
 (<|endoftext|>) are matched inside a text, as the tokenizers library does.
 
-Defined cases: a null or empty text gives the closing id only; very long texts give many whole windows;
+Defined cases: a null or empty text gives the closing id only; a null doc_id stays null and its pieces are packed like others; very long texts give many whole windows;
 repeated rows are packed one by one; no rows give no rows. Sequence ids hold the task's number in the high
 bits, so they are unique, and the same after a task is run again. Other columns of the input are ignored.
 """
@@ -31,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import text_table
 
 CAPACITY = 1024
-#: Remainders that are differenced together.
-LOT = 512
-#: Windows that may be added before remainders are cut: one in so many, one at least.
-SLACK = 128
+#: Ids of a piece of a remainder, at most: of pieces of up to a quarter of a window, near-equal windows fit with little to spare.
+PIECE = 256
+#: Pieces that are differenced together.
+LOT = 1024
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -86,22 +85,16 @@ def differenced(sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[int], dict[
     return heap[0][2], heap[0][3], tree
 
 
-def windows(sizes: list[int], capacity: int = CAPACITY, slack: int = SLACK) -> list[list[tuple[int, int, int]]]:
-    """(position in sizes, start, length) of the pieces in each window, near-equal in load, none over the capacity."""
+def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """The positions in sizes of each window's pieces: windows near-equal in load, none over the capacity, as few as differencing fits."""
     if not sizes:
         return []
-    items, total = np.asarray(sizes, np.int64), sum(sizes)
     if max(sizes) > capacity:
         raise ValueError("a piece is larger than a window")
-    least = -(-total // capacity)
-    for k in range(least, least + least // slack + 2):
-        tried = differenced(items, k)
-        if k == least:
-            first = tried
-        if tried[0][0] <= capacity:
-            break
-    else:
-        k, tried = least, first  # more windows don't help: the fewest are filled by cuts
+    items = np.asarray(sizes, np.int64)
+    k = -(-int(items.sum()) // capacity)
+    while (tried := differenced(items, k))[0][0] > capacity:  # ends: with a window for each piece all fit
+        k += 1
     _, nodes, tree = tried
     out = []
     for node in nodes:
@@ -111,38 +104,9 @@ def windows(sizes: list[int], capacity: int = CAPACITY, slack: int = SLACK) -> l
             if n in tree:
                 stack += tree[n]
             else:
-                leaves.append((n, 0, sizes[n]))
+                leaves.append(n)
         out.append(leaves)
-    out += [[] for _ in range(k - len(out))]
-    return _relieved(out, capacity)
-
-
-def _relieved(out: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """The windows with what is over the capacity cut off their largest pieces and moved to windows with room, of which there is enough."""
-    over = []
-    for w in out:
-        much = sum(p[2] for p in w) - capacity
-        while much > 0:
-            i = max(range(len(w)), key=lambda i: w[i][2])
-            item, start, length = w[i]
-            cut = min(much, length)
-            over.append((item, start + length - cut, cut))
-            w[i : i + 1] = [(item, start, length - cut)] if length > cut else []
-            much -= cut
-    room = [[capacity - sum(p[2] for p in w), i] for i, w in enumerate(out)]
-    room = sorted((r for r in room if r[0] > 0), key=lambda r: (r[0], r[1]))
-    for item, start, length in sorted(over, key=lambda p: -p[2]):
-        while length:
-            fit = next((j for j, r in enumerate(room) if r[0] >= length), len(room) - 1)  # the tightest room that fits, else the widest
-            take = min(length, room[fit][0])
-            out[room[fit][1]].append((item, start, take))
-            start, length = start + take, length - take
-            room[fit][0] -= take
-            if room[fit][0]:
-                room.sort(key=lambda r: (r[0], r[1]))
-            else:
-                del room[fit]
-    return [w for w in out if w]
+    return out
 
 
 def _task(ranks_path: str, pattern: str, end_id: int, added: dict[str, int]):
@@ -150,22 +114,23 @@ def _task(ranks_path: str, pattern: str, end_id: int, added: dict[str, int]):
         enc = encoder(ranks_path, pattern, added)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         sequence = TaskContext.get().partitionId() << 36
-        lot: list[tuple[int, int, np.ndarray, int]] = []  # document, start, ids of the remainder, tokens of the document
-        done: list[tuple[int, int, int, int, int, int, int]] = []
+        lot: list[tuple[int | None, int, np.ndarray, int]] = []  # document, start, ids of the piece, tokens of the document
+        done: list[tuple[int | None, int, int, int, int, int, int]] = []
 
         def emit() -> pa.RecordBatch:
-            rows = np.array(done, np.int64).reshape(-1, len(names))
+            docs = pa.array([r[0] for r in done], pa.int64())
+            rows = np.array([r[1:] for r in done], np.int64).reshape(-1, len(names) - 1)
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(len(names))], names=names)
+            return pa.RecordBatch.from_arrays([docs, *(pa.array(rows[:, i]) for i in range(len(names) - 1))], names=names)
 
         def pack() -> None:
             nonlocal sequence
             for members in windows([len(p[2]) for p in lot]):
                 offset = 0
-                for m, start, length in members:
-                    doc, base, ids, n = lot[m]
-                    done.append((doc, base + start, length, zlib.crc32(ids[start : start + length].tobytes()), n, sequence, offset))
-                    offset += length
+                for m in members:
+                    doc, start, ids, n = lot[m]
+                    done.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), n, sequence, offset))
+                    offset += len(ids)
                 sequence += 1
             lot.clear()
 
@@ -177,8 +142,8 @@ def _task(ranks_path: str, pattern: str, end_id: int, added: dict[str, int]):
                 for start in range(0, whole, CAPACITY):
                     done.append((doc, start, CAPACITY, zlib.crc32(ids[start : start + CAPACITY].tobytes()), n, sequence, 0))
                     sequence += 1
-                if n > whole:
-                    lot.append((doc, whole, ids[whole:].copy(), n))
+                for start in range(whole, n, PIECE):
+                    lot.append((doc, start, ids[start : start + PIECE].copy(), n))
                     if len(lot) == LOT:
                         pack()
                 if len(done) >= 20_000:
