@@ -16,7 +16,7 @@ Shards are as many as the text needs, each is a task of its own, equal segments
 so a string in a third of all documents costs its shard a few bytes for each place.
 
 Defined cases: null and empty texts have 0 bytes and the hash of nothing; texts under 50 bytes are kept; strings are
-judged on the input; repeats inside one document stay; rows of equal doc_id are equal in rank, so neither removes
+judged on the input; repeats inside one document stay; rows with a null doc_id, which no id is smaller than, keep all and remove nothing; rows of equal doc_id are equal in rank, so neither removes
 the other's bytes; empty tables give no rows; other input columns are ignored.
 """
 
@@ -460,8 +460,20 @@ def _of_shard(work):
     return run
 
 
+def _untouched(docs: DataFrame, with_text: bool) -> DataFrame:
+    """The results of rows that keep all their bytes."""
+    text, none = F.coalesce("text", F.lit("")), F.lit(0).cast("bigint")
+    result = (F.col("doc_id").cast("bigint").alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    return docs.select(*result, *([F.encode(text, "UTF-8").alias("kept")] if with_text else []))
+
+
 def deduped(docs: DataFrame, with_text: bool = False, shards: int | None = None) -> DataFrame:
     """Per document its bytes, removed bytes, maximal removed runs and the hash of what is kept (and with_text, the bytes kept)."""
+    nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+    return _deduped(docs, with_text, shards).unionByName(_untouched(nameless, with_text))
+
+
+def _deduped(docs: DataFrame, with_text: bool, shards: int | None) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     chunk, shard = sizes_for(total)
