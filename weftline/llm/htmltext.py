@@ -13,7 +13,7 @@ labels, taken as wrong at a rate of NOISE, and are no features themselves; a pen
 so features that the sample lacks keep them. Pages are extracted in one pass without a shuffle.
 
 Defined cases: null and empty pages give ''; a page without markup is one block of text; unclosed elements end with the
-page, an unfinished tag at the end is dropped, a < that starts no tag is text; long pages are whole; repeated rows are
+page, an unfinished tag at the end is dropped, one whose quotes don't close goes up to its >, a < that starts no tag is text; formulas are text; long pages are whole; repeated rows are
 extracted one by one; other input columns are ignored.
 """
 
@@ -40,8 +40,10 @@ NOISE = 0.1
 
 #: Element classes of HTML, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video select annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
+#: Elements of formulas, which are part of the text around them.
+MATH = frozenset("math mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose merror msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 CONTENT_TAGS = frozenset("article main".split())
 PLAIN_TAGS = frozenset("nav aside footer menu dialog button fieldset".split())
 CONTENT_WORDS = frozenset("article content post entry main story body text".split())
@@ -66,7 +68,7 @@ GOOD_WORDS = 1.0
 #: Smoothness of neighbours in one container, of other neighbours, and of the next blocks in a container or its parent.
 NEXT_SAME, NEXT_OTHER, SAME_PARENT, NEAR_PARENT = 1.0, 0.3, 0.5, 0.25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -135,6 +137,16 @@ class Block:
         self.text, self.features, self.says, self.container, self.parent = text, features, says, container, parent
 
 
+def _behind(page: str, tag: str, at: int) -> int:
+    """The place behind the end tag of an element whose content begins at a place, with elements of its kind inside."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?![\w-])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m.end()
+    return len(page)
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The text blocks of a page in order, with their features and places in the DOM."""
     if not page:
@@ -171,21 +183,21 @@ def blocks_of(page: str | None) -> list[Block]:
         if m.start() > at:
             parts.append((page[at : m.start()], links > 0))
         at = m.end()
-        tag = m[2]
-        if tag is None or not m[4]:
+        # the second form is a tag whose quotes don't close: it goes up to its >
+        closing, tag, attributes, end_mark = m.group(1, 2, 3, 4) if m[2] else m.group(5, 6, 7, 8)
+        if tag is None or not end_mark:
             continue
         tag = tag.lower()
-        if tag in INLINE:
+        if tag in INLINE or tag in MATH:
             if tag == "a":
-                links = max(0, links - 1) if m[1] else links + 1
+                links = max(0, links - 1) if closing else links + 1
             elif tag == "br":
                 parts.append((" ", False))
-            if not m[1] and m[3] and tag not in VOID and _says(tag, m[3], (NEUTRAL, False))[0] == HIDDEN:  # hidden inline text goes up to its end tag
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+            if not closing and attributes and tag not in VOID and _says(tag, attributes, (NEUTRAL, False))[0] == HIDDEN:
+                at = _behind(page, tag, at)  # hidden inline text goes up to its own end tag
             continue
         if tag in RAW or tag == "head":
-            if not m[1] and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 close_block()
                 stop = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
                 if tag == "head":
@@ -195,7 +207,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         close_block()
         links = 0
-        if m[1]:
+        if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -206,7 +218,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
             del stack[-1]
         numbers += 1
-        stack.append(_Element(tag, _says(tag, m[3], stack[-1].says), numbers, stack[-1].number))
+        stack.append(_Element(tag, _says(tag, attributes, stack[-1].says), numbers, stack[-1].number))
     close_block()
     return out
 
@@ -322,9 +334,10 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
 
 
 def scores_of(blocks: list[Block], weights: np.ndarray = PRIOR) -> list[float]:
-    """The terminal capacity of each block: towards content if positive."""
+    """The terminal capacity of each block: towards content if positive. Where no markup calls anything boilerplate, silence speaks for content."""
     own = np.clip(np.array([b.features for b in blocks]) @ weights, -CLIP, CLIP)
-    return (own + np.array([MARKUP[b.says[0]] + GOOD_WORDS * b.says[1] for b in blocks])).tolist()
+    silent = MARKUP[NEUTRAL] if any(b.says[0] > CONTENT for b in blocks) else MARKUP[CONTENT]
+    return (own + np.array([(MARKUP[b.says[0]] or silent) + GOOD_WORDS * b.says[1] for b in blocks])).tolist()
 
 
 def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
