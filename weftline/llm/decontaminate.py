@@ -7,7 +7,7 @@ may be missing of the partition's largest item). Documents of any length are pro
 against the signatures, so a short item in a very long text is found with certainty, and every candidate
 is verified by the exact shingles of both texts.
 
-A benchmark of up to MAX_SHINGLES words (counted first, so an upper bound of its shingles) is sent to every task as packed
+A benchmark of up to MAX_SHINGLES words (counted first, so an upper bound of its shingles) and MAX_BYTES bytes is sent to every task as packed
 arrays, and documents are read once without a shuffle; a task spells out an item's shingles when a document meets its
 signature. A larger one is joined: signatures with document shingles on the hash, the candidates' shared hashes are
 counted, and pairs that have enough of them meet both texts. Both ways give the same rows.
@@ -34,8 +34,8 @@ from weftline.llm.words import shingle_set, shingles_of
 
 WIDTH = 5
 SHARE = 0.8
-#: Words of a benchmark that may be sent to every task; beyond it the search is a shuffled join.
-MAX_SHINGLES = 2_000_000
+#: Words and bytes of a benchmark that may be sent to every task; beyond either the search is a shuffled join.
+MAX_SHINGLES, MAX_BYTES = 2_000_000, 32 << 20
 PAIRS = "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double"
 #: Pairs with the hash of the document's text.
 _FOUND = "doc_id bigint, _text_hash bigint, item_id bigint, n_shingles bigint, n_shared bigint"
@@ -125,10 +125,10 @@ def _numbered(items: DataFrame) -> DataFrame:
 def _matches(docs: DataFrame, items: DataFrame, width: int, share: float, max_shingles: int) -> DataFrame:
     """Rows of _FOUND; items: item_id, text and the number _n."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"))
-    size = items.agg(F.coalesce(F.sum(n_words("text")), F.lit(0)).alias("n")).first()["n"]
+    size = items.agg(F.coalesce(F.sum(n_words("text")), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     keys = signatures(items, width, share)
-    if size <= max_shingles:
-        # no more hashes than the benchmark has words, and its texts: bounded by max_shingles
+    if size["words"] <= max_shingles and size["bytes"] <= MAX_BYTES:
+        # no more hashes than the benchmark has words, and its texts: bounded by max_shingles and MAX_BYTES
         found = keys.toArrow().combine_chunks()
         h, own = found["h"].to_numpy().view(np.uint64), items.toArrow().sort_by("_n").combine_chunks()
         order = np.argsort(h, kind="stable")
@@ -137,7 +137,7 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, share: float, max_sh
         return docs.mapInArrow(_search(sent, width, share), _FOUND)
     # a row's own number ties its shingles to it; the table is written so that the number stays
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    hashes = rows.select("_row", "text").mapInArrow(_hashes(width), "id bigint, h bigint").distinct()
+    hashes = written(rows.select("_row", "text").mapInArrow(_hashes(width), "id bigint, h bigint").distinct(), "hashes")
     pairs = hashes.join(keys.hint("merge"), "h").select("id", "_n").distinct()
     all_hashes = written(items.select("_n", "text").mapInArrow(_hashes(width), "id bigint, h bigint").distinct().select(F.col("id").alias("_n"), "h"), "item_hashes")
     sizes = all_hashes.groupBy("_n").agg(F.count("*").alias("size"))
@@ -156,8 +156,8 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
 def cleaned(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, max_shingles: int = MAX_SHINGLES) -> DataFrame:
     """docs without the rows whose text holds a benchmark item."""
     found = _matches(docs, _numbered(items), width, share, max_shingles).select(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_mark")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mark"))
-    return docs.join(found.hint("merge"), same, "left_anti").select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_own"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    return own.join(found.hint("merge"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_mark")), "left_anti").select("_own.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,26 +76,28 @@ def repeated_windows(docs: DataFrame, text: str = "text", roll: int = ROLL) -> D
 def deduped(docs: DataFrame, text: str = "text", roll: int = ROLL) -> DataFrame:
     """docs with the repeated chunks gone from the text, and n_lines, n_removed_lines, n_removed_chunks (removed runs of lines)."""
     gone = repeated_windows(docs, text, roll).groupBy("doc_id", "_text_hash").agg(F.array_sort(F.collect_set("at")).alias("_at"))
-    df = docs.withColumn("_text_hash", _text_hash(text)).join(gone.hint("merge"), ["doc_id", "_text_hash"], "left")
+    # the input's columns wait in a struct, so that none is taken for one of these
+    others = [c for c in docs.columns if c not in (*COUNTS, text)]
+    df = docs.select(F.struct(*others).alias("_own"), "doc_id", F.col(text).alias("_text"), _text_hash(text).alias("_text_hash")).join(gone.hint("merge"), ["doc_id", "_text_hash"], "left")
     # most rows lose nothing; their lines are only counted
     some = F.col("_at").isNotNull()
-    df = df.withColumn("_lines", F.when(some, _lines(text)))
+    df = df.withColumn("_lines", F.when(some, _lines("_text")))
     df = df.withColumn("_held", _held())
     # the lines from a window's first one to the next one with a word that follows its last one
     lines_of = lambda a: F.sequence(F.get("_held", a), F.coalesce(F.get("_held", a + roll), F.size("_lines")) - 1)
     df = df.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_at", lines_of))))  # in rising order, as _at is
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     runs = F.size(F.filter("_gone", lambda g, i: F.coalesce(F.get("_gone", i - 1) != g - 1, F.lit(True))))
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("_text"), F.lit(""))
     newlines = F.length(body) - F.length(F.translate(body, "\n", "")) + 1
-    columns = [c for c in docs.columns if c not in (*COUNTS, text)]
-    return df.select(
-        *columns,
-        F.when(some, F.array_join(kept, "\n")).otherwise(body).alias(text),
+    made = df.select(
+        "_own",
+        F.when(some, F.array_join(kept, "\n")).otherwise(body).alias("_text"),
         newlines.cast("bigint").alias("n_lines"),
         F.when(some, F.size("_gone")).otherwise(0).cast("bigint").alias("n_removed_lines"),
         F.when(some, runs).otherwise(0).cast("bigint").alias("n_removed_chunks"),
     )
+    return made.select(*[F.col("_own")[c].alias(c) for c in others], F.col("_text").alias(text), *COUNTS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

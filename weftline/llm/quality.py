@@ -139,8 +139,12 @@ def failed(rules: tuple[Rule, ...]) -> Column:
 
 def judged(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the metrics, base_failed, failed_rules and kept."""
-    df = counts(docs, text).withColumns({"base_failed": F.size(failed(base)) > 0, "failed_rules": failed(base + rules)})
-    return df.withColumn("kept", F.size("failed_rules") == 0)
+    # the input's columns wait in a struct, so that none is taken for one of these
+    own = docs.select(F.struct(*docs.columns).alias("_input"), F.col(text).alias("_text"))
+    df = counts(own, "_text").withColumns({"base_failed": F.size(failed(base)) > 0, "failed_rules": failed(base + rules)}).drop("_text")
+    df = df.withColumn("kept", F.size("failed_rules") == 0)
+    made = [c for c in df.columns if c != "_input"]
+    return df.select(*[F.col("_input")[c].alias(c) for c in docs.columns if c not in made], *made)
 
 
 def kept(docs: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -289,7 +289,8 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group: the one of the smallest doc_id, then text hash."""
     first = grouped(docs, **options).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
     kept = first.select(F.col("r.doc_id").alias("_doc"), F.col("r.text_hash").alias("_mark"))
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (_text_hash() == F.col("_mark")), "left_semi").select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_own"), F.col("doc_id").alias("_id"), _text_hash().alias("_text_hash"))
+    return own.join(kept.hint("merge"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_mark")), "left_semi").select("_own.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

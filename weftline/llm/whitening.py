@@ -151,8 +151,8 @@ def triangular_factors(vectors: DataFrame, center: Center) -> list[np.ndarray]:
         if factors and np.abs(gram - np.eye(d)).max() < 64 * d * _U:
             break
         size = np.linalg.norm(gram, 2)
-        if size == 0:
-            factors.append(np.eye(d))
+        if size == 0:  # nothing varies
+            factors.append(np.zeros((d, d)))
             break
         factor = cholesky(gram) if factors else None
         if factor is None:  # the first pass always, later ones where a direction still has no variance to speak of
