@@ -41,7 +41,7 @@ WIDTH = 4
 #: Shared shingles that a link needs, in percent of all of both.
 PERCENT = 85
 #: Groups that tokens are hashed into, the dimensions of the trees. Hash buckets whose counts order the tokens.
-GROUPS, BUCKETS = 64, 1 << 16
+GROUPS, BUCKETS = 256, 1 << 16
 #: Points of a leaf. Points of one token that one task takes; beyond, they are dealt in blocks.
 LEAF, DIRECT = 32, 4096
 #: Most frequent rare tokens of a document that the first links use.
@@ -98,7 +98,7 @@ def _vectors(column: pa.Array, groups: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     narrow = np.diff(at) == groups
     if narrow.all():
-        return raw[at[0] : at[-1]].reshape(-1, groups).astype(np.uint32)
+        return raw[at[0] : at[-1]].reshape(-1, groups)
     out = np.zeros((len(column), groups), np.uint32)
     out[narrow] = raw[at[:-1][narrow][:, None] + np.arange(groups)]
     wide = np.flatnonzero(~narrow)
@@ -115,7 +115,7 @@ def _pointed(order, width: int, percent: int, groups: int):
                 h, r = _distinct(h, r)
                 rows, first = np.unique(r, return_index=True)
                 sizes = np.diff(np.r_[first, len(r)])
-                group = (h >> np.uint64(58)).astype(np.int64) * groups >> 6
+                group = (h >> np.uint64(44)).astype(np.int64) * groups >> 20
                 vectors = np.bincount(np.repeat(np.arange(len(rows)), sizes) * groups + group, minlength=len(rows) * groups).reshape(-1, groups)
                 rank = np.lexsort((h, counts[(h & mask).astype(np.int64)], r))
                 rare = sizes - (sizes * percent + 99) // 100 + 1
