@@ -40,8 +40,11 @@ def best_matches(fields: DataFrame, keys: DataFrame, group: str, least: float =
     """(group, field, key, score, missing): the most similar key of the field's group; missing under the threshold.
 
     fields: group, field, vec; keys: group, key, vec. Fields are a query set that meets all keys of its group; the best key is an
-    aggregate that combines before the shuffle. A key equal to the field itself doesn't count.
+    aggregate that combines before the shuffle. A key equal to the field itself doesn't count, nor does one whose value (if keys
+    have that column) holds no data. For large groups see vectorindex.
     """
+    if "value" in keys.columns:
+        keys = keys.where(is_meaningful(F.col("value")))
     f = fields.withColumn("fn", norm(F.col("vec"))).select(group, "field", F.col("vec").alias("fv"), "fn")
     k = keys.withColumn("kn", norm(F.col("vec"))).select(group, "key", F.col("vec").alias("kv"), "kn")
     both = f.join(k.hint("merge"), group).where("not (key <=> field)").withColumn("score", dot(F.col("fv"), F.col("kv")) / (F.col("fn") * F.col("kn")))

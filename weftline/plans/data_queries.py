@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import intents, urls
 from weftline.functions import text as texts
-from weftline.operators import blocks, caches, dom, engines, records, robots, unify, vectors
+from weftline.operators import blocks, caches, dom, engines, records, robots, unify, vectorindex, vectors
 from weftline.sources.tables import spread, stored
 
 AS_OF = "1996-01-01 00:00:00"
@@ -257,6 +257,28 @@ def vector_match(spark: SparkSession, d: str) -> DataFrame:
     return df.select("field", "key", F.round("score", 3).alias("score"), "missing")
 
 
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of ids divisible by 100 as fields, and all as keys of which every third has a value without data."""
+    e = _t(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("vec"))
+    value = F.when(F.col("vec_id") % 3 == 0, F.lit("short")).otherwise(F.format_string("a value of vector %d", "vec_id"))
+    return e.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("field"), "vec"), e.select("label", F.col("vec_id").alias("key"), "vec", value.alias("value"))
+
+
+def vector_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vector of the same label whose value holds data, from the index in its exact mode."""
+    fields, keys = _vectors(spark, d)
+    df = vectorindex.vector_index(keys, "label").search(fields, 0.35, exact=True)
+    return df.select("field", "key", F.round("score", 3).alias("score"), "missing")
+
+
+def vector_index_copies(spark: SparkSession, d: str) -> DataFrame:
+    """For vectors of ids divisible by 100, turned into near copies of all rows' vectors, the probed cells' best row: the row itself."""
+    fields, keys = _vectors(spark, d)
+    near = fields.select("label", (-F.col("field") - 1).alias("field"), F.transform("vec", lambda x, i: x * 2 + F.when(i == 0, 0.01).otherwise(0.0)).alias("vec"))
+    df = vectorindex.vector_index(keys.drop("value"), "label").search(near, 0.9)
+    return df.select("field", "key", F.round("score", 3).alias("score"), "missing")
+
+
 def missing_fields_kw(spark: SparkSession, d: str) -> DataFrame:
     names = _t(spark, d, "part").select((F.col("p_partkey") % 50).alias("g"), F.col("p_name").alias("key"))
     fields = _t(spark, d, "part").select((F.col("p_partkey") % 50).alias("g"), F.lower(F.substring_index("p_type", " ", -1)).alias("field")).distinct()
@@ -400,7 +422,7 @@ QUERIES = {
     for f in (
         unify_items, unify_sources, unify_stats, source_facets, unify_fields, conflict_report, weight_gap, value_forms, fill_gaps, keep_better, request_confidence, cache_exact, cache_latest_completed, cache_semantic,
         cache_two_tier, idempotent_action, fuzzy_keys, top_similar, robots_rules, robots_sitemaps, robots_check, fully_blocked, newly_disallowed, invalidate_patterns, intent_validate, actionable,
-        capability_strategy, semantic_key, intent_hash, idempotency_key, vector_match, missing_fields_kw, jsonld_roundtrip, microdata_roundtrip, opengraph_roundtrip, twitter_roundtrip, meta_roundtrip,
+        capability_strategy, semantic_key, intent_hash, idempotency_key, vector_match, vector_index_exact, vector_index_copies, missing_fields_kw, jsonld_roundtrip, microdata_roundtrip, opengraph_roundtrip, twitter_roundtrip, meta_roundtrip,
         label_value_roundtrip, deflist_roundtrip, sections_roundtrip, itemlist_roundtrip, items_microdata, merge_engines, engine_confidence, page_result, discover_fields, validate_extraction,
         dom_blocks, selector_candidates, item_sources_chosen, field_tiers, page_recommendations, failure_stages, item_summaries,
     )

@@ -89,6 +89,13 @@ SELECT k AS request_id, CASE WHEN one THEN 'single' ELSE 'multiple' END AS cardi
     "vector_match": """
 WITH s AS (SELECT f.vec_id AS field, k.vec_id AS key, list_cosine_similarity(f.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings f JOIN embeddings k ON f.label = k.label WHERE f.vec_id % 100 = 0 AND k.vec_id <> f.vec_id)
 SELECT field, arg_max(key, (score, key)) AS key, round(max(score), 3) AS score, max(score) < 0.65 AS missing FROM s GROUP BY field""",
+    "vector_index_exact": """
+WITH s AS (SELECT f.vec_id AS field, k.vec_id AS key, list_cosine_similarity(f.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings f JOIN embeddings k ON f.label = k.label WHERE f.vec_id % 100 = 0 AND k.vec_id <> f.vec_id AND k.vec_id % 3 <> 0)
+SELECT field, arg_max(key, (score, key)) AS key, round(max(score), 3) AS score, max(score) < 0.35 AS missing FROM s GROUP BY field""",
+    "vector_index_copies": """
+WITH f AS (SELECT label, -vec_id - 1 AS field, [x * 2 + CASE WHEN i = 1 THEN 0.01 ELSE 0 END FOR x, i IN embedding::DOUBLE[]] AS vec FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT field, k.vec_id AS key, list_cosine_similarity(f.vec, k.embedding::DOUBLE[]) AS score FROM f JOIN embeddings k ON f.label = k.label)
+SELECT field, arg_max(key, (score, key)) AS key, round(max(score), 3) AS score, max(score) < 0.9 AS missing FROM s GROUP BY field""",
     "missing_fields_kw": """
 WITH f AS (SELECT DISTINCT p_partkey % 50 AS g, lower(list_last(string_split(p_type, ' '))) AS field FROM part)
 SELECT g, field FROM f WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 50 = f.g AND (contains(lower(p_name), f.field) OR contains(lower(p_name), replace(f.field, '_', ' '))))""",
