@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import intents, registry, text, urls
 from weftline.operators import blocks, caches, candidates, dom, engines, oplog, pages, records, robots, unify, vectors
 from weftline.sources import tables
-from weftline.streaming import jobs
+from weftline.streaming import jobs, keyed
 
 
 def one(spark, column, **values):
@@ -135,16 +135,16 @@ def test_meaningful_values(spark):
 
 
 def test_rate_limiter_counts_admitted_only():
-    verdicts, held = jobs.admitted([0, 1, 2, 61, 61.5], [], 60, 2)
+    verdicts, held = keyed.admitted([0, 1, 2, 61, 61.5], [], 60, 2)
     assert [a for a, _ in verdicts] == [True, True, False, True, True] and held == [61, 61.5]
 
 
 def test_streams_match_batch(spark, data):
-    df = jobs.run_all(jobs.rate_limit(tables.read_log_stream(spark, data), 2, 3600), tables.scratch(spark, "o"), tables.scratch(spark, "c")).toPandas().sort_values("event_id")
+    df = jobs.run_all(keyed.rate_limit(tables.read_log_stream(spark, data).withWatermark("ts", "10 minutes"), 2, 3600), tables.scratch(spark, "o"), tables.scratch(spark, "c")).toPandas().sort_values("event_id")
     events = spark.read.parquet(f"{data}/events.parquet").toPandas().sort_values(["ts", "event_id"])
     want = {}
     for _, g in events.groupby("user_id"):
-        verdicts, _ = jobs.admitted([t.timestamp() for t in g["ts"]], [], 3600, 2)
+        verdicts, _ = keyed.admitted([t.timestamp() for t in g["ts"]], [], 3600, 2)
         want |= dict(zip(g["event_id"], [a for a, _ in verdicts], strict=True))
     assert dict(zip(df["event_id"], df["accepted"], strict=True)) == want
 
@@ -166,7 +166,7 @@ def test_stream_state_expires(spark, tmp_path):
     for i, (hour, site) in enumerate([(0, "a"), (0, "a"), (1, "a"), (30, "b"), (31, "b"), (60, "a")]):
         spark.createDataFrame([(site, i, dt.datetime(2024, 1, 1 + hour // 24, hour % 24))], schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        out = jobs.run_all(jobs.circuit_breaker(stream, keep=3600.0 * 10, delay="1 minute"), str(tmp_path / "out"), state)
+        out = jobs.run_all(keyed.circuit_breaker(stream.withWatermark("ts", "1 minute"), keep=3600.0 * 10), str(tmp_path / "out"), state)
         got = {r.event_id: r.failures for r in out.collect()}
     assert got == {0: 1, 1: 2, 2: 3, 3: 1, 4: 2, 5: 1}
 

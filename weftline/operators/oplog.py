@@ -22,6 +22,8 @@ TRANSITIONS = {
     "COMPLETED": (),
     "FAILED": (),
 }
+#: States that nothing follows.
+FINISHED = ("COMPLETED", "FAILED")
 
 
 def valid_transition(old: str = "from_state", new: str = "to_state"):
@@ -105,13 +107,13 @@ def split_by_relevance(scores: DataFrame, least: float = 0.3) -> DataFrame:
 def stale(requests: DataFrame, as_of: str, minutes: int = 10) -> DataFrame:
     """Unfinished requests that have not changed for minutes: to be FAILED, with the old state for their checkpoint."""
     old = F.col("updated_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))
-    gone = requests.where(~F.col("state").isin("COMPLETED", "FAILED") & old)
+    gone = requests.where(~F.col("state").isin(*FINISHED) & old)
     return gone.withColumns({"previous_state": F.col("state"), "state": F.lit("FAILED")})
 
 
 def cascade(stale_requests: DataFrame, runs: DataFrame) -> DataFrame:
     """The unfinished site runs of stale requests: to be FAILED too."""
-    return runs.where(~F.col("run_state").isin("COMPLETED", "FAILED")).join(stale_requests.select("request_id").hint("merge"), "request_id", "left_semi")
+    return runs.where(~F.col("run_state").isin(*FINISHED)).join(stale_requests.select("request_id").hint("merge"), "request_id", "left_semi")
 
 
 def sweep_stale(requests: DataFrame, runs: DataFrame, as_of: str, minutes: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:

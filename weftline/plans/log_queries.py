@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import candidates, oplog
 from weftline.sources import tables
-from weftline.streaming import jobs
+from weftline.streaming import jobs, keyed
 
 AS_OF = "2024-01-16 00:00:00"
 STATES = ("INIT", "INTENT_DONE", "VALIDATED", "CACHE_HIT", "RELEVANCE_DONE", "PIPELINES_RUNNING", "EXTRACTION_DONE", "UNIFIED", "COMPLETED", "FAILED")
@@ -193,15 +193,15 @@ def windowed_metrics_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_limiter_stream(spark: SparkSession, d: str) -> DataFrame:
-    df = jobs.rate_limit(tables.read_log_stream(spark, d), 2, 3600)
+    df = keyed.rate_limit(tables.read_log_stream(spark, d).withWatermark("ts", "10 minutes"), 2, 3600)
     out = jobs.run_all(df, tables.scratch(spark, "limited"), tables.scratch(spark, "state"))
     return out.select("user_id", "event_id", "accepted", F.round("retry_after", 3).alias("retry_after"))
 
 
 def circuit_breaker_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = tables.read_log_stream(spark, d).where("event_type = 'error'").withColumn("site", F.col("user_id").cast("string"))
-    out = jobs.run_all(jobs.circuit_breaker(stream), tables.scratch(spark, "broken"), tables.scratch(spark, "state"))
-    return out.select("site", "event_id", "failures", "status")
+    out = jobs.run_all(keyed.circuit_breaker(stream.withWatermark("ts", "10 minutes")), tables.scratch(spark, "broken"), tables.scratch(spark, "state"))
+    return out.where("event_id IS NOT NULL").select("site", "event_id", "failures", "status")
 
 
 def transitions_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -58,11 +58,15 @@ def serp_source(results: DataFrame, n: int = 10) -> DataFrame:
     return linked.where(F.col("pos") < n).select("request_id", "pos", F.col("r.link").alias("url"), "r.title", "r.snippet")
 
 
-def read_log_stream(spark: SparkSession, path: str, name: str = "events", files_per_trigger: int = 1) -> DataFrame:
-    """The log as a stream of parquet files, with ts as an event-time timestamp. The glob fits a file and a folder alike."""
+def read_stream(spark: SparkSession, path: str, name: str, files_per_trigger: int = 1) -> DataFrame:
+    """A table as a stream of parquet files. The glob fits a file and a folder alike."""
     schema = spark.read.parquet(f"{path}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}/{name}.parque[t]")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}/{name}.parque[t]")
+
+
+def read_log_stream(spark: SparkSession, path: str, name: str = "events", files_per_trigger: int = 1) -> DataFrame:
+    """The log as a stream, with ts as an event-time timestamp."""
+    return read_stream(spark, path, name, files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
