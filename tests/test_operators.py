@@ -309,4 +309,26 @@ def test_equal_keys_of_nested_elements(spark):
     nodes = dom.dom_nodes(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string"))
     got = {r.node_id: r.text for r in dom.subtree_text(nodes, F.col("tag") == "div").collect()}
     assert got == {0: "xyzw", 1: "yz", 3: "w", 4: "v"}
-    assert {(r.node_id, tuple(r.ancestors)) for r in nodes.collect()} == {(0, ()), (1, (0,)), (2, (0, 1)), (3, (0,)), (4, ())}
+    heads = nodes.select("page_id", F.col("node_id").alias("head"), "subtree_end")
+    pairs = {(r.node_id, r.head) for r in dom.inside(heads, nodes.select("page_id", "node_id"), itself=False).collect()}
+    assert pairs == {(1, 0), (2, 0), (2, 1), (3, 0)} and {r.head for r in dom.outermost(heads).collect()} == {0, 4}
+
+
+def test_unclosed_items_are_siblings():
+    """With implied end tags; work and bytes grow with the nodes, however deep they nest without."""
+    tree = lambda html: [(n[3], n[1], n[2]) for n in dom.parsed(html, None, True)]
+    assert tree("<ul><li>1<li><p>2<p>3<ul><li>4</ul><li>5</ul>") == [("ul", -1, 0), ("li", 0, 1), ("li", 0, 1), ("p", 2, 2), ("p", 2, 2), ("ul", 2, 2), ("li", 5, 3), ("li", 0, 1)]
+    assert tree("<table><tr><td>a<td>b<tr><th>c<td><table><tr><td>d</table></table>") == [("table", -1, 0), ("tr", 0, 1), ("td", 1, 2), ("td", 1, 2), ("tr", 0, 1), ("th", 4, 2), ("td", 4, 2), ("table", 6, 3), ("tr", 7, 4), ("td", 8, 5)]
+    assert tree("<dl><dt>a<dd>b<dt>c</dl><select><option>x<option>y</select><p>t<div>u</div>") == [("dl", -1, 0), ("dt", 0, 1), ("dd", 0, 1), ("dt", 0, 1), ("select", -1, 0), ("option", 4, 1), ("option", 4, 1), ("p", -1, 0), ("div", -1, 0)]
+    assert tree("<button><p>a<div>b</div></button>") == [("button", -1, 0), ("p", 0, 1), ("div", 0, 1)]
+    wide = list(dom.parsed("<ul>" + "<li>x" * 100_000, None, True))
+    assert max(n[2] for n in wide) == 1 and len(wide) == 100_001 and wide[0][6:] == (100_000, 0, 100_000, 100_000)
+    deep = list(dom.parsed("<ul>" + "<li>x" * 20_000))
+    assert deep[-1][2] == 20_000 and sum(len(repr(n)) for n in deep) < 100 * len(deep)
+
+
+def test_texts_of_deep_pages(spark):
+    """The innermost and the outermost text of 3,000 nested elements."""
+    nodes = dom.dom_nodes(spark.createDataFrame([(1, "<b>x" * 3000)], "page_id long, html string"))
+    got = {r.node_id: r.text for r in dom.subtree_text(nodes, F.col("node_id").isin(0, 2999)).collect()}
+    assert got == {0: "x" * 3000, 2999: "x"} and nodes.agg(F.max("text_len")).first()[0] == 3000

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.dom import subtree_text, within
+from weftline.operators.dom import inside, subtree_text
 from weftline.sources.tables import stored
 
 #: Words that attributes of a field's element may hold.
@@ -51,11 +51,10 @@ def heading_blocks(nodes: DataFrame, texts: DataFrame, lines: int | None = None)
 
 def table_blocks(nodes: DataFrame, texts: DataFrame, most: int | None = None, rows_of_each: int | None = None) -> DataFrame:
     """table:<i> with a line per row, cells parted by bars."""
-    tables = _numbered(nodes.where("tag = 'table'"), most).select("page_id", F.col("node_id").alias("head"), "_i")
-    rows = within(nodes.where("tag = 'tr'"), F.col("node_id").alias("r")).join(tables.hint("merge"), ["page_id", "head"]).select("page_id", "_i", "r")
+    tables = _numbered(nodes.where("tag = 'table'"), most).select("page_id", F.col("node_id").alias("head"), "subtree_end", "_i")
+    rows = inside(tables, nodes.where("tag = 'tr'").select("page_id", "node_id", F.col("subtree_end").alias("end"))).select("page_id", "_i", F.col("node_id").alias("head"), F.col("end").alias("subtree_end"))
     cells = nodes.where("tag in ('td', 'th')").join(texts.hint("merge"), ["page_id", "node_id"], "left").withColumn("cell", F.coalesce("text", F.lit("")))
-    inside = rows.join(within(cells, "node_id", "cell").withColumnRenamed("head", "r").hint("merge"), ["page_id", "r"])
-    lines = inside.groupBy("page_id", "_i", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "cell"))), lambda x: x["cell"]), " | ").alias("line"))
+    lines = inside(rows, cells.select("page_id", "node_id", "cell")).groupBy("page_id", "_i", F.col("head").alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "cell"))), lambda x: x["cell"]), " | ").alias("line"))
     return _lines(lines, ["page_id", "_i"], "r", "line", rows_of_each).select("page_id", F.concat(F.lit("table:"), F.col("_i").cast("string")).alias("key"), "ord", "text")
 
 

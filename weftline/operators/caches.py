@@ -106,8 +106,10 @@ def url_cache(requests: DataFrame, patterns: DataFrame, least: float = 0.5, top:
     blocked, and a URL that matches the request's intent (JSON text).
     """
     keys = ["domain", "site", "version", "entity_title"]
-    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("confidence"), "pattern"))
-    hits = requests.join(patterns.where(F.col("confidence") > least).hint("merge"), keys).withColumn("rank", rank).where(F.col("rank") <= top)
+    # the rank doesn't depend on the request: each key's top patterns, cut in the tasks before the shuffle, then meet its requests
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "pattern"))
+    best = stored(patterns.where(F.col("confidence") > least).withColumn("rank", rank).where(F.col("rank") <= top), "top_patterns")
+    hits = requests.join(best.hint("merge"), keys)
     passes = ~F.coalesce("blocked", F.lit(False)) & url_matches_intent(F.col("pattern"), F.col("intent"), F.col("entity_title"))
     return hits.where(passes).groupBy("request_id").agg(F.min_by(F.struct("pattern", "confidence"), "rank").alias("r")).select("request_id", "r.pattern", "r.confidence")
 

@@ -1,5 +1,9 @@
-"""Pages as a table of DOM nodes, parsed once. What lies inside an element is found by equality: nodes carry their ancestors,
-which are exploded and joined on (page_id, node_id), so work is linear in the nodes for a given depth."""
+"""Pages as a table of DOM nodes, parsed once.
+
+A subtree is an interval: nodes are numbered in document order, and subtree_end is the last one below a node. So the nodes in
+chosen elements are found by spelling out the elements' numbers and joining on (page_id, node_id), and an element's text is a
+slice of its page's texts, whose places come from the parse. Work and bytes are linear in the nodes, however deep they nest, plus what is asked for.
+"""
 
 from __future__ import annotations
 
@@ -13,22 +17,50 @@ from pyspark.sql import functions as F
 from weftline.sources.tables import stored
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SCHEMA = "page_id bigint, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, own_text string, subtree_end int, ancestors array<int>"
+SCHEMA = "page_id bigint, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, own_text string, subtree_end int, part_from int, part_to int, text_len bigint"
+#: Which open elements a start tag ends, up to the nearest of the elements behind them.
+LISTS, ROWS = ("ul", "ol", "menu", "dl"), ("table", "thead", "tbody", "tfoot")
+IMPLIED = {
+    "li": (("li",), LISTS), "dt": (("dt", "dd"), LISTS), "dd": (("dt", "dd"), LISTS), "tr": (("tr", "td", "th"), ROWS), "td": (("td", "th"), ("tr", *ROWS)), "th": (("td", "th"), ("tr", *ROWS)),
+    "option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("option", "optgroup"), ("select",)),
+}
+#: Block elements, which end an open paragraph; what a paragraph may lie in ends the search for one.
+BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+AROUND_P = ("button", "td", "th", "table", "li", "dd", "div", "section", "article", "body")
 
 
 class _Nodes(HTMLParser):
-    """Open-element stack: an end tag closes its nearest open match, others are ignored."""
+    """Open-element stack: an end tag closes its nearest open match, others are ignored. implied: start tags also end what they imply."""
 
-    def __init__(self) -> None:
+    def __init__(self, implied: bool = False) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
         self.open: list[int] = []
+        self.count: dict[str, int] = {}  # open elements by tag, so that an end tag without one is known at once
+        self.implied = implied
+
+    def _imply(self, tag: str) -> None:
+        ends, stops = IMPLIED.get(tag, (("p",), AROUND_P) if tag in BLOCKS else ((), ()))
+        if not any(self.count.get(t) for t in ends):
+            return
+        at = None
+        for i in range(len(self.open) - 1, -1, -1):
+            above = self.nodes[self.open[i]][3]
+            if above in ends:
+                at = i
+            elif above in stops:
+                break
+        if at is not None:
+            self._close(at)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.implied:
+            self._imply(tag)
         n = len(self.nodes)
-        self.nodes.append([n, self.open[-1] if self.open else -1, len(self.open), tag, {k: v or "" for k, v in attrs}, [], n, list(self.open)])
+        self.nodes.append([n, self.open[-1] if self.open else -1, len(self.open), tag, {k: v or "" for k, v in attrs}, [], n])
         if tag not in VOID:
             self.open.append(n)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -38,62 +70,89 @@ class _Nodes(HTMLParser):
     def _close(self, at: int) -> None:
         for n in self.open[at:]:
             self.nodes[n][6] = len(self.nodes) - 1
+            self.count[self.nodes[n][3]] -= 1
         del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[i]][3] == tag:
-                self._close(i)
-                return
+        if self.count.get(tag):
+            i = len(self.open) - 1
+            while self.nodes[self.open[i]][3] != tag:
+                i -= 1
+            self._close(i)
 
     def handle_data(self, data: str) -> None:
         if self.open:
             self.nodes[self.open[-1]][5].append(data)
 
 
-def _parse(cap: int | None):
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32())]
+def parsed(html: str | None, cap: int | None = None, implied: bool = False) -> Iterator[tuple]:
+    """The nodes of a page in document order, as the columns of dom_nodes after page_id (attrs as pairs)."""
+    p = _Nodes(implied)
+    p.feed((html or "")[:cap])
+    p.close()
+    p._close(0)
+    texts = ["".join(x[5]) for x in p.nodes]
+    parts, chars = [0], [0]  # before each node: texts that hold something, and their characters
+    for t in texts:
+        n = len(t.strip(" "))
+        parts.append(parts[-1] + (n > 0))
+        chars.append(chars[-1] + n)
+    for (n, parent, depth, tag, attrs, _, end), text in zip(p.nodes, texts, strict=True):
+        yield n, parent, depth, tag, list(attrs.items()), text, end, parts[n], parts[end + 1], chars[end + 1] - chars[n]
+
+
+def _parse(cap: int | None, implied: bool):
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
     names = [x.split()[0] for x in SCHEMA.replace("map<string,string>", "map").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = _Nodes()
-                p.feed((html or "")[:cap])
-                p.close()
-                p._close(0)
-                rows += [(page, n, parent, depth, tag, list(attrs.items()), "".join(text), end, above) for n, parent, depth, tag, attrs, text, end, above in p.nodes]
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
+                for node in parsed(html, cap, implied):
+                    rows.append((page, *node))
+                    if len(rows) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def dom_nodes(pages: DataFrame, cap: int | None = None) -> DataFrame:
+def dom_nodes(pages: DataFrame, cap: int | None = None, implied_ends: bool = False) -> DataFrame:
     """A row per element in document order: node_id, parent_id (-1: none), depth, tag, attrs, own text, the last node of its
-    subtree and its ancestors from the root. cap: characters of a page that are parsed (none: all)."""
-    return pages.select("page_id", "html").mapInArrow(_parse(cap), SCHEMA)
+    subtree, and which of the page's texts lie in it, from part_from to before part_to, with text_len characters.
+
+    cap: characters of a page that are parsed (none: all). implied_ends: a start tag also ends what it implies, as browsers have
+    it (li, dt, dd, tr, td, th, option, and p before blocks), so that unclosed items are siblings and don't nest.
+    """
+    return pages.select("page_id", "html").mapInArrow(_parse(cap, implied_ends), SCHEMA)
 
 
-def within(nodes: DataFrame, *columns: str | Column) -> DataFrame:
-    """(page_id, head, columns): a row for each node and each element that it lies in, itself included."""
-    return nodes.select("page_id", *columns, F.explode(F.concat("ancestors", F.array("node_id"))).alias("head"))
+def inside(heads: DataFrame, nodes: DataFrame, itself: bool = True) -> DataFrame:
+    """The nodes (page_id, node_id, more) that lie in heads (page_id, head, subtree_end, more): a row for each pair. itself: a head lies in itself."""
+    first = F.col("head") if itself else F.col("head") + 1
+    numbers = heads.where(first <= F.col("subtree_end")).withColumn("node_id", F.explode(F.sequence(first, F.col("subtree_end")))).drop("subtree_end")
+    return numbers.join(nodes.hint("merge"), ["page_id", "node_id"])
+
+
+def outermost(heads: DataFrame) -> DataFrame:
+    """Those of heads (page_id, head, subtree_end) that lie in no other."""
+    before = Window.partitionBy("page_id").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    return heads.withColumn("_end", F.max("subtree_end").over(before)).where("_end is null or head > _end").drop("_end")
 
 
 def subtree_text(nodes: DataFrame, heads: Column) -> DataFrame:
     """page_id, node_id and the stripped text parts of each head's subtree, in order, joined without a separator.
 
-    The order is document order of the elements that hold the text.
+    The order is document order of the elements that hold the text. A page's texts are gathered once, and each head takes its slice.
     """
-    h = nodes.where(heads).select("page_id", F.col("node_id").alias("head"))
-    parts = within(nodes.where(F.trim("own_text") != ""), F.col("node_id").alias("part"), F.trim("own_text").alias("t"))
-    inside = parts.join(h.hint("merge"), ["page_id", "head"], "left_semi")
-    texts = inside.groupBy("page_id", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), "").alias("text"))
-    return texts.withColumnRenamed("head", "node_id")
+    own = F.trim("own_text")
+    parts = nodes.where(own != "").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", own.alias("t")))), lambda x: x["t"]).alias("parts"))
+    some = nodes.where(heads & (F.col("part_to") > F.col("part_from"))).select("page_id", "node_id", "part_from", "part_to")
+    text = F.array_join(F.slice("parts", F.col("part_from") + 1, F.col("part_to") - F.col("part_from")), "")
+    return some.join(parts.hint("merge"), "page_id").select("page_id", "node_id", text.alias("text"))
 
 
 def tag_census(nodes: DataFrame) -> DataFrame:
@@ -108,32 +167,30 @@ def subtree_signature(nodes: DataFrame) -> DataFrame:
     return nodes.join(both.hint("merge"), ["page_id", "node_id"], "left").withColumn("sig", F.concat("tag", F.lit("("), F.coalesce("below", F.lit("")), F.lit(")"))).drop("below")
 
 
-def repeating_groups(nodes: DataFrame, least: int = 3) -> DataFrame:
-    """(page_id, parent_id, sig, n, first_node, depth): siblings of one signature, least or more, outside head, script and the like."""
-    signed = subtree_signature(nodes)
+def repeating_groups(nodes: DataFrame, least: int = 3, signed: DataFrame | None = None) -> DataFrame:
+    """(page_id, parent_id, sig, n, first_node, depth): siblings of one signature, least or more, outside head, script and the like.
+
+    signed: the nodes' signatures, where they are there already.
+    """
+    signed = subtree_signature(nodes) if signed is None else signed
     parents = nodes.where(F.col("tag").isin("head", "script", "style", "noscript")).select("page_id", F.col("node_id").alias("parent_id"))
     groups = signed.where("parent_id >= 0").groupBy("page_id", "parent_id", "sig").agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"), F.min("depth").alias("depth"))
     return groups.where(F.col("n") >= least).join(parents.hint("merge"), ["page_id", "parent_id"], "left_anti")
 
 
 def cluster_members(nodes: DataFrame, least: int = 3) -> DataFrame:
-    """(page_id, cluster, position, node_id, subtree_end, depth, n): the members of each repeating group in order."""
-    groups = repeating_groups(nodes, least).select("page_id", "parent_id", "sig", "n", F.col("first_node").alias("cluster"))
-    signed = subtree_signature(nodes).select("page_id", "parent_id", "sig", "node_id", "subtree_end", "depth")
+    """(page_id, cluster, position, node_id, subtree_end, depth, n, text_len): the members of each repeating group in order."""
+    signed = stored(subtree_signature(nodes).where("parent_id >= 0").select("page_id", "parent_id", "sig", "node_id", "subtree_end", "depth", "text_len"), "signed")
+    groups = repeating_groups(nodes, least, signed).select("page_id", "parent_id", "sig", "n", F.col("first_node").alias("cluster"))
     members = signed.join(groups.hint("merge"), ["page_id", "parent_id", "sig"])
     place = F.row_number().over(Window.partitionBy("page_id", "cluster").orderBy("node_id"))
-    return members.select("page_id", "cluster", place.alias("position"), "node_id", "subtree_end", "depth", "n")
+    return members.select("page_id", "cluster", place.alias("position"), "node_id", "subtree_end", "depth", "n", "text_len")
 
 
 def rank_clusters(nodes: DataFrame, top: int = 5) -> DataFrame:
     """The clusters of each page by depth times size times mean text length; short-text ones (under 10 on average) are out."""
-    members = stored(cluster_members(nodes), "members")
-    heads = members.select("page_id", F.col("node_id").alias("head"))
-    # only the length of a member's text is asked for, so it is summed before the shuffle
-    parts = within(nodes.where(F.trim("own_text") != ""), F.length(F.trim("own_text")).alias("n_chars")).join(heads.hint("merge"), ["page_id", "head"], "left_semi")
-    lengths = parts.groupBy("page_id", F.col("head").alias("node_id")).agg(F.sum("n_chars").alias("len"))
-    sized = members.join(lengths.hint("merge"), ["page_id", "node_id"], "left").withColumn("len", F.coalesce("len", F.lit(0)))
-    scored = sized.groupBy("page_id", "cluster").agg(F.avg("len").alias("avg_text"), F.avg("depth").alias("avg_depth"), F.count("*").alias("n")).where("avg_text >= 10")
+    # of a member's text only the length is asked for, which its node has
+    scored = cluster_members(nodes).groupBy("page_id", "cluster").agg(F.avg("text_len").alias("avg_text"), F.avg("depth").alias("avg_depth"), F.count("*").alias("n")).where("avg_text >= 10")
     scored = scored.withColumn("quality", F.col("avg_depth") * F.col("n") * F.col("avg_text"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("quality"), "cluster"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
@@ -145,15 +202,15 @@ def _first_of(values: Column, most: int | None) -> Column:
 
 def cluster_items(nodes: DataFrame, snippets: int | None = None, most_numbers: int | None = None) -> DataFrame:
     """An item per cluster member: heading, first link, first image, text snippets, distinct numbers, labelled pairs; up to so many, or all."""
-    members = cluster_members(nodes).select("page_id", "cluster", "position", F.col("node_id").alias("head"), "n")
-    inside = within(nodes, "node_id", "tag", "attrs", "own_text").join(members.hint("merge"), ["page_id", "head"])
+    members = cluster_members(nodes).select("page_id", "cluster", "position", F.col("node_id").alias("head"), "subtree_end", "n")
+    below = inside(members, nodes.select("page_id", "node_id", "tag", "attrs", "own_text"))
     t, low = F.trim("own_text"), F.col("tag")
     heading, link, image = low.isin("h1", "h2", "h3", "h4", "h5", "h6") & (t != ""), low == "a", low == "img"
     first = lambda value, when: F.min_by(F.when(when, value), F.when(when, F.col("node_id")))
     src = F.coalesce(F.col("attrs")["src"], F.col("attrs")["data-src"])
     ordered = lambda value, when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("node_id", value.alias("v"))))), lambda x: x["v"])
     pair = t.rlike(r"^[^:]{2,40}:\s*\S")
-    items = inside.groupBy("page_id", "cluster", "position", "n").agg(
+    items = below.groupBy("page_id", "cluster", "position", "n").agg(
         first(t, heading).alias("heading"),
         first(t, link & (t != "")).alias("link_text"),
         first(F.col("attrs")["href"], link & F.col("attrs")["href"].isNotNull()).alias("link_href"),

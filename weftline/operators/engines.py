@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.dom import subtree_text, within
+from weftline.operators.dom import inside, subtree_text
 from weftline.sources.tables import stored
 
 #: Engines by priority, and the confidence of each.
@@ -157,14 +157,13 @@ def engine_sections(nodes: DataFrame, most: int | None = None, texts: DataFrame
     names = _texts(nodes, F.col("tag").isin("h2", "h3", "h4"), texts)
     sections = bounds.where(F.col("tag").isin("h2", "h3", "h4")).join(names.hint("merge"), ["page_id", "node_id"]).where("text <> '' and length(text) <= 50")
     sections = sections.select("page_id", "parent_id", F.col("node_id").alias("head"), "next_head", F.col("text").alias("section"))
-    boxes = nodes.where(F.col("tag").isin("ul", "ol", "div", "dl")).select("page_id", "parent_id", F.col("node_id").alias("box"))
-    inside = sections.join(boxes.hint("merge"), ["page_id", "parent_id"]).where("box > head and (next_head is null or box < next_head)")
+    boxes = nodes.where(F.col("tag").isin("ul", "ol", "div", "dl")).select("page_id", "parent_id", F.col("node_id").alias("box"), "subtree_end")
+    under = sections.join(boxes.hint("merge"), ["page_id", "parent_id"]).where("box > head and (next_head is null or box < next_head)")
     items = nodes.where(F.col("tag").isin("li", "div", "span", "dd"))
     texts = _texts(nodes, F.col("tag").isin("li", "div", "span", "dd"), texts)
-    lines = items.select("page_id", "node_id", "ancestors").join(texts.hint("merge"), ["page_id", "node_id"]).where("length(text) > 3 and text like '%:%'")
-    lines = within(lines, "node_id", "text").where("head <> node_id").withColumnRenamed("head", "box")
-    split = inside.select("page_id", "head", "section", "box").join(lines.hint("merge"), ["page_id", "box"])
-    pairs = split.select("page_id", "head", "section", "node_id", F.trim(F.substring_index("text", ":", 1)).alias("label"), F.trim(F.regexp_replace("text", "(?s)^[^:]*:", "")).alias("value")).where("label <> '' and value <> ''")
+    lines = items.select("page_id", "node_id").join(texts.hint("merge"), ["page_id", "node_id"]).where("length(text) > 3 and text like '%:%'")
+    split = inside(under.select("page_id", F.col("head").alias("heading"), "section", F.col("box").alias("head"), "subtree_end"), lines, itself=False)
+    pairs = split.select("page_id", F.col("heading").alias("head"), "section", "node_id", F.trim(F.substring_index("text", ":", 1)).alias("label"), F.trim(F.regexp_replace("text", "(?s)^[^:]*:", "")).alias("value")).where("label <> '' and value <> ''")
     keyed = pairs.withColumn("key", F.concat(F.lit("text:"), "section", F.lit(" - "), "label")).groupBy("page_id", "key").agg(F.min_by(F.struct("head", "value", "node_id"), "node_id").alias("r"))
     kept = keyed
     if most is not None:
@@ -237,10 +236,9 @@ def items_microdata(nodes: DataFrame) -> DataFrame:
     """(page_id, position, key, value): properties of the itemscopes of the page's largest itemtype, two or more scopes."""
     scopes = nodes.where(_attr("itemscope").isNotNull() & _attr("itemtype").isNotNull()).withColumn("type", _attr("itemtype"))
     top = scopes.groupBy("page_id", "type").agg(F.count("*").alias("n"), F.min("node_id").alias("first")).where("n >= 2").groupBy("page_id").agg(F.min_by("type", F.struct(-F.col("n"), "first")).alias("type"))
-    kept = scopes.join(top.hint("merge"), ["page_id", "type"]).select("page_id", F.col("node_id").alias("head"), F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")).alias("position"))
+    kept = scopes.join(top.hint("merge"), ["page_id", "type"]).select("page_id", F.col("node_id").alias("head"), "subtree_end", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")).alias("position"))
     props = element_values(nodes, F.coalesce(_attr("itemprop") != "", F.lit(False))).where("value is not null").withColumn("key", _attr("itemprop"))
-    inside = within(props, "node_id", "key", "value").where("head <> node_id").join(kept.hint("merge"), ["page_id", "head"])
-    return inside.groupBy("page_id", "position", "key").agg(F.min_by("value", "node_id").alias("value"))
+    return inside(kept, props.select("page_id", "node_id", "key", "value"), itself=False).groupBy("page_id", "position", "key").agg(F.min_by("value", "node_id").alias("value"))
 
 
 def fragment_fields(fragments: DataFrame, nodes: DataFrame, heading: int = 200) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import visible_text
 from weftline.functions.urls import abs_url, netloc, path, registrable_domain
-from weftline.operators.dom import within
+from weftline.operators.dom import inside, outermost, subtree_text
 
 #: Link labels and path segments of site-wide navigation, attributes that cleaned HTML keeps, what Markdown leaves out.
 STOP_LABELS = ("home", "menu", "search", "login", "sign in", "register", "about", "contact", "privacy", "terms", "help", "faq", "settings", "close", "back", "next", "more")
@@ -106,16 +106,13 @@ def resolve_entity(pages: DataFrame) -> DataFrame:
 def content_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """(page_id, node_id, url, target, label): links to other pages of the same registrable domain that are content.
 
-    Out are links without a label or target, stop labels, links inside nav, header, footer or role=navigation (by their
-    ancestors), targets with a site-wide path segment and links to the page itself.
+    Out are links without a label or target, stop labels, links inside nav, header, footer or role=navigation, targets with a site-wide path segment and links to the page itself.
     """
     href = F.col("attrs")["href"]
     a = nodes.where("tag = 'a'").withColumn("href", href).where("href <> '' and href not like '#%' and lower(href) not like 'javascript:%'")
-    inside = within(a, "node_id")
-    menus = nodes.where(F.col("tag").isin("nav", "header", "footer") | F.coalesce(F.col("attrs")["role"] == "navigation", F.lit(False))).select("page_id", F.col("node_id").alias("head"))
-    menu_links = inside.join(menus.hint("merge"), ["page_id", "head"], "left_semi").select("page_id", "node_id").distinct()
-    texts = within(nodes.where(F.trim("own_text") != ""), F.col("node_id").alias("part"), F.trim("own_text").alias("t")).withColumnRenamed("head", "node_id")
-    labels = texts.join(a.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_semi").groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), "").alias("label"))
+    menus = nodes.where(F.col("tag").isin("nav", "header", "footer") | F.coalesce(F.col("attrs")["role"] == "navigation", F.lit(False))).select("page_id", F.col("node_id").alias("head"), "subtree_end")
+    menu_links = inside(outermost(menus), a.select("page_id", "node_id")).select("page_id", "node_id")
+    labels = subtree_text(nodes, F.col("tag") == "a").withColumnRenamed("text", "label")
     shown = a.select("page_id", "node_id", "href").join(menu_links.hint("merge"), ["page_id", "node_id"], "left_anti").join(labels.hint("merge"), ["page_id", "node_id"])
     df = shown.where(~F.lower("label").isin(*STOP_LABELS)).join(pages.select("page_id", "url").hint("merge"), "page_id").withColumn("target", abs_url(F.col("url"), F.col("href")))
     wide = F.exists(F.array(*[F.lit(x) for x in SITE_SEGMENTS]), lambda x: F.contains(path(F.col("target")), x))
