@@ -1,6 +1,7 @@
 """Quirks of the operators on small frames."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -332,3 +333,76 @@ def test_texts_of_deep_pages(spark):
     nodes = dom.dom_nodes(spark.createDataFrame([(1, "<b>x" * 3000)], "page_id long, html string"))
     got = {r.node_id: r.text for r in dom.subtree_text(nodes, F.col("node_id").isin(0, 2999)).collect()}
     assert got == {0: "x" * 3000, 2999: "x"} and nodes.agg(F.max("text_len")).first()[0] == 3000
+
+
+def select(nodes, path):
+    """The nodes that a path of child steps selects, by trying every node."""
+    def fits(n, step):
+        name, _, nth = step.partition(":nth-of-type(")
+        tag, mark, value = re.match(r"([^#.]*)([#.]?)(.*)", name).groups()
+        same = [m for m in sorted(nodes.values(), key=lambda m: m.node_id) if m.parent_id == n.parent_id and m.tag == n.tag]
+        return n.tag == tag and (not mark or (n.attrs.get("id") == value if mark == "#" else value in (n.attrs.get("class") or "").split())) and (not nth or same.index(n) + 1 == int(nth[:-1]))
+
+    found = []
+    for n in nodes.values():
+        at = n
+        for step in reversed(path.split(" > ")):
+            if at is None or not fits(at, step):
+                break
+            at = nodes.get(at.parent_id)
+        else:
+            found.append(n.node_id)
+    return found
+
+
+def test_paths_select_their_node_alone(spark, data):
+    html = '<main id=m><div class="card a"><p>x</p><p>y</p></div><div class="card"><p>x</p></div><ul><li><a>1</a><li><a>2</a></ul></main><div><b><b><b>z</b></b></b></div>'
+    made = spark.createDataFrame([(-1, html), (-2, "<b>" * 100)], "page_id long, html string")
+    nodes = dom.dom_nodes(made.unionByName(spark.read.parquet(f"{data}/pages.parquet").where("page_id < 6").select("page_id", "html")))
+    per = {}
+    for r in nodes.collect():
+        per.setdefault(r.page_id, {})[r.node_id] = r
+    paths = blocks.selector_paths(nodes).collect()
+    assert len(paths) == sum(map(len, per.values()))
+    assert all(select(per[r.page_id], r.path) == [r.node_id] for r in paths if r.path is not None)
+    # a second root's path is also that of an element below the first, and paths end after MOST_STEPS
+    assert [(r.page_id, r.node_id) for r in paths if r.path is None and r.page_id != -2] == [(-1, 11)]
+    own = {r.node_id: r.path for r in paths if r.page_id == -1}
+    assert own[0] == "main#m" and own[1] == "div.a" and own[2] == "div:nth-of-type(1) > p:nth-of-type(1)" and own[3] == "p:nth-of-type(2)"
+
+
+def test_labelled_list_items(spark):
+    html = "<ul><li><span>Budget</span><span>$160M</span></li><li><span>Opening</span> weekend sum</li><li>plain</li><li><span>Same</span><span>Same</span></li></ul><ol><li><span>Kind:</span><i>x</i><span>Short film</span></li></ol>"
+    nodes = dom.dom_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    got = {r.key: r.text for r in blocks.dom_blocks(nodes).collect()}
+    assert got == {"list:Budget": "Budget: $160M\nOpening: weekend sum", "list:Kind": "Kind:: Short film"}
+
+
+def test_robots_by_the_longest_match(spark):
+    """Examples of RFC 9309 and of patterns with * and $, groups of several agents, and agents without a group."""
+    raw = "User-agent: a\r\nUser-Agent: B # both\nDisallow: /x\nAllow: /x/y$\nDisallow: /*.gif$\nAllow: /same\nDisallow: /same\nDisallow:\nUser-agent: *\nDisallow: /\nAllow: /p*?q=\nUser-agent: c\nAllow: /\\E.*"
+    rules = robots.robots_groups(spark.createDataFrame([("s", raw), ("t", "Disallow: /lost\nUser-agent: z\nDisallow: /")], "site string, raw string"))
+    assert {r.ua for r in rules.collect()} == {"a", "b", "*", "c", "z"}
+    urls = ["/x", "/x/y", "/x/y/z", "/i/a.gif", "/i/a.gif?v", "/same", "/other", "", "?q=1", "/p1?q=2"]
+    df = spark.createDataFrame([(s, f"https://h{u}") for s in "st" for u in urls], "site string, url string")
+    allowed = lambda agent, site: [u for u in urls if {(r.site, r.url): r.allowed for r in robots.robots_longest(df, rules, agent).collect()}[site, f"https://h{u}"]]
+    assert allowed("b", "s") == ["/x/y", "/i/a.gif?v", "/same", "/other", "", "?q=1", "/p1?q=2"]
+    assert allowed("unknown", "s") == ["/p1?q=2"] and allowed("b", "t") == urls
+    row = spark.range(1).select(F.regexp_like(F.lit("/a\\Eb.c"), robots.pattern_regex(F.lit("/*\\Eb.c"))).alias("x"), F.regexp_like(F.lit("/a\\Ebxc"), robots.pattern_regex(F.lit("/*\\Eb.c"))).alias("y")).first()
+    assert row.x and not row.y
+
+
+def test_table_functions(spark):
+    from weftline.functions.tables import register_tables
+
+    register_tables(spark)
+    spark.createDataFrame([(1, "<p a=b>x<b>y</b></p>"), (2, None)], "page_id long, html string").createOrReplaceTempView("t_pages")
+    nodes = dom.dom_nodes(spark.table("t_pages"))
+    want = sorted(map(repr, nodes.collect()))
+    assert sorted(map(repr, spark.sql("SELECT page_id, n.* FROM t_pages, LATERAL dom_nodes(html) n").collect())) == want
+    assert sorted(map(repr, spark.sql("SELECT * FROM page_nodes(TABLE(t_pages) PARTITION BY page_id)").collect())) == want
+
+
+def test_health_in_order(spark):
+    health = spark.createDataFrame([("b", "x", 1), ("a", "y", 2), ("a", "x", 3)], "domain string, site string, failures long")
+    assert [r.failures for r in oplog.health_report(health, ["domain", "site"]).collect()] == [3, 2, 1]

@@ -50,16 +50,19 @@ def intent_language(intent: Column) -> Column:
 
 
 def semantic_key(intent: Column, domain: Column) -> Column:
-    """Eight slots joined by |, _ for empty ones."""
+    """Eight slots joined by |, _ for empty ones. The intent is parsed once."""
+    i = F.from_json(intent, "struct<entity:string,title:string,year:string,language:string,genre:string,limit:string,primary_goal:string,filters:map<string,string>>")
+    of = lambda name: i["filters"][name]
+    plain = lambda name: F.when(of(name).startswith("{"), F.get_json_object(of(name), "$.value")).otherwise(of(name))
     slots = (
         F.nullif(F.lower(F.trim(domain)), F.lit("")),
-        _low(get(intent, "entity")),
-        F.nullif(intent_year(intent), F.lit("")),
-        _low(get(intent, "filters.language"), get(intent, "language")),
-        _low(get(intent, "title")),
-        _low(get(intent, "filters.genre"), get(intent, "genre")),
-        F.nullif(F.nullif(get(intent, "limit"), F.lit("0")), F.lit("")),
-        _low(get(intent, "primary_goal")),
+        _low(i["entity"]),
+        F.coalesce(*[F.nullif(c, F.lit("")) for c in (plain("release_year"), plain("year"), i["year"])]),
+        _low(of("language"), i["language"]),
+        _low(i["title"]),
+        _low(of("genre"), i["genre"]),
+        F.nullif(F.nullif(i["limit"], F.lit("0")), F.lit("")),
+        _low(i["primary_goal"]),
     )
     return F.concat_ws("|", *[F.coalesce(s, F.lit("_")) for s in slots])
 

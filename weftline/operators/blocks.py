@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,21 @@ def deflist_blocks(nodes: DataFrame, texts: DataFrame, most: int | None = None)
     return _lines(pairs.withColumn("line", F.concat_ws(": ", "text", "value")), ["page_id", "_i"], "node_id", "line", None).select("page_id", F.concat(F.lit("deflist:"), F.col("_i").cast("string")).alias("key"), "ord", "text")
 
 
+def list_blocks(nodes: DataFrame, texts: DataFrame, most: int | None = None, longest: int = 40) -> DataFrame:
+    """list:<first label> with a label: value line per item of a list: the first and last span of an item, or its one span and the text besides."""
+    lists = _numbered(nodes.where("tag in ('ul', 'ol')"), most).select("page_id", F.col("node_id").alias("parent_id"), "_i")
+    items = nodes.where("tag = 'li'").join(lists.hint("merge"), ["page_id", "parent_id"]).select("page_id", "_i", F.col("node_id").alias("head"), "subtree_end")
+    spans = nodes.where("tag = 'span'").select("page_id", "node_id").join(texts.hint("merge"), ["page_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    per = inside(items, spans).groupBy("page_id", "_i", F.col("head").alias("node_id")).agg(F.min_by("text", "node_id").alias("label"), F.max_by("text", "node_id").alias("last"), F.count("*").alias("n"))
+    full = per.join(texts.withColumnRenamed("text", "whole").hint("merge"), ["page_id", "node_id"])
+    at = F.instr("whole", F.col("label"))
+    rest = F.trim(F.concat(F.substring("whole", F.lit(1), at - 1), F.substring("whole", at + F.length("label"), F.length("whole"))))
+    value = F.when(F.col("n") > 1, F.col("last")).when(F.length(rest) > 1, rest)
+    lines = full.withColumn("value", value).where("label <> '' and value <> '' and (n = 1 or label <> value)").withColumn("line", F.concat_ws(": ", "label", "value"))
+    first = lines.groupBy("page_id", "_i").agg(F.substring(F.trim(F.substring_index(F.min_by("label", "node_id"), ":", 1)), 1, longest).alias("name"))
+    return _lines(lines, ["page_id", "_i"], "node_id", "line", None).join(first.hint("merge"), ["page_id", "_i"]).select("page_id", F.concat(F.lit("list:"), "name").alias("key"), "ord", "text")
+
+
 def attribute_blocks(nodes: DataFrame, texts: DataFrame, ids_of_each: int | None = None, longest: int | None = None) -> DataFrame:
     """testid:<id> and containers that are semantic or named by id, role or label (10 to 2000 characters)."""
     a = lambda n: F.nullif(F.coalesce(F.col("attrs")[n], F.lit("")), F.lit(""))
@@ -75,20 +93,20 @@ def attribute_blocks(nodes: DataFrame, texts: DataFrame, ids_of_each: int | None
     named = F.when(a("aria-label").isNotNull(), F.concat("tag", F.lit(":"), a("aria-label"))).when(a("id").isNotNull(), F.concat("tag", F.lit(":"), a("id"))).when(a("role").isNotNull(), F.concat("tag", F.lit("[role="), a("role"), F.lit("]"))).when(F.col("tag").isin(*SEMANTIC), F.col("tag"))
     boxes = full.withColumn("key", F.substring(named, 1, 80)).where("key is not null and n between 10 and 2000").select("page_id", "key", F.col("node_id").alias("ord"), "text")
     once = boxes.groupBy("page_id", "text").agg(F.min(F.struct("ord", "key")).alias("r")).select("page_id", "r.key", "r.ord", F.col("text") if longest is None else F.substring("text", 1, longest).alias("text"))
-    return ids.withColumn("rank", F.lit(3)).union(once.withColumn("rank", F.lit(4)))
+    return ids.withColumn("rank", F.lit(4)).union(once.withColumn("rank", F.lit(5)))
 
 
 def dom_blocks(nodes: DataFrame, most: int | None = None, lines: int | None = None, tables: int | None = None, rows: int | None = None, ids: int | None = None, longest: int | None = None) -> DataFrame:
-    """(page_id, key, text): sections, tables, definition lists, then identified containers of a text that is new; the first of a key.
+    """(page_id, key, text): sections, tables, definition lists, lists of labelled items, then identified containers of a text that is new; the first of a key.
 
     Up to most blocks a page, lines a section, tables and lists, rows a table, test ids, and characters of a container; all without.
     """
     texts = stored(subtree_text(nodes, F.col("depth") >= 0), "texts")
-    kinds = [heading_blocks(nodes, texts, lines), table_blocks(nodes, texts, tables, rows), deflist_blocks(nodes, texts, tables)]
+    kinds = [heading_blocks(nodes, texts, lines), table_blocks(nodes, texts, tables, rows), deflist_blocks(nodes, texts, tables), list_blocks(nodes, texts, None if tables is None else 2 * tables)]
     ranked = reduce(DataFrame.union, [*(k.select("page_id", "key", "ord", "text").withColumn("rank", F.lit(i)) for i, k in enumerate(kinds)), attribute_blocks(nodes, texts, ids, longest)])
     keyed = ranked.groupBy("page_id", "key").agg(F.min(F.struct("rank", "ord", "text")).alias("r")).select("page_id", "key", "r.*")
     same = F.row_number().over(Window.partitionBy("page_id", "text").orderBy("rank", "ord", "key"))
-    once = keyed.withColumn("_same", same).where("rank < 4 or _same = 1")
+    once = keyed.withColumn("_same", same).where("rank < 5 or _same = 1")
     if most is not None:
         once = once.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("rank", "ord", "key"))).where(F.col("_n") <= most)
     return once.select("page_id", "key", "text")
@@ -100,6 +118,70 @@ def selector(tag: Column, attrs: Column) -> Column:
     return F.when(attrs["id"] != "", F.concat(tag, F.lit("#"), attrs["id"])).when(attrs["data-testid"] != "", F.concat(F.lit('[data-testid="'), attrs["data-testid"], F.lit('"]'))).when(attrs["class"] != "", F.concat(tag, F.lit("."), first_class)).otherwise(tag)
 
 
+_NAME = re.compile(r"-?[A-Za-z_][\w-]*$")
+
+
+#: Steps of a path, at most: elements that nest deeper in their own like have none.
+MOST_STEPS = 32
+
+
+def _named(tag: str, attrs: dict[str, str]) -> list[str]:
+    """The selectors of a node by its id and its classes, where those are plain names."""
+    ids = [attrs["id"]] if _NAME.match(attrs.get("id", "")) else []
+    return [f"{tag}#{x}" for x in ids] + [f"{tag}.{x}" for x in dict.fromkeys(attrs.get("class", "").split()) if _NAME.match(x)]
+
+
+def shortest_paths(parents: list[int], tags: list[str], nth: list[int], named: list[list[str]], most: int = MOST_STEPS) -> list[str | None]:
+    """For each node of a page the shortest selector that selects it alone: its tag with an id or class, else a path of child steps, tags before
+    tags with :nth-of-type. The paths of all nodes grow upwards together and are counted, and a node leaves when its path is its own.
+    None where no path of up to most steps is."""
+    counts = Counter(x for own in named for x in own)
+    out: list[str | None] = [next((x for x in own if counts[x] == 1), None) for own in named]
+    exact = [f"{t}:nth-of-type({i})" for t, i in zip(tags, nth, strict=True)]
+    both: list[tuple[str, str] | None] = list(zip(tags, exact, strict=True))
+    above = list(parents)  # the node above each path's first step
+    open_ = [i for i, x in enumerate(out) if x is None]
+    for _ in range(most):
+        for kind in (0, 1):
+            # every node that has so many steps counts, also those that have their selector already
+            counts = Counter(p[kind] for p in both if p is not None)
+            for i in open_:
+                if out[i] is None and both[i] is not None and counts[both[i][kind]] == 1:
+                    out[i] = both[i][kind]
+        open_ = [i for i in open_ if out[i] is None and above[i] >= 0]
+        if not open_:
+            break
+        wanted = {both[i][0] for i in open_}
+        for i, p in enumerate(both):
+            if p is None:
+                continue
+            if above[i] < 0 or p[0] not in wanted:  # too short for a longer path, or none that is still sought ends like it
+                both[i] = None
+                continue
+            a = above[i]
+            both[i] = (f"{tags[a]} > {p[0]}", f"{exact[a]} > {p[1]}")
+            above[i] = parents[a]
+    return out
+
+
+def _paths(table: pa.Table) -> pa.Table:
+    """shortest_paths of one page's nodes."""
+    table = table.sort_by("node_id")
+    parents, tags = table["parent_id"].to_pylist(), table["tag"].to_pylist()
+    named = [_named(t, dict(a or ())) for t, a in zip(tags, table["attrs"].to_pylist(), strict=True)]
+    seen: Counter = Counter()
+    nth = []
+    for p, t in zip(parents, tags, strict=True):
+        seen[p, t] += 1
+        nth.append(seen[p, t])
+    return pa.table({"page_id": table["page_id"], "node_id": table["node_id"], "path": pa.array(shortest_paths(parents, tags, nth, named), pa.string())})
+
+
+def selector_paths(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, path): a CSS selector of child steps that selects the node alone on its page, null if none of MOST_STEPS does. A group is a page."""
+    return nodes.select("page_id", "node_id", "parent_id", "tag", "attrs").groupBy("page_id").applyInArrow(_paths, "page_id bigint, node_id int, path string")
+
+
 def selector_candidates(nodes: DataFrame, fields: dict[str, tuple[str, ...]] = SYNONYMS, most: int = 3) -> DataFrame:
     """(page_id, field, rank, selector, sample, score): elements whose attributes name a field, itemprop first, or the main heading.
 

@@ -63,7 +63,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame, least: float = 0.65, strict: b
     # written first, so that the join is a plain one, which Spark splits where a trigram is frequent
     freq = stored(all_keys.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")), "trigrams")
     ranked = all_keys.select("key", F.explode("grams").alias("gram")).join(freq.hint("merge"), "gram").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    ranked = ranked.select("key", F.transform("g", lambda x: x["gram"]).alias("grams"), F.size("g").alias("n"))
+    ranked = stored(ranked.select("key", F.transform("g", lambda x: x["gram"]).alias("grams"), F.size("g").alias("n")), "ranked")  # four readers
     first = ranked.withColumn("prefix", F.slice("grams", 1, F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1))
     probes = first.select("key", "grams", "n", F.explode("prefix").alias("gram"))
     a = probes.join(lk.hint("merge"), "key", "left_semi").select("gram", F.col("key").alias("lkey"), F.col("n").alias("ln"))

@@ -61,6 +61,11 @@ def health(log: DataFrame, keys: list[str], degraded: int = 5, disabled: int = 1
     return per.withColumns({"status": state, "cooldown_until": until})
 
 
+def health_report(health: DataFrame, keys: list[str]) -> DataFrame:
+    """The health of all keys in their order, by range partitions."""
+    return health.orderBy(*keys)
+
+
 def sliding_rate(df: DataFrame, key: str, ts: str, seconds: int = 60, limit: int = 30) -> DataFrame:
     """df with the key's events in the window up to and including each, over (limit passed) and retry_after in seconds."""
     w = Window.partitionBy(key).orderBy(F.unix_seconds(ts)).rangeBetween(-seconds, 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -93,11 +94,25 @@ def relevance_hint(queries: DataFrame, signals: DataFrame) -> DataFrame:
     return both.withColumn("hint", F.round(F.least(F.lit(1.0), found * 0.8 + F.when(F.size("schema_types") > 0, 0.2).otherwise(0.0)), 3))
 
 
+#: Path parts of detail pages, and of pages that are none though their path is long.
+DETAIL_PARTS = ("/title/", "/movie/", "/film/", "/movies/", "/m/", "/tv/", "/series/", "/show/")
+OTHER_PARTS = ("/search", "/find", "/login", "/register", "/api/")
+
+
+def is_detail_link(href: Column) -> Column:
+    """A link that looks like a detail page: a known part, or two plain path segments that are no search, sign-in or interface."""
+    low = F.lower(href)
+    known = reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in DETAIL_PARTS])
+    other = reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in OTHER_PARTS])
+    return known | (low.rlike(r"^/[a-z0-9\-]+/[a-z0-9\-]+") & ~other)
+
+
 def resolve_entity(pages: DataFrame) -> DataFrame:
-    """The best link of a search page for a title and year: title words in the label, two more for the year. pages: page_id, url, html, title, year."""
-    links = page_links(pages).where("href <> '' and href not like '#%' and lower(href) not like 'javascript:%'")
+    """The best detail link of a search page for a title and year: title words of three letters or more in label or target, two more for the
+    year; of equal ones the first. pages: page_id, url, html, title, year. Targets are absolute or begin with /."""
+    links = page_links(pages).where("href like '/%' or lower(href) like 'http%'").where(is_detail_link(F.col("href")))
     df = links.join(pages.select("page_id", "url", "title", "year").hint("merge"), "page_id")
-    words = F.filter(F.split(F.lower("title"), r"\W+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower("title"), r"\W+"), lambda w: F.length(w) > 2)
     text = F.lower(F.concat_ws(" ", "label", "href"))
     score = F.size(F.filter(words, lambda w: F.contains(text, w))) + F.when(F.contains(text, F.col("year").cast("string")), 2).otherwise(0)
     return df.withColumn("score", score).where("score > 0").groupBy("page_id").agg(F.max_by(F.struct(abs_url(F.col("url"), F.col("href")).alias("entity_url"), "score"), F.struct("score", -F.col("ord"))).alias("r")).select("page_id", "r.*")

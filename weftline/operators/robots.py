@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import path
@@ -38,6 +38,49 @@ def robots_check(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(hits.hint("merge"), ["site", "url"], "left").withColumn("blocked", F.col("blocking_path").isNotNull())
 
 
+def robots_groups(files: DataFrame) -> DataFrame:
+    """(site, ua, kind, path, ord) of robots files as RFC 9309 groups them: successive User-agent lines share the rules that follow, groups of
+    one agent (in lower case) are one, comments end a line, and empty paths are no rules."""
+    lines = files.select("site", F.posexplode(F.split("raw", r"\r\n?|\n")).alias("ord", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"#.*|\t", " ")))
+    parts = lines.select("site", "ord", F.lower(F.regexp_extract("line", r"(?i)^(user-agent|allow|disallow)\s*:", 1)).alias("kind"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value")).where("kind <> ''")
+    order = Window.partitionBy("site").orderBy("ord")
+    begins = (F.col("kind") == "user-agent") & (F.coalesce(F.lag("kind").over(order), F.lit("")) != "user-agent")
+    numbered = parts.withColumn("_begins", begins).withColumn("g", F.sum(F.col("_begins").cast("int")).over(order))
+    agents = numbered.where("kind = 'user-agent' and value <> ''").select("site", "g", F.lower("value").alias("ua")).distinct()
+    rules = numbered.where("kind <> 'user-agent' and value <> ''").select("site", "g", "kind", F.col("value").alias("path"), "ord")
+    return rules.join(agents.hint("merge"), ["site", "g"]).select("site", "ua", "kind", "path", "ord")
+
+
+def pattern_regex(pattern: Column) -> Column:
+    """A robots path pattern as a regular expression: * is any text, a $ at the end is the end, all else stands for itself."""
+    ends = pattern.endswith("$")
+    body = F.when(ends, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
+    quoted = F.replace(F.replace(body, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("*"), F.lit("\\E.*\\Q"))
+    return F.concat(F.lit("(?s)^\\Q"), quoted, F.lit("\\E"), F.when(ends, F.lit("$")).otherwise(F.lit("")))
+
+
+def robots_longest(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+    """urls (site, url) with rule and allowed by RFC 9309: of the agent's rules, or those of * if the site names it nowhere, the longest pattern
+    that matches path and query decides, allow before disallow; without a match a URL is allowed.
+
+    A pattern's text before its first * (or its end $) is a prefix of what it matches. So URLs are cut to the lengths of their site's
+    prefixes and meet the patterns by equality, and only those are tried as expressions.
+    """
+    own = rules.where(F.col("ua") == agent.lower())
+    shared = rules.where("ua = '*'").join(own.select("site").distinct().hint("merge"), "site", "left_anti")
+    prefix = F.regexp_extract(F.regexp_replace("path", r"\$$", ""), r"^([^*]*)", 1)
+    kept = own.unionByName(shared).select("site", "kind", F.col("path").alias("rule"), prefix.alias("prefix")).distinct()
+    kept = stored(kept.withColumn("regex", pattern_regex(F.col("rule"))), "patterns")
+    lengths = stored(kept.groupBy("site").agg(F.collect_set(F.length("prefix")).alias("lengths")), "lengths")
+    target = F.coalesce(F.nullif(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
+    asked = urls.select("site", "url").distinct().withColumn("target", F.when(target.startswith("?"), F.concat(F.lit("/"), target)).otherwise(target))
+    cut = F.transform(F.filter("lengths", lambda n: n <= F.length("target")), lambda n: F.substring("target", F.lit(1), n))
+    near = asked.join(lengths.hint("merge"), "site").select("site", "url", "target", F.explode(cut).alias("prefix")).join(kept.hint("merge"), ["site", "prefix"])
+    hits = near.where(F.regexp_like("target", F.col("regex"))).groupBy("site", "url").agg(F.max(F.struct(F.octet_length("rule").alias("n"), (F.col("kind") == "allow").alias("allowed"), "rule")).alias("r"))
+    best = stored(hits.select("site", "url", "r.rule", "r.allowed"), "longest")
+    return urls.join(best.hint("merge"), ["site", "url"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+
+
 def fully_blocked(rules: DataFrame) -> DataFrame:
     """Sites that disallow / and allow nothing."""
     per = rules.groupBy("site").agg(F.max(F.when((F.col("kind") == "disallow") & (F.col("path") == "/"), 1).otherwise(0)).alias("root"), F.count_if(F.col("kind") == "allow").alias("n_allow"))

@@ -30,26 +30,30 @@ def with_trust_weight(df: DataFrame, weights: DataFrame, site: str = "site") ->
 def unify_fields(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and field the value, its site and status: single, agree, agree_normalized, by_weight or conflict.
 
-    candidates: keys, field, value (text), weight, site, ord (order of arrival). All in one grouping: the best and the
-    second weight come from aggregates, not from a sorted list of a group.
+    candidates: keys, field, value (text), weight, site, ord (order of arrival). Rows of one weight combine first, before the shuffle;
+    what is left of a field are its weights, of which the first two and how many rows share the first decide.
     """
     number = F.col("value").try_cast("double")
     plain = F.when(number.isNotNull(), number.cast("string")).otherwise(F.lower(F.trim("value")))
-    rank = F.struct(-F.col("weight"), F.col("ord"))
     rows = candidates.where(F.col("value").isNotNull() & ~F.col("field").isin("source_url", "source_site"))
-    agg = rows.groupBy(*keys, "field").agg(
+    per = rows.groupBy(*keys, "field", "weight").agg(
         F.count("*").alias("n"),
-        F.countDistinct("value").alias("n_values"),
-        F.countDistinct(plain).alias("n_plain"),
+        F.min("value").alias("v0"), F.max("value").alias("v1"), F.min(plain).alias("p0"), F.max(plain).alias("p1"),
+        F.min("ord").alias("ord"),
         F.min_by(F.struct("value", "site", "weight"), "ord").alias("first"),
-        F.min_by(F.struct("value", "site", "weight"), rank).alias("top"),
+    )
+    df = per.groupBy(*keys, "field").agg(
+        F.sum("n").alias("n"),
+        (F.min("v0") == F.max("v1")).alias("equal"),
+        (F.min("p0") == F.max("p1")).alias("alike"),
+        F.min_by("first", "ord").alias("first"),
+        F.max_by("first", "weight").alias("top"),
         F.max("weight").alias("w1"),
+        F.max_by("n", "weight").alias("n_top"),
+        F.get(F.sort_array(F.collect_list("weight"), asc=False), F.lit(1)).alias("below"),
     )
-    tops = agg.select(*keys, "field", "w1")
-    second = rows.join(tops.hint("merge"), [*keys, "field"]).groupBy(*keys, "field").agg(F.count_if(F.col("weight") == F.col("w1")).alias("n_top"), F.max(F.when(F.col("weight") < F.col("w1"), F.col("weight"))).alias("below"))
-    df = agg.join(second.hint("merge"), [*keys, "field"])
     gap = F.round(F.col("w1") - F.when(F.col("n_top") > 1, F.col("w1")).otherwise(F.col("below")), 9)
-    status = F.when(F.col("n") == 1, "single").when(F.col("n_values") == 1, "agree").when(F.col("n_plain") == 1, "agree_normalized").when(gap >= WEIGHT_GAP, "by_weight").otherwise("conflict")
+    status = F.when(F.col("n") == 1, "single").when(F.col("equal"), "agree").when(F.col("alike"), "agree_normalized").when(gap >= WEIGHT_GAP, "by_weight").otherwise("conflict")
     df = df.withColumn("status", status).withColumn("gap", gap)
     pick = F.when(F.col("status").isin("by_weight", "conflict"), F.col("top")).otherwise(F.col("first"))
     return df.select(*keys, "field", pick["value"].alias("value"), pick["site"].alias("site"), "status", "n", "gap")

@@ -183,6 +183,22 @@ def robots_check(spark: SparkSession, d: str) -> DataFrame:
     return pages.join(checked.hint("merge"), ["site", "url"]).select("page_id", "blocked", F.coalesce("blocking_path", F.lit("")).alias("blocking_path"))
 
 
+def robots_longest(spark: SparkSession, d: str) -> DataFrame:
+    """pages under robots files with patterns made of them: starts, anything with a digit at its end, queries, and longer allowed starts."""
+    p = _site_urls(spark, d)
+    k = F.col("page_id") % 6
+    digit = F.substring("start", -1, 1)
+    line = (
+        F.when(k == 0, F.concat(F.lit("Disallow: "), "start")).when(k == 1, F.concat(F.lit("Disallow: /*"), digit, F.lit("$"))).when(k == 2, F.concat(F.lit("Allow: "), "start", F.lit("*/")))
+        .when(k == 3, F.lit("Disallow: /*?*page=")).when(k == 4, F.concat(F.lit("Allow: "), F.regexp_extract("start", "^(/[^/]*/)", 1), F.lit("*"), digit))
+    )
+    per = p.groupBy("site").agg(F.array_sort(F.collect_set(line)).alias("lines"))
+    raw = F.concat(F.lit("User-agent: bot\nUser-agent: *\nDisallow:\n"), F.array_join("lines", "\n"), F.lit("\nUser-agent: other\nDisallow: /"))
+    rules = robots.robots_groups(stored(per.select("site", raw.alias("raw")), "robots"))
+    checked = robots.robots_longest(p.select("site", "url").distinct(), rules, "Bot")
+    return p.join(checked.hint("merge"), ["site", "url"]).select("page_id", "allowed", F.coalesce("rule", F.lit("")).alias("rule"))
+
+
 def fully_blocked(spark: SparkSession, d: str) -> DataFrame:
     return robots.fully_blocked(robots.robots_rules(_files(spark, d, 1)))
 
@@ -421,7 +437,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         unify_items, unify_sources, unify_stats, source_facets, unify_fields, conflict_report, weight_gap, value_forms, fill_gaps, keep_better, request_confidence, cache_exact, cache_latest_completed, cache_semantic,
-        cache_two_tier, idempotent_action, fuzzy_keys, top_similar, robots_rules, robots_sitemaps, robots_check, fully_blocked, newly_disallowed, invalidate_patterns, intent_validate, actionable,
+        cache_two_tier, idempotent_action, fuzzy_keys, top_similar, robots_rules, robots_sitemaps, robots_check, robots_longest, fully_blocked, newly_disallowed, invalidate_patterns, intent_validate, actionable,
         capability_strategy, semantic_key, intent_hash, idempotency_key, vector_match, vector_index_exact, vector_index_copies, missing_fields_kw, jsonld_roundtrip, microdata_roundtrip, opengraph_roundtrip, twitter_roundtrip, meta_roundtrip,
         label_value_roundtrip, deflist_roundtrip, sections_roundtrip, itemlist_roundtrip, items_microdata, merge_engines, engine_confidence, page_result, discover_fields, validate_extraction,
         dom_blocks, selector_candidates, item_sources_chosen, field_tiers, page_recommendations, failure_stages, item_summaries,

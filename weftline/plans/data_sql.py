@@ -69,6 +69,13 @@ GROUP BY site HAVING site IN {_ODD_SITES} OR count(*) FILTER (page_id % 3 = 0 OR
     "newly_disallowed": f"""
 SELECT site, start || '/x' AS path FROM {_ALLOW} a WHERE site IN {_ODD_SITES} OR EXISTS (SELECT 1 FROM {_DENY} d WHERE d.site = a.site AND d.start = a.start)
   OR (NOT EXISTS (SELECT 1 FROM {_SITE_URLS} u WHERE u.site = a.site AND u.start = a.start AND u.page_id % 6 = 1) AND EXISTS (SELECT 1 FROM {_DENY} d WHERE d.site = a.site))""",
+    "robots_longest": f"""
+WITH u AS (SELECT *, CASE WHEN t = '' THEN '/' WHEN t LIKE '?%' THEN '/' || t ELSE t END AS target FROM (SELECT *, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^#]*)', 1) AS t FROM {_SITE_URLS})),
+lines AS (SELECT DISTINCT site, CASE page_id % 6 WHEN 0 THEN 'disallow' WHEN 1 THEN 'disallow' WHEN 3 THEN 'disallow' ELSE 'allow' END AS kind,
+  CASE page_id % 6 WHEN 0 THEN start WHEN 1 THEN '/*' || right(start, 1) || '$' WHEN 2 THEN start || '*/' WHEN 3 THEN '/*?*page=' ELSE regexp_extract(start, '^(/[^/]*/)', 1) || '*' || right(start, 1) END AS rule FROM {_SITE_URLS} WHERE page_id % 6 < 5),
+rules AS (SELECT *, '^' || replace(replace(regexp_replace(rule, '[$]$', ''), '?', '[?]'), '*', '.*') || CASE WHEN rule LIKE '%$' THEN '$' ELSE '' END AS re FROM lines WHERE rule <> ''),
+best AS (SELECT page_id, arg_max({{'k': kind, 'r': rule}}, (strlen(rule), kind = 'allow', rule)) AS b FROM u JOIN rules ON rules.site = u.site AND regexp_matches(u.target, re) GROUP BY page_id)
+SELECT u.page_id, coalesce(b.k = 'allow', true) AS allowed, coalesce(b.r, '') AS rule FROM u LEFT JOIN best ON best.page_id = u.page_id""",
     "invalidate_patterns": f"SELECT page_id FROM {_SITE_URLS} p WHERE page_id % 4 <> 0 AND EXISTS (SELECT 1 FROM {_DENY} d WHERE d.site = p.site AND contains(p.url, d.start))",
     "intent_validate": f"""
 SELECT k AS request_id, concat_ws('; ', CASE WHEN kind = 'unknown' THEN 'Schema validation: ''unknown'' is not a known query_type' END, CASE WHEN year = 'abc' THEN 'Invalid year value: abc' END,

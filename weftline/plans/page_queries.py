@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text, urls
-from weftline.operators import dom, pages
+from weftline.functions.tables import register_tables
+from weftline.operators import blocks, dom, pages
 from weftline.sources.tables import spread, stored
 
 
@@ -73,7 +74,9 @@ def relevance_hint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_entity(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d).withColumns({"title": pages.tag_text(F.col("html"), "title"), "year": F.lit(2024)})
+    """Pages whose links are made detail pages on two of three pages, plain ones on the others, which give none."""
+    made = F.when(F.col("page_id") % 3 != 0, F.replace("html", F.lit('<a href="/'), F.lit('<a href="/title/'))).otherwise(F.col("html"))
+    p = _pages(spark, d).withColumns({"title": pages.tag_text(F.col("html"), "title"), "year": F.lit(2024), "html": made})
     return pages.resolve_entity(p)
 
 
@@ -94,6 +97,36 @@ def dom_depth(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.max("depth").cast("bigint").alias("max_depth"), F.count_if(F.col("tag") == "li").alias("n_items"))
 
 
+def dom_nodes_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Elements by page, depth and tag through the table function, with a lateral join."""
+    register_tables(spark)
+    spread(_pages(spark, d)).createOrReplaceTempView("_pages_of_dom_nodes")
+    return spark.sql("SELECT page_id, depth, tag, count(*) AS n FROM _pages_of_dom_nodes, LATERAL dom_nodes(html) GROUP BY page_id, depth, tag")
+
+
+def dom_nodes_of_table(spark: SparkSession, d: str) -> DataFrame:
+    """Elements by tag through the table function over the whole table, partitioned by page."""
+    register_tables(spark)
+    _pages(spark, d).createOrReplaceTempView("_pages_of_page_nodes")
+    return spark.sql("SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM page_nodes(TABLE(SELECT page_id, html FROM _pages_of_page_nodes) PARTITION BY page_id) GROUP BY tag")
+
+
+def dom_implied_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Lists and tables without end tags, as long as the pages' own texts: nodes, depth and direct children with implied end tags."""
+    n = (F.col("page_id") % 40 + 3).cast("int")
+    html = F.concat(F.lit("<div><ul>"), F.repeat(F.lit("<li><p>a<p>b"), n), F.lit("</ul><table>"), F.repeat(F.lit("<tr><td>c<td>d"), n), F.lit("</table></div>"), F.col("url"))
+    nodes = dom.dom_nodes(spread(_pages(spark, d)).select("page_id", html.alias("html")), implied_ends=True)
+    return nodes.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.max("depth").cast("bigint").alias("max_depth"), F.count_if(F.col("tag").isin("li", "tr") & (F.col("depth") == 2)).alias("items"))
+
+
+def selector_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Per page its elements, those with a CSS path of their own, and the distinct paths: all the same number."""
+    nodes = _nodes(spark, d)
+    paths = blocks.selector_paths(nodes)
+    both = nodes.select("page_id", "node_id").join(paths.hint("merge"), ["page_id", "node_id"], "left")
+    return both.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.count("path").alias("n_paths"), F.countDistinct("path").alias("n_distinct"))
+
+
 def repeated_groups(spark: SparkSession, d: str) -> DataFrame:
     return dom.repeating_groups(_nodes(spark, d)).select("page_id", "parent_id", "sig", "n")
 
@@ -153,7 +186,7 @@ def folded_titles(spark: SparkSession, d: str) -> DataFrame:
     return df.select("conv_id", "turn", text.norm_title(F.col("text")).alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (link_facets, url_profile, page_links, page_profile, render_triggers, search_page, site_signals, relevance_hint, resolve_entity, clean_html, to_markdown, dom_tag_census, dom_depth, repeated_groups, rank_clusters, cluster_items, cluster_quality, best_cluster, navigation, query_cleaning, title_keys, folded_titles)}
+QUERIES = {f.__name__: f for f in (link_facets, url_profile, page_links, page_profile, render_triggers, search_page, site_signals, relevance_hint, resolve_entity, clean_html, to_markdown, dom_tag_census, dom_depth, dom_nodes_sql, dom_nodes_of_table, dom_implied_ends, selector_paths, repeated_groups, rank_clusters, cluster_items, cluster_quality, best_cluster, navigation, query_cleaning, title_keys, folded_titles)}
 
 from weftline.plans.page_sql import ORACLES as DOM_ORACLES  # noqa: E402
 

@@ -50,6 +50,10 @@ _TITLE = "substr(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's'))
 _TEXT = r"""trim(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), chr(10), ' '), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"""
 ORACLES = {
     "dom_depth": f"{WALK} SELECT page_id, count(*) AS n_nodes, max(depth)::BIGINT AS max_depth, count(*) FILTER (tag = 'li') AS n_items FROM nodes GROUP BY page_id",
+    "dom_nodes_sql": f"{WALK} SELECT page_id, depth::INT AS depth, tag, count(*) AS n FROM nodes GROUP BY ALL",
+    "dom_nodes_of_table": f"{WALK} SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM nodes GROUP BY tag",
+    "dom_implied_ends": "SELECT page_id, 3 + 6 * (page_id % 40 + 3) AS n_nodes, 3::BIGINT AS max_depth, 2 * (page_id % 40 + 3) AS items FROM pages",
+    "selector_paths": f"{WALK} SELECT page_id, count(*) AS n_nodes, count(*) AS n_paths, count(*) AS n_distinct FROM nodes GROUP BY page_id",
     "repeated_groups": f"{GROUPS} SELECT page_id, parent_id, sig, n FROM grouped",
     "rank_clusters": f"""{GROUPS},
 sizes AS (SELECT page_id, cluster, head, head_depth, sum(length(t)) AS chars FROM parts GROUP BY ALL),
@@ -62,7 +66,7 @@ SELECT page_id, cluster, n, rank, round(avg_text, 4) AS avg_text, round(avg_dept
 best AS (SELECT page_id, arg_max(cluster, (quality, -cluster)) AS cluster FROM scored WHERE n >= 2 AND quality > 0.05 GROUP BY page_id)
 SELECT i.page_id, i.cluster, position, heading, link_text, link_href FROM items i JOIN best b ON b.page_id = i.page_id AND b.cluster = i.cluster""",
     "resolve_entity": rf"""
-WITH p AS (SELECT page_id, url, list_filter(regexp_split_to_array(lower({_TITLE}), '[^a-z0-9_]+'), lambda w: w <> '') AS ws, regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 2) AS ls FROM pages),
+WITH p AS (SELECT page_id, url, list_filter(regexp_split_to_array(lower({_TITLE}), '[^a-z0-9_]+'), lambda w: len(w) > 2) AS ws, list_transform(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1), lambda h: CASE WHEN h LIKE '/%' THEN '/title' || h ELSE h END) AS hs, regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 2) AS ls FROM pages WHERE page_id % 3 <> 0),
 l AS (SELECT page_id, url, ws, unnest(hs) AS href, unnest(ls) AS label, generate_subscripts(hs, 1) AS i FROM p),
 s AS (SELECT *, len(list_filter(ws, lambda w: contains(lower(label || ' ' || href), w))) + CASE WHEN contains(lower(label || ' ' || href), '2024') THEN 2 ELSE 0 END AS score FROM l)
 SELECT page_id, arg_max(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || href, (score, -i)) AS entity_url, max(score)::INT AS score FROM s WHERE score > 0 GROUP BY page_id""",

@@ -84,6 +84,23 @@ def diagnostics_written(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("key long, value string, site string").json(path)
 
 
+def diagnostics_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as pages with two engines' fields, written as nested diagnostics and read back."""
+    path = tables.scratch(spark, "nested")
+    p = _t(spark, d, "part").withColumn("page_id", F.col("p_partkey"))
+    pair = lambda engine, key, value: F.struct(F.lit(engine).alias("engine"), F.lit(key).alias("key"), value.alias("value"))
+    rows = F.array(pair("json_ld", "name", F.repeat("p_name", F.when(F.col("p_partkey") % 2 == 0, 20).otherwise(1))), pair("json_ld", "brand", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand"))), pair("heuristic", "text:Size", F.col("p_size").cast("string")), pair("heuristic", "name", F.col("p_type")))
+    eav = p.where("p_partkey % 5 <> 0").select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
+    chosen = eav.where("value is not null").groupBy("page_id", "key").agg(F.max_by("value", "engine").alias("value"), F.max("engine").alias("engine"))
+    confidence = eav.select("page_id", "engine").distinct().withColumn("confidence", F.when(F.col("engine") == "json_ld", 0.95).otherwise(0.5))
+    requests = p.select("page_id", F.col("p_partkey").alias("request_id"), F.concat(F.lit("s"), (F.col("p_size") % 10).cast("string")).alias("site"), F.lit("u").alias("url"), (F.col("p_size") / 50).alias("score"))
+    df = tables.diagnostics(requests, eav, chosen, confidence)
+    tables.write_diagnostics(df, path)
+    back = spark.read.schema(df.schema).json(path)
+    names = F.array_join(F.transform("engine_results", lambda e: F.concat(e["name"], F.lit(":"), e["fields_count"].cast("string"), F.lit(":"), F.array_join(e["field_keys"], "+"))), " ")
+    return back.select("request_id", "site", F.col("signals.n_keys").alias("n_keys"), F.array_join("field_discovery", ",").alias("keys"), F.coalesce(names, F.lit("")).alias("engines"), F.coalesce(F.col("final_fields")["name"], F.lit("")).alias("name"))
+
+
 def csv_written(spark: SparkSession, d: str) -> DataFrame:
     path = tables.scratch(spark, "csv")
     p = _t(spark, d, "part").select(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("site_domain"), _text('"', F.col("p_name"), '", ', F.col("p_partkey")).alias("field"), F.col("p_type").alias("value"), F.lit("a,b").alias("category"), F.col("p_brand").alias("source"))
@@ -487,7 +504,7 @@ def silent_sessions_stream(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        state_scan, page_scan, domain_fields, active_sites, robots_texts, serp_rows, results_written, log_written, diagnostics_written, csv_written, semantic_rows, picked_titles, trimmed_fields, signed_confidences,
+        state_scan, page_scan, domain_fields, active_sites, robots_texts, serp_rows, results_written, log_written, diagnostics_written, diagnostics_nested, csv_written, semantic_rows, picked_titles, trimmed_fields, signed_confidences,
         display_values, display_records, previews, search_queries, expanded_queries, multi_items, mapped_aliases, semantic_completeness, field_completeness, core_fields, answer_records, cached_responses,
         simple_confidences, found_fields, policy_reasons, rejected_sites, url_matches, url_cache, cache_rows_ok, robots_outcomes, noise_dropped, envelope_errors, type_checks, preselected, resumable_requests,
         next_steps, versioned, stale_types, longest_values, selected_fields, fields_by_site, owned_runs, attached_selection, first_urls, confidence_order, latest_starts, raw_keys, same_site_links, link_ranks,

@@ -26,6 +26,11 @@ SELECT site, 'cached ' || arg_max(page_id, made) AS raw FROM live GROUP BY site
     "serp_rows": "SELECT o_orderkey AS request_id, i::INT AS pos, 'https://r.example/' || o_orderkey || '/' || i AS url, 'title ' || i || ' ' || o_orderkey AS title, 's' AS snippet FROM orders, range(3) r(i) WHERE (o_orderkey + i) % 3 <> 0",
     "results_written": "SELECT o_orderkey AS request_id, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN '2024-01-01 01:00' ELSE '2024-01-02 01:00' END AS expires FROM orders",
     "log_written": """SELECT event_id, '{"type":"' || event_type || '","cache_stages_hit":"' || CASE WHEN event_type = 'error' THEN 'L1,L2' ELSE '' END || '"}' AS metadata FROM events""",
+    "diagnostics_nested": """
+WITH p AS (SELECT *, p_partkey % 5 <> 0 AS held, p_partkey % 3 <> 0 AS branded, CASE WHEN p_partkey % 2 = 0 THEN repeat(p_name, 20) ELSE p_name END AS name FROM part)
+SELECT p_partkey AS request_id, 's' || p_size % 10 AS site, CASE WHEN NOT held THEN 0 WHEN branded THEN 3 ELSE 2 END AS n_keys, CASE WHEN NOT held THEN '' WHEN branded THEN 'brand,name,text:Size' ELSE 'name,text:Size' END AS keys,
+  CASE WHEN NOT held THEN '' WHEN branded THEN 'heuristic:2:name+text:Size json_ld:2:brand+name' ELSE 'heuristic:2:name+text:Size json_ld:1:name' END AS engines,
+  CASE WHEN NOT held THEN '' WHEN length(name) > 200 THEN substr(name, 1, 200) || '...' ELSE name END AS name FROM p""",
     "diagnostics_written": "SELECT source AS site, doc_id AS key, substr(text, 1, 200) AS value FROM documents",
     "csv_written": """SELECT 's' || p_size AS site_domain, '"' || p_name || '", ' || p_partkey AS "Field", p_type AS "Value", 'a,b' AS "Category", p_brand AS "Source" FROM part""",
     "semantic_rows": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS relevance, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'other' END AS category, md5(substr(text, 1, 500)) AS value_md5 FROM documents",

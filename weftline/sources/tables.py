@@ -157,8 +157,29 @@ def penalty_patterns(candidates: DataFrame, least: float = 50) -> DataFrame:
     return bad.select("request_id", F.col("url").alias("pattern"), F.greatest(F.lit(-1.0), -F.col("score") / 100).alias("confidence"), F.lit("failed").alias("status"))
 
 
+def diagnostics(requests: DataFrame, eav: DataFrame, chosen: DataFrame, confidence: DataFrame, longest: int = 200) -> DataFrame:
+    """A nested row per page for write_diagnostics: request_id, site, url, signals (number of keys, engines, score), field_discovery (the sorted key
+    inventory), engine_results (name, confidence, fields_count, field_keys of each engine) and final_fields (key to value, cut at longest characters).
+
+    requests: page_id, request_id, site, url, score; eav: page_id, engine, key, value; chosen: page_id, key, value, engine; confidence: page_id, engine, confidence.
+    """
+    held = eav.where("value is not null")
+    per = held.groupBy("page_id", "engine").agg(F.array_sort(F.collect_set("key")).alias("field_keys")).join(confidence.select("page_id", "engine", "confidence").hint("merge"), ["page_id", "engine"], "left")
+    result = F.struct(F.col("engine").alias("name"), "confidence", F.size("field_keys").alias("fields_count"), "field_keys")
+    engines = per.groupBy("page_id").agg(F.array_sort(F.collect_list(result)).alias("engine_results"), F.array_distinct(F.flatten(F.collect_list("field_keys"))).alias("_keys"))
+    short = F.when(F.length("value") > longest, F.concat(F.substring("value", 1, longest), F.lit("..."))).otherwise(F.col("value"))
+    fields = chosen.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", short.alias("v"))))).alias("final_fields"))
+    df = requests.join(engines.hint("merge"), "page_id", "left").join(fields.hint("merge"), "page_id", "left")
+    used = F.transform(F.coalesce("engine_results", F.array().cast("array<struct<name:string,confidence:double,fields_count:int,field_keys:array<string>>>")), lambda e: e["name"])
+    signals = F.struct(F.coalesce(F.size("_keys"), F.lit(0)).alias("n_keys"), used.alias("engines"), F.col("score").alias("relevance_score"))
+    return df.select("request_id", "site", "url", signals.alias("signals"), F.array_sort(F.coalesce("_keys", F.array().cast("array<string>"))).alias("field_discovery"), "engine_results", "final_fields")
+
+
 def write_diagnostics(df: DataFrame, path: str) -> None:
-    """A JSON dataset per site, values cut at 200 characters."""
+    """A JSON dataset per site; a column value is cut at 200 characters."""
+    if "value" not in df.columns:
+        df.write.mode("append").partitionBy("site").json(path)
+        return
     df.withColumn("value", F.substring("value", 1, 200)).write.mode("append").partitionBy("site").json(path)
 
 
