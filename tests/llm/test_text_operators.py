@@ -232,6 +232,38 @@ def test_license_texts_and_their_sql(spark, tmp_path):
     assert rows_of(got) == rows_of(want) and (got["licenses"] != "").sum() == len(texts) - 2
 
 
+EVERYDAY = (
+    ("This project is licensed under the MIT License.", "MIT"), ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"), ("Licensed under the MIT license (see LICENSE).", "MIT"),
+    ("This project is licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Released under the BSD 3-Clause License.", "BSD-3-Clause"), ("Some Tool is released under the\nGNU General Public License v3.0 or later.", "GPL-3.0-or-later"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), ("// SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"), ("# SPDX-License-Identifier: LGPL-2.1-only\nimport x", "LGPL-2.1-only"),
+    ("/* SPDX-License-Identifier: (GPL-2.0+ WITH Linux-syscall-note) OR BSD-2-Clause */", "BSD-2-Clause,GPL-2.0-or-later"), ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "Apache-2.0"), ("SPDX-License-Identifier: MPL-2.0 AND (MIT OR Zlib)", "MIT,MPL-2.0,Zlib"),
+    ("Text. Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License.", "CC-BY-ND-3.0"), ("License: ISC", "ISC"), ("It is distributed under the terms of the AGPLv3.", "AGPL-3.0-only"),
+    ("This is not licensed under the MIT license.", ""), ("We discussed the MIT license and Apache 2.0.", ""), ("SPDX-License-Identifier: Unknown-1.0", ""), ("under the bridge", ""),
+)
+
+
+def test_everyday_lines(spark):
+    got = licenses.scanned(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(EVERYDAY)], "doc_id long, text string")).collect()
+    assert {EVERYDAY[r.doc_id][0]: ",".join(r.licenses) for r in got} == dict(EVERYDAY)
+
+
+def test_slots_and_optional_phrases(spark):
+    """Published forms: a holder's name in the third BSD clause, the MIT notice of X11 files, and clauses that nobody knows."""
+    google = BSD3.replace("the copyright holder", "Google Inc.")
+    x11 = MIT.replace("this permission notice shall", "this permission notice (including the next\nparagraph) shall")
+    odd = BSD + "3. No name may ever be used to endorse or promote products made from this\n   software.\n"
+    texts = [google, google.replace("of its\n   contributors", "of\n   contributors"), x11, odd, BSD, BSD3]
+    got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [["BSD-3-Clause"], ["BSD-3-Clause"], ["MIT"], [], ["BSD-2-Clause"], ["BSD-3-Clause"]]
+
+
+def test_everyday_lines_and_their_sql(spark, tmp_path):
+    google = BSD3.replace("the copyright holder", "Google Inc.")
+    texts = [t for t, _ in EVERYDAY] + [google, BSD + "No name may endorse or promote products.", MIT.replace("notice shall", "notice (including the next\nparagraph) shall"), "\n".join(t for t, _ in EVERYDAY)]
+    got, want = on_odd(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path, licenses, ["doc_id", "n_sentences", "sentence_ids", "licenses"])
+    assert rows_of(got) == rows_of(want)
+
+
 def check_packing(pieces, rows, tokens):
     by_doc, by_seq = {}, {}
     for p in pieces:
