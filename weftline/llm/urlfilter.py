@@ -121,24 +121,32 @@ class UrlFilter:
 
     @staticmethod
     def fit(examples: DataFrame, sample: int = SAMPLE, trees: int = 10, depth: int = 4) -> UrlFilter:
-        rows = written(bounded_sample(examples.select("url", "label"), ["url", "label"], sample), "urls")
-        kinds = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-        if len(kinds) < 2:
-            return UrlFilter(None, {}, 0.0)
-        rate = kinds[1.0] / sum(kinds.values())
+        rows = written(bounded_sample(examples.select("url", "label"), ["url", "label"], sample).coalesce(1), "urls")
         seen = features(rows).withColumn("_fold", F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(FOLDS)))
+        # counts of the sampled URLs by suffix and fold: as many rows as the sample has, twice, at most
+        kinds = F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("value")) for x in SUFFIXES])).alias("s")
+        per = seen.select("label", "_fold", kinds).groupBy("s.kind", "s.value", "_fold").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).toPandas()
+        total = per[per["kind"] == next(iter(SUFFIXES))]
+        bad, n = float(total["bad"].sum()), int(total["n"].sum())
+        if bad in (0, n):
+            return UrlFilter(None, {}, 0.0)
+        rate = bad / n
         it = UrlFilter(None, {}, rate)
         smooth = lambda bad, n: (bad + SMOOTH * rate) / (n + SMOOTH)
-        train = seen
+        spark, train = examples.sparkSession, seen
         for suffix, name in SUFFIXES.items():
-            # a row per suffix (and fold) of the sampled URLs: a proven bound for the broadcasts
-            per = written(seen.groupBy(suffix, "_fold").agg(F.sum("label").alias("_bad"), F.count("*").alias("_n")), "folds")
-            all_ = written(per.groupBy(suffix).agg(F.sum("_bad").alias("_all_bad"), F.sum("_n").alias("_all_n")), "suffixes")
-            it.rates[suffix] = all_.select(suffix, smooth(F.col("_all_bad"), F.col("_all_n")).alias(name))
-            others = per.join(F.broadcast(all_), suffix).select(suffix, "_fold", smooth(F.col("_all_bad") - F.col("_bad"), F.col("_all_n") - F.col("_n")).alias(name))
+            own = per[per["kind"] == suffix]
+            whole = own.groupby("value")[["bad", "n"]].sum()
+            rates = smooth(whole["bad"], whole["n"])
+            it.rates[suffix] = spark.createDataFrame(list(zip(rates.index.tolist(), rates.tolist(), strict=True)), f"{suffix} string, {name} double")
+            rest = whole.loc[own["value"]].to_numpy() - own[["bad", "n"]].to_numpy()
+            others = spark.createDataFrame(list(zip(own["value"].tolist(), own["_fold"].tolist(), smooth(rest[:, 0], rest[:, 1]).tolist(), strict=True)), f"{suffix} string, _fold bigint, {name} double")
             train = train.join(F.broadcast(others), [suffix, "_fold"])
+        # the trees read their rows again for each level: features of at most sample rows, on one task
+        train = train.select(*FEATURES, "label").coalesce(1).persist()
         gbt = GBTClassifier(featuresCol="_features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=SEED, minInstancesPerNode=5)
-        it.model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), gbt]).fit(train.coalesce(4))
+        it.model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), gbt]).fit(train)
+        train.unpersist()
         return it
 
     def judge(self, urls: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
