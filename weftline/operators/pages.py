@@ -29,25 +29,30 @@ JUNK_CLASSES = (
 JUNK_IDS = ("toc", "catlinks", "References", "toc-References", "External_links", "toc-External_links", "See_also", "toc-See_also", "mw-navigation", "footer")
 
 
-def tag_text(html: Column, tag: str, n: int = 200) -> Column:
-    """The content of the first element of a tag, cut at n characters."""
-    return F.substring(F.trim(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)), 1, n)
+def tag_text(html: Column, tag: str, n: int | None = None) -> Column:
+    """The content of the first element of a tag, or its first n characters."""
+    content = F.trim(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))
+    return content if n is None else F.substring(content, 1, n)
 
 
 def _squeezed(html: Column) -> Column:
     return F.trim(F.regexp_replace(visible_text(html, ""), r"\s+", " "))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, href, label): anchors in order, the label without tags and cut at 60."""
+def _first(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
+def page_links(pages: DataFrame, longest: int | None = None) -> DataFrame:
+    """(page_id, ord, href, label): anchors in order, the label without tags, whole or its first longest characters."""
     pattern = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
     both = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("h"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("t"))
-    return pages.select("page_id", F.posexplode(both).alias("ord", "m")).select("page_id", "ord", F.col("m.h").alias("href"), F.substring(F.trim(visible_text(F.col("m.t"), "")), 1, 60).alias("label"))
+    return pages.select("page_id", F.posexplode(both).alias("ord", "m")).select("page_id", "ord", F.col("m.h").alias("href"), (F.trim(visible_text(F.col("m.t"), "")) if longest is None else F.substring(F.trim(visible_text(F.col("m.t"), "")), 1, longest)).alias("label"))
 
 
-def page_profile(pages: DataFrame) -> DataFrame:
-    """Title, h1s (five), counts of links and images, and whether there is JSON-LD."""
-    h1 = F.transform(F.slice(F.regexp_extract_all("html", F.lit("(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), 1, 5), lambda x: F.trim(visible_text(x, "")))
+def page_profile(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Title, h1s (up to most, or all), counts of links and images, and whether there is JSON-LD."""
+    h1 = F.transform(_first(F.regexp_extract_all("html", F.lit("(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), most), lambda x: F.trim(visible_text(x, "")))
     return pages.select(
         "page_id", tag_text(F.col("html"), "title").alias("title"), F.array_join(h1, " | ").alias("h1s"),
         F.regexp_count("html", F.lit(r"(?i)<a\s")).cast("bigint").alias("n_links"), F.regexp_count("html", F.lit(r"(?i)<img\b")).cast("bigint").alias("n_images"), F.contains("html", F.lit("application/ld+json")).alias("has_jsonld"),
@@ -68,10 +73,10 @@ def escalation(html: Column) -> Column:
     )
 
 
-def is_search_page(url: Column, html: Column) -> Column:
-    """A search URL whose page says so in title or headings, or has no JSON-LD and more than 15 links."""
+def is_search_page(url: Column, html: Column, most: int | None = None) -> Column:
+    """A search URL whose page says so in title or headings (up to most of them, or all), or has no JSON-LD and more than 15 links."""
     words = "search|find|results"
-    h1 = F.array_join(F.slice(F.regexp_extract_all(html, F.lit("(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), 1, 3), " ")
+    h1 = F.array_join(_first(F.regexp_extract_all(html, F.lit("(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), most), " ")
     dense = ~F.contains(html, F.lit('<script type="application/ld+json">')) & (F.regexp_count(F.lower(html), F.lit("<a ")) > 15)
     return F.lower(url).rlike(r"[/\?](search|find|query|results)[/\?=&]") & (F.lower(tag_text(html, "title")).rlike(words) | F.lower(visible_text(h1, "")).rlike(words) | dense)
 

@@ -74,13 +74,12 @@ def value_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def fill_gaps(spark: SparkSession, d: str) -> DataFrame:
     rows = _competing(spark, d).select("request_id", "field", "value", "ord")
-    base = rows.where("ord = 1 and field = 'flag'").drop("ord")
-    return unify.fill_gaps(base, rows.where("ord = 1").drop("ord"), ["request_id", "field"])
+    return unify.fill_gaps(rows.where("field = 'flag'"), rows, ["request_id", "field", "ord"])
 
 
 def keep_better(spark: SparkSession, d: str) -> DataFrame:
-    rows = _competing(spark, d).where("field = 'flag'").select("request_id", F.col("ord").alias("attempt"), F.col("weight").alias("confidence"), "site")
-    return unify.keep_better(rows, ["request_id"]).select("request_id", "attempt", F.round("confidence", 4).alias("confidence"))
+    rows = _competing(spark, d).select("request_id", "field", F.col("ord").alias("attempt"), F.col("weight").alias("confidence"), "site")
+    return unify.keep_better(rows, ["request_id", "field"]).select("request_id", "field", "attempt", F.round("confidence", 4).alias("confidence"))
 
 
 def request_confidence(spark: SparkSession, d: str) -> DataFrame:
@@ -389,9 +388,9 @@ def discover_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_extraction(spark: SparkSession, d: str) -> DataFrame:
-    rows = _competing(spark, d).where("ord = 1").select("request_id", F.col("field").alias("key"), "value", F.lit("string").alias("vtype"))
+    rows = _competing(spark, d).select("request_id", "ord", F.col("field").alias("key"), "value", F.lit("string").alias("vtype"))
     spec = _t(spark, d, "region").select(F.when(F.col("r_regionkey") == 0, "tax").otherwise(F.col("r_name")).alias("field"), F.lit("number").alias("type"))
-    return unify.validate_extraction(rows, spec, ["request_id"]).select("request_id", "filled_fields", "valid", F.array_join("warnings", "; ").alias("warnings"))
+    return unify.validate_extraction(rows, spec, ["request_id", "ord"]).select("request_id", "ord", "filled_fields", "valid", F.array_join("warnings", "; ").alias("warnings"))
 
 
 from weftline.plans.data_sql import ORACLES  # noqa: E402

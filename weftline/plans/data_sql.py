@@ -41,8 +41,8 @@ SELECT norm, key, value FROM (SELECT *, row_number() OVER (PARTITION BY norm, ke
     "conflict_report": f"{_UNIFIED} SELECT field, status, count(*) AS n FROM u GROUP BY ALL",
     "weight_gap": f"SELECT field, coalesce(gap, -1.0)::DOUBLE AS gap, count(*) AS n FROM (SELECT field, round(weight - lead(weight) OVER (PARTITION BY request_id, field ORDER BY weight DESC, ord), 9) AS gap FROM ({_COMPETE})) GROUP BY ALL",
     "value_forms": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_size / 5)::DOUBLE::VARCHAR WHEN 1 THEN p_size || '%' ELSE CASE WHEN p_size <= 10 THEN p_size::DOUBLE::VARCHAR ELSE p_size::VARCHAR END END AS rating, p_size::VARCHAR AS year FROM part",
-    "fill_gaps": f"SELECT request_id, field, value FROM ({_COMPETE}) WHERE ord = 1",
-    "keep_better": f"SELECT request_id, ord AS attempt, round(weight, 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, ord) AS rn FROM ({_COMPETE}) WHERE field = 'flag') WHERE rn = 1",
+    "fill_gaps": f"SELECT request_id, field, value, ord FROM ({_COMPETE})",
+    "keep_better": f"SELECT request_id, field, ord AS attempt, round(weight, 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY request_id, field ORDER BY weight DESC, ord) AS rn FROM ({_COMPETE})) WHERE rn = 1",
     "request_confidence": "SELECT l_orderkey AS request_id, round(CASE WHEN max(o_orderkey) IS NOT NULL THEN 0.9::DOUBLE ELSE avg(l_discount * 10) END, 4) AS confidence FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' GROUP BY l_orderkey",
     "cache_exact": f"SELECT request_id, EXISTS (SELECT 1 FROM {_LIVE} c WHERE c.domain = o.domain AND c.intent_hash = o.intent_hash) AS hit FROM {_ORD} o",
     "cache_latest_completed": f"SELECT domain, intent_hash, request_id, price FROM (SELECT *, row_number() OVER (PARTITION BY domain, intent_hash ORDER BY created_at DESC, request_id DESC) AS rn FROM {_ORD} WHERE state = 'COMPLETED') WHERE rn = 1",
@@ -143,5 +143,5 @@ WITH s AS (SELECT CASE WHEN request_id % 5 = 0 THEN 'VALIDATED' WHEN request_id
 SELECT stage, CASE stage WHEN 'INIT' THEN 0 WHEN 'INTENT_DONE' THEN 1 WHEN 'VALIDATED' THEN 2 ELSE 4 END AS place, count(*) AS n FROM s GROUP BY ALL""",
     "item_summaries": f"SELECT item_id, concat_ws(' | ', name, concat_ws(', ', 'kind: ' || kind, 'size: ' || size)) AS summary FROM {_ITEMS}",
     "validate_extraction": f"""
-SELECT request_id, count(*) AS filled_fields, true AS valid, coalesce(string_agg('Type mismatch for ''tax'': expected number', '; ') FILTER (field = 'tax'), '') AS warnings FROM ({_COMPETE}) WHERE ord = 1 GROUP BY request_id""",
+SELECT request_id, ord, count(*) AS filled_fields, true AS valid, coalesce(string_agg('Type mismatch for ''tax'': expected number', '; ') FILTER (field = 'tax'), '') AS warnings FROM ({_COMPETE}) GROUP BY request_id, ord""",
 }

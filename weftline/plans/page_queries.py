@@ -45,13 +45,14 @@ def render_triggers(spark: SparkSession, d: str) -> DataFrame:
     """pages, and four times as many made of them: shells with much markup and little text, hydrated ones, ones of many scripts, and whole ones."""
     n, p = F.col("page_id"), _pages(spark, d)
     pad = lambda m: F.repeat(F.lit("<i></i>"), m)
-    ld, script = F.lit('<script type="application/ld+json">{}</script>'), F.repeat(F.lit("<script></script>"), 6)
+    words = lambda w, m: F.repeat(F.lit(w), m.cast("int"))
+    ld = F.lit('<script type="application/ld+json">{}</script>')
     made = F.array(
         F.col("html"),
-        F.concat(ld, F.lit('<body><div id="root">'), F.col("url"), pad(1000), F.lit("</div></body>")),
-        F.concat(ld, F.lit("<body data-reactroot>"), F.repeat(F.lit("word "), 150), pad(1000), F.lit("</body>")),
-        F.concat(ld, F.lit("<head>"), F.repeat(F.lit("head "), 300), F.lit("</head><body>few"), script, pad(1000), F.lit("</body>")),
-        F.concat(ld, F.lit("<body>"), F.repeat(F.lit("word "), F.lit(1000) + (n % 7).cast("int")), F.lit("</body>")),
+        F.concat(ld, F.lit('<body><div id="root">'), F.col("url"), words("word ", n % 180), pad(1000), F.lit("</div></body>")),
+        F.concat(ld, F.lit("<body data-reactroot>"), words("word ", 100 + n % 190), pad(1000), F.lit("</body>")),
+        F.concat(ld, F.lit("<head>"), words("head ", 300 + n % 3), F.lit("</head><body>"), words("few ", n % 97), words("<script></script>", n % 9), pad(1000), F.lit("</body>")),
+        F.concat(ld, F.lit("<body>"), words("word ", 995 + n % 13), F.lit("</body>")),
     )
     return p.select("page_id", F.posexplode(made).alias("kind", "html")).select("page_id", "kind", pages.escalation(F.col("html")).alias("trigger"))
 
@@ -213,18 +214,23 @@ FROM q""",
     "page_links": r"""
 WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1, 'si') AS h, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2, 'si') AS t FROM pages),
 u AS (SELECT page_id, url, unnest(h) AS href, unnest(t) AS t, generate_subscripts(h, 1) - 1 AS ord FROM l)
-SELECT page_id, ord, href, substr(trim(regexp_replace(t, '<[^>]+>', '', 'g')), 1, 60) AS label, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || href AS target FROM u""",
+SELECT page_id, ord, href, trim(regexp_replace(t, '<[^>]+>', '', 'g')) AS label, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || href AS target FROM u""",
     "page_profile": r"""
-SELECT page_id, substr(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')), 1, 200) AS title,
-  array_to_string(list_transform(list_slice(regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1, 'si'), 1, 5), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), ' | ') AS h1s,
+SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')) AS title,
+  array_to_string(list_transform(regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1, 'si'), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), ' | ') AS h1s,
   len(regexp_extract_all(html, '<a\s', 0, 'i')) AS n_links, len(regexp_extract_all(html, '<img\b', 0, 'i')) AS n_images, contains(html, 'application/ld+json') AS has_jsonld
 FROM pages""",
     "render_triggers": """
-SELECT page_id, 0 AS kind, CASE WHEN length(html) < 5000 THEN 'small' WHEN length(html) < 50000 THEN 'no_jsonld' END AS trigger FROM pages
-UNION ALL SELECT page_id, unnest([1, 2, 3, 4]), unnest(['spa_shell', 'hydration', 'empty_body', NULL]) FROM pages""",
+WITH made AS (
+  SELECT page_id, unnest(range(5)) AS kind, unnest([html, ld || '<body><div id="root">' || url || repeat('word ', page_id % 180) || pad || '</div></body>', ld || '<body data-reactroot>' || repeat('word ', 100 + page_id % 190) || pad || '</body>',
+    ld || '<head>' || repeat('head ', 300 + page_id % 3) || '</head><body>' || repeat('few ', page_id % 97) || repeat('<script></script>', page_id % 9) || pad || '</body>', ld || '<body>' || repeat('word ', 995 + page_id % 13) || '</body>']) AS h
+  FROM pages, (SELECT '<script type="application/ld+json">{}</script>' AS ld, repeat('<i></i>', 1000) AS pad)),
+seen AS (SELECT *, length(trim(regexp_replace(regexp_replace(h, '<[^>]+>', '', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS n, regexp_extract(h, '<body[^>]*>(.*?)</body>', 1, 's') AS b FROM made)
+SELECT page_id, kind, CASE WHEN length(h) < 5000 THEN 'small' WHEN NOT contains(h, 'application/ld+json') AND length(h) < 50000 THEN 'no_jsonld' WHEN contains(h, '<div id="root"') AND n < 500 THEN 'spa_shell' WHEN contains(h, 'data-reactroot') AND n < 1000 THEN 'hydration'
+  WHEN contains(h, '<body') AND length(trim(regexp_replace(regexp_replace(b, '<[^>]+>', '', 'g'), '[ \t\n\r]+', ' ', 'g'))) < 200 AND len(regexp_extract_all(lower(h), '<script')) > 5 THEN 'empty_body' END AS trigger FROM seen""",
     "search_page": r"""
 SELECT page_id, page_id % 2 = 0 AND (regexp_matches(lower(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')), 'search|find|results')
-  OR regexp_matches(lower(array_to_string(list_slice(regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1, 'si'), 1, 3), ' ')), 'search|find|results')
+  OR regexp_matches(lower(array_to_string(regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1, 'si'), ' ')), 'search|find|results')
   OR (NOT contains(html, '<script type="application/ld+json">') AND len(regexp_extract_all(lower(html), '<a ')) > 15)) AS is_search FROM pages""",
     "site_signals": r"""
 WITH h AS (SELECT page_id, html AS s FROM pages)

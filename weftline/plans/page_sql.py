@@ -46,7 +46,7 @@ quality AS (
   SELECT page_id, cluster, count(*) AS n, avg((coalesce(heading, '') <> '')::INT + (coalesce(link_text, '') <> '')::INT + (len(found) > 0)::INT + (pairs IS NOT NULL)::INT) AS rich,
     count(DISTINCT lower(trim(coalesce(heading, link_text)))) AS names, avg(length(coalesce(heading, link_text))) AS wide FROM numbered GROUP BY ALL),
 scored AS (SELECT *, round(least(n / 10, 1) * 0.25::DOUBLE + least(rich / 6, 1) * 0.35::DOUBLE + names / n * 0.2::DOUBLE + least(greatest(wide - 5, 0) / 30, 1) * 0.2::DOUBLE, 4) AS quality FROM quality)"""
-_TITLE = "substr(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's')), 1, 200)"
+_TITLE = "trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's'))"
 _TEXT = r"""trim(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), chr(10), ' '), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"""
 ORACLES = {
     "dom_depth": f"{WALK} SELECT page_id, count(*) AS n_nodes, max(depth)::BIGINT AS max_depth, count(*) FILTER (tag = 'li') AS n_items FROM nodes GROUP BY page_id",

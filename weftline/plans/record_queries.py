@@ -396,7 +396,7 @@ def latest_starts(spark: SparkSession, d: str) -> DataFrame:
 def raw_keys(spark: SparkSession, d: str) -> DataFrame:
     """What a model calls a field, met with the keys that were extracted."""
     named = _t(spark, d, "part").select((F.col("p_partkey") % 100).alias("g"), F.lower(F.substring_index("p_name", " ", -1)).alias("field")).distinct()
-    eav = _t(spark, d, "part").where("p_partkey % 2 = 0").select((F.col("p_partkey") % 100).alias("g"), F.initcap("p_name").alias("key"), F.col("p_partkey").alias("ord"))
+    eav = _t(spark, d, "part").select((F.col("p_partkey") % 100).alias("g"), F.initcap("p_name").alias("key"), F.col("p_partkey").alias("ord"))
     return records.match_raw_key(named, eav, "g").select("g", "field", "raw_key")
 
 

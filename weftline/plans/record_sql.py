@@ -103,7 +103,7 @@ SELECT request_id, url, row_number() OVER (PARTITION BY request_id ORDER BY c DE
     "latest_starts": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS price FROM orders ORDER BY price NULLS LAST, o_orderkey LIMIT 10",
     "raw_keys": """
 WITH n AS (SELECT DISTINCT p_partkey % 100 AS g, lower(list_last(string_split(p_name, ' '))) AS field FROM part),
-k AS (SELECT p_partkey % 100 AS g, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS key, p_partkey AS ord FROM part WHERE p_partkey % 2 = 0),
+k AS (SELECT p_partkey % 100 AS g, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS key, p_partkey AS ord FROM part),
 m AS (SELECT n.g, n.field, k.key, row_number() OVER (PARTITION BY n.g, n.field ORDER BY (lower(k.key) <> n.field)::INT, k.ord, k.key) AS rn FROM n JOIN k ON n.g = k.g WHERE contains(lower(k.key), n.field) OR contains(n.field, lower(k.key)))
 SELECT n.g, n.field, m.key AS raw_key FROM n LEFT JOIN m ON n.g = m.g AND n.field = m.field AND m.rn = 1""",
     "same_site_links": f"SELECT page_id, page_id % 2 = 0 OR {_NET} LIKE '%.example.org' OR {_NET} = 'example.org' AS same FROM pages",
