@@ -156,7 +156,7 @@ def test_state_machine_stream(spark, tmp_path):
     at = lambda i: dt.datetime(2024, 1, 1, 0, i)
     spark.createDataFrame([(*r, at(r[1])) for r in rows], schema).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = jobs.run_all(jobs.apply_transitions(stream), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    out = jobs.run_all(keyed.apply_transitions(stream.withWatermark("ts", "10 minutes")), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
     assert {r.event_id: r.verdict for r in out} == {1: "applied", 2: "STALE", 3: "INVALID_TRANSITION", 4: "applied", 5: "INVALID_TRANSITION"}
 
 

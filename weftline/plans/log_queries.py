@@ -205,7 +205,7 @@ def circuit_breaker_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transitions_stream(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run_all(jobs.apply_transitions(_moves(tables.read_log_stream(spark, d))), tables.scratch(spark, "moved"), tables.scratch(spark, "state"))
+    return jobs.run_all(keyed.apply_transitions(_moves(tables.read_log_stream(spark, d)).withWatermark("ts", "10 minutes")), tables.scratch(spark, "moved"), tables.scratch(spark, "state"))
 
 
 def dedup_stream(spark: SparkSession, d: str) -> DataFrame:

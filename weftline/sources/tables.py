@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def read_state(spark: SparkSession, path: str, name: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
     """A state table with projection and filter, both of which reach the parquet scan."""
     df = spark.read.parquet(f"{path}/{name}.parquet")
@@ -35,7 +36,8 @@ SMALL_BYTES = 4 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A lookup table for a join: marked for broadcast if its measured size is within SMALL_BYTES, else for a merge join."""
+    """A lookup table for a join: written once, then marked for broadcast if its measured size is within SMALL_BYTES, else for a merge join."""
+    df = stored(df, "lookup")
     size = df.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("n")).first()["n"]
     return F.broadcast(df) if size <= SMALL_BYTES else df.hint("merge")
 

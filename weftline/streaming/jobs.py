@@ -1,58 +1,9 @@
-"""Structured Streaming over the operational log: deduplication, state machines, windowed metrics and sketches. See keyed for timers.
-
-Keyed state ends by event time: a key that is silent for the job's keep (or window) beyond the watermark's delay is
-forgotten, so state grows with the active keys and not with the stream. Events of a key are taken in the order of time within
-a micro-batch, and micro-batches in the order of arrival.
-"""
+"""Structured Streaming over the operational log: deduplication, windowed metrics, sessions and sketches. See keyed for state with timers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from weftline.operators.oplog import TRANSITIONS
-
-MOVED = "request_id bigint, event_id bigint, from_state string, to_state string, verdict string"
-
-
-def _expired(state: GroupState) -> bool:
-    """Whether the key has been silent for long: its state is removed."""
-    if state.hasTimedOut:
-        state.remove()
-        return True
-    return False
-
-
-def _keep_until(state: GroupState, last: pd.Timestamp, seconds: float) -> None:
-    state.setTimeoutTimestamp(max(int((last.timestamp() + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-
-
-def apply_transitions(stream: DataFrame, keep: float = 30 * 86_400, delay: str = "10 minutes") -> DataFrame:
-    """Folds ordered transitions (request_id, event_id, ts, from_state, to_state): applied, STALE if the request is elsewhere, INVALID_TRANSITION."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _expired(state):
-            return
-        rows = pd.concat(frames).sort_values("event_id")
-        now = state.get[0] if state.exists else "INIT"
-        verdicts = []
-        for a, b in zip(rows["from_state"], rows["to_state"], strict=True):
-            if a != now:
-                verdicts.append("STALE")
-            elif b not in TRANSITIONS.get(a, ()):
-                verdicts.append("INVALID_TRANSITION")
-            else:
-                now = b
-                verdicts.append("applied")
-        state.update((now,))
-        _keep_until(state, rows["ts"].max(), keep)
-        yield rows.assign(verdict=verdicts)[["request_id", "event_id", "from_state", "to_state", "verdict"]]
-
-    return stream.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(step, MOVED, "now string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_requests(stream: DataFrame, key: str, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:

@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weftline.operators.oplog import FINISHED
+from weftline.operators.oplog import FINISHED, TRANSITIONS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LIMITED = "user_id bigint, event_id bigint, us bigint, accepted boolean, retry_after double"
 BROKEN = "site string, event_id bigint, us bigint, failures bigint, status string"
 SWEPT = "request_id bigint, kind string, run_id string, state string, previous_state string, us bigint"
+MOVED = "request_id bigint, event_id bigint, from_state string, to_state string, verdict string"
 ACTED = "key string, request_id bigint, action string, existing_id bigint"
 #: Rows of a result frame.
 SLICE = 10_000
@@ -238,6 +239,35 @@ class RequestDeduplicator(_Timed):
         return iter(())
 
 
+class StateMachine(_Timed):
+    """State: where a request is; the timer forgets it after keep."""
+
+    def __init__(self, keep: float):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.now = handle.getValueState("now", "state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        us, ids, before, after = _ordered(rows, "event_id", "from_state", "to_state")
+        order = np.argsort(ids, kind="stable")  # transitions follow their numbers
+        ids, before, after = ids[order], before[order], after[order]
+        now = self.now.get()[0] if self.now.exists() else "INIT"
+        verdicts = []
+        for a, b in zip(before, after, strict=True):
+            verdicts.append("STALE" if a != now else "applied" if b in TRANSITIONS.get(a, ()) else "INVALID_TRANSITION")
+            now = b if verdicts[-1] == "applied" else now
+        self.now.update((now,))
+        self.set_timer(_ms(us[-1] / 1e6 + self.keep), timerValues.getCurrentWatermarkInMs())
+        yield from _sliced(pd.DataFrame({"request_id": key[0], "event_id": ids, "from_state": before, "to_state": after, "verdict": verdicts}))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.now.clear()
+        self.timer.clear()
+        return iter(())
+
+
 def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     """The processor's rows, times as timestamps; inside they are microseconds, so that no session's time zone matters."""
     state_store(stream.sparkSession)
@@ -269,6 +299,11 @@ def sweep_stale(stream: DataFrame, minutes: float = 10) -> DataFrame:
     return _keyed(stream.select("request_id", "kind", "run_id", "state", "ts"), "request_id", StaleSweeper(minutes), SWEPT)
 
 
+def apply_transitions(stream: DataFrame, keep: float = 30 * 86_400) -> DataFrame:
+    """Folds ordered transitions (request_id, event_id, ts, from_state, to_state, with a watermark): applied, STALE if the request is elsewhere, INVALID_TRANSITION."""
+    return _keyed(stream.select("request_id", "event_id", "ts", "from_state", "to_state"), "request_id", StateMachine(keep), MOVED)
+
+
 def request_actions(stream: DataFrame, keep: float = 86_400) -> DataFrame:
     """none, retry, return or attach for each request by the newest one of its key, with that one's id.
 
