@@ -285,6 +285,13 @@ def test_selectors(spark):
     assert got[("title", "h1")] == 0.75 and got[("director", "span")] == 0.9 and got[("rating", "div.rating-box")] == 0.6
 
 
+def test_selectors_by_meaning(spark):
+    html = '<div><p><span>7/10</span><span>8.8</span></p><time datetime="2010-07-16">July</time><time>1999</time><img src=a.png alt="The Poster"><img src=b.png class=poster></div>'
+    nodes = dom.dom_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    got = {(r.field, r.selector): (r.sample, r.score) for r in blocks.selector_candidates(nodes, unique=True).collect()}
+    assert got == {("rating", "span:nth-of-type(1)"): ("7/10", 0.75), ("year", "time:nth-of-type(1)"): ("2010", 0.85), ("poster_url", "img:nth-of-type(1)"): ("a.png", 0.7)}
+
+
 def test_record_rules(spark):
     assert one(spark, records.is_style_key(F.col("k")), k="text:margin-left") and not one(spark, records.is_style_key(F.col("k")), k="text:Budget")
     assert one(spark, records.failed_stage(F.col("f"), F.lit(False), F.col("m")), f="", m="Policy says no") == "VALIDATED"

@@ -85,13 +85,13 @@ def list_blocks(nodes: DataFrame, texts: DataFrame, most: int | None = None, lon
     return _lines(lines, ["page_id", "_i"], "node_id", "line", None).join(first.hint("merge"), ["page_id", "_i"]).select("page_id", F.concat(F.lit("list:"), "name").alias("key"), "ord", "text")
 
 
-def attribute_blocks(nodes: DataFrame, texts: DataFrame, ids_of_each: int | None = None, longest: int | None = None) -> DataFrame:
+def attribute_blocks(nodes: DataFrame, texts: DataFrame, ids_of_each: int | None = None, longest: int | None = None, longest_key: int | None = None) -> DataFrame:
     """testid:<id> and containers that are semantic or named by id, role or label (10 to 2000 characters)."""
     a = lambda n: F.nullif(F.coalesce(F.col("attrs")[n], F.lit("")), F.lit(""))
     full = nodes.join(texts.hint("merge"), ["page_id", "node_id"]).withColumn("n", F.length("text"))
     ids = _numbered(full.where(a("data-testid").isNotNull()), ids_of_each).where("n > 5 and n < 500").select("page_id", F.concat(F.lit("testid:"), a("data-testid")).alias("key"), F.col("node_id").alias("ord"), "text")
     named = F.when(a("aria-label").isNotNull(), F.concat("tag", F.lit(":"), a("aria-label"))).when(a("id").isNotNull(), F.concat("tag", F.lit(":"), a("id"))).when(a("role").isNotNull(), F.concat("tag", F.lit("[role="), a("role"), F.lit("]"))).when(F.col("tag").isin(*SEMANTIC), F.col("tag"))
-    boxes = full.withColumn("key", F.substring(named, 1, 80)).where("key is not null and n between 10 and 2000").select("page_id", "key", F.col("node_id").alias("ord"), "text")
+    boxes = full.withColumn("key", named if longest_key is None else F.substring(named, 1, longest_key)).where("key is not null and n between 10 and 2000").select("page_id", "key", F.col("node_id").alias("ord"), "text")
     once = boxes.groupBy("page_id", "text").agg(F.min(F.struct("ord", "key")).alias("r")).select("page_id", "r.key", "r.ord", F.col("text") if longest is None else F.substring("text", 1, longest).alias("text"))
     return ids.withColumn("rank", F.lit(4)).union(once.withColumn("rank", F.lit(5)))
 
@@ -182,21 +182,42 @@ def selector_paths(nodes: DataFrame) -> DataFrame:
     return nodes.select("page_id", "node_id", "parent_id", "tag", "attrs").groupBy("page_id").applyInArrow(_paths, "page_id bigint, node_id int, path string")
 
 
-def selector_candidates(nodes: DataFrame, fields: dict[str, tuple[str, ...]] = SYNONYMS, most: int = 3) -> DataFrame:
-    """(page_id, field, rank, selector, sample, score): elements whose attributes name a field, itemprop first, or the main heading.
+def _by_meaning(field: str) -> tuple[Column, Column, float] | None:
+    """Which elements stand for a field by their tag, what they say, and the score: times that hold a year, spans like 8.8 or 8/10, posters."""
+    attr = lambda n: F.coalesce(F.col("attrs")[n], F.lit(""))
+    if field == "year":
+        year = F.trim(F.when(attr("datetime") != "", F.substring(attr("datetime"), 1, 4)).otherwise(F.col("text")))
+        return (F.col("tag") == "time") & year.rlike(r"^(19|20)\d{2}$"), year, 0.85
+    if field == "rating":
+        return (F.col("tag") == "span") & F.col("text").rlike(r"^(\d\.?\d?\s*/\s*10|\d\.\d)$"), F.col("text"), 0.75
+    if field in ("poster_url", "image"):
+        return (F.col("tag") == "img") & (attr("src") != "") & (F.lower(attr("alt")).rlike("poster|cover|movie") | F.lower(attr("class")).rlike("poster")), attr("src"), 0.7
+    return None
+
+
+def selector_candidates(nodes: DataFrame, fields: dict[str, tuple[str, ...]] = SYNONYMS, most: int = 3, unique: bool = False, longest: int | None = None) -> DataFrame:
+    """(page_id, field, rank, selector, sample, score): elements whose attributes name a field, itemprop first, the main heading, and
+    the first element that stands for a field by its tag. unique: selectors that select their element alone, where it has one. longest: characters of a sample, or all.
 
     The few fields are an array inside the row, so the nodes are read once and nothing is joined.
     """
     texts = subtree_text(nodes, F.col("depth") >= 0)
-    full = nodes.join(texts.hint("merge"), ["page_id", "node_id"]).withColumn("sample", F.substring("text", 1, 200))
+    full = nodes.join(texts.hint("merge"), ["page_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     rows = []
     for field, words in fields.items():
-        has = lambda a, p="(?i)" + "|".join(words): F.coalesce(F.col("attrs")[a].rlike(p), F.lit(False))
+        has = lambda a, p="(?i)" + "|".join(words): F.coalesce(F.col("attrs")[a].rlike(p), F.lit(False)) & (F.col("text") != "")
         score = F.when(has("itemprop"), 0.9).when(has("data-testid"), 0.8).when(has("aria-label"), 0.7).when(has("class"), 0.6)
-        score = F.coalesce(score, F.when(F.col("tag") == "h1", 0.75)) if field == "title" else score
-        rows.append(F.struct(F.lit(field).alias("field"), score.alias("score")))
-    found = full.select("page_id", "node_id", "sample", selector(F.col("tag"), F.col("attrs")).alias("selector"), F.explode(F.array(*rows)).alias("f")).where("f.score is not null")
-    once = found.groupBy("page_id", F.col("f.field").alias("field"), "selector").agg(F.min(F.struct((-F.col("f.score")).alias("s"), "node_id", "sample")).alias("r"))
+        score = F.coalesce(score, F.when((F.col("tag") == "h1") & (F.col("text") != ""), 0.75)) if field == "title" else score
+        means, says, least = _by_meaning(field) or (F.lit(False), F.lit(None).cast("string"), 0.0)
+        rows.append(F.struct(F.lit(field).alias("field"), F.coalesce(score, F.when(means, least)).alias("score"), (score.isNull() & means).alias("meant"), F.when(score.isNull() & means, says).otherwise(F.col("text")).alias("sample")))
+    own = selector(F.col("tag"), F.col("attrs"))
+    if unique:
+        full = full.join(selector_paths(nodes).hint("merge"), ["page_id", "node_id"], "left")
+        own = F.coalesce("path", own)
+    found = full.select("page_id", "node_id", own.alias("selector"), F.explode(F.array(*rows)).alias("f")).where("f.score is not null").select("page_id", "node_id", "selector", "f.*")
+    first = F.min(F.when(F.col("meant"), F.col("node_id"))).over(Window.partitionBy("page_id", "field"))
+    found = found.withColumn("_first", first).where("not meant or node_id = _first")
+    once = found.groupBy("page_id", "field", "selector").agg(F.min(F.struct((-F.col("score")).alias("s"), "node_id", (F.col("sample") if longest is None else F.substring("sample", 1, longest)).alias("sample"))).alias("r"))
     rank = F.row_number().over(Window.partitionBy("page_id", "field").orderBy("r.s", "r.node_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= most).select("page_id", "field", "rank", "selector", "r.sample", (-F.col("r.s")).alias("score"))
 
