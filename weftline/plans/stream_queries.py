@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import oplog
 from weftline.plans.data_sql import _ORD
 from weftline.plans.log_queries import _FMT, _MEMORY, _REQ
 from weftline.sources import tables
@@ -104,9 +105,19 @@ def latency_sketch_stream(spark: SparkSession, d: str) -> DataFrame:
     return per.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", ((F.col("below") >= F.col("n") / 2 - bound) & (F.col("under") <= F.col("n") / 2 + bound)).alias("within"))
 
 
+def latency_histogram_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Cumulative buckets of values per type and two-day window, from the append-mode histograms of days."""
+    stream = tables.read_log_stream(spark, d).select("event_type", "ts", (F.col("value") * 100).alias("ms"))
+    per_day = _replayed(spark, stream, lambda s: jobs.windowed_histogram(s, ["event_type"], oplog.STAGE_MS, "ms", "1 day"), "histogram", "2030-01-01 00:00:00", "60 days")
+    rows = per_day.select("event_type", F.window("window_start", "2 days").alias("w"), F.posexplode("counts").alias("i", "n"))
+    per = rows.groupBy("event_type", F.col("w.start").alias("window_start"), "i").agg(F.sum("n").alias("n"))
+    le = F.get(F.array(*[F.lit(float(b)) for b in oplog.STAGE_MS]), F.col("i"))
+    return per.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), le.alias("le"), "n")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (breaker_recoveries_stream, failure_report_stream, stale_sweep_stream, request_actions_stream, site_memory_stream, request_upsert_stream, cache_compacted, latency_sketch_stream)
+    for f in (breaker_recoveries_stream, failure_report_stream, stale_sweep_stream, request_actions_stream, site_memory_stream, request_upsert_stream, cache_compacted, latency_sketch_stream, latency_histogram_stream)
 }
 
 _STALE = f"(SELECT * FROM {_REQ} WHERE state = 'INIT' AND updated_at < TIMESTAMP '{SWEPT_AT}' - INTERVAL 10 MINUTE)"
@@ -137,6 +148,9 @@ SELECT request_id, action, existing_id FROM w WHERE action IS NOT NULL""",
     "request_upsert_stream": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, round(arg_max(value, (ts, event_id)), 4) AS value FROM events GROUP BY ALL",
     "cache_compacted": f"""
 SELECT o_orderkey, strftime(e, {_FMT}) AS expires_at FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP + INTERVAL 30 DAY + INTERVAL 1 HOUR * (o_orderkey % 24) AS e FROM orders) WHERE e > TIMESTAMP '1997-01-01 12:00:00'""",
+    "latency_histogram_stream": f"""
+SELECT event_type, strftime(time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS day, le, count(*) FILTER (value * 100 <= le) AS n
+FROM events, (SELECT unnest([{", ".join(f"{float(b)}::DOUBLE" for b in oplog.STAGE_MS)}]) AS le) GROUP BY ALL""",
     "latency_sketch_stream": f"""
 SELECT event_type, strftime(w, {_FMT}) AS window_start, count(*) AS n, true AS within FROM (
   SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY ALL""",

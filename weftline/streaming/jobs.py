@@ -17,6 +17,14 @@ def windowed_metrics(stream: DataFrame, width: str = "10 minutes", delay: str =
     return stream.withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "errors", "total")
 
 
+def windowed_histogram(stream: DataFrame, by: list[str], buckets: tuple[float, ...], value: str = "value", width: str = "10 minutes") -> DataFrame:
+    """(window_start, by, n, total, counts) once the watermark has passed a window: counts[i] values are at most buckets[i]. The counts of windows add up
+    to those of longer ones. stream has a watermark on ts."""
+    counts = [F.count_if(F.col(value) <= b).alias(f"_{i}") for i, b in enumerate(buckets)]
+    per = stream.groupBy(F.window("ts", width), *by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), *counts)
+    return per.select(F.col("window.start").alias("window_start"), *by, "n", "total", F.array(*[F.col(f"_{i}") for i in range(len(buckets))]).alias("counts"))
+
+
 def stale_sessions(stream: DataFrame, key: str, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """Event-time sessions of a key that ended with a silence of gap: the requests a sweep would fail."""
     return stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("started"), F.col("session_window.end").alias("silent_from"), "n")
