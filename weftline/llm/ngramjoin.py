@@ -10,8 +10,8 @@ counts. So points are dealt to many trees first: two documents that link share o
 by how often the corpus has a token's hash bucket), and points meet in the trees of those tokens.
 
 1. Equal texts become one point; counts of hash buckets are taken over all documents.
-2. First links: every point meets the others of its most frequent rare tokens, takes the nearest of its R-tree leaf by the
-   bound, and the pair is verified. That joins most copies, however large their group, with a row or two per document.
+2. First links: every point meets the others of a few of its rare tokens, takes the nearest of its R-tree leaf by the
+   bound, and the pair is verified. That joins most copies, however large their group, with a few rows per document.
 3. All others: the trees of all rare tokens that still hold points of different components are joined with themselves, node
    pair by node pair; nodes and points of one component are pruned, as their link is known. Surviving pairs are verified.
    A token with very many points is dealt in blocks that meet pairwise.
@@ -44,8 +44,8 @@ PERCENT = 85
 GROUPS, BUCKETS = 256, 1 << 16
 #: Points of a leaf. Points of one token that one task takes; beyond, they are dealt in blocks.
 LEAF, DIRECT = 32, 4096
-#: Most frequent rare tokens of a document that the first links use.
-FIRST = 2
+#: Rare tokens of a document that the first links use, those of the least hashes: near copies mostly have the same.
+FIRST = 4
 #: Documents up to which those in candidate pairs are sent to every task to pick their texts; beyond, they are joined.
 SENT = 300_000
 
@@ -361,8 +361,8 @@ def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, width: int, pe
 
 
 def first_pairs(at: DataFrame, percent: int, groups: int, leaf: int, direct: int, first: int = FIRST) -> DataFrame:
-    """Candidate pairs of each point's nearest neighbours in the trees of its most frequent rare tokens."""
-    keys = at.select("d", F.explode(F.slice("rare", F.greatest(F.size("rare") - (first - 1), F.lit(1)), first)).alias("h"))
+    """Candidate pairs of each point's nearest neighbours in the trees of its rare tokens of the least hashes."""
+    keys = at.select("d", F.explode(F.slice(F.array_sort("rare"), 1, first)).alias("h"))
     shared = written(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     block = F.pmod(F.xxhash64("d", "h"), F.ceil(F.col("n") / direct)).alias("block")
     rows = keys.join(shared.hint("merge"), "h").select("h", block, "d").join(at.select("d", "size", "point").hint("merge"), "d")
@@ -371,10 +371,15 @@ def first_pairs(at: DataFrame, percent: int, groups: int, leaf: int, direct: int
 
 
 def other_pairs(at: DataFrame, roots: DataFrame, percent: int, groups: int, leaf: int, direct: int) -> DataFrame:
-    """Candidate pairs of different components, from the trees of all rare tokens that more than one component holds."""
+    """Candidate pairs of different components, from the trees of all rare tokens that more than one component holds.
+
+    Tokens of the very same points (by their number and two 64-bit hashes of the set) would give one tree again and again; it is built once.
+    """
     kinds = at.select("d", "rare").join(roots.select(F.col("node").alias("d"), "root").hint("merge"), "d", "left")
     keys = written(kinds.select("d", F.coalesce("root", "d").alias("kind"), "rare"), "kinds").select("d", "kind", F.explode("rare").alias("h"))
-    mixed = keys.groupBy("h").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high")).where("low < high").select("h", "n")
+    mark = [F.bit_xor(F.xxhash64("d", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    mixed = keys.groupBy("h").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"), *mark).where("low < high")
+    mixed = mixed.groupBy("n", "m1", "m2").agg(F.min("h").alias("h")).select("h", "n")
     rows = keys.join(written(mixed, "mixed").hint("merge"), "h").withColumn("blocks", F.ceil(F.col("n") / direct).cast("bigint"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "h"), F.col("blocks")))
     # a block is paired with itself (below 0) and with each other one
