@@ -11,7 +11,7 @@ by how often the corpus has a token's hash bucket), and points meet in the trees
 
 1. Equal texts become one point; counts of hash buckets are taken over all documents.
 2. First links: every point meets the others of a few of its rare tokens, takes the nearest of its R-tree leaf by the
-   bound, and the pair is verified. That joins most copies, however large their group, with a few rows per document.
+   bound that is of another component, and the pair is verified. That joins most copies, however large their group, with a few rows per document.
 3. All others: the trees of all rare tokens that still hold points of different components are joined with themselves, node
    pair by node pair; nodes and points of one component are pruned, as their link is known. Surviving pairs are verified.
    A token with very many points is dealt in blocks that meet pairwise.
@@ -27,6 +27,7 @@ give no rows; other input columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ GROUPS, BUCKETS = 256, 1 << 16
 LEAF, DIRECT = 32, 4096
 #: Rare tokens of a document that the first links use, those of the least hashes: near copies mostly have the same.
 FIRST = 4
+#: Rounds of first links; a further one joins components that the one before has left apart (few on the tables here).
+ROUNDS = 1
 #: Documents up to which those in candidate pairs are sent to every task to pick their texts; beyond, they are joined.
 SENT = 300_000
 
@@ -214,15 +217,14 @@ class RTree:
                 stack += [(x, self.left[y]), (x, self.right[y])]
 
 
-def nearest(d: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each point of a leaf the other that it may share most tokens with for their sizes, if that may be a link."""
+def nearest(d: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, vectors: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each point of a leaf the one of another component that it may share most tokens with for their sizes, if that may be a link."""
     both = sizes[:, None] + sizes[None, :]
     shared = overlap_bound(vectors[:, None, :], vectors[None, :, :])
-    share = shared / both
-    np.fill_diagonal(share, -1)
+    share = np.where(kinds[:, None] == kinds[None, :], -1.0, shared / both)
     best = share.argmax(axis=1)
     at = np.arange(len(d))
-    good = _may_link(shared[at, best], both[at, best], percent) & (best != at)
+    good = _may_link(shared[at, best], both[at, best], percent) & (share[at, best] >= 0)
     return d[good], d[best[good]]
 
 
@@ -267,19 +269,19 @@ def _pair_batch(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _first_links(percent: int, groups: int, leaf: int):
-    """Rows (h, block, d, size, point) to candidate pairs of leaf neighbours."""
+    """Rows (h, block, d, size, kind, point) to candidate pairs of leaf neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_runs(batches, 2):
             rows = rows.combine_chunks()
-            h, block, d, sizes = (rows.column(i).to_numpy() for i in range(4))
-            vectors, x, y = _vectors(rows.column(4).combine_chunks(), groups), [], []
+            h, block, d, sizes, kinds = (rows.column(i).to_numpy() for i in range(5))
+            vectors, x, y = _vectors(rows.column(5).combine_chunks(), groups), [], []
             at = _runs(h, block)
             for f, t in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if t - f > 1:
-                    v, s = vectors[f:t], sizes[f:t]
-                    for part in [np.arange(t - f)] if t - f <= leaf else RTree(v, s, np.arange(t - f), leaf).leaves():
-                        p, q = nearest(d[f:t][part], s[part], v[part], percent)
+                    v, s, k = vectors[f:t], sizes[f:t], kinds[f:t]
+                    for part in [np.arange(t - f)] if t - f <= leaf else RTree(v, s, k, leaf).leaves():
+                        p, q = nearest(d[f:t][part], s[part], k[part], v[part], percent)
                         x.append(p)
                         y.append(q)
             yield _pair_batch(x, y)
@@ -360,13 +362,21 @@ def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, width: int, pe
     return written(both.select("a", "b", "x", "y").mapInArrow(_verify(width, percent), "a bigint, b bigint"), "links")
 
 
-def first_pairs(at: DataFrame, percent: int, groups: int, leaf: int, direct: int, first: int = FIRST) -> DataFrame:
-    """Candidate pairs of each point's nearest neighbours in the trees of its rare tokens of the least hashes."""
-    keys = at.select("d", F.explode(F.slice(F.array_sort("rare"), 1, first)).alias("h"))
-    shared = written(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+def _kinds(at: DataFrame, roots: DataFrame | None, tokens: Column) -> DataFrame:
+    """(d, kind, h): the tokens of each point with its component, itself where it has no link yet."""
+    if roots is None:
+        return at.select("d", F.col("d").alias("kind"), F.explode(tokens).alias("h"))
+    kinds = at.select("d", tokens.alias("tokens")).join(roots.select(F.col("node").alias("d"), "root").hint("merge"), "d", "left")
+    return written(kinds.select("d", F.coalesce("root", "d").alias("kind"), "tokens"), "kinds").select("d", "kind", F.explode("tokens").alias("h"))
+
+
+def first_pairs(at: DataFrame, roots: DataFrame | None, percent: int, groups: int, leaf: int, direct: int, first: int = FIRST) -> DataFrame:
+    """Candidate pairs of each point's nearest neighbours of other components in the trees of its rare tokens of the least hashes."""
+    keys = _kinds(at, roots, F.slice(F.array_sort("rare"), 1, first))
+    shared = written(keys.groupBy("h").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high")).where("low < high").select("h", "n"), "shared")
     block = F.pmod(F.xxhash64("d", "h"), F.ceil(F.col("n") / direct)).alias("block")
-    rows = keys.join(shared.hint("merge"), "h").select("h", block, "d").join(at.select("d", "size", "point").hint("merge"), "d")
-    rows = rows.select("h", "block", "d", "size", "point").repartition("h", "block").sortWithinPartitions("h", "block", "d")
+    rows = keys.join(shared.hint("merge"), "h").select("h", block, "d", "kind").join(at.select("d", "size", "point").hint("merge"), "d")
+    rows = rows.select("h", "block", "d", "size", "kind", "point").repartition("h", "block").sortWithinPartitions("h", "block", "d")
     return written(rows.mapInArrow(_first_links(percent, groups, leaf), "a bigint, b bigint").distinct(), "pairs")
 
 
@@ -375,8 +385,7 @@ def other_pairs(at: DataFrame, roots: DataFrame, percent: int, groups: int, leaf
 
     Tokens of the very same points (by their number and two 64-bit hashes of the set) would give one tree again and again; it is built once.
     """
-    kinds = at.select("d", "rare").join(roots.select(F.col("node").alias("d"), "root").hint("merge"), "d", "left")
-    keys = written(kinds.select("d", F.coalesce("root", "d").alias("kind"), "rare"), "kinds").select("d", "kind", F.explode("rare").alias("h"))
+    keys = _kinds(at, roots, F.col("rare"))
     mark = [F.bit_xor(F.xxhash64("d", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
     mixed = keys.groupBy("h").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"), *mark).where("low < high")
     mixed = mixed.groupBy("n", "m1", "m2").agg(F.min("h").alias("h")).select("h", "n")
@@ -393,9 +402,12 @@ def other_pairs(at: DataFrame, roots: DataFrame, percent: int, groups: int, leaf
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, groups: int = GROUPS, buckets: int = BUCKETS, leaf: int = LEAF, direct: int = DIRECT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     at = points(docs, width, percent, groups, buckets)
-    first = verified(first_pairs(at, percent, groups, leaf, direct), docs, at, width, percent)
-    more = verified(other_pairs(at, components(first), percent, groups, leaf, direct), docs, at, width, percent)
-    roots = components(first.union(more)).withColumnRenamed("node", "d")
+    links, roots = [], None
+    for _ in range(ROUNDS):
+        links.append(verified(first_pairs(at, roots, percent, groups, leaf, direct), docs, at, width, percent))
+        roots = components(reduce(DataFrame.union, links))
+    links.append(verified(other_pairs(at, roots, percent, groups, leaf, direct), docs, at, width, percent))
+    roots = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "d")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key().alias("key"))
     least = own.groupBy("key").agg(F.min("doc_id").alias("least"))
     rooted = at.select("d", "key", "size").join(roots.hint("merge"), "d", "left").select("key", "size", F.coalesce("root", "d").alias("root"))
