@@ -333,10 +333,9 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
             a = to[e]
 
 
-def scores_of(blocks: list[Block], weights: np.ndarray = PRIOR) -> list[float]:
-    """The terminal capacity of each block: towards content if positive. Where no markup calls anything boilerplate, silence speaks for content."""
+def scores_of(blocks: list[Block], weights: np.ndarray = PRIOR, silent: float = MARKUP[NEUTRAL]) -> list[float]:
+    """The terminal capacity of each block: towards content if positive. silent: what markup counts for that says nothing."""
     own = np.clip(np.array([b.features for b in blocks]) @ weights, -CLIP, CLIP)
-    silent = MARKUP[NEUTRAL] if any(b.says[0] > CONTENT for b in blocks) else MARKUP[CONTENT]
     return (own + np.array([(MARKUP[b.says[0]] or silent) + GOOD_WORDS * b.says[1] for b in blocks])).tolist()
 
 
@@ -345,6 +344,9 @@ def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     if not blocks:
         return ""
     kept = minimum_cut(scores_of(blocks, weights), edges_of(blocks))
+    if not any(kept) and not any(b.says[0] > CONTENT for b in blocks):
+        # nothing was found, and no markup calls anything boilerplate: its silence speaks for content
+        kept = minimum_cut(scores_of(blocks, weights, MARKUP[CONTENT]), edges_of(blocks))
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
