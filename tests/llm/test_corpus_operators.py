@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
@@ -40,6 +41,25 @@ def test_chunks_and_shards_grow_together():
         assert chunk / suffixdedup.KEY_BYTES / (total / shard) >= suffixdedup.KEYS * 0.99 and chunk <= 64 << 20 and shard <= 512 << 20
 
 
+def test_copies_of_a_segment_travel_once():
+    """What a chunk sends to shards doesn't grow with the copies that it holds of a passage; their places go back to it."""
+    passage = np.random.default_rng(1).integers(0, 256, 300).astype(np.uint8)
+
+    def sent(copies: int) -> tuple[int, int]:
+        ids, sizes = np.arange(copies), np.full(copies, 300)
+        chunk = suffixdedup._pack(ids.astype("<i8"), sizes.astype("<i8"), np.tile(passage, copies))
+        hashes = next(suffixdedup._sent_hashes(1)(iter([pa.RecordBatch.from_pydict({"chunk_id": [7], "body": [chunk]})])))
+        all_bits = bytes([255]) * (len(hashes.column(2)[0].as_py()) // 4)
+        asked = pa.RecordBatch.from_pydict({"body": [chunk], "chunk_id": [7], "answers": [[{"shard": 0, "bits": all_bits}]], "shards": [1]})
+        out = list(suffixdedup._sent_segments(iter([asked])))
+        answers = [r for b in suffixdedup._answered(iter(out)) for r in b.to_pylist()]
+        gone = suffixdedup._gone(ids, sizes, answers)
+        assert not gone[:300].any() and gone[300:].all()
+        return [len(r["body"]) for b in out for r in b.to_pylist() if not r["places"]][0], len(answers)
+
+    assert sent(2000)[0] <= sent(2)[0] + 32 and sent(2000)[1] == 2
+
+
 def test_suffix_order_of_random_bytes():
     rng = np.random.default_rng(0)
     for part in (1 << 30, 200):

@@ -5,15 +5,17 @@ its 16-byte grams), which depends on the window's content only, so all copies of
 
 1. Every chunk sends its distinct minimiser hashes, packed, to the shard of their hash; a shard answers which of
    them occur in more than one document. Only windows at such minimisers go on.
-2. Chunks send the segments around those minimisers, equal ones once, with the places where they occur.
+2. Chunks send the segments around those minimisers, equal ones once, with the smallest and the largest document that has
+   them in the chunk. Where they occur stays the chunk's: its places travel in one row that goes back to it unread.
 3. A shard joins equal segments, orders their windows by Larsson-Sadakane refinement (ranks of h bytes give ranks of
    2h, and what is alone in its group is not sorted again), takes common prefixes of neighbours in that order with
    Kasai's carry-over, and so has the groups of equal 50-byte strings with the smallest document of each. It works in
    parts of bounded size; the parts' sorted windows are merged by binary search.
-4. The byte ranges go back to the chunks, which drop what is covered.
+4. For each segment that a chunk sent it learns the smallest documents of the windows that an earlier document has too, and drops
+   those windows at all its places.
 
-Shards are as many as the text needs, each is a task of its own, equal segments and hashes of a chunk travel once, and rows are packed arrays,
-so a string in a third of all documents costs its shard a few bytes for each place.
+Shards are as many as the text needs, each is a task of its own, equal segments and hashes of a chunk travel once, and rows are packed arrays.
+A string in a third of all documents costs its shard one segment for each chunk, however often it occurs there.
 
 Defined cases: null and empty texts have 0 bytes and the hash of nothing; texts under 50 bytes are kept; strings are
 judged on the input; repeats inside one document stay; rows with a null doc_id, which no id is smaller than, keep all and remove nothing; rows of equal doc_id are equal in rank, so neither removes
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -240,7 +243,8 @@ def distinct_ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray, mark:
 
 
 def _sent_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk_id, shard, body): distinct segments at repeated minimisers and their places."""
+    """Rows (chunk_id, shard, places, body): distinct segments at repeated minimisers for each shard, and one row of their places,
+    which any shard may pass on."""
     for batch in batches:
         for body, number, answers, shards in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             ids, sizes, data = _unpack(body, "<i8", "<i8", "u1")
@@ -262,16 +266,23 @@ def _sent_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             order = np.argsort(shard, kind="stable")
             a, size, row, shard = a[order], size[order], row[order], shard[order]
             of = distinct_ranges(data, a, size, shard)
-            own = of == np.arange(len(of))
-            place = np.cumsum(own) - 1
-            names, docs = [], ids[row]
-            bodies = []
-            full, cuts = _runs(shard)
-            for s, i, j in zip(full.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                mine = np.flatnonzero(own[i:j]) + i
-                bodies.append(_pack(size[mine].astype("u1"), _gathered(data, a[mine], size[mine]), (place[of[i:j]] - place[i]).astype("<u4"), a[i:j].astype("<i8"), docs[i:j].astype("<i8")))
-                names.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(bodies, pa.binary())], names=["chunk_id", "shard", "body"])
+            mine = np.flatnonzero(of == np.arange(len(of)))
+            nth = np.zeros(len(of), np.int64)
+            nth[mine] = np.arange(len(mine))
+            of, docs = nth[of], ids[row]
+            by = np.argsort(of, kind="stable")
+            begin = np.searchsorted(of[by], np.arange(len(mine)))
+            low, high = np.minimum.reduceat(docs[by], begin), np.maximum.reduceat(docs[by], begin)
+            full, cuts = _runs(shard[mine])
+            bodies = [
+                _pack(size[mine[i:j]].astype("u1"), _gathered(data, a[mine[i:j]], size[mine[i:j]]), low[i:j].astype("<i8"), (high[i:j] - low[i:j]).astype("<i8"))
+                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+            ]
+            order = np.argsort(a)
+            places = _pack(full.astype("<i8"), cuts[:-1].astype("<i8"), np.diff(a[order], prepend=0).astype("<u4"), of[order].astype("<u4"))
+            kinds = pa.array([False] * len(full) + [True])
+            shard_ids = pa.array([*full.tolist(), number % shards], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(kinds), pa.int64()), shard_ids, kinds, pa.array([*bodies, places], pa.binary())], names=["chunk_id", "shard", "places", "body"])
 
 
 def refined(data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -382,22 +393,22 @@ def least_documents(data: np.ndarray, size: np.ndarray, doc: np.ndarray, part: i
     return np.concatenate([least[np.searchsorted(known, strings)][group] for strings, group in own]) if own else np.zeros(0, np.int64)
 
 
-def _ranges(group: pa.Table) -> pa.Table:
-    """Of a shard's segments, the byte ranges to remove in each chunk: windows that an earlier document has too."""
-    cols = [_unpack(x, "u1", "u1", "<u4", "<i8", "<i8") for x in group["body"].to_pylist()]
-    sizes, data, of, place, doc = (np.concatenate(x) for x in zip(*cols, strict=True))
-    sizes = sizes.astype(np.int64)
-    before = np.cumsum([0, *(len(c[0]) for c in cols)])
-    of = of.astype(np.int64) + np.repeat(before[:-1], [len(c[2]) for c in cols])
-    chunk = np.repeat(np.arange(len(cols)), [len(c[2]) for c in cols])
+def _earlier(group: pa.Table) -> pa.Table:
+    """Of a shard's segments, for each chunk, the runs of windows that a document before the chunk's last one has too, with the
+    smallest such document."""
+    cols = [_unpack(x, "u1", "u1", "<i8", "<i8") for x in group["body"].to_pylist()]
+    sizes, data, low, more = (np.concatenate(x) for x in zip(*cols, strict=True))
+    sizes, high = sizes.astype(np.int64), low + more
+    sent = np.array([len(c[0]) for c in cols])
+    chunk, first_of = np.repeat(np.arange(len(cols)), sent), np.cumsum(sent) - sent
     starts = np.cumsum(sizes) - sizes
     same = distinct_ranges(data, starts, sizes, np.zeros(len(sizes), np.int64))
     own = np.flatnonzero(same == np.arange(len(same)))
     number = np.zeros(len(same), np.int64)
     number[own] = np.arange(len(own))
-    of = number[same[of]]
+    of = number[same]
     by = np.argsort(of, kind="stable")
-    smallest = np.minimum.reduceat(doc[by], np.searchsorted(of[by], np.arange(len(own))))
+    smallest = np.minimum.reduceat(low[by], np.searchsorted(of[by], np.arange(len(own))))
     least = least_documents(_gathered(data, starts[own], sizes[own]), sizes[own], smallest)
     windows = sizes[own] - LENGTH + 1
     base = np.cumsum(windows) - windows
@@ -407,18 +418,57 @@ def _ranges(group: pa.Table) -> pa.Table:
         o, n = of[i : i + step], windows[of[i : i + step]]
         shift = np.cumsum(n) - n
         offset = np.arange(int(n.sum())) - np.repeat(shift, n)
-        gone = least[np.repeat(base[o], n) + offset] < np.repeat(doc[i : i + step], n)
+        best = least[np.repeat(base[o], n) + offset]
+        gone = best < np.repeat(high[i : i + step], n)
         begin, stop = gone.copy(), gone.copy()
-        begin[1:] &= ~gone[:-1] | (offset[1:] == 0)
-        stop[:-1] &= ~gone[1:] | (offset[1:] == 0)
-        which = i + np.repeat(np.arange(len(o)), n)[begin]
-        out.append((chunk[which], place[which] + offset[begin], place[which] + offset[stop] + LENGTH))
-    at, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+        begin[1:] &= ~gone[:-1] | (offset[1:] == 0) | (best[1:] != best[:-1])
+        stop[:-1] &= ~gone[1:] | (offset[1:] == 0) | (best[1:] != best[:-1])
+        out.append((i + np.repeat(np.arange(len(o)), n)[begin], offset[begin], offset[stop], best[begin]))
+    segment, first, last, best = (np.concatenate(x) for x in zip(*out, strict=True))
+    at = chunk[segment]
+    segment -= first_of[at]
     cuts = np.searchsorted(at, np.arange(len(cols) + 1))
     full = np.flatnonzero(np.diff(cuts)).tolist()
-    names = group["chunk_id"].to_numpy()
-    blobs = [_pack(first[cuts[c] : cuts[c + 1]].astype("<i8"), last[cuts[c] : cuts[c + 1]].astype("<i8")) for c in full]
-    return pa.table({"chunk_id": pa.array(names[full], pa.int64()), "ranges": pa.array(blobs, pa.binary())})
+    blobs = [_pack(*(x[cuts[c] : cuts[c + 1]].astype(kind) for x, kind in ((segment, "<u4"), (first, "u1"), (last, "u1"), (best, "<i8")))) for c in full]
+    return pa.table({"chunk_id": group["chunk_id"].take(pa.array(full, pa.int64())), "shard": group["shard"].take(pa.array(full, pa.int64())), "body": pa.array(blobs, pa.binary())})
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's answers; rows of places pass, with shard -1."""
+    names, rows = ["chunk_id", "shard", "body"], []
+    for batch in batches:
+        places = batch.column("places")
+        passed = batch.filter(places)
+        yield pa.RecordBatch.from_arrays([passed.column("chunk_id"), pa.array(np.full(passed.num_rows, -1), pa.int64()), passed.column("body")], names=names)
+        rows.append(batch.filter(pc.invert(places)).select(names))
+    group = pa.Table.from_batches(rows) if rows else None
+    if group is not None and group.num_rows:
+        yield from _earlier(group).to_batches()
+
+
+def _gone(ids: np.ndarray, sizes: np.ndarray, answers: list) -> np.ndarray:
+    """Of a chunk's bytes, which are covered by a string that an earlier document has; answers as (shard, body)."""
+    depth = np.zeros(int(sizes.sum()) + 1, np.int64)
+    shards, base, steps, of = next((_unpack(x["body"], "<i8", "<i8", "<u4", "<u4") for x in answers if x["shard"] < 0), [np.zeros(0, np.int64)] * 4)
+    base = dict(zip(shards.tolist(), base.tolist(), strict=True))
+    parts = [(base[x["shard"]] + cols[0], *cols[1:]) for x in answers if x["shard"] >= 0 for cols in [_unpack(x["body"], "<u4", "u1", "u1", "<i8")]]
+    if not parts:
+        return depth[:-1] > 0
+    segment, first, last, best = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+    order = np.argsort(segment, kind="stable")
+    segment, first, last, best = segment[order], first[order], last[order], best[order]
+    start, of = np.cumsum(steps, dtype=np.int64), of.astype(np.int64)
+    runs, at = np.searchsorted(segment, of, side="right") - np.searchsorted(segment, of), np.searchsorted(segment, of)
+    doc = ids[np.searchsorted(np.cumsum(sizes), start, side="right")]
+    for i in range(0, len(of), _ROWS):
+        n = runs[i : i + _ROWS]
+        ends = np.cumsum(n)
+        run = np.arange(int(ends[-1])) + np.repeat(at[i : i + _ROWS] - (ends - n), n)
+        early = best[run] < np.repeat(doc[i : i + _ROWS], n)
+        run, place = run[early], np.repeat(start[i : i + _ROWS], n)[early]
+        np.add.at(depth, place + first[run], 1)
+        np.add.at(depth, place + last[run] + LENGTH, -1)
+    return np.cumsum(depth)[:-1] > 0
 
 
 def _kept(with_text: bool):
@@ -426,11 +476,7 @@ def _kept(with_text: bool):
         for batch in batches:
             for body, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, sizes, data = _unpack(body, "<i8", "<i8", "u1")
-                depth = np.zeros(len(data) + 1, np.int64)
-                if answers:
-                    first, last = (np.concatenate(x) for x in zip(*(_unpack(a, "<i8", "<i8") for a in answers), strict=True))
-                    depth += np.bincount(first, minlength=len(depth)) - np.bincount(last, minlength=len(depth))
-                gone = np.cumsum(depth)[:-1] > 0
+                gone = _gone(ids, sizes, answers or [])
                 ends = np.cumsum(sizes)
                 fresh = gone.copy()
                 fresh[1:] &= ~gone[:-1]
@@ -483,10 +529,10 @@ def _deduped(docs: DataFrame, with_text: bool, shards: int | None) -> DataFrame:
     bits = hashes.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_of_shard(_repeated), "chunk_id bigint, shard bigint, bits binary")
     answers = bits.groupBy("chunk_id").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
     asked = chunks.select("chunk_id", "body").join(answers.hint("merge"), "chunk_id").select("body", "chunk_id", "answers", F.lit(shards).alias("shards"))
-    parts = asked.mapInArrow(_sent_segments, "chunk_id bigint, shard bigint, body binary")
-    ranges = parts.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_of_shard(_ranges), "chunk_id bigint, ranges binary")
-    gone = ranges.groupBy("chunk_id").agg(F.collect_list("ranges").alias("ranges"))
-    back = chunks.select("chunk_id", "body").join(gone.hint("merge"), "chunk_id", "left").select("body", "ranges")
+    parts = asked.mapInArrow(_sent_segments, "chunk_id bigint, shard bigint, places boolean, body binary")
+    earlier = parts.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_answered, "chunk_id bigint, shard bigint, body binary")
+    gone = earlier.groupBy("chunk_id").agg(F.collect_list(F.struct("shard", "body")).alias("answers"))
+    back = chunks.select("chunk_id", "body").join(gone.hint("merge"), "chunk_id", "left").select("body", "answers")
     return back.mapInArrow(_kept(with_text), RESULT + (", kept binary" if with_text else ""))
 
 
