@@ -143,16 +143,20 @@ def outermost(heads: DataFrame) -> DataFrame:
     return heads.withColumn("_end", F.max("subtree_end").over(before)).where("_end is null or head > _end").drop("_end")
 
 
-def subtree_text(nodes: DataFrame, heads: Column) -> DataFrame:
-    """page_id, node_id and the stripped text parts of each head's subtree, in order, joined without a separator.
+def with_text(nodes: DataFrame, heads: Column) -> DataFrame:
+    """The heads with text: the stripped text parts of their subtrees, in order, joined without a separator; null where there are none.
 
     The order is document order of the elements that hold the text. A page's texts are gathered once, and each head takes its slice.
     """
     own = F.trim("own_text")
     parts = nodes.where(own != "").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", own.alias("t")))), lambda x: x["t"]).alias("parts"))
-    some = nodes.where(heads & (F.col("part_to") > F.col("part_from"))).select("page_id", "node_id", "part_from", "part_to")
     text = F.array_join(F.slice("parts", F.col("part_from") + 1, F.col("part_to") - F.col("part_from")), "")
-    return some.join(parts.hint("merge"), "page_id").select("page_id", "node_id", text.alias("text"))
+    return nodes.where(heads).join(parts.hint("merge"), "page_id", "left").withColumn("text", F.when(F.col("part_to") > F.col("part_from"), text)).drop("parts")
+
+
+def subtree_text(nodes: DataFrame, heads: Column) -> DataFrame:
+    """page_id, node_id and text of the heads whose subtree has text, as with_text."""
+    return with_text(nodes, heads & (F.col("part_to") > F.col("part_from"))).select("page_id", "node_id", "text")
 
 
 def tag_census(nodes: DataFrame) -> DataFrame:

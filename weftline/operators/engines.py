@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.dom import inside, subtree_text
+from weftline.operators.dom import inside, subtree_text, with_text
 from weftline.sources.tables import stored
 
 #: Engines by priority, and the confidence of each.
@@ -54,13 +54,13 @@ def engine_jsonld(pages: DataFrame) -> DataFrame:
 
 
 def _texts(nodes: DataFrame, heads: Column, texts: DataFrame | None) -> DataFrame:
-    """The texts of the heads' subtrees: those given, which may hold others too, or computed here."""
-    return subtree_text(nodes, heads) if texts is None else texts
+    """The heads with the texts of their subtrees: of those given, which may hold others too, or computed here."""
+    return with_text(nodes, heads) if texts is None else texts.where(heads)
 
 
 def element_values(nodes: DataFrame, heads: Column, texts: DataFrame | None = None) -> DataFrame:
     """Nodes with value: content, src, datetime, href or value attribute by tag, else the text of the subtree; '' is null."""
-    texts = _texts(nodes, heads, texts).withColumnRenamed("text", "_text")
+    found = _texts(nodes, heads, texts).withColumnRenamed("text", "_text")
     text = F.coalesce("_text", F.lit(""))
     value = (
         F.when(F.col("tag") == "meta", F.trim(_attr("content")))
@@ -70,7 +70,7 @@ def element_values(nodes: DataFrame, heads: Column, texts: DataFrame | None = No
         .when(F.col("tag") == "data", F.coalesce(_attr("value"), text))
         .otherwise(text)
     )
-    return nodes.where(heads).join(texts.hint("merge"), ["page_id", "node_id"], "left").withColumn("value", F.nullif(value, F.lit(""))).drop("_text")
+    return found.withColumn("value", F.nullif(value, F.lit(""))).drop("_text")
 
 
 def _has_itemprop() -> Column:
@@ -140,9 +140,9 @@ def engine_label_value(pages: DataFrame, cap: int | None = None, longest: int |
 
 def engine_deflist(nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """text:<dt> pairs of definition lists: a dd belongs to the dt just before it."""
-    texts = _texts(nodes, F.col("tag").isin("dt", "dd"), texts)
+    named = _texts(nodes, F.col("tag").isin("dt", "dd"), texts)
     lists = nodes.where("tag = 'dl'").select("page_id", F.col("node_id").alias("parent_id"))
-    items = nodes.where(F.col("tag").isin("dt", "dd")).join(lists.hint("merge"), ["page_id", "parent_id"], "left_semi").join(texts.hint("merge"), ["page_id", "node_id"], "left")
+    items = named.join(lists.hint("merge"), ["page_id", "parent_id"], "left_semi")
     before = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
     pairs = items.withColumn("label", F.when(F.lag("tag").over(before) == "dt", F.lag("text").over(before))).where("tag = 'dd' and label <> '' and text <> ''")
     first = pairs.groupBy("page_id", "label").agg(F.min_by("text", "node_id").alias("value"), F.min("node_id").alias("ord"))
@@ -151,17 +151,15 @@ def engine_deflist(nodes: DataFrame, texts: DataFrame | None = None) -> DataFram
 
 def engine_sections(nodes: DataFrame, most: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """text:<heading> - <label> pairs of list items under h2-h4 headings (50 characters at most), up to most a section, or all."""
-    heads = nodes.where(F.col("tag").isin("h1", "h2", "h3", "h4"))
+    heads = _texts(nodes, F.col("tag").isin("h1", "h2", "h3", "h4"), texts)
     following = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
     bounds = heads.withColumn("next_head", F.lead("node_id").over(following))
-    names = _texts(nodes, F.col("tag").isin("h2", "h3", "h4"), texts)
-    sections = bounds.where(F.col("tag").isin("h2", "h3", "h4")).join(names.hint("merge"), ["page_id", "node_id"]).where("text <> '' and length(text) <= 50")
+    sections = bounds.where(F.col("tag").isin("h2", "h3", "h4")).where("text <> '' and length(text) <= 50")
     sections = sections.select("page_id", "parent_id", F.col("node_id").alias("head"), "next_head", F.col("text").alias("section"))
     boxes = nodes.where(F.col("tag").isin("ul", "ol", "div", "dl")).select("page_id", "parent_id", F.col("node_id").alias("box"), "subtree_end")
     under = sections.join(boxes.hint("merge"), ["page_id", "parent_id"]).where("box > head and (next_head is null or box < next_head)")
-    items = nodes.where(F.col("tag").isin("li", "div", "span", "dd"))
-    texts = _texts(nodes, F.col("tag").isin("li", "div", "span", "dd"), texts)
-    lines = items.select("page_id", "node_id").join(texts.hint("merge"), ["page_id", "node_id"]).where("length(text) > 3 and text like '%:%'")
+    items = _texts(nodes, F.col("tag").isin("li", "div", "span", "dd"), texts)
+    lines = items.select("page_id", "node_id", "text").where("length(text) > 3 and text like '%:%'")
     split = inside(under.select("page_id", F.col("head").alias("heading"), "section", F.col("box").alias("head"), "subtree_end"), lines, itself=False)
     pairs = split.select("page_id", F.col("heading").alias("head"), "section", "node_id", F.trim(F.substring_index("text", ":", 1)).alias("label"), F.trim(F.regexp_replace("text", "(?s)^[^:]*:", "")).alias("value")).where("label <> '' and value <> ''")
     keyed = pairs.withColumn("key", F.concat(F.lit("text:"), "section", F.lit(" - "), "label")).groupBy("page_id", "key").agg(F.min_by(F.struct("head", "value", "node_id"), "node_id").alias("r"))
@@ -182,7 +180,7 @@ def engine_heuristic(pages: DataFrame, nodes: DataFrame, texts: DataFrame | None
 
 def extract(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """All engines' pairs, with the registered extra ones. The texts that several engines read are computed and stored once."""
-    texts = stored(subtree_text(nodes, _has_itemprop() | F.col("tag").isin("dt", "dd", "h2", "h3", "h4", "li", "div", "span")), "texts")
+    texts = stored(with_text(nodes, _has_itemprop() | F.col("tag").isin("dt", "dd", "h1", "h2", "h3", "h4", "li", "div", "span")), "texts")
     parts = [engine_jsonld(pages), engine_microdata(nodes, texts), engine_opengraph(nodes), engine_twitter(nodes), engine_heuristic(pages, nodes, texts)]
     parts += [_eav(fn(pages, nodes), name) for name, (_, fn) in EXTRA.items()]
     return reduce(DataFrame.union, parts)
