@@ -206,6 +206,13 @@ def test_markdown_and_cleaning(spark):
     assert got == {1: "## T\n\na b  [c]\n\n- 1", 2: ""}
 
 
+def test_cleaning_leaves_references_as_they_are(spark):
+    """A title that was cut within a reference gets no semicolon, wherever it stands: in a line, after lines, at the end."""
+    html = "<title>a&amp</title>\n<p>\nb&amp;&am</p><b>c&#x27 &#x2;&#39</b>\n&lt;d&am"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert pages.clean_html(df).first().html == "<title>a&amp</title> <title>a&amp</title> <p> b&amp;&am</p><b>c&#x27 &#x2;&#39</b> &lt;d&am"
+
+
 def markdown(html):
     return pages._markdown(html)
 

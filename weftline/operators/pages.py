@@ -165,6 +165,12 @@ class _Cleaner(HTMLParser):
         self.depth = 0
         self.in_head = self.in_title = False
         self.block: list[str] | None = None
+        self.html, self.lines = "", [0]
+
+    def feed(self, data: str) -> None:
+        self.lines += [len(self.html) + m.end() for m in re.finditer("\n", data)]
+        self.html += data
+        super().feed(data)
 
     def _put(self, text: str) -> None:
         if self.block is not None:
@@ -218,11 +224,16 @@ class _Cleaner(HTMLParser):
             self.title.append(data)
         self._put(data)
 
+    def _reference(self, text: str) -> None:
+        """A character reference as the page has it: with a semicolon only where one stands."""
+        line, column = self.getpos()
+        self.handle_data(text + ";" * self.html.startswith(";", self.lines[line - 1] + column + len(text)))
+
     def handle_entityref(self, name: str) -> None:
-        self.handle_data(f"&{name};")
+        self._reference(f"&{name}")
 
     def handle_charref(self, name: str) -> None:
-        self.handle_data(f"&#{name};")
+        self._reference(f"&#{name}")
 
     def handle_comment(self, data: str) -> None:
         self._put(f"<!--{data}-->")
