@@ -217,6 +217,22 @@ def markdown(html):
     return pages._markdown(html)
 
 
+def test_markdown_and_its_sql_read_cut_references_alike(spark, tmp_path):
+    """Titles that were cut within a reference: what HTML reads without a semicolon is read, the rest stays."""
+    import duckdb
+
+    from weftline.plans.page_sql import ORACLES
+
+    cuts = ["&a", "&am", "&amp", "&amp;", "&q", "&quo", "&quot", "&quot;", "&#", "&#x", "&#x2", "&#x27", "&#x27;", "&l", "&lt", "&lt;", "&g", "&gt", "&gt;", "&amp;lt;", "&amp;&amp"]
+    rows = [(i, f"<html><body><article><h1>T {c}</h1><p>a&amp;b</p></article></body></html>") for i, c in enumerate(cuts)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    got = {r.page_id: r.markdown for r in pages.to_markdown(spark.read.parquet(str(tmp_path / "pages"))).collect()}
+    assert got == dict(con.sql(ORACLES["to_markdown"]).fetchall())
+    assert got[2] == "# T &\n\na&b" and got[1] == "# T &am\n\na&b"
+
+
 def test_markdown_leaves_out_junk_only():
     assert markdown("<div><form>junk<p>more</div><p>kept</p>") == "kept"  # an unclosed element ends with its parent
     assert markdown('<p>a</p><aside>x</aside><div class="big Ad_box">y</div><div id="toc">z</div><sup class="reference">1</sup><p>b<p>c') == "a\n\nb\n\nc"

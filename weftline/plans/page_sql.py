@@ -47,7 +47,8 @@ quality AS (
     count(DISTINCT lower(trim(coalesce(heading, link_text)))) AS names, avg(length(coalesce(heading, link_text))) AS wide FROM numbered GROUP BY ALL),
 scored AS (SELECT *, round(least(n / 10, 1) * 0.25::DOUBLE + least(rich / 6, 1) * 0.35::DOUBLE + names / n * 0.2::DOUBLE + least(greatest(wide - 5, 0) / 30, 1) * 0.2::DOUBLE, 4) AS quality FROM quality)"""
 _TITLE = "trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's'))"
-_TEXT = r"""trim(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), chr(10), ' '), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"""
+#: Character references as HTML reads them: the semicolon may be missing, as where a title was cut; one cut to &#x2 is a control character, which is dropped.
+_TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), chr(10), ' '), '&quot;?', '"', 'g'), '&#x27(;|\b)', '''', 'g'), '&#x2(;|\b)', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'))"""
 ORACLES = {
     "dom_depth": f"{WALK} SELECT page_id, count(*) AS n_nodes, max(depth)::BIGINT AS max_depth, count(*) FILTER (tag = 'li') AS n_items FROM nodes GROUP BY page_id",
     "dom_nodes_sql": f"{WALK} SELECT page_id, depth::INT AS depth, tag, count(*) AS n FROM nodes GROUP BY ALL",
