@@ -80,6 +80,19 @@ def test_stale_requests_fail_with_their_runs(spark, replay):
     assert {(r.kind, r.request_id) for r in step((6, "request", None, "INIT", at(9)))} == {("request", i) for i in (1, 2, 5)} | {("checkpoint", i) for i in (1, 2, 5)} | {("run", 1)}
 
 
+def test_stale_requests_of_one_group(replay):
+    """Requests that share a timer and a state: each is judged by its own time, and runs from before its end are forgotten when it is opened again."""
+    schema = "request_id long, kind string, run_id string, state string, ts timestamp"
+    step = replay(schema, lambda s: keyed.sweep_stale(s.withWatermark("ts", "1 minute"), 10, groups=1))
+    step((1, "request", None, "INIT", at(0)), (1, "run", "1a", "RUNNING", at(0)), (2, "request", None, "INIT", at(0)), (2, "run", "2a", "RUNNING", at(0, 1)), (3, "run", "3a", "RUNNING", at(0)))
+    step((1, "request", None, "COMPLETED", at(0, 2)))
+    step((1, "request", None, "INIT", at(0, 4)), (1, "run", "1b", "RUNNING", at(0, 4)), (2, "run", "2a", "COMPLETED", at(0, 4)), (2, "run", "2b", "RUNNING", at(0, 3)))
+    out = step((4, "request", None, "INIT", at(0, 12)))
+    assert {(r.kind, r.request_id, r.run_id) for r in out} == {("request", 2, None), ("checkpoint", 2, None), ("run", 2, "2b")}
+    out = step((5, "request", None, "COMPLETED", at(9)))
+    assert {(r.kind, r.request_id, r.run_id, r.previous_state) for r in out if r.request_id != 2} == {(k, i, None, "INIT") for k in ("request", "checkpoint") for i in (1, 4)} | {("run", 1, "1b", "RUNNING")}
+
+
 def test_request_actions_over_micro_batches(replay):
     step = replay("key string, request_id long, state string, ts timestamp", lambda s: keyed.request_actions(s.withWatermark("ts", "1 minute"), keep=3600 * 5.0))
     step(("k", 1, None, at(0)), ("k", 2, None, at(0, 1)))

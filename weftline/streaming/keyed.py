@@ -3,6 +3,7 @@
 Each job is a processor of transformWithStateInPandas. State lives in named variables of the state store (RocksDB), a
 timer per key forgets what is over, so state grows with the active keys. Of a key's rows in a micro-batch only
 times and ids are held, as arrays of 16 bytes a row, and taken in order of time; a source's trigger bounds a micro-batch.
+The stale sweep, whose keys have few rows each, takes them in groups.
 
 A stream's watermark moves with its rows. clocked adds a second source whose rows carry nothing but a time: they move
 the watermark and never reach the state, so that timers also fire when the log is silent or has ended.
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,6 +28,8 @@ BROKEN = "site string, event_id bigint, us bigint, failures bigint, status strin
 SWEPT = "request_id bigint, kind string, run_id string, state string, previous_state string, us bigint"
 MOVED = "request_id bigint, event_id bigint, from_state string, to_state string, verdict string"
 ACTED = "key string, request_id bigint, action string, existing_id bigint"
+#: Rows of a group of requests in the state of the stale sweep; due is in milliseconds.
+CHUNK = pa.schema([("request_id", pa.int64()), ("kind", pa.string()), ("run_id", pa.string()), ("state", pa.string()), ("due", pa.int64())])
 #: Rows of a result frame.
 SLICE = 10_000
 
@@ -168,41 +172,76 @@ class CircuitBreaker(_Timed):
 
 
 class StaleSweeper(_Timed):
-    """State: a request's state and last change, and its site runs' states; the timer fails what has not changed for long."""
+    """State: what is known of a group of requests, a chunk of rows in order for each micro-batch; the timer, at the earliest time that one of
+    them may be stale, fails what has not changed for long and leaves the rest as one chunk. A request alone would take some calls to the
+    state store, a millisecond each; a group takes as many."""
 
     def __init__(self, minutes: float):
-        self.seconds = minutes * 60
+        self.us = int(minutes * 60_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.request = handle.getValueState("request", "state string, at double")
-        self.runs = handle.getMapState("runs", "run_id string", "state string")
+        self.chunks = handle.getListState("chunks", "rows binary")
+
+    def _next(self, rows: pd.DataFrame, now: int) -> None:
+        """The timer at the earliest due time of rows, unless it is earlier already."""
+        at = max(int(rows["due"].min()), now + 1)
+        if not self.timer.exists() or at < self.timer.get()[0]:
+            self.set_timer(at, now)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        us, kinds, names, states = _ordered(rows, "kind", "run_id", "state")
-        for at, kind, name, state in zip(us.tolist(), kinds, names, states, strict=True):
-            if kind == "run":
-                self.runs.updateValue((name,), (state,))
-            else:
-                self.request.update((state, at / 1e6))
-        state, at = self.request.get() if self.request.exists() else (None, us[-1] / 1e6)
-        if state in FINISHED:
-            self.runs.clear()
-        self.set_timer(_ms(at + self.seconds), timerValues.getCurrentWatermarkInMs())
+        now = timerValues.getCurrentWatermarkInMs()
+        batch = pd.concat(rows, ignore_index=True).sort_values(["us", "kind"], kind="stable", ignore_index=True)
+        # what comes when its time is over has until the next watermark
+        batch["due"] = np.maximum((batch["us"] + self.us) // 1000, now + 1)
+        batch = batch[CHUNK.names]
+        self.chunks.appendValue((_packed(batch),))
+        self._next(batch, now)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, _ = self.request.get() if self.request.exists() else (None, 0.0)
-        rows = []
-        if state is not None and state not in FINISHED:
-            rows = [("request", None, state), ("checkpoint", None, state)]
-            rows += [("run", name[0], run[0]) for name, run in self.runs.iterator() if run[0] not in FINISHED]
-        now = np.full(len(rows), expiredTimerInfo.getExpiryTimeInMs() * 1000, np.int64)
-        for state_variable in (self.request, self.runs, self.timer):
-            state_variable.clear()
-        if rows:
-            kinds, names, before = zip(*rows, strict=True)
-            yield from _sliced(pd.DataFrame({"request_id": key[0], "kind": kinds, "run_id": names, "state": "FAILED", "previous_state": before, "us": now}))
+        now = timerValues.getCurrentWatermarkInMs()
+        known = _known([chunk[0] for chunk in self.chunks.get()])
+        # timers fire when the watermark is past their time
+        stale = known["at"] <= max(expiredTimerInfo.getExpiryTimeInMs(), now - 1)
+        left = known[~stale]
+        self.chunks.clear()
+        self.timer.clear()
+        if len(left):
+            self.chunks.put([(_packed(left[CHUNK.names]),)])
+            self._next(left.assign(due=left["at"]), now)
+        gone = known[stale & known["now"].notna() & ~known["now"].isin(FINISHED)]
+        request = gone["kind"] == "request"
+        run = (gone["kind"] == "run") & ~gone["state"].isin(FINISHED)
+        out = pd.concat([gone[request], gone[request].assign(kind="checkpoint"), gone[run]])
+        yield from _sliced(pd.DataFrame({"request_id": out["request_id"], "kind": out["kind"], "run_id": out["run_id"], "state": "FAILED", "previous_state": out["state"], "us": out["at"] * 1000}))
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, CHUNK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(pa.Table.from_pandas(rows, CHUNK, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _known(chunks: list[bytes]) -> pd.DataFrame:
+    """The last row of each request and of each of its runs, in order, with the request's state now (null without one) and its due time at.
+
+    A run is forgotten when its request is finished at the end of a chunk, the run's own or a later one.
+    """
+    rows = pd.concat([pa.ipc.open_stream(c).read_all().to_pandas().assign(chunk=i) for i, c in enumerate(chunks)], ignore_index=True)
+    requests = rows[rows["kind"] != "run"]
+    ends = requests.drop_duplicates(["request_id", "chunk"], keep="last")
+    finished = ends[ends["state"].isin(FINISHED)].groupby("request_id")["chunk"].max()
+    after = ends[ends["chunk"] > ends["request_id"].map(finished)].groupby("request_id")["chunk"].min()
+    # where a request is finished now there is no chunk after
+    since = rows["request_id"].map(after).fillna(np.inf).where(rows["request_id"].isin(finished.index), -1)
+    rows = rows[(rows["kind"] != "run") | (rows["chunk"] >= since)]
+    rows = rows.assign(_run=rows["run_id"].where(rows["kind"] == "run")).drop_duplicates(["request_id", "kind", "_run"], keep="last")
+    last = requests.drop_duplicates("request_id", keep="last").set_index("request_id")
+    alone = rows.drop_duplicates("request_id", keep="last").set_index("request_id")["due"]
+    at = rows["request_id"].map(last["due"]).fillna(rows["request_id"].map(alone)).astype("int64")
+    return rows.assign(now=rows["request_id"].map(last["state"]), at=at)
 
 
 class RequestDeduplicator(_Timed):
@@ -291,12 +330,14 @@ def failure_report(stream: DataFrame, width: str = "10 minutes") -> DataFrame:
     return stream.groupBy(F.window("ts", width), "site").agg(F.count("*").alias("failures")).select("site", F.col("window.start").alias("window_start"), "failures")
 
 
-def sweep_stale(stream: DataFrame, minutes: float = 10) -> DataFrame:
+def sweep_stale(stream: DataFrame, minutes: float = 10, groups: int = 1024) -> DataFrame:
     """Requests without a change for minutes: rows request, checkpoint and, for each unfinished site run, run, all to be FAILED.
 
     stream: request_id, kind (request or run), run_id, state, ts, with a watermark. Finished requests are forgotten after as long.
+    groups: how many groups of requests share a timer and a state; a group's rows of a micro-batch are held at once.
     """
-    return _keyed(stream.select("request_id", "kind", "run_id", "state", "ts"), "request_id", StaleSweeper(minutes), SWEPT)
+    grouped = stream.select(F.pmod(F.xxhash64("request_id"), F.lit(groups)).alias("_group"), "request_id", "kind", "run_id", "state", "ts")
+    return _keyed(grouped, "_group", StaleSweeper(minutes), SWEPT)
 
 
 def apply_transitions(stream: DataFrame, keep: float = 30 * 86_400) -> DataFrame:
