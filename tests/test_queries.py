@@ -4,6 +4,7 @@ import pytest
 from tests.conftest import rows_of
 
 from weftline.plans import registry
+from weftline.sources import tables
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -19,3 +20,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rows_of_a_task_stay_bounded(spark, data, tmp_path):
+    """A table is dealt over the more partitions the larger it is, and what groups by its key keeps them."""
+    spark.range(1000).selectExpr("id % 300 AS k", "id AS v").write.parquet(str(tmp_path / "t"))
+    df = tables.dealt(spark.read.parquet(str(tmp_path / "t")), "k", rows=50).groupBy("k", "v").count().groupBy("k").count()
+    assert df.rdd.getNumPartitions() == 20 and df.count() == 300
+    for name in ("unify_fields", "conflict_report", "keep_better", "fill_gaps", "filtered_items", "intent_order"):
+        plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name

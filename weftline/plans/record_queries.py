@@ -422,7 +422,8 @@ def log_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, d: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("position")).agg(F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("flag"), F.min("l_tax").alias("tax"))
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("position"), "l_quantity", "l_returnflag", "l_tax")
+    li = tables.dealt(li, "request_id").groupBy("request_id", "position").agg(F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("flag"), F.min("l_tax").alias("tax"))
     return li.select("request_id", "position", F.create_map(F.lit("q"), F.col("q").cast("string"), F.lit("flag"), "flag", F.lit("tax"), F.when(F.col("tax") > 0.01, F.round("tax", 2).cast("string"))).alias("fields"))
 
 
