@@ -199,6 +199,18 @@ def test_rules_registry(spark):
     assert [r.reason for r in registry.denied(df, "movie").collect()] == [None, "confidence too low", "domain mismatch"]
 
 
+def test_the_parse_sends_small_batches_with_all_attributes():
+    """Nodes go in batches that bound a worker's memory; attributes, empty ones too, stay with their nodes across batches."""
+    import pyarrow as pa
+
+    html = "".join(f'<p id="{i}" class="c">' if i % 3 else "<p>" for i in range(30_001))
+    pages_in = pa.RecordBatch.from_arrays([pa.array([7, 8], pa.int64()), pa.array([html, None], pa.string())], names=["page_id", "html"])
+    out = list(dom._parse(None, False)(iter([pages_in])))
+    assert len(out) > 2 and max(b.num_rows for b in out) < 20_000
+    attrs = [dict(a) for b in out for a in b.column(5).to_pylist()]
+    assert attrs == [{"id": str(i), "class": "c"} if i % 3 else {} for i in range(30_001)]
+
+
 def test_markdown_and_cleaning(spark):
     html = '<nav>x</nav><h2>T</h2><p>a <b>b</b> <a href="/l">c</a></p><ul><li>1</li></ul><script>z</script>'
     df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
