@@ -448,3 +448,20 @@ def test_table_functions(spark):
 def test_health_in_order(spark):
     health = spark.createDataFrame([("b", "x", 1), ("a", "y", 2), ("a", "x", 3)], "domain string, site string, failures long")
     assert [r.failures for r in oplog.health_report(health, ["domain", "site"]).collect()] == [3, 2, 1]
+
+
+def test_copies_of_a_name_are_not_paired(spark, tmp_path, monkeypatch):
+    """3,000 copies of each of five names: the five most similar are ranked by name, not picked from the pairs of all copies."""
+    from weftline.plans.registry import QUERIES
+
+    made = spark.range(15_000).selectExpr("id AS p_partkey", "concat('green almond part ', id % 5) AS p_name", "'STANDARD TIN' AS p_type")
+    made.write.parquet(str(tmp_path / "part.parquet"))
+    with monkeypatch.context() as m:
+        m.delattr(caches, "fuzzy_join")  # whose 2,250,000 pairs or more it would sort
+        got = {(r.left_id, r.rank): r.right_id for r in QUERIES["top_similar"](spark, str(tmp_path)).collect()}
+    # the own name comes first, of its copies those of the greatest last digit, then the smallest
+    assert len(got) == 750 and [got[100, i] for i in range(1, 6)] == [5, 15, 25, 35, 45]
+    p = spark.createDataFrame([(i, k, (i * 7 % 4) / 10) for i, k in enumerate(["red tin", "red tin can", "red tins", "blue can", None, ""] * 9)], "id long, key string, confidence double")
+    want = caches.top_similar(caches.fuzzy_join(p.where("id % 5 < 2"), p, 0.4).join(p.select(F.col("id").alias("right_id"), "confidence"), "right_id"), 4)
+    cols = ["left_id", "right_id", "rank", "similarity", "confidence"]
+    assert sorted(caches.fuzzy_top(p.where("id % 5 < 2"), p, 4, 0.4).select(*cols).collect()) == sorted(want.select(*cols).collect())
