@@ -465,3 +465,32 @@ def test_copies_of_a_name_are_not_paired(spark, tmp_path, monkeypatch):
     want = caches.top_similar(caches.fuzzy_join(p.where("id % 5 < 2"), p, 0.4).join(p.select(F.col("id").alias("right_id"), "confidence"), "right_id"), 4)
     cols = ["left_id", "right_id", "rank", "similarity", "confidence"]
     assert sorted(caches.fuzzy_top(p.where("id % 5 < 2"), p, 4, 0.4).select(*cols).collect()) == sorted(want.select(*cols).collect())
+
+
+def test_plain_tags_parse_as_the_parser_has_them():
+    """The short way for plain tags gives what HTMLParser's own way gives, in pages of odd pieces."""
+    import random
+    from html.parser import HTMLParser
+
+    class Own(dom._Nodes):
+        parse_starttag, parse_endtag = HTMLParser.parse_starttag, HTMLParser.parse_endtag
+
+    pieces = ['<div>', '</div>', '<p class="a b">', "<p class='x'>", '<br/>', '<img src="a&amp;b">', '<a href="x>y">', '<script type="a">', '</script>', '<title>', '</title>', '<style>', '</style >', '<b a="1" b c="2" a="3">', '<!-- c -->',
+              '<P ID="Q">', '</P>', 'text', 'a & b', '&lt;', '<', '>', '"', ' ', '\n', '<a b="', '<div\nclass="a">', '<li itemscope itemprop="n">', '<x:y>', '</h1', '<a b="c"d="e">', '<a b="c" >', '<noscript>', '<svg viewBox="0">']
+    dice = random.Random(7)
+    for _ in range(2000):
+        html = "".join(dice.choice(pieces) for _ in range(dice.randint(1, 12)))
+        own, short = Own(), dom._Nodes()
+        for p in (own, short):
+            p.feed(html)
+            p.close()
+        assert own.nodes == short.nodes and own.open == short.open, html
+
+
+def test_selectors_read_the_nodes_once(spark):
+    """Texts and fields of a page come from one grouping: no node meets its page again in a join."""
+    html = '<h1>The <i>Title</i></h1><span class="genre">a<b>b</b></span><span class="genre">c</span><img class="poster" src="p.png"><p>none</p><time datetime="2001-01-01"></time>'
+    df = blocks.selector_candidates(dom.dom_nodes(spark.createDataFrame([(1, html), (2, None), (3, "<p>plain</p>")], "page_id long, html string")))
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.page_id, r.field, r.rank, r.selector, r.sample, r.score) for r in df.collect()}
+    assert got == {(1, "title", 1, "h1", "TheTitle", 0.75), (1, "genre", 1, "span.genre", "ab", 0.6), (1, "poster_url", 1, "img.poster", "p.png", 0.7), (1, "year", 1, "time", "2001", 0.85)}
