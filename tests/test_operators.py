@@ -494,3 +494,32 @@ def test_selectors_read_the_nodes_once(spark):
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
     got = {(r.page_id, r.field, r.rank, r.selector, r.sample, r.score) for r in df.collect()}
     assert got == {(1, "title", 1, "h1", "TheTitle", 0.75), (1, "genre", 1, "span.genre", "ab", 0.6), (1, "poster_url", 1, "img.poster", "p.png", 0.7), (1, "year", 1, "time", "2001", 0.85)}
+
+
+def test_items_of_jsonld_need_no_shuffle(spark):
+    ld = lambda x: f'<script type="application/ld+json">{x}</script>'
+    a, b, c = ('{"@type":"%s","v":%d}' % x for x in (("A", 1), ("B", 2), ("B", 3)))
+    pages = [
+        (1, ld('{"@type":"ItemList","itemListElement":[{"position":"7","item":{"x":1}},"y",null]}') + ld('{"@type":"ItemList","itemListElement":[{"z":1}]}') + ld(b) + ld(c)),
+        (2, ld("{bad") + ld(f'[{a},{b},null,"s",{c}]')), (3, ld(f'{{"@graph":[{a},{b}]}}') + ld(a) + ld('{"@type":"ItemList","itemListElement":[]}') + ld(c)), (4, ld(a) + ld(b)), (5, None), (6, "[]" + ld("[]") + ld('[1,2]') + ld('{"v":1}')),
+    ]
+    df = engines.items_jsonld(spark.createDataFrame(pages, "page_id long, html string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted((r.page_id, r.position, r.item) for r in df.collect() if r.item is not None) == [(1, 1, '{"z":1}'), (1, 2, "y"), (1, 7, '{"x":1}'), (2, 1, b), (2, 2, c), (3, 1, a), (3, 2, a)]
+    assert df.where("item is null").count() == 1
+
+
+def test_signatures_of_nodes_asked_for(spark, data, monkeypatch):
+    """Clusters need signatures only where enough siblings have one tag; sent to tasks or joined, they are those of all nodes."""
+    nodes = tables.stored(dom.dom_nodes(spark.read.parquet(f"{data}/pages.parquet").where("page_id < 12").select("page_id", "html")), "nodes")
+    every = {(r.page_id, r.node_id): r.sig for r in dom.subtree_signature(nodes).collect()}
+    groups = {(r.page_id, r.first_node): r.n for r in dom.repeating_groups(nodes).collect()}
+    for most in (50_000, 0):
+        monkeypatch.setattr(tables, "FEW_ROWS", most)
+        monkeypatch.setattr(dom, "FEW_ROWS", most)
+        some = dom.subtree_signature(nodes, nodes.where("tag in ('div', 'ul', 'section')")).collect()
+        assert some and all(every[r.page_id, r.node_id] == r.sig for r in some)
+        members = dom.cluster_members(nodes).collect()
+        assert {(r.page_id, r.cluster): r.n for r in members} == groups and len(members) == sum(groups.values())
+    assert dom.cluster_items(nodes).count() > 0
