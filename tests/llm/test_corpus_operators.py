@@ -60,6 +60,36 @@ def test_copies_of_a_segment_travel_once():
     assert sent(2000)[0] <= sent(2)[0] + 32 and sent(2000)[1] == 2
 
 
+def test_short_repeats_send_no_segments(spark):
+    """Bytes of a minimiser that documents share by chance, the more of them the more text there is, make no candidates; 50 bytes do, wherever the minimiser lies."""
+    rng = np.random.default_rng(2)
+    pieces = rng.integers(97, 123, (40, 26)).astype(np.uint8)
+
+    def sent(passage: bytes) -> int:
+        texts = [b"".join(bytes(p) + bytes(rng.integers(97, 123, 20).astype(np.uint8)) for p in pieces[rng.permutation(40)]) + passage for _ in range(20)]
+        sizes = np.array([len(t) for t in texts])
+        chunk = suffixdedup._pack(np.arange(20).astype("<i8"), sizes.astype("<i8"), np.frombuffer(b"".join(texts), np.uint8))
+        rows = {"chunk_id": [7], "body": [chunk]}
+        hashes = pa.Table.from_batches(list(suffixdedup._sent_hashes(3)(iter([pa.RecordBatch.from_pydict(rows)]))))
+        bits = [suffixdedup._repeated(hashes.filter(pa.compute.equal(hashes["shard"], i))).to_pylist() for i in set(hashes["shard"].to_pylist())]
+        asked = rows | {"answers": [[{"shard": r["shard"], "bits": r["bits"]} for rs in bits for r in rs]], "shards": [3]}
+        out = suffixdedup._sent_segments(iter([pa.RecordBatch.from_pydict({k: asked[k] for k in ("body", "chunk_id", "answers", "shards")})]))
+        cols = [suffixdedup._unpack(r["body"], "u1", "u1", "<i8", "<i8") for b in out for r in b.to_pylist() if not r["places"]]
+        return sum(int((c[0].astype(int) - 49).sum()) for c in cols)  # distinct windows
+
+    assert sent(b"") == 0
+    assert all(sent(bytes(rng.integers(97, 123, 50).astype(np.uint8))) > 0 for _ in range(5))
+
+
+def test_chunks_are_dealt_once(spark, data):
+    """Both joins of the chunks read one exchange of their bodies."""
+    df = suffixdedup.deduped(spark.read.parquet(f"{data}/documents.parquet"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "- Exchange hashpartitioning(chunk_id" in line]
+    assert "ReusedExchange" in plan and len(dealt) == 3, plan  # the chunks, and the two kinds of answers
+
+
 def test_suffix_order_of_random_bytes():
     rng = np.random.default_rng(0)
     for part in (1 << 30, 200):

@@ -3,8 +3,10 @@
 Documents are written in chunks of a megabyte or more. Each 50-byte window has a minimiser (the leftmost least hash of
 its 16-byte grams), which depends on the window's content only, so all copies of a string meet at one minimiser:
 
-1. Every chunk sends its distinct minimiser hashes, packed, to the shard of their hash; a shard answers which of
-   them occur in more than one document. Only windows at such minimisers go on.
+1. A window that begins REACH bytes or more before its minimiser holds the REACH bytes before it, any other one REACH + 1
+   bytes after it. Every chunk sends the distinct hashes of its minimisers with those bytes (33 or 34 in all), packed, to the
+   shard of the minimiser's hash; a shard answers which of them occur in more than one document. Only windows with
+   such a hash go on. (16 bytes alone repeat by chance, and the more so the more text there is.)
 2. Chunks send the segments around those minimisers, equal ones once, with the smallest and the largest document that has
    them in the chunk. Where they occur stays the chunk's: its places travel in one row that goes back to it unread.
 3. A shard joins equal segments, orders their windows by Larsson-Sadakane refinement (ranks of h bytes give ranks of
@@ -40,15 +42,17 @@ from weftline.llm.common import tasks, text_table, written
 from weftline.llm.words import mixed, text_bytes
 
 LENGTH, GRAM = 50, 16
+#: Windows that begin so many bytes or more before their minimiser are known by the bytes before it, others by those after it.
+REACH = (LENGTH - GRAM) // 2
 #: Bytes of text in a chunk (a longer document is one chunk), and for each of which there is a shard, at least.
-CHUNK, SHARD = 1 << 20, 16 << 20
+CHUNK, SHARD = 4 << 20, 16 << 20
 #: The most bytes of a chunk, and the keys that a chunk should have for each shard: both grow with the text so that rows of
 #: a chunk and a shard, of which there are chunks times shards, hold many keys (a key stands for about 17 bytes of text).
 LARGEST_CHUNK, KEYS, KEY_BYTES = 64 << 20, 16, 17
 #: Segment bytes that a shard orders at once; parts are merged by binary search.
 PART = 8 << 20
 #: Window starts and ranges that are worked on at once.
-_BLOCK, _ROWS = 1 << 22, 1 << 14
+_BLOCK, _ROWS = 1 << 20, 1 << 14
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -67,6 +71,15 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers as their first bytes, their second bytes and so on, which pack better; _numbers undoes it."""
+    return np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4).T).ravel()
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def sizes_for(total: int) -> tuple[int, int]:
     """Bytes of a chunk and of a shard for so many bytes of text: the least ones, until chunks times shards get too many."""
     both = KEYS * KEY_BYTES * total  # chunk times shard
@@ -117,6 +130,12 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one minimiser: first and last window start, row, and the minimiser's hash."""
+    return _marked(data, sizes)[:4]
+
+
+def _marked(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The segments, the first window start of each that is known by the bytes after its minimiser, and hashes of the minimiser
+    with REACH bytes before it and with REACH + 1 after it (without meaning where no window of the segment holds them)."""
     span = LENGTH - GRAM + 1
     ends = np.cumsum(sizes)
     rows = np.flatnonzero(sizes >= LENGTH)
@@ -144,18 +163,27 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
         stop = valid.copy()
         stop[:-1] &= begin[1:] | ~valid[1:]
         a, b = np.flatnonzero(begin), np.flatnonzero(stop)
-        out.append((a + lo, b + lo, h[spot[a]]))
+        at = spot[a]
+        own, odd = h[at], np.uint64(0x9E3779B97F4A7C15)
+        before = (h[np.maximum(at - REACH, 0)] * odd ^ h[np.maximum(at - REACH + GRAM, 0)]) * odd ^ own
+        after = (own * odd ^ h[np.minimum(at + GRAM, len(h) - 1)]) * odd ^ h[np.minimum(at + REACH + 1, len(h) - 1)]
+        out.append((a + lo, b + lo, own, at - REACH + 1 + lo, before, after))
     if not out:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    a, b, h = (np.concatenate(x) for x in zip(*out, strict=True))
-    return a, b, np.searchsorted(ends, a, side="right"), h
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64)) + (np.zeros(0, np.uint64),) * 2
+    a, b, h, turn, before, after = (np.concatenate(x) for x in zip(*out, strict=True))
+    return a, b, np.searchsorted(ends, a, side="right"), h, turn, before, after
 
 
-def _keys(h: np.ndarray, shards: int) -> np.ndarray:
-    """shard << 31 | 31 bits of the hash; a chance meeting only makes a candidate."""
-    x = mixed(h)
-    shard = ((x >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    return shard << np.uint64(31) | x & np.uint64((1 << 31) - 1)
+def _keys(data: np.ndarray, sizes: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
+    """First and last window start, row and turn (see _marked) of segments, their shards, and the keys of their halves that have
+    windows, first those before the turn, then the others, with the segment of each key: shard << 31, 30 bits of the hash, and
+    which half it is. A chance meeting only makes a candidate."""
+    a, b, row, h, turn, before, after = _marked(data, sizes)
+    shard = ((mixed(h) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    left, right = np.flatnonzero(a < turn), np.flatnonzero(b >= turn)
+    bits = np.uint64((1 << 31) - 2)
+    keys = np.r_[shard[left] << np.uint64(31) | mixed(before[left]) & bits, shard[right] << np.uint64(31) | mixed(after[right]) & bits | np.uint64(1)]
+    return a, b, row, turn, shard.astype(np.int64), keys, np.r_[left, right]
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,32 +197,30 @@ def _sent_hashes(shards: int):
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, sizes, data = _unpack(body, "<i8", "<i8", "u1")
-                _, _, row, h = segments(data, sizes)
-                keys = _keys(h, shards)
+                _, _, row, _, _, keys, of = _keys(data, sizes, shards)
                 order = np.argsort(keys, kind="stable")  # rows rise within a key
-                keys, row = keys[order], row[order]
+                keys, row = keys[order], row[of[order]]
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
                 last = np.r_[first[1:], len(keys)] - 1
                 many = row[first] != row[last] if len(keys) else np.zeros(0, bool)
                 own = keys[first]
-                values = ((own << np.uint64(1)) | many.astype(np.uint64)).astype("<u4")  # the shard's bits fall off
+                values = (own & np.uint64((1 << 31) - 1)).astype("<u4")
                 full, cuts = _runs(own >> np.uint64(31))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(full), number), pa.int64()), pa.array(full, pa.int64()), pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-                    names=["chunk_id", "shard", "keys"],
-                )
+                blobs = [_pack(_planes(np.diff(values[a:b], prepend=np.uint32(0))), np.packbits(many[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), number), pa.int64()), pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk_id", "shard", "keys"])
 
     return run
 
 
 def _repeated(group: pa.Table) -> pa.Table:
     """Of a shard's hashes, the bits of those that more than one document has, for each chunk."""
-    parts = [np.frombuffer(x, "<u4") for x in group["keys"].to_pylist()]
-    sizes = [len(p) for p in parts]
-    values = np.concatenate(parts)
-    kinds, inverse, counts = np.unique(values >> 1, return_inverse=True, return_counts=True)
+    parts = [_unpack(x, "u1", "u1") for x in group["keys"].to_pylist()]
+    steps = [_numbers(p) for p, _ in parts]
+    sizes = [len(p) for p in steps]
+    many = np.concatenate([np.unpackbits(m, count=n) for (_, m), n in zip(parts, sizes, strict=True)]).astype(bool)
+    _, inverse, counts = np.unique(np.concatenate([np.cumsum(p, dtype=np.uint32) for p in steps]), return_inverse=True, return_counts=True)
     twice = counts > 1
-    twice[inverse[(values & 1).astype(bool)]] = True
+    twice[inverse[many]] = True
     bits = np.split(twice[inverse], np.cumsum(sizes)[:-1])
     return pa.table({"chunk_id": group["chunk_id"], "shard": group["shard"], "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
@@ -243,26 +269,29 @@ def distinct_ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray, mark:
 
 
 def _sent_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk_id, shard, places, body): distinct segments at repeated minimisers for each shard, and one row of their places,
-    which any shard may pass on."""
+    """Rows (chunk_id, shard, places, body): distinct segments of windows with a repeated hash for each shard, and one row of their
+    places, which any shard may pass on."""
     for batch in batches:
         for body, number, answers, shards in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             ids, sizes, data = _unpack(body, "<i8", "<i8", "u1")
-            a, b, row, h = segments(data, sizes)
-            if not len(a) or not answers:
+            if not answers:
                 continue
-            kinds, inverse = np.unique(_keys(h, shards), return_inverse=True)
+            a, b, row, turn, shard, keys, owner = _keys(data, sizes, shards)
+            kinds, inverse = np.unique(keys, return_inverse=True)
             full, cuts = _runs(kinds >> np.uint64(31))
             asked = dict(zip(full.tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
             some = np.zeros(len(kinds), bool)
             for x in answers:
                 i, j = asked[x["shard"]]
                 some[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i).astype(bool)
-            pick = np.flatnonzero(some[inverse])
+            left, right = np.zeros(len(a), bool), np.zeros(len(a), bool)
+            known, after = some[inverse], (keys & np.uint64(1)).astype(bool)
+            left[owner[known & ~after]], right[owner[known & after]] = True, True
+            pick = np.flatnonzero(left | right)
             if not len(pick):
                 continue
-            a, size, row = a[pick], (b - a + LENGTH)[pick], row[pick]
-            shard = (kinds[inverse[pick]] >> np.uint64(31)).astype(np.int64)
+            a, b = np.where(left, a, np.maximum(a, turn)), np.where(right, b, np.minimum(b, turn - 1))
+            a, size, row, shard = a[pick], (b - a + LENGTH)[pick], row[pick], shard[pick]
             order = np.argsort(shard, kind="stable")
             a, size, row, shard = a[order], size[order], row[order], shard[order]
             of = distinct_ranges(data, a, size, shard)
@@ -275,11 +304,11 @@ def _sent_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             low, high = np.minimum.reduceat(docs[by], begin), np.maximum.reduceat(docs[by], begin)
             full, cuts = _runs(shard[mine])
             bodies = [
-                _pack(size[mine[i:j]].astype("u1"), _gathered(data, a[mine[i:j]], size[mine[i:j]]), low[i:j].astype("<i8"), (high[i:j] - low[i:j]).astype("<i8"))
+                _pack(size[mine[i:j]].astype("u1"), _gathered(data, a[mine[i:j]], size[mine[i:j]]), np.diff(low[i:j], prepend=0).astype("<i8"), (high[i:j] - low[i:j]).astype("<i8"))
                 for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
             ]
             order = np.argsort(a)
-            places = _pack(full.astype("<i8"), cuts[:-1].astype("<i8"), np.diff(a[order], prepend=0).astype("<u4"), of[order].astype("<u4"))
+            places = _pack(full.astype("<i8"), cuts[:-1].astype("<i8"), _planes(np.diff(a[order], prepend=0)), _planes(of[order]))
             kinds = pa.array([False] * len(full) + [True])
             shard_ids = pa.array([*full.tolist(), number % shards], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(kinds), pa.int64()), shard_ids, kinds, pa.array([*bodies, places], pa.binary())], names=["chunk_id", "shard", "places", "body"])
@@ -397,7 +426,7 @@ def _earlier(group: pa.Table) -> pa.Table:
     """Of a shard's segments, for each chunk, the runs of windows that a document before the chunk's last one has too, with the
     smallest such document."""
     cols = [_unpack(x, "u1", "u1", "<i8", "<i8") for x in group["body"].to_pylist()]
-    sizes, data, low, more = (np.concatenate(x) for x in zip(*cols, strict=True))
+    sizes, data, low, more = (np.concatenate(x) for x in zip(*((n, text, np.cumsum(steps), up) for n, text, steps, up in cols), strict=True))
     sizes, high = sizes.astype(np.int64), low + more
     sent = np.array([len(c[0]) for c in cols])
     chunk, first_of = np.repeat(np.arange(len(cols)), sent), np.cumsum(sent) - sent
@@ -448,8 +477,8 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gone(ids: np.ndarray, sizes: np.ndarray, answers: list) -> np.ndarray:
     """Of a chunk's bytes, which are covered by a string that an earlier document has; answers as (shard, body)."""
-    depth = np.zeros(int(sizes.sum()) + 1, np.int64)
-    shards, base, steps, of = next((_unpack(x["body"], "<i8", "<i8", "<u4", "<u4") for x in answers if x["shard"] < 0), [np.zeros(0, np.int64)] * 4)
+    depth = np.zeros(int(sizes.sum()) + 1, np.int32)
+    shards, base, steps, of = next((_unpack(x["body"], "<i8", "<i8", "u1", "u1") for x in answers if x["shard"] < 0), [np.zeros(0, np.int64)] * 4)
     base = dict(zip(shards.tolist(), base.tolist(), strict=True))
     parts = [(base[x["shard"]] + cols[0], *cols[1:]) for x in answers if x["shard"] >= 0 for cols in [_unpack(x["body"], "<u4", "u1", "u1", "<i8")]]
     if not parts:
@@ -457,7 +486,7 @@ def _gone(ids: np.ndarray, sizes: np.ndarray, answers: list) -> np.ndarray:
     segment, first, last, best = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
     order = np.argsort(segment, kind="stable")
     segment, first, last, best = segment[order], first[order], last[order], best[order]
-    start, of = np.cumsum(steps, dtype=np.int64), of.astype(np.int64)
+    start, of = np.cumsum(_numbers(steps), dtype=np.int64), _numbers(of).astype(np.int64)
     runs, at = np.searchsorted(segment, of, side="right") - np.searchsorted(segment, of), np.searchsorted(segment, of)
     doc = ids[np.searchsorted(np.cumsum(sizes), start, side="right")]
     for i in range(0, len(of), _ROWS):
@@ -468,7 +497,7 @@ def _gone(ids: np.ndarray, sizes: np.ndarray, answers: list) -> np.ndarray:
         run, place = run[early], np.repeat(start[i : i + _ROWS], n)[early]
         np.add.at(depth, place + first[run], 1)
         np.add.at(depth, place + last[run] + LENGTH, -1)
-    return np.cumsum(depth)[:-1] > 0
+    return np.cumsum(depth, dtype=np.int32)[:-1] > 0
 
 
 def _kept(with_text: bool):
@@ -482,7 +511,7 @@ def _kept(with_text: bool):
                 fresh[1:] &= ~gone[:-1]
                 inner = (ends - sizes)[sizes > 0]
                 fresh[inner] = gone[inner]  # a run ends with its document
-                removed, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(fresh)]
+                removed, spans = (np.r_[np.int32(0), np.cumsum(x, dtype=np.int32)] for x in (gone, fresh))
                 left = data[~gone].tobytes()
                 cut = np.r_[0, ends] - removed[np.r_[0, ends]]
                 texts = [left[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
@@ -528,7 +557,8 @@ def _deduped(docs: DataFrame, with_text: bool, shards: int | None) -> DataFrame:
     hashes = chunks.select("chunk_id", "body").mapInArrow(_sent_hashes(shards), "chunk_id bigint, shard bigint, keys binary")
     bits = hashes.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_of_shard(_repeated), "chunk_id bigint, shard bigint, bits binary")
     answers = bits.groupBy("chunk_id").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
-    asked = chunks.select("chunk_id", "body").join(answers.hint("merge"), "chunk_id").select("body", "chunk_id", "answers", F.lit(shards).alias("shards"))
+    # both joins are left ones: so both read one exchange of the chunks, which an inner join's filter would make two
+    asked = chunks.select("chunk_id", "body").join(answers.hint("merge"), "chunk_id", "left").select("body", "chunk_id", "answers", F.lit(shards).alias("shards"))
     parts = asked.mapInArrow(_sent_segments, "chunk_id bigint, shard bigint, places boolean, body binary")
     earlier = parts.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_answered, "chunk_id bigint, shard bigint, body binary")
     gone = earlier.groupBy("chunk_id").agg(F.collect_list(F.struct("shard", "body")).alias("answers"))
