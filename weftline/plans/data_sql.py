@@ -117,9 +117,14 @@ SELECT g, field FROM f WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 50
     "itemlist_roundtrip": f"SELECT p_partkey AS page_id, unnest([2, 2]) AS position, unnest([p_name, 'x']) AS name FROM {_FULL}",
     "items_microdata": f"SELECT p_partkey AS page_id, unnest([1, 1, 2]) AS position, unnest(['name', 'tag', 'name']) AS key, unnest([p_name, 'a', 'two']) AS value FROM {_FULL}",
     "merge_engines": f"""
-SELECT p_partkey AS page_id, unnest(['name', 'tag', 'og:title', 'twitter:title', 'meta:kind']) AS key,
-  unnest([CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '["' || p_name || '","two"]' END, '["a","' || p_brand || '"]', p_name, p_name, p_type]) AS value,
-  unnest([CASE WHEN p_partkey % 2 = 0 THEN 'json_ld' ELSE 'microdata' END, 'microdata', 'opengraph', 'twitter_cards', 'heuristic']) AS engine FROM {_FULL}""",
+SELECT p_partkey AS page_id,
+  unnest(['@type', 'name', CASE WHEN p_partkey % 2 = 0 THEN 'size' ELSE 'itemListElement' END, 'tag', 'og:title', 'og:type', 'twitter:label1', 'twitter:data1', 'twitter:title', '_labeled_pairs',
+    '_page_title', 'meta:brand', 'meta:kind', CASE WHEN p_size >= 10 THEN 'text:Size' ELSE 'text:size' END, 'text:Kind', 'text:Brand name', 'text:Facts - Kind']) AS key,
+  unnest([CASE WHEN p_partkey % 2 = 0 THEN 'Product' ELSE 'ItemList' END, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '["' || p_name || '","two"]' END,
+    CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE '[{{"position":2,"item":{{"name":"' || p_name || '"}}}},{{"item":{{"name":"x"}}}}]' END, '["a","' || p_brand || '"]',
+    p_name, p_type, 'Size', p_size::VARCHAR, p_name, '{{"Size":"' || p_size || '"}}', p_name, p_brand, p_type, CASE WHEN p_size >= 10 THEN p_size::VARCHAR ELSE 'other' END, p_type, p_brand, p_type]) AS value,
+  unnest(['json_ld', CASE WHEN p_partkey % 2 = 0 THEN 'json_ld' ELSE 'microdata' END, 'json_ld', 'microdata', 'opengraph', 'opengraph', 'twitter_cards', 'twitter_cards', 'twitter_cards', 'twitter_cards',
+    'heuristic', 'heuristic', 'heuristic', 'heuristic', 'heuristic', 'heuristic', 'heuristic']) AS engine FROM {_FULL}""",
     "engine_confidence": f"""
 WITH e AS (SELECT p_partkey AS page_id, unnest(['json_ld', 'microdata', 'opengraph', 'twitter_cards', 'heuristic']) AS engine, unnest([0.95, 0.85, 0.75, 0.70, 0.50])::DOUBLE AS base, unnest([CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END, 2, 2, 4, 7]) AS n_fields FROM {_FULL})
 SELECT page_id, engine, n_fields::BIGINT AS n_fields, round(base * n_fields / 17, 4) AS confidence FROM e""",
